@@ -13,7 +13,10 @@ like any other; an empty table gives an empty result; columns other than id and
 from __future__ import annotations
 
 import bisect
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,43 +33,76 @@ SALTS = 64
 CACHE = 200_000
 
 
-def word_tokenizer(path: str) -> Callable[[str], np.ndarray]:
-    """The ids of a text under a tokenizer file whose tokens never reach over white space.
+#: Letters that Unicode composition leaves alone and that lower-case one by one, then plain punctuation.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*)([!-&(-/:-@\[-`{-~]*)")
 
-    As white space only separates, each word is tokenised once and remembered; ids are those of
-    ``Tokenizer.encode(text, add_special_tokens=False)``.
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write printable bytes as themselves and the others as code points from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+def word_tokenizer(path: str) -> Callable[[str], bytes]:
+    """The ids of a text, as little-endian unsigned 32-bit, under a lower-casing byte-level tokenizer file whose
+    tokens never reach over white space: those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+
+    As white space only separates, each word is tokenised once and remembered. Plain words go straight to the
+    tokenizer's model; any other goes through the whole tokenizer.
     """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {"": b""}
-
-    def encode(text: str) -> np.ndarray:
+    model, special = tokenizer.model.tokenize, {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    odd = any(_PLAIN.fullmatch(t) for t in special)
+    letters_of = _byte_letters()
+    known: dict[str, bytes] = {}
+
+    def ids_of(word: str) -> bytes:
+        plain = None if odd else _PLAIN.fullmatch(word)
+        if plain is None or "<|" in word:
+            return array("I", tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        letters, marks = plain.groups()
+        ids = array("I")
+        if letters:
+            letters = letters.lower()
+            if not letters.isascii():
+                letters = letters.encode().decode("latin-1").translate(letters_of)
+            ids.extend([t.id for t in model(letters)])
+        if marks:
+            ids.extend([t.id for t in model(marks)])
+        return ids.tobytes()
+
+    def encode(text: str) -> bytes:
         parts = text.replace("\n", " ").split(" ")
-        new = [w for w in dict.fromkeys(parts) if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                known[""] = b""
-                new = list(dict.fromkeys(parts))
-            for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([known[w] for w in parts]), "<u4")
+        try:
+            return b"".join([known[w] for w in parts])
+        except KeyError:
+            pass
+        new = {w for w in parts if w not in known}
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = set(parts)
+        for w in new:
+            known[w] = ids_of(w)
+        return b"".join([known[w] for w in parts])
 
     return encode
 
 
 def _pieces(tokenizer: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_tokenizer(tokenizer)
+        encode, end = word_tokenizer(tokenizer), array("I", [end_id]).tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    rows.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes())))
+                ids = encode(text.as_py() or "") + end
+                for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
+                    part = ids[4 * start : 4 * (start + capacity)]
+                    rows.append((doc_id, piece, start, len(part) // 4, zlib.crc32(part)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
 
