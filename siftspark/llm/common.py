@@ -125,13 +125,13 @@ def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def blocks(arr: pa.Array, most: int = BLOCK_BYTES):
-    """Runs of whole rows of about ``most`` bytes: (first row, bytes, offsets)."""
+def blocks(arr: pa.Array, most: int = BLOCK_BYTES, rows: int = 1 << 30):
+    """Runs of at most ``rows`` whole rows of about ``most`` bytes: (first row, bytes, offsets)."""
     data, offsets = text_buffer(arr)
     n, row = len(offsets) - 1, 0
     while row < n:
         end = int(np.searchsorted(offsets, offsets[row] + most, side="right")) - 1
-        end = min(n, max(end, row + 1))
+        end = min(n, max(end, row + 1), row + rows)
         yield row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 

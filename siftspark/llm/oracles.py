@@ -2,7 +2,60 @@
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
+_CHARS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _url_sql() -> str:
+    """Rules, then the vocabulary as one regular expression for each term."""
+    from .url_filter import RULES, SOFT, SOFT_LIMIT, STRICT
+
+    order = sorted(RULES, key=lambda r: -(len(r[1]) + len(r[2])))
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", f"{h}{p}", v) for v, h, p in order]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{name}'" for f, name, _ in fits) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, _, v in fits)
+    word = lambda t: f"regexp_matches(u, '(^|[^\\p{{L}}\\p{{N}}]){t}($|[^\\p{{L}}\\p{{N}}])')"
+    strict = " OR ".join(map(word, STRICT))
+    soft = " + ".join(f"({word(t)})::INT" for t in SOFT)
+    return f"""
+        WITH a AS (SELECT page_id, translate(coalesce(url, ''), '{_AZ}', '{_az}') AS u,
+                          CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+             b AS (SELECT page_id, u, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_AZ}', '{_az}') AS host,
+                          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a)
+        SELECT page_id, host, path, {rule} AS rule,
+               {verdict} WHEN ({strict}) OR ({soft}) >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict
+        FROM b
+    """
+
+
 ORACLES = {
+    "op2_chat_perspectives": """
+        WITH t AS (SELECT conv_id, turn, coalesce(nullif(replace(role, '<|', '< |'), ''), 'unknown') AS role,
+                          replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+             s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+             p AS (SELECT s.conv_id, s.speaker, t.turn, t.role, t.text, t.role = s.speaker AS mine,
+                          CASE WHEN t.role = s.speaker THEN '<|assistant|>' WHEN t.role = 'system' THEN '<|system|>'
+                               ELSE '<|user name=' || t.role || '|>' END || chr(10) AS head, t.text || '<|end|>' AS body
+                   FROM s JOIN t ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+             q AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker
+                          ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)::BIGINT AS fin FROM p)
+        SELECT conv_id, speaker, count(*) AS n_turns,
+               string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
+               coalesce(string_agg((fin - 1 - length(body))::VARCHAR || '-' || (fin - 1)::VARCHAR, ',' ORDER BY fin) FILTER (mine), '') AS loss_spans,
+               coalesce(sum(length(body)) FILTER (mine), 0)::BIGINT AS n_loss_chars
+        FROM q GROUP BY conv_id, speaker
+    """,
+    "op5_line_dedup": f"""
+        WITH l AS (SELECT doc_id, line, nr, translate(trim(line, {_CHARS}), '{_AZ}', '{_az}') AS key
+                   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                                generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS nr FROM documents)),
+             f AS (SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+             m AS (SELECT l.*, l.key IN (SELECT key FROM f) AS gone FROM l)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY doc_id
+    """,
+    "op6_url_filter": _url_sql(),
     "op8_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_NORMAL} AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, toxicity
+from . import chat_format, embedding_dedup, exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,14 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+def op2_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_perspectives(_read(spark, sf_dir, "conversations"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -30,6 +39,19 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_dedup.line_dedup(_read(spark, sf_dir, "documents"), least=10, least_chars=1)
+    return got.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(_read(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
@@ -38,8 +60,23 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_read(spark, sf_dir, "documents")).drop("source", "copies")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(_read(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def queries() -> dict[str, Query]:
-    found = (op3_best_fit_packing, op4_toxicity, op8_exact_dedup, op9_mixing)
+    found = (
+        op1_jaccard_join,
+        op2_chat_perspectives,
+        op3_best_fit_packing,
+        op4_toxicity,
+        op5_line_dedup,
+        op6_url_filter,
+        op7_language_id,
+        op8_exact_dedup,
+        op9_mixing,
+        op10_embedding_dedup,
+    )
     return {f.__name__: f for f in found}
 
 
