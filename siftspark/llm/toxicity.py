@@ -1,7 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are words and their beginnings of 3 to 6 bytes (inflected insults share them), letter runs in UTF-8 with
-A-Z lower-cased, hashed into 2**22 buckets; a document has each bucket once. The model is
+Terms are words (letter runs in UTF-8, A-Z lower-cased) and, as inflected insults share their stem, the proper
+beginnings of words of 3 to 9 bytes, hashed into 2**22 buckets; a document has each bucket once. A stem that is
+harmless alone is another term than the same stem with an ending. The model is
 
     logit(x) = b + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)
 
@@ -25,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LETTER, Scratch, blocks, held_out, prefix_hash, runs, span_hash
+from .common import _LETTER, Scratch, blocks, held_out, mix, prefix_hash, runs, span_hash
 from .features import sample_ids, sample_texts
 
 BUCKETS = 1 << 22
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8, 9)
 #: Factors of the machine, and buckets that it may use.
 FACTORS, MOST_TERMS = 4, 20_000
+LEAST_BIAS = -2.5
 #: Score from which a document counts as toxic.
 CUT = 0.7
 
@@ -42,7 +44,7 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     sums = prefix_hash(data)
     hashed, rows = [span_hash(sums, starts, ends)], [row]
     for n in PREFIXES:
-        keep = ends - starts >= n
+        keep = ends - starts > n
         hashed.append(span_hash(sums, starts[keep], starts[keep] + n) ^ np.uint64(0xA5A5A5A5 + n))
         rows.append(row[keep])
     return (np.concatenate(hashed) & np.uint64(BUCKETS - 1)).astype(np.int64), np.concatenate(rows)
@@ -69,9 +71,22 @@ def _distinct(term: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray
     return key % width, key // width
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, *, epochs: int = 60, seed: int = 7) -> Machine:
+def _unlike(rows: list[np.ndarray], label: np.ndarray) -> list[int]:
+    """The first row of each group of copies and near copies, told by two smallest hashes and the label: a text
+    that was copied often must not count as much evidence for each of its terms."""
+    seen: dict[tuple, int] = {}
+    for i, r in enumerate(rows):
+        x = r.astype(np.uint64)
+        key = (int(mix(x + np.uint64(1 << 40)).min()), int(mix(x + np.uint64(1 << 41)).min())) if len(r) else ()
+        seen.setdefault((key, float(label[i])), i)
+    return sorted(seen.values())
+
+
+def fit(rows: list[np.ndarray], label: np.ndarray, *, steps: int = 800, seed: int = 7) -> Machine:
     """``rows``: the distinct buckets of each document."""
     label = np.asarray(label, float)
+    own = _unlike(rows, label)
+    rows, label = [rows[i] for i in own], label[own]
     n, good = len(label), float(label.sum())
     if not n or good in (0.0, float(n)):
         p = min(max(good / n if n else 0.0, 1e-9), 1 - 1e-9)
@@ -88,20 +103,20 @@ def fit(rows: list[np.ndarray], label: np.ndarray, *, epochs: int = 60, seed: in
         g = 2 * (np.where(pos, pos * np.log(pos / (seen * rate)), 0) + np.where(neg, neg * np.log(neg / (seen * (1 - rate))), 0))
     # a term of toxic rows must be rare elsewhere: in long texts every common word occurs
     odds = ((pos + 0.1) / good) / ((neg + 0.1) / (n - good))
-    chosen = np.flatnonzero((seen >= 3) & (g > 6) & (odds > 4))
+    chosen = np.flatnonzero((seen >= 3) & (g > 12) & (odds > 8))
     chosen = np.sort(chosen[np.argsort(-g[chosen], kind="stable")[:MOST_TERMS]])
     at = np.full(len(names), -1)
     at[chosen] = np.arange(len(chosen))
     keep = at[term] >= 0
     term, row = at[term[keep]], row[keep]
     rng = np.random.default_rng(seed)
-    m = Machine(-3.0, names[chosen], np.log(odds[chosen]) * 0.1, rng.normal(0, 0.01, (len(chosen), FACTORS)))
+    m = Machine(LEAST_BIAS, names[chosen], np.log(odds[chosen]) * 0.1, rng.normal(0, 0.01, (len(chosen), FACTORS)))
     # full-batch Adam: the sample is small and its chosen terms are few
     state = [np.zeros(1), m.weight, m.factor]
     state[0][0] = m.bias
     first, second = [np.zeros_like(x) for x in state], [np.zeros_like(x) for x in state]
     width = len(chosen)
-    for step in range(1, 5 * epochs + 1):
+    for step in range(1, steps + 1):
         m.bias = float(state[0][0])
         error = (1 / (1 + np.exp(-np.clip(m.logits(term, row, n), -30, 30))) - label) / n
         sums = np.stack([np.bincount(row, m.factor[term, f], n) for f in range(FACTORS)], 1)
@@ -109,12 +124,14 @@ def fit(rows: list[np.ndarray], label: np.ndarray, *, epochs: int = 60, seed: in
         grads = [
             np.array([error.sum()]),
             np.bincount(term, e, width) + 1e-5 * m.weight,
-            np.stack([np.bincount(term, e * (sums[row, f] - m.factor[term, f]), width) for f in range(FACTORS)], 1) + 1e-4 * m.factor,
+            np.stack([np.bincount(term, e * (sums[row, f] - m.factor[term, f]), width) for f in range(FACTORS)], 1) + 1e-3 * m.factor,
         ]
         for x, g1, a, b in zip(state, grads, first, second):
             a += 0.1 * (g1 - a)
             b += 0.001 * (g1 * g1 - b)
             x -= 0.05 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+        # without this the many clean rows push the bias so low that one term alone cannot make up for it
+        state[0][0] = max(state[0][0], LEAST_BIAS)
     m.bias = float(state[0][0])
     return m
 
