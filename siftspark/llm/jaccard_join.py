@@ -90,14 +90,14 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(k: int, num: int, den: int, shared):
-    """Of (doc_id, text): (token, g, n) of the first tokens of each class, once per task and class."""
+    """Of (text): (token, g, n, at) of the first tokens of each class, once per task and class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
         done: set[tuple[int, int]] = set()
         for batch in batches:
             for _, data, offsets in blocks(batch.column(0)):
-                tokens, groups, sizes = [], [], []
+                tokens, groups, sizes, places = [], [], [], []
                 for t in shingle_rows(data, offsets, k):
                     if not len(t) or (key := _class(t)) in done:
                         continue
@@ -108,25 +108,26 @@ def _prefixes(k: int, num: int, den: int, shared):
                     tokens.append(t[order])
                     groups.append(np.full(take, _group(t)))
                     sizes.append(np.full(take, n))
+                    places.append(np.arange(take))
                 if tokens:
-                    cols = [signed(np.concatenate(tokens)), np.concatenate(groups), np.concatenate(sizes)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["token", "g", "n"])
+                    cols = [signed(np.concatenate(tokens)), *(np.concatenate(x) for x in (groups, sizes, places))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["token", "g", "n", "at"])
 
     return run
 
 
 def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (token, g, n): those, once each, whose token has more than one group."""
-    carry = np.zeros((0, 3), np.int64)  # the first rows of a token that so far has one group
+    """Of rows sorted by (token, g, n, at): the first of each (token, g, n) whose token has more than one group."""
+    carry = np.zeros((0, 4), np.int64)  # the first rows of a token that so far has one group
     wide = None  # the token of the last row, if it has several groups
     last = None
     for batch in batches:
-        rows = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+        rows = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
         if not len(rows):
             continue
         new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:] != rows[:-1]).any(1)
-        new[0] = last is None or (rows[0] != last).any()
+        new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(1)
+        new[0] = last is None or (rows[0, :3] != last[:3]).any()
         last = rows[-1].copy()
         rows = rows[new]
         if not len(rows):
@@ -146,11 +147,11 @@ def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         carry = rows[starts[-1] :] if tail else carry[:0]
         if keep.any():
             out = rows[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, i])) for i in range(3)], names=["token", "g", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, i])) for i in range(4)], names=["token", "g", "n", "at"])
 
 
 def _sets(k: int):
-    """Of (doc_id, text, c, h): the set of each row whose text is of that class."""
+    """Of (doc_id, text, c, h, ...): the set of each row whose text is of that class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,8 +161,9 @@ def _sets(k: int):
                 good = [i for i, t in enumerate(rows) if len(t) and _class(t) == (c[first + i], h[first + i])]
                 if good:
                     at = pa.array([first + i for i in good])
-                    cols = [batch.column(j).take(at) for j in (0, 2, 3)]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array([rows[i].tobytes() for i in good], pa.binary())], names=["rep", "c", "h", "tokens"])
+                    cols = [batch.column(j).take(at) for j in range(batch.num_columns) if j != 1]
+                    names = ["rep", *batch.schema.names[2:], "tokens"]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array([rows[i].tobytes() for i in good], pa.binary())], names=names)
 
     return run
 
@@ -198,11 +200,16 @@ class Opened:
             self.ids.append(rep)
             self.sets.append(tokens)
 
+    def complete(self, own: bool) -> list[tuple[int, int]]:
+        """Called once all members are in: the row of the matrix, and the links among the members if wanted."""
+        if self.union is not None:
+            return []
+        self.union = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
+        self.size = np.array([len(s) for s in self.sets])
+        return [x for rep, tokens in zip(self.ids, self.sets) for x in self.query(rep, tokens)] if own and len(self.sets) > 1 else []
+
     def query(self, rep: int, tokens: np.ndarray) -> list[tuple[int, int]]:
         """New links of a query with members that it is not yet connected with."""
-        if self.union is None:
-            self.union = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
-            self.size = np.array([len(s) for s in self.sets])
         n = len(tokens)
         if self.den * _common(tokens, self.union) < self.num * n:  # not even all of the group together
             return []
@@ -218,23 +225,32 @@ class Opened:
         return out
 
 
-def _open(num: int, den: int):
+def _open(num: int, den: int, own: bool):
     """Of rows (g, chunk, is_query, rep, c, h, tokens) sorted by the first three: links (src, dst)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, chunk = None, Opened(num, den)
+        links: list[tuple[int, int]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["src", "dst"])
+                links.clear()
+
         for batch in batches:
-            links: list[tuple[int, int]] = []
             for g, part, is_query, rep, c, h, tokens in zip(*(x.to_pylist() for x in batch.columns)):
                 if now != (g, part):
+                    links += chunk.complete(own)
                     now, chunk = (g, part), Opened(num, den)
                 tokens = np.frombuffer(tokens, np.uint64)
                 if is_query:
+                    links += chunk.complete(own)
                     links += chunk.query(rep, tokens)
                 else:
                     chunk.member(rep, (rep, c, h), tokens)
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["src", "dst"])
+            yield from out()
+        links += chunk.complete(own)
+        yield from out()
 
     return run
 
@@ -265,34 +281,41 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     placed = classes.join(groups.select("g", "chunks", "classes"), "g").withColumn("chunk", F.pmod("h", "chunks").cast("int"))
 
     # cells of the matrix that prefixes can fill: pairs of groups with a common token and compatible sizes
-    tokens = texts.where("doc_id is not null").select("text").mapInArrow(_prefixes(k, num, den, shared), "token long, g long, n long")
-    tokens = tokens.repartition(parts, "token").sortWithinPartitions("token", "g", "n").mapInArrow(_shared_tokens, "token long, g long, n long")
+    # (by size, and by how many tokens come after the common one)
+    tokens = texts.where("doc_id is not null").select("text").mapInArrow(_prefixes(k, num, den, shared), "token long, g long, n long, at long")
+    tokens = tokens.repartition(parts, "token").sortWithinPartitions("token", "g", "n", "at").mapInArrow(_shared_tokens, "token long, g long, n long, at long")
     tokens = scratch.table(tokens, "tokens")
     a, b = tokens.alias("a"), tokens.alias("b")
-    cells = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.g") < F.col("b.g")) & (F.col("a.n") * den >= F.col("b.n") * num) & (F.col("b.n") * den >= F.col("a.n") * num))
+    fits = (F.col("a.n") * den >= F.col("b.n") * num) & (F.col("b.n") * den >= F.col("a.n") * num)
+    fits &= F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) * (num + den) >= (F.col("a.n") + F.col("b.n")) * num
+    cells = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.g") < F.col("b.g")) & fits)
     cells = scratch.table(cells.select(F.col("a.g").alias("qg"), F.col("b.g").alias("g")).distinct(), "cells")
 
     # sets of the classes that any cell, or their own group, may open
-    busy = cells.select("qg").union(cells.select("g")).select(F.col("qg").alias("g")).union(groups.where("classes > 1").select("g")).distinct()
-    wanted = scratch.table(placed.join(busy, "g", "left_semi").select("rep", "c", "h", "g", "chunk", "chunks", "classes"), "wanted")
-    sets = texts.join(wanted.select(F.col("rep").alias("doc_id"), "c", "h"), "doc_id").select("doc_id", "text", "c", "h")
-    sets = scratch.table(sets.mapInArrow(_sets(k), "rep long, c long, h long, tokens binary").join(wanted, ["rep", "c", "h"]), "sets")
+    busy = cells.select(F.col("qg").alias("g")).union(cells.select("g")).union(groups.where("classes > 1").select("g")).distinct()
+    anchored = groups.select("g", "anchor").join(busy, "g", "left_semi")
+    is_anchor = (F.col("rep") == F.col("anchor.rep")) & (F.col("c") == F.col("anchor.c")) & (F.col("h") == F.col("anchor.h"))
+    wanted = placed.join(anchored, "g").select("rep", "c", "h", "g", "chunk", "chunks", is_anchor.alias("is_anchor"))
+    wanted = scratch.table(wanted, "wanted")
+    sets = texts.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "c", "h", "g", "chunk", "chunks", "is_anchor")
+    sets = sets.mapInArrow(_sets(k), "rep long, c long, h long, g long, chunk int, chunks int, is_anchor boolean, tokens binary")
+    sets = scratch.table(sets, "sets")
     each = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     columns = ["g", "chunk", "is_query", "rep", "c", "h", "tokens"]
 
-    def opened(queries: DataFrame, targets: DataFrame, name: str) -> DataFrame:
-        """Links of queries (g, chunk, rep, c, h, tokens) with the members of their chunk among ``targets``."""
+    def opened(queries: DataFrame, targets: DataFrame, own: bool, name: str) -> DataFrame:
+        """Links of queries (g, chunk, rep, c, h, tokens) with the members of their chunk among ``targets``, and
+        of these with each other if ``own``."""
         inside = targets.withColumn("is_query", F.lit(False)).select(*columns)
         both = inside.union(queries.withColumn("is_query", F.lit(True)).select(*columns))
         both = both.repartition(parts, "g", "chunk").sortWithinPartitions("g", "chunk", "is_query", "rep")
-        return scratch.table(both.mapInArrow(_open(num, den), "src long, dst long"), name)
+        return scratch.table(both.mapInArrow(_open(num, den, own), "src long, dst long"), name)
 
-    anchors = sets.join(groups.select("g", "anchor"), "g").where("rep = anchor.rep and c = anchor.c and h = anchor.h").drop("anchor")
-    own = sets.where("classes > 1").select("g", "chunk", "rep", "c", "h", "tokens")
+    anchors = sets.where("is_anchor")
     across = anchors.where("chunks > 1").select("g", each.alias("chunk"), "rep", "c", "h", "tokens")
     reach = cells.join(groups.select("g", "chunks"), "g").select("qg", "g", each.alias("chunk"))
     far = anchors.select(F.col("g").alias("qg"), "rep", "c", "h", "tokens").join(reach, "qg").select("g", "chunk", "rep", "c", "h", "tokens")
-    links = opened(own.union(across).union(far), sets, "links-1")
+    links = opened(across.union(far), sets, True, "links-1")
     # one document with several texts pools their links
     same = rows.where("n > 0 and doc_id is not null").join(classes, ["c", "h", "n", "g"]).select("doc_id", "rep")
     links = links.union(same.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").join(same, "doc_id").select("doc_id", "rep"))
@@ -306,13 +329,12 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     if not open_cells.isEmpty():
         known = wanted.join(found, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
         span = known.groupBy("g", "chunk").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        asks = known.join(groups.select("g", "anchor"), "g").where("not (rep = anchor.rep and c = anchor.c and h = anchor.h)")
-        asks = asks.select(F.col("g").alias("qg"), F.col("chunk").alias("qchunk"), "rep", "c", "h", "component").join(open_cells, "qg").where("qg <> g or qchunk <> chunk")
+        asks = known.where("not is_anchor").select(F.col("g").alias("qg"), F.col("chunk").alias("qchunk"), "rep", "c", "h", "component").join(open_cells, "qg").where("qg <> g or qchunk <> chunk")
         asks = asks.join(span, ["g", "chunk"]).where("low <> component or high <> component").select("g", "chunk", "rep", "c", "h")
         asks = scratch.table(asks, "asks")
         if not asks.isEmpty():
             targets = sets.join(asks.select("g", "chunk").distinct(), ["g", "chunk"], "left_semi")
-            more = opened(asks.join(sets.select("rep", "c", "h", "tokens"), ["rep", "c", "h"]), targets, "links-2")
+            more = opened(asks.join(sets.select("rep", "c", "h", "tokens"), ["rep", "c", "h"]), targets, False, "links-2")
             links = more.union(found.select(F.col("node").alias("src"), F.col("component").alias("dst")))
             found = scratch.table(connected_components(links, scratch, "cc-2"), "found-2")
     scratch.drop("tokens", "cells", "sets", "wanted")
