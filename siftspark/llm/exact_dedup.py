@@ -191,3 +191,16 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         joined = keyed.withColumn("text_sha256", F.sha2("text", 256)).drop("text").join(owned, [*key, "text_sha256"])
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
     return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+
+def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of equal texts the one of the smallest id, once."""
+    scratch = Scratch(docs.sparkSession, "copies")
+    found = scratch.table(exact_dedup(docs, id_col=id_col, text_col=text_col), "found")
+    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"{SPACES}+", " "), 256)
+    keyed = docs.withColumn("_sha", sha).withColumn("_id", F.col(id_col).cast("long"))
+    lost = found.where("not kept").select(F.col("text_sha256").alias("_sha"), F.col("doc_id").alias("_lost")).distinct()
+    kept = keyed.alias("k").join(lost.alias("l"), (F.col("k._sha") == F.col("l._sha")) & F.col("k._id").eqNullSafe(F.col("_lost")), "left_anti")
+    if not found.where("kept").groupBy("text_sha256").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_sha"])
+    return kept.select(*docs.columns)
