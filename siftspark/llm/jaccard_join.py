@@ -5,8 +5,10 @@ form a group, as similar sets mostly do; a group of more than ``MEMBERS`` classe
 group the matrix holds the union of its members' tokens. A class can only link with a member of a group if
 it shares enough tokens with the group's union; groups that fall short are never opened. Which
 (query, group) cells can qualify at all is read from the part of the matrix that prefixes span: in one order
-of all tokens, two sets that link share a token among the first ``n - need + 1`` of each. The order puts frequent tokens
-last, by a sketch of fixed width that counts the tokens of all documents; it decides speed, never results.
+of all tokens, two sets that link share ``m`` tokens among the first ``n - need + m`` of each, for any m up to what they
+must share. With m growing with the set (``common_needed``), texts that share a few tokens by chance make no
+cell. The order puts frequent tokens last, by a sketch of fixed width that counts the tokens of all documents; it
+decides speed, never results.
 
 The result needs components, not all pairs. So the first round opens each chunk for its own members, and for
 one anchor of every candidate group; the second opens what is left only where query and chunk still have different
@@ -89,6 +91,12 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(level, pa.binary())], names=["part", "counts"])
 
 
+def common_needed(n: int) -> int:
+    """Tokens that the prefixes of two linked sets must share, of which the smaller has ``n`` tokens (or fewer, if
+    they need not share as many in all)."""
+    return 3 + n // 100
+
+
 def _prefixes(k: int, num: int, den: int, shared):
     """Of (text): (token, g, n, at) of the first tokens of each class, once per task and class."""
 
@@ -103,7 +111,7 @@ def _prefixes(k: int, num: int, den: int, shared):
                         continue
                     done.add(key)
                     n = len(t)
-                    take = n - -(-num * n // den) + 1
+                    take = min(n, n - -(-num * n // den) + common_needed(n))
                     order = np.argsort(level[(t & np.uint64(WIDTH - 1)).astype(np.int64)], kind="stable")[:take]
                     tokens.append(t[order])
                     groups.append(np.full(take, _group(t)))
@@ -287,18 +295,24 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     tokens = scratch.table(tokens, "tokens")
     a, b = tokens.alias("a"), tokens.alias("b")
     fits = (F.col("a.n") * den >= F.col("b.n") * num) & (F.col("b.n") * den >= F.col("a.n") * num)
-    fits &= F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) * (num + den) >= (F.col("a.n") + F.col("b.n")) * num
+    # what two sets of these sizes share if they link, and how much of it within the prefixes
+    needed = F.ceil((F.col("a.n") + F.col("b.n")) * num / (num + den))
+    early = F.least(F.floor(F.least("a.n", "b.n") / 100) + common_needed(0), needed)
+    fits &= F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) + early - 1 >= needed
     cells = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.g") < F.col("b.g")) & fits)
-    cells = scratch.table(cells.select(F.col("a.g").alias("qg"), F.col("b.g").alias("g")).distinct(), "cells")
+    cells = cells.select(F.col("a.g").alias("qg"), F.col("b.g").alias("g"), early.alias("early"))
+    cells = cells.groupBy("qg", "g").agg(F.count("*").alias("common"), F.min("early").alias("early")).where("common >= early")
+    cells = scratch.table(cells.select("qg", "g"), "cells")
 
     # sets of the classes that any cell, or their own group, may open
     busy = cells.select(F.col("qg").alias("g")).union(cells.select("g")).union(groups.where("classes > 1").select("g")).distinct()
     anchored = groups.select("g", "anchor").join(busy, "g", "left_semi")
     is_anchor = (F.col("rep") == F.col("anchor.rep")) & (F.col("c") == F.col("anchor.c")) & (F.col("h") == F.col("anchor.h"))
-    wanted = placed.join(anchored, "g").select("rep", "c", "h", "g", "chunk", "chunks", is_anchor.alias("is_anchor"))
+    asking = cells.select(F.col("qg").alias("g"), F.lit(True).alias("asks")).distinct()
+    wanted = placed.join(anchored, "g").join(asking, "g", "left").select("rep", "c", "h", "g", "chunk", "chunks", is_anchor.alias("is_anchor"), (is_anchor & F.coalesce("asks", F.lit(False))).alias("asks"))
     wanted = scratch.table(wanted, "wanted")
-    sets = texts.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "c", "h", "g", "chunk", "chunks", "is_anchor")
-    sets = sets.mapInArrow(_sets(k), "rep long, c long, h long, g long, chunk int, chunks int, is_anchor boolean, tokens binary")
+    sets = texts.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "c", "h", "g", "chunk", "chunks", "is_anchor", "asks")
+    sets = sets.mapInArrow(_sets(k), "rep long, c long, h long, g long, chunk int, chunks int, is_anchor boolean, asks boolean, tokens binary")
     sets = scratch.table(sets, "sets")
     each = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     columns = ["g", "chunk", "is_query", "rep", "c", "h", "tokens"]
@@ -314,7 +328,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     anchors = sets.where("is_anchor")
     across = anchors.where("chunks > 1").select("g", each.alias("chunk"), "rep", "c", "h", "tokens")
     reach = cells.join(groups.select("g", "chunks"), "g").select("qg", "g", each.alias("chunk"))
-    far = anchors.select(F.col("g").alias("qg"), "rep", "c", "h", "tokens").join(reach, "qg").select("g", "chunk", "rep", "c", "h", "tokens")
+    far = sets.where("asks").select(F.col("g").alias("qg"), "rep", "c", "h", "tokens").join(reach, "qg").select("g", "chunk", "rep", "c", "h", "tokens")
     links = opened(across.union(far), sets, True, "links-1")
     # one document with several texts pools their links
     same = rows.where("n > 0 and doc_id is not null").join(classes, ["c", "h", "n", "g"]).select("doc_id", "rep")
