@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.candidates import in_dates, lane_is
 from ..functions.scores import MISSING_RANK, ScoreError, checked_scores, recency, rrf
 from ..functions.text import hit_document
 
@@ -19,35 +18,28 @@ def ranked(scored: DataFrame, k: int, name: str, score: Column | None = None) ->
     return scored.withColumn(name, F.row_number().over(order).cast("long")).where(F.col(name) <= k)
 
 
-def renumbered(rows: DataFrame, name: str) -> DataFrame:
-    """Ranks counted anew after rows were filtered out."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy("query_id").orderBy(name)).cast("long"))
+def fuse(fts: DataFrame, vec: DataFrame, ids: DataFrame | None = None, with_ids: Sequence[object] | None = None) -> DataFrame:
+    """(query_id, id, fts_rank, vec_rank, ids_rank, rrf): the union of the lists, missing ranks at the constant.
 
-
-def post_filter(found: DataFrame, messages: DataFrame, lane: str | None, lo: str | None, hi: str | None) -> DataFrame:
-    """Neighbours that pass lane and dates, renumbered. The filter stays after the top k, which defines results."""
-    facts = messages.select("id", "lane", "date_utc")
-    kept = F.broadcast(found).join(facts, "id", "left").where(lane_is("lane", lane) & in_dates("date_utc", lo, hi))
-    return renumbered(kept.select(*found.columns), "vec_rank")
-
-
-def fuse(fts: DataFrame, vec: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, fts_rank, vec_rank, ids_rank, rrf): the union of the lists, missing ranks at the constant."""
+    The identifier term counts for the queries in ``with_ids`` only (all, if ``ids`` is given alone)."""
     both = fts.select("query_id", "id", "fts_rank").join(vec.select("query_id", "id", "vec_rank"), ["query_id", "id"], "full")
+    value = rrf("fts_rank", "vec_rank")
     if ids is None:
         both = both.withColumn("ids_rank", F.lit(None).cast("long"))
-        value = rrf("fts_rank", "vec_rank")
     else:
         both = both.join(ids.select("query_id", "id", "ids_rank"), ["query_id", "id"], "full")
-        value = rrf("fts_rank", "vec_rank", "ids_rank")
+        three = rrf("fts_rank", "vec_rank", "ids_rank")
+        value = three if with_ids is None else F.when(F.col("query_id").isin(list(with_ids)), three).otherwise(value)
     missing = lambda c: F.coalesce(c, F.lit(MISSING_RANK)).cast("long").alias(c)
     return both.select("query_id", "id", missing("fts_rank"), missing("vec_rank"), missing("ids_rank"), value.alias("rrf"))
 
 
-def decayed(fused: DataFrame, messages: DataFrame, now: str) -> DataFrame:
-    """Fused rows with rrf times the recency of the message's date."""
+def decayed(fused: DataFrame, messages: DataFrame, now: str, except_for: Sequence[object] = ()) -> DataFrame:
+    """Fused rows with rrf times the recency of the message's date; queries in ``except_for`` (those with a date
+    window) keep theirs."""
     dates = messages.select("id", F.col("date_utc").alias("date"))
-    return F.broadcast(fused).join(dates, "id", "left").withColumn("rrf", F.col("rrf") * recency("date", now)).select(*fused.columns)
+    factor = F.when(F.col("query_id").isin(list(except_for)), F.lit(1.0)).otherwise(recency("date", now))
+    return F.broadcast(fused).join(dates, "id", "left").withColumn("rrf", F.col("rrf") * factor).select(*fused.columns)
 
 
 def positioned(fused: DataFrame) -> DataFrame:

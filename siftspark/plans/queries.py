@@ -15,7 +15,7 @@ from ..functions import vectors as V
 from ..operators import answers, fusion, health, ingest, lexical, thread_pack, vector
 from ..sources.tables import VersionedTable, vector_dims
 from . import archive
-from .retrieve import lexical_list, retrieve, subject_then_body, vector_list
+from .retrieve import filters, lexical_list, retrieve, subject_then_body, vector_list
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -302,9 +302,9 @@ def bm25_subject_boost(spark, sf_dir):
 
 @query
 def bm25_lane_filter(spark, sf_dir):
-    lanes = {q: "de" if q == 2 else "en" for q in TERMS}
     asked = [archive.Query(q, t) for q, t in TERMS.items()]
-    return lexical_list(spark, archive.store(spark, sf_dir), asked, lanes)
+    limits = filters(spark, asked, {q: "de" if q == 2 else "en" for q in TERMS})
+    return lexical_list(spark, archive.store(spark, sf_dir), asked, limits).drop("variant")
 
 
 @query
@@ -354,7 +354,7 @@ def cosine_search(spark, sf_dir):
 def knn_post_filter(spark, sf_dir):
     near = _near(spark, sf_dir, 50)
     asked = [archive.Query(q, "x", lane="en", after="2024-02-01") for q in VECTOR_IDS]
-    return vector_list(near, archive.store(spark, sf_dir), asked, dict.fromkeys(VECTOR_IDS, "en"))
+    return vector_list(near, archive.store(spark, sf_dir), filters(spark, asked, dict.fromkeys(VECTOR_IDS, "en"))).drop("variant")
 
 
 def _fused(spark: SparkSession, sf_dir: str, with_ids: bool = False) -> DataFrame:

@@ -1,7 +1,7 @@
 """Hybrid retrieval as one plan: lexical, vector and identifier lists, fused, decayed, packed and expanded.
 
 Batch first: every step takes all queries at once, keyed by ``query_id``. Queries come from the driver, so their
-phrases, lanes and dates are read there; queries of equal filters share a run of the filtered lists.
+phrases, lanes and dates are read there; their filters are a small table that the lists are joined with.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identifiers import is_identifier_query, query_identifiers
 from ..functions.query_terms import date_bounds, infer_lane, phrases
-from ..operators.fusion import decayed, fuse, positioned, post_filter, ranked, rerank
+from ..operators.fusion import decayed, fuse, positioned, ranked, rerank
 from ..operators.lexical import SUBJECT_BOOST, Index, identifier_match, match, phrase_table
 from ..operators.thread_pack import expand_spine, pack
 from ..operators.vector import knn
@@ -47,28 +47,34 @@ class Query:
     before: str | None = None
 
 
-def lexical_list(spark: SparkSession, store: Store, queries: Sequence[Query], lanes: dict[int, str | None], k: int = FTS_K) -> DataFrame:
-    """(query_id, id, fts_rank): the filter comes before the top k and leaves the statistics alone."""
-    found = match(store.index, phrase_table(spark, {q.query_id: phrases(q.text) for q in queries}), WEIGHTS)
-    rows = [(q.query_id, lanes[q.query_id], *date_bounds(q.after, q.before)) for q in queries]
-    limits = spark.createDataFrame(rows, "query_id long, want string, lo string, hi string")
+def filters(spark: SparkSession, queries: Sequence[Query], lanes: dict[int, str | None], free: dict[int, str | None] | None = None) -> DataFrame:
+    """(query_id, variant, want, lo, hi): the filters of each query; variant 1 has the lanes of ``free``."""
+    rows = [(q.query_id, v, chosen[q.query_id], *date_bounds(q.after, q.before)) for v, chosen in enumerate((lanes, free or {})) for q in queries if q.query_id in chosen]
+    return spark.createDataFrame(rows, "query_id long, variant int, want string, lo string, hi string")
+
+
+def _filtered(found: DataFrame, store: Store, limits: DataFrame) -> DataFrame:
+    """``found`` (query_id, id, ...) once for each variant whose filters the message passes."""
     facts = store.messages.select("id", "lane", "date_utc")
     date = F.coalesce("date_utc", F.lit(""))
     lane = F.col("want").isNull() | (F.lower(F.coalesce("lane", F.lit(""))) == F.lower("want"))
-    kept = found.join(facts, "id", "left").join(F.broadcast(limits), "query_id").where(lane & (F.col("lo").isNull() | (date >= F.col("lo"))) & (F.col("hi").isNull() | (date <= F.col("hi"))))
-    return ranked(kept.select("query_id", "id", "score"), k, "fts_rank").select("query_id", "id", "fts_rank")
+    inside = lane & (F.col("lo").isNull() | (date >= F.col("lo"))) & (F.col("hi").isNull() | (date <= F.col("hi")))
+    return found.join(facts, "id", "left").join(F.broadcast(limits), "query_id").where(inside).select(*found.columns, "variant")
 
 
-def vector_list(near: DataFrame, store: Store, queries: Sequence[Query], lanes: dict[int, str | None]) -> DataFrame:
-    """(query_id, id, vec_rank): neighbours that pass their query's filters, renumbered."""
-    groups: dict[tuple, list[int]] = {}
-    for q in queries:
-        groups.setdefault((lanes[q.query_id], *date_bounds(q.after, q.before)), []).append(q.query_id)
-    out = near.where("false").select("query_id", "id", "vec_rank")
-    for (lane, lo, hi), ids in groups.items():
-        own = near.where(F.col("query_id").isin(ids)).select("query_id", "id", "vec_rank")
-        out = out.unionByName(post_filter(own, store.messages, lane, lo, hi) if (lane, lo, hi) != (None, None, None) else own)
-    return out
+def lexical_list(spark: SparkSession, store: Store, queries: Sequence[Query], limits: DataFrame, k: int = FTS_K) -> DataFrame:
+    """(query_id, variant, id, fts_rank): filters come before the top k and leave the statistics alone."""
+    found = match(store.index, phrase_table(spark, {q.query_id: phrases(q.text) for q in queries}), WEIGHTS)
+    order = Window.partitionBy("query_id", "variant").orderBy(F.round("score", 9).desc(), "id")
+    return _filtered(found, store, limits).withColumn("fts_rank", F.row_number().over(order).cast("long")).where(F.col("fts_rank") <= k).drop("score")
+
+
+def vector_list(near: DataFrame, store: Store, limits: DataFrame) -> DataFrame:
+    """(query_id, variant, id, vec_rank): neighbours that pass the filters, renumbered. The filter stays after the
+    top k, which defines results."""
+    order = Window.partitionBy("query_id", "variant").orderBy("vec_rank")
+    kept = _filtered(F.broadcast(near.select("query_id", "id", "vec_rank")), store, limits)
+    return kept.withColumn("vec_rank", F.row_number().over(order).cast("long"))
 
 
 def retrieve(
@@ -85,43 +91,43 @@ def retrieve(
     """Hits in order of ``out_pos``: the pack of at most ``k`` threads, then (if ``expand``) its threads' spines.
 
     A lane that was inferred and leaves all three lists of a query empty is dropped for that query; where it only
-    leaves the vector list empty, that list alone is taken without the lane. Both variants are part of one plan.
+    leaves the vector list empty, that list alone is taken without the lane. Both variants are ranked in one pass.
+    The ranked lists hold at most 100 rows of each query and are read several times, so they are persisted; they
+    go with the session's cache.
     """
     if any(not (q.text or "").strip() for q in queries):
         raise ValueError("an empty query")
     k = max(1, k)
     lanes = {q.query_id: infer_lane(q.text, q.lane) for q in queries}
-    free = {q.query_id: None if q.lane is None else lanes[q.query_id] for q in queries}
-    inferred = [q.query_id for q in queries if q.lane is None and lanes[q.query_id]]
-    asked = [q for q in queries if is_identifier_query(q.text)]
+    inferred = {q.query_id: None for q in queries if q.lane is None and lanes[q.query_id]}
+    limits = filters(spark, queries, lanes, inferred)
+    kind = store.messages.schema["id"].dataType.simpleString()
 
     near = knn(store.vectors, [(q.query_id, q.vector) for q in queries if q.vector is not None], VEC_K)
-    kind = store.messages.schema["id"].dataType.simpleString()
-    near = near.withColumn("id", F.col("id").cast(kind))
-    fts = lexical_list(spark, store, queries, lanes)
-    vec = vector_list(near, store, queries, lanes)
-    ids = spark.createDataFrame([], f"query_id long, id {kind}, ids_rank long")
+    fts = lexical_list(spark, store, queries, limits).persist()
+    vec = vector_list(near.withColumn("id", F.col("id").cast(kind)), store, limits).persist()
+    asked = [q for q in queries if is_identifier_query(q.text)]
     if asked and store.identifiers is not None:
         found = identifier_match(spark, store.identifiers, {q.query_id: query_identifiers(q.text) for q in asked})
-        ids = ranked(found, IDS_K, "ids_rank").select("query_id", F.col("id").cast(kind).alias("id"), "ids_rank")
-    if inferred:
-        some = [q for q in queries if q.query_id in inferred]
-        have = lambda df: df.select("query_id").distinct()
-        maybe = spark.createDataFrame([(q,) for q in inferred], "query_id long")
-        no_vec = maybe.join(have(vec), "query_id", "left_anti")
-        nothing = no_vec.join(have(fts), "query_id", "left_anti").join(have(ids), "query_id", "left_anti")
-        fts = fts.unionByName(lexical_list(spark, store, some, free).join(nothing, "query_id", "left_semi"))
-        vec = vec.unionByName(vector_list(near, store, some, free).join(no_vec, "query_id", "left_semi"))
-
-    with_ids = [q.query_id for q in asked]
-    plain = fuse(fts, vec).where(~F.col("query_id").isin(with_ids))
-    fused = plain if not with_ids else plain.unionByName(fuse(*(d.where(F.col("query_id").isin(with_ids)) for d in (fts, vec, ids))))
-    dated = [q.query_id for q in queries if q.after or q.before]
-    fused = fused.where(F.col("query_id").isin(dated)).unionByName(decayed(fused.where(~F.col("query_id").isin(dated)), store.messages, now)) if dated else decayed(fused, store.messages, now)
+        ids = ranked(found, IDS_K, "ids_rank").select("query_id", F.col("id").cast(kind).alias("id"), "ids_rank").persist()
+    else:
+        ids = spark.createDataFrame([], f"query_id long, id {kind}, ids_rank long")
+
+    # which variant each list of a query takes: one row for each query, with marks of what the lane left
+    have = lambda df, name: df.select("query_id", F.lit(True).alias(name)).distinct()
+    left = limits.where("variant = 1").select("query_id").join(have(vec.where("variant = 0"), "v"), "query_id", "left")
+    left = left.join(have(fts.where("variant = 0"), "f"), "query_id", "left").join(have(ids, "i"), "query_id", "left")
+    turn = left.select("query_id", F.col("v").isNull().alias("free_vec"), (F.col("v").isNull() & F.col("f").isNull() & F.col("i").isNull()).alias("free_fts"))
+
+    def chosen(rows: DataFrame, flag: str) -> DataFrame:
+        with_turn = rows.join(F.broadcast(turn), "query_id", "left")
+        return with_turn.where(F.col("variant") == F.coalesce(F.col(flag), F.lit(False)).cast("int"))
 
+    fused = fuse(chosen(fts, "free_fts"), chosen(vec, "free_vec"), ids, with_ids=[q.query_id for q in asked])
+    fused = decayed(fused, store.messages, now, except_for=[q.query_id for q in queries if q.after or q.before])
     facts = store.messages.select("id", "thread_id", F.col("date_utc").alias("date"), F.col("from_addr").alias("from"), "subject", "snippet", "lane")
     # at most 150 rows of each query
-    hits = F.broadcast(positioned(fused)).join(facts, "id", "left")
+    hits = F.broadcast(positioned(fused)).join(facts, "id", "left").persist()
     hits, _ = rerank(hits, {q.query_id: q.text for q in queries}, scorer, top)
     packed = pack(hits, k)
     if expand:
@@ -143,7 +149,8 @@ def subject_then_body(spark: SparkSession, store: Store, query: str, k: int) ->
     from ..operators.lexical import subject_scan
 
     subject = subject_scan(store.messages, query).select("id", F.lit(0).alias("part"), F.col("id").alias("nth"))
-    body = lexical_list(spark, store, [Query(0, query)], {0: None}, k).select("id", F.lit(1).alias("part"), F.col("fts_rank").alias("nth"))
+    asked = [Query(0, query)]
+    body = lexical_list(spark, store, asked, filters(spark, asked, {0: None}), k).select("id", F.lit(1).alias("part"), F.col("fts_rank").alias("nth"))
     both = subject.withColumn("nth", F.row_number().over(Window.orderBy("nth"))).orderBy("nth").limit(k).unionByName(body.withColumn("nth", F.col("nth").cast("int")))
     once = both.groupBy("id").agg(F.min(F.struct("part", "nth")).alias("at")).orderBy("at", "id").limit(k)
     return once.withColumn("pos", F.row_number().over(Window.orderBy("at", "id")).cast("long")).select("id", "pos")
