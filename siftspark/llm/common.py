@@ -89,7 +89,7 @@ _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 
 def _power(base: int, n: int) -> np.ndarray:

@@ -56,22 +56,19 @@ def _classes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [("doc_id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())]
         schema = pa.schema(fields)
-        sketch = np.zeros(WIDTH, np.uint16)
+        sketch = np.zeros(WIDTH, np.int32)
         for batch in batches:
             ids = batch.column(0)
             for first, data, offsets in blocks(batch.column(1)):
                 rows = shingle_rows(data, offsets, k)
                 made = [(len(t), *_class(t), _group(t)) if len(t) else (0, 0, 0, 0) for t in rows]
-                every = np.concatenate(rows)
-                if len(every):
-                    # saturating: a token this frequent in one task is frequent anyway
-                    more = np.bincount((every & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH)
-                    sketch = np.minimum(sketch.astype(np.int64) + more, 65535).astype(np.uint16)
+                np.add.at(sketch, (np.concatenate(rows) & np.uint64(WIDTH - 1)).astype(np.int64), 1)
                 n = len(rows)
                 cols = [pa.array(x, pa.int64()) for x in zip(*made)]
                 yield pa.RecordBatch.from_arrays([ids.slice(first, n), *cols, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         step = WIDTH // PARTS
         if sketch.any():
+            # saturating: a token this frequent in one task is frequent anyway
             parts = [np.minimum(sketch[i * step : (i + 1) * step], 255).astype(np.uint8).tobytes() for i in range(PARTS)]
             blank = pa.nulls(PARTS, pa.int64())
             yield pa.RecordBatch.from_arrays([blank, blank, blank, blank, blank, pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
@@ -263,6 +260,24 @@ def _open(num: int, den: int, own: bool):
     return run
 
 
+#: Bits of the filter that keeps rows without a partner out of a shuffle; it only saves work.
+SLOTS = 1 << 20
+
+
+def _likely(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """Rows of which ``keys`` may be in ``wanted``: those whose hash falls on a slot that is taken there."""
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")
+    taken = np.zeros(SLOTS, bool)
+    taken[[r[0] for r in wanted.select(slot).distinct().collect()]] = True  # SLOTS values at most
+    shared = rows.sparkSession.sparkContext.broadcast(taken)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value[batch.column(0).to_numpy()])).select(batch.schema.names[1:])
+
+    return rows.select(slot.alias("_slot"), *rows.columns).mapInArrow(run, rows.schema)
+
+
 def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", members: int = MEMBERS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -311,7 +326,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     asking = cells.select(F.col("qg").alias("g"), F.lit(True).alias("asks")).distinct()
     wanted = placed.join(anchored, "g").join(asking, "g", "left").select("rep", "c", "h", "g", "chunk", "chunks", is_anchor.alias("is_anchor"), (is_anchor & F.coalesce("asks", F.lit(False))).alias("asks"))
     wanted = scratch.table(wanted, "wanted")
-    sets = texts.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "c", "h", "g", "chunk", "chunks", "is_anchor", "asks")
+    sets = texts.join(wanted.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id").select("doc_id", "text", "c", "h", "g", "chunk", "chunks", "is_anchor", "asks")
     sets = sets.mapInArrow(_sets(k), "rep long, c long, h long, g long, chunk int, chunks int, is_anchor boolean, asks boolean, tokens binary")
     sets = scratch.table(sets, "sets")
     each = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
@@ -347,8 +362,9 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
         asks = asks.join(span, ["g", "chunk"]).where("low <> component or high <> component").select("g", "chunk", "rep", "c", "h")
         asks = scratch.table(asks, "asks")
         if not asks.isEmpty():
-            targets = sets.join(asks.select("g", "chunk").distinct(), ["g", "chunk"], "left_semi")
-            more = opened(asks.join(sets.select("rep", "c", "h", "tokens"), ["rep", "c", "h"]), targets, False, "links-2")
+            targets = _likely(sets, asks, "g", "chunk").join(asks.select("g", "chunk").distinct(), ["g", "chunk"], "left_semi")
+            askers = _likely(sets, asks, "rep", "c", "h").select("rep", "c", "h", "tokens")
+            more = opened(asks.join(askers, ["rep", "c", "h"]), targets, False, "links-2")
             links = more.union(found.select(F.col("node").alias("src"), F.col("component").alias("dst")))
             found = scratch.table(connected_components(links, scratch, "cc-2"), "found-2")
     scratch.drop("tokens", "cells", "sets", "wanted")
