@@ -72,13 +72,13 @@ def _distinct(term: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray
 
 
 def _unlike(rows: list[np.ndarray], label: np.ndarray) -> list[int]:
-    """The first row of each group of copies and near copies, told by two smallest hashes and the label: a text
-    that was copied often must not count as much evidence for each of its terms."""
-    seen: dict[tuple, int] = {}
+    """All clean rows, and the first toxic one of each group of copies and near copies, told by two smallest
+    hashes: a toxic text that was copied often must not count as much evidence against each of its terms."""
+    seen: dict[tuple | int, int] = {}
     for i, r in enumerate(rows):
         x = r.astype(np.uint64)
         key = (int(mix(x + np.uint64(1 << 40)).min()), int(mix(x + np.uint64(1 << 41)).min())) if len(r) else ()
-        seen.setdefault((key, float(label[i])), i)
+        seen.setdefault(key if label[i] else i, i)
     return sorted(seen.values())
 
 
