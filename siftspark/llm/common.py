@@ -7,6 +7,7 @@ the cluster names in ``spark.checkpoint.dir``; nothing is kept in a machine-loca
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -76,6 +77,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def lean(run):
+    """A function for ``mapInArrow`` that gives its memory back when its task ends: Spark keeps Python workers for later
+    tasks, and what each of them holds on to counts against the executor."""
+
+    def each(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _powers.clear()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return each
+
+
 # --- text as arrays -------------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, dtype=bool)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean
 from .components import connected_components
 from .hnsw import Graph
 
@@ -193,14 +193,14 @@ def embedding_dedup(vectors: DataFrame, *, least: float = 0.9, id_col: str = "ve
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embedding")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
-    keyed = scratch.table(rows.mapInArrow(_keyed, "vec_id long, good boolean, k1 long, k2 long, raw binary"), "keyed")
+    keyed = scratch.table(rows.mapInArrow(lean(_keyed), "vec_id long, good boolean, k1 long, k2 long, raw binary"), "keyed")
     good = F.col("good") & F.col("vec_id").isNotNull()
     classes = keyed.where(good).groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("raw").alias("raw"))
     classes = scratch.table(classes.withColumn("dim", (F.octet_length("raw") / 8).cast("int")), "classes")
     parts = max(shards, math.ceil(classes.count() / shard_size))
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("k1", "k2"), F.lit(parts)).cast("int"))
     blocks = dealt.select("dim", "shard", "rep", "k1", "n", "raw").repartition(parts, "dim", "shard").sortWithinPartitions("dim", "shard", "rep", "k1")
-    blocks = scratch.table(blocks.mapInArrow(_blocked, "dim int, shard int, ids binary, ns binary, x binary"), "blocks")
+    blocks = scratch.table(blocks.mapInArrow(lean(_blocked), "dim int, shard int, ids binary, ns binary, x binary"), "blocks")
     # every pair of shards once: a shard's blocks go to the next half of the ring
     half = parts // 2
     step = F.explode(F.sequence(F.lit(1), F.lit(half))) if half else F.explode(F.array().cast("array<int>"))
@@ -212,7 +212,7 @@ def embedding_dedup(vectors: DataFrame, *, least: float = 0.9, id_col: str = "ve
     both = both.union(asked.withColumn("is_query", F.lit(True)).select(*order))
     # the target's number is its partition's, so that no two shards share a task
     both = both.repartitionByRange(parts, "target").sortWithinPartitions("dim", "target", "is_query", "shard", "ids")
-    found = scratch.table(both.mapInArrow(_searched(least), "rep long, k1 long, links long, other long"), "found")
+    found = scratch.table(both.mapInArrow(lean(_searched(least)), "rep long, k1 long, links long, other long"), "found")
     joined = connected_components(found.where("other is not null").select(F.col("rep").alias("src"), F.col("other").alias("dst")), scratch)
     links = found.where("other is null").groupBy("rep", "k1").agg(F.sum("links").alias("links"))
     facts = classes.select("k1", "k2", "rep", "n").join(links, ["rep", "k1"], "left").join(joined, F.col("rep") == F.col("node"), "left")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, shuffle_partitions
+from .common import SPACES, Scratch, lean, shuffle_partitions
 
 _ABSENT = (1 << 63) - 1
 
@@ -174,9 +174,9 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         F.octet_length("text").cast("long").alias("n_bytes"),
         F.expr(content_hash.format("text")).cast("long").alias("content"),
     )
-    local = keyed.select("n_bytes", "content", "text", F.coalesce("doc_id", F.lit(_ABSENT)).alias("owner"), F.lit(1).cast("long").alias("n")).mapInArrow(_distinct(budget, budget // 2), _DISTINCT)
+    local = keyed.select("n_bytes", "content", "text", F.coalesce("doc_id", F.lit(_ABSENT)).alias("owner"), F.lit(1).cast("long").alias("n")).mapInArrow(lean(_distinct(budget, budget // 2)), _DISTINCT)
     dealt = local.repartition(shuffle_partitions(spark), "n_bytes", "content")
-    owners = dealt.mapInArrow(_distinct(budget, 0), _DISTINCT).select(
+    owners = dealt.mapInArrow(lean(_distinct(budget, 0)), _DISTINCT).select(
         "n_bytes",
         "content",
         F.sha2("text", 256).alias("text_sha256"),

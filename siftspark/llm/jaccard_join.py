@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, mix, shingle_rows, shuffle_partitions, signed
+from .common import Scratch, blocks, lean, mix, shingle_rows, shuffle_partitions, signed
 from .components import connected_components
 
 #: Counters of the sketch, and the parts in which tasks hand them over.
@@ -275,7 +275,7 @@ def _likely(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(shared.value[batch.column(0).to_numpy()])).select(batch.schema.names[1:])
 
-    return rows.select(slot.alias("_slot"), *rows.columns).mapInArrow(run, rows.schema)
+    return rows.select(slot.alias("_slot"), *rows.columns).mapInArrow(lean(run), rows.schema)
 
 
 def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", members: int = MEMBERS) -> DataFrame:
@@ -288,9 +288,9 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     parts = shuffle_partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    first = scratch.table(texts.mapInArrow(_classes(k), "doc_id long, n long, c long, h long, g long, part int, counts binary"), "first")
+    first = scratch.table(texts.mapInArrow(lean(_classes(k)), "doc_id long, n long, c long, h long, g long, part int, counts binary"), "first")
     rows = first.where("part is null").select("doc_id", "n", "c", "h", "g")
-    sums = first.where("part is not null").select("part", "counts").repartition(PARTS, "part").mapInArrow(_add_up, "part int, counts binary").collect()
+    sums = first.where("part is not null").select("part", "counts").repartition(PARTS, "part").mapInArrow(lean(_add_up), "part int, counts binary").collect()
     step = WIDTH // PARTS  # WIDTH counters of two bytes, whatever the corpus
     level = np.zeros(WIDTH, np.uint16)
     for r in sums:
@@ -301,12 +301,11 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     classes = scratch.table(classes, "classes")
     groups = classes.groupBy("g").agg(F.count("*").alias("classes"), F.min(F.struct("rep", "c", "h")).alias("anchor"))
     groups = scratch.table(groups.withColumn("chunks", F.ceil(F.col("classes") / members).cast("int")), "groups")
-    placed = classes.join(groups.select("g", "chunks", "classes"), "g").withColumn("chunk", F.pmod("h", "chunks").cast("int"))
 
     # cells of the matrix that prefixes can fill: pairs of groups with a common token and compatible sizes
     # (by size, and by how many tokens come after the common one)
-    tokens = texts.where("doc_id is not null").select("text").mapInArrow(_prefixes(k, num, den, shared), "token long, g long, n long, at long")
-    tokens = tokens.repartition(parts, "token").sortWithinPartitions("token", "g", "n", "at").mapInArrow(_shared_tokens, "token long, g long, n long, at long")
+    tokens = texts.where("doc_id is not null").select("text").mapInArrow(lean(_prefixes(k, num, den, shared)), "token long, g long, n long, at long")
+    tokens = tokens.repartition(parts, "token").sortWithinPartitions("token", "g", "n", "at").mapInArrow(lean(_shared_tokens), "token long, g long, n long, at long")
     tokens = scratch.table(tokens, "tokens")
     a, b = tokens.alias("a"), tokens.alias("b")
     fits = (F.col("a.n") * den >= F.col("b.n") * num) & (F.col("b.n") * den >= F.col("a.n") * num)
@@ -321,13 +320,15 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
 
     # sets of the classes that any cell, or their own group, may open
     busy = cells.select(F.col("qg").alias("g")).union(cells.select("g")).union(groups.where("classes > 1").select("g")).distinct()
-    anchored = groups.select("g", "anchor").join(busy, "g", "left_semi")
-    is_anchor = (F.col("rep") == F.col("anchor.rep")) & (F.col("c") == F.col("anchor.c")) & (F.col("h") == F.col("anchor.h"))
     asking = cells.select(F.col("qg").alias("g"), F.lit(True).alias("asks")).distinct()
-    wanted = placed.join(anchored, "g").join(asking, "g", "left").select("rep", "c", "h", "g", "chunk", "chunks", is_anchor.alias("is_anchor"), (is_anchor & F.coalesce("asks", F.lit(False))).alias("asks"))
+    facts = groups.join(busy, "g", "left_semi").join(asking, "g", "left").select("g", "chunks", "anchor", F.coalesce("asks", F.lit(False)).alias("asks"))
+    # written, so that the join with the classes of a very large group is one that can be split
+    placed = classes.join(scratch.table(facts, "facts"), "g").withColumn("chunk", F.pmod("h", "chunks").cast("int"))
+    is_anchor = (F.col("rep") == F.col("anchor.rep")) & (F.col("c") == F.col("anchor.c")) & (F.col("h") == F.col("anchor.h"))
+    wanted = placed.select("rep", "c", "h", "g", "chunk", "chunks", is_anchor.alias("is_anchor"), (is_anchor & F.col("asks")).alias("asks"))
     wanted = scratch.table(wanted, "wanted")
     sets = texts.join(wanted.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id").select("doc_id", "text", "c", "h", "g", "chunk", "chunks", "is_anchor", "asks")
-    sets = sets.mapInArrow(_sets(k), "rep long, c long, h long, g long, chunk int, chunks int, is_anchor boolean, asks boolean, tokens binary")
+    sets = sets.mapInArrow(lean(_sets(k)), "rep long, c long, h long, g long, chunk int, chunks int, is_anchor boolean, asks boolean, tokens binary")
     sets = scratch.table(sets, "sets")
     each = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     columns = ["g", "chunk", "is_query", "rep", "c", "h", "tokens"]
@@ -338,7 +339,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
         inside = targets.withColumn("is_query", F.lit(False)).select(*columns)
         both = inside.union(queries.withColumn("is_query", F.lit(True)).select(*columns))
         both = both.repartition(parts, "g", "chunk").sortWithinPartitions("g", "chunk", "is_query", "rep")
-        return scratch.table(both.mapInArrow(_open(num, den, own), "src long, dst long"), name)
+        return scratch.table(both.mapInArrow(lean(_open(num, den, own)), "src long, dst long"), name)
 
     anchors = sets.where("is_anchor")
     across = anchors.where("chunks > 1").select("g", each.alias("chunk"), "rep", "c", "h", "tokens")

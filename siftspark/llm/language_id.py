@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LETTER, Scratch, blocks, held_out, mix
+from .common import Scratch, _LETTER, blocks, held_out, lean, mix
 from .features import sample_ids, sample_texts
 
 DIMS = 1 << 13
@@ -118,7 +118,7 @@ def train(docs: DataFrame, *, per_language: int = 600, id_col: str = "doc_id", t
     sample = sample_ids(known, per_language)
     if not sample:
         return Centroids([], np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(0))
-    got = sample_texts(docs, sample, "string", id_col, text_col).mapInArrow(_sampled, "doc_id long, label string, x binary").collect()
+    got = sample_texts(docs, sample, "string", id_col, text_col).mapInArrow(lean(_sampled), "doc_id long, label string, x binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["x"]))
     return fit(np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32), [r["label"] for r in got])
 
@@ -154,4 +154,4 @@ def language_id(docs: DataFrame, *, per_language: int = 600, id_col: str = "doc_
     shared = docs.sparkSession.sparkContext.broadcast(model)  # CENTROIDS x DIMS floats for each language
     text = F.col(text_col)
     rows = docs.select(text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"), F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"))
-    return rows.mapInArrow(_predicted(shared), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(lean(_predicted(shared)), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions
+from .common import Scratch, lean, shuffle_partitions
 
 _STRIP = "\x20\x09\x0a\x0b\x0c\x0d"
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -152,7 +152,7 @@ def _counted(least_chars: int, most: int):
 
 def reference_counts(docs: DataFrame, *, text_col: str = "text", least_chars: int = 1) -> DataFrame:
     """(k1, k2, n): in how many rows each key is."""
-    partial = docs.select(F.col(text_col).alias("text")).mapInArrow(_counted(least_chars, 200_000), f"{_KEY}, n long")
+    partial = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(_counted(least_chars, 200_000)), f"{_KEY}, n long")
     return partial.groupBy("k1", "k2").agg(F.sum("n").alias("n"))
 
 
@@ -232,7 +232,7 @@ def line_dedup(docs: DataFrame, *, least: int = 10, least_chars: int = 1, id_col
     frequent = counts.where(F.col("n") >= least).select(F.pmod("k2", F.lit(SHARDS)).cast("int").alias("shard"), "k1", "k2")
     n = frequent.count()
     if n * 24 <= broadcast_bytes:  # 16 bytes of key, and of filter 2.5 to 5
-        shards = [tuple(r) for r in frequent.repartition(SHARDS, "shard").mapInArrow(_built, "shard int, marks binary, exact binary").collect()]
+        shards = [tuple(r) for r in frequent.repartition(SHARDS, "shard").mapInArrow(lean(_built), "shard int, marks binary, exact binary").collect()]
         shared = spark.sparkContext.broadcast(shards)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +240,7 @@ def line_dedup(docs: DataFrame, *, least: int = 10, least_chars: int = 1, id_col
             for batch in batches:
                 yield _kept_rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), lambda _, key: drop(key), least_chars, memo)
 
-        return rows.mapInArrow(run, _RESULT)
+        return rows.mapInArrow(lean(run), _RESULT)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
@@ -254,7 +254,7 @@ def line_dedup(docs: DataFrame, *, least: int = 10, least_chars: int = 1, id_col
     # rows of equal text lose equal lines, so a hash of the text names the row
     named = rows.withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
     texts = named.select("row", "text")
-    hits = texts.mapInArrow(listed, f"row long, {_KEY}").join(frequent, ["k1", "k2"])
+    hits = texts.mapInArrow(lean(listed), f"row long, {_KEY}").join(frequent, ["k1", "k2"])
     lists = hits.groupBy("row").agg(F.collect_set(F.struct("k1", "k2")).alias("keys"))  # not more than a text has lines
     both = named.join(lists, "row", "left").select("doc_id", "text", F.coalesce(F.transform("keys", lambda x: x["k1"]), F.array()).cast("array<long>").alias("a"), F.coalesce(F.transform("keys", lambda x: x["k2"]), F.array()).cast("array<long>").alias("b"))
 
@@ -264,4 +264,4 @@ def line_dedup(docs: DataFrame, *, least: int = 10, least_chars: int = 1, id_col
             keys = [set(zip(a, b)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield _kept_rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), lambda i, key: key in keys[i], least_chars, memo)
 
-    return both.mapInArrow(kept, _RESULT)
+    return both.mapInArrow(lean(kept), _RESULT)

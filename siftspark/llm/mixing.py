@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions
+from .common import Scratch, lean, shuffle_partitions
 
 CANDIDATES = 32
 
@@ -77,7 +77,7 @@ def _copies(docs: DataFrame, scratch: Scratch, weights, share, most, seed, id_co
     )
     order = ["source", "size", "doc_id", "row"]
     row = row.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    row = scratch.table(row.mapInArrow(_numbered, "row long, source string, size long, doc_id long, part int, nth long"), "ordered")
+    row = scratch.table(row.mapInArrow(lean(_numbered), "row long, source string, size long, doc_id long, part int, nth long"), "ordered")
     # a row for each source of each part: as parts are ranges, not more than sources and parts together
     parts = sorted((tuple(r) for r in row.groupBy("part", "source").agg(F.count("*"), F.sum("size")).collect()), key=lambda r: r[0])
     rows: dict[str | None, int] = {}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean
 
 CAPACITY = 4096
 #: Parts into which the pieces of one length are dealt to be numbered.
@@ -58,8 +58,6 @@ def word_tokenizer(path: str) -> Callable[[str], bytes]:
     model, special = tokenizer.model.tokenize, {t.content for t in tokenizer.get_added_tokens_decoder().values()}
     odd = any(_PLAIN.fullmatch(t) for t in special)
     letters_of = _byte_letters()
-    known: dict[str, bytes] = {}
-
     def ids_of(word: str) -> bytes:
         plain = None if odd else _PLAIN.fullmatch(word)
         if plain is None or "<|" in word:
@@ -75,21 +73,15 @@ def word_tokenizer(path: str) -> Callable[[str], bytes]:
             ids.extend([t.id for t in model(marks)])
         return ids.tobytes()
 
-    def encode(text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join([known[w] for w in parts])
-        except KeyError:
-            pass
-        new = {w for w in parts if w not in known}
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = set(parts)
-        for w in new:
-            known[w] = ids_of(w)
-        return b"".join([known[w] for w in parts])
+    class Known(dict):
+        def __missing__(self, word: str) -> bytes:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = ids = ids_of(word)
+            return ids
 
-    return encode
+    look_up = Known().__getitem__
+    return lambda text: b"".join(map(look_up, text.replace("\n", " ").split(" ")))
 
 
 def _pieces(tokenizer: str, capacity: int, end_id: int):
@@ -206,7 +198,7 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: i
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _pieces(tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"
+        lean(_pieces(tokenizer, capacity, end_id)), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
     pieces = scratch.table(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")), "pieces")
     # at most capacity x SALTS rows, whatever the corpus
@@ -245,6 +237,6 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: i
         pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "salt")
         .repartition("length", "salt")
         .sortWithinPartitions("length", "salt", "doc_id", "piece", "ids_crc32")
-        .mapInArrow(numbered, f"{fields}, rank long")
+        .mapInArrow(lean(numbered), f"{fields}, rank long")
     )
-    return ranked.mapInArrow(_place(shared), f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(_place(shared)), f"{fields}, sequence_id long, offset long")

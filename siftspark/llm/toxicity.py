@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LETTER, Scratch, blocks, held_out, mix, prefix_hash, runs, span_hash
+from .common import Scratch, _LETTER, blocks, held_out, lean, mix, prefix_hash, runs, span_hash
 from .features import sample_ids, sample_texts
 
 BUCKETS = 1 << 22
@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 4000, id_col:
     sample = sample_ids(known, per_class)
     if not sample:
         return fit([], np.zeros(0))
-    got = sample_texts(docs, sample, "int", id_col, text_col).mapInArrow(_sampled, "doc_id long, label int, buckets binary").collect()
+    got = sample_texts(docs, sample, "int", id_col, text_col).mapInArrow(lean(_sampled), "doc_id long, label int, buckets binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["buckets"]))
     return fit([np.frombuffer(r["buckets"], np.int32).astype(np.int64) for r in got], np.array([r["label"] for r in got]))
 
@@ -180,7 +180,7 @@ def score(docs: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col
     """One row per row of ``docs``: doc_id, held_out, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # bounded by MOST_TERMS
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"))
-    scored = rows.mapInArrow(_scored(shared), "doc_id long, held_out boolean, score double")
+    scored = rows.mapInArrow(lean(_scored(shared)), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
@@ -188,7 +188,7 @@ def reject_toxic(docs: DataFrame, machine: Machine, *, text_col: str = "text") -
     """The rows of ``docs`` that are not toxic, with their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     kept = docs.select(F.col(text_col).alias("_text"), *docs.columns)
-    kept = kept.mapInArrow(_scored(shared), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, score double")
+    kept = kept.mapInArrow(lean(_scored(shared)), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, score double")
     return kept.where(F.col("score") < CUT).select(*docs.columns)
 
 

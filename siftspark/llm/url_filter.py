@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 STRICT = ("adult", "casino", "escort", "hentai", "phishing", "porn", "sex", "viagra", "warez", "xxx")
 SOFT = (
     "ads", "bet", "bets", "bonus", "buy", "cheap", "cialis", "clicks", "coupon", "crack", "credit", "deal", "deals",
@@ -79,4 +81,4 @@ def url_filter(pages: DataFrame, *, rules=RULES, strict=STRICT, soft=SOFT, limit
         F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), upper, lower).alias("host"),
         F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1).alias("path"),
     )
-    return rows.mapInArrow(_judged(rules, strict, soft, limit), "page_id long, host string, path string, rule string, verdict string, strict array<string>, soft array<string>")
+    return rows.mapInArrow(lean(_judged(rules, strict, soft, limit)), "page_id long, host string, path string, rule string, verdict string, strict array<string>, soft array<string>")
