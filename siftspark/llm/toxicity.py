@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, _LETTER, blocks, held_out, lean, mix, prefix_hash, runs, span_hash
+from .common import _LETTER, Scratch, blocks, held_out, lean, mix, prefix_hash, runs, signed, span_hash
 from .features import sample_ids, sample_texts
 
 BUCKETS = 1 << 22
@@ -71,51 +71,52 @@ def _distinct(term: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray
     return key % width, key // width
 
 
-def _unlike(rows: list[np.ndarray], label: np.ndarray) -> list[int]:
-    """All clean rows, and the first toxic one of each group of copies and near copies, told by two smallest
-    hashes: a toxic text that was copied often must not count as much evidence against each of its terms."""
-    seen: dict[tuple | int, int] = {}
-    for i, r in enumerate(rows):
-        x = r.astype(np.uint64)
-        key = (int(mix(x + np.uint64(1 << 40)).min()), int(mix(x + np.uint64(1 << 41)).min())) if len(r) else ()
-        seen.setdefault(key if label[i] else i, i)
+def _signature(buckets: np.ndarray) -> tuple[int, int]:
+    """Two smallest hashes, which copies and near copies share."""
+    if not len(buckets):
+        return 0, 0
+    x = buckets.astype(np.uint64)
+    return tuple(int(signed(mix(x + np.uint64(seed)).min(keepdims=True))[0]) for seed in (1 << 40, 1 << 41))
+
+
+def unlike(rows: list[tuple]) -> list[int]:
+    """Of (signature, label): all clean rows, and the first toxic one of each signature. A toxic text that was
+    copied often must not count as much evidence against each of its terms."""
+    seen: dict = {}
+    for i, (signature, label) in enumerate(rows):
+        seen.setdefault(signature if label else i, i)
     return sorted(seen.values())
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, *, steps: int = 800, seed: int = 7) -> Machine:
-    """``rows``: the distinct buckets of each document."""
-    label = np.asarray(label, float)
-    own = _unlike(rows, label)
-    rows, label = [rows[i] for i in own], label[own]
-    n, good = len(label), float(label.sum())
-    if not n or good in (0.0, float(n)):
-        p = min(max(good / n if n else 0.0, 1e-9), 1 - 1e-9)
-        return Machine(float(np.log(p / (1 - p))), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
-    bucket = np.concatenate(rows)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
-    names, term = np.unique(bucket, return_inverse=True)
-    pos = np.bincount(term, label[row], len(names))
-    neg = np.bincount(term, None, len(names)) - pos
-    # signed root of the likelihood ratio against independence
-    rate = good / n
+def choose(bucket: np.ndarray, pos: np.ndarray, neg: np.ndarray, n: int, good: int) -> np.ndarray:
+    """The buckets, sorted, that tell ``good`` toxic rows from the others of ``n``: in at least 3 rows, by their
+    likelihood ratio against independence, and rare in clean rows, as in long texts every common word occurs."""
+    pos, neg, rate = pos.astype(float), neg.astype(float), good / n
     seen = pos + neg
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * (np.where(pos, pos * np.log(pos / (seen * rate)), 0) + np.where(neg, neg * np.log(neg / (seen * (1 - rate))), 0))
-    # a term of toxic rows must be rare elsewhere: in long texts every common word occurs
     odds = ((pos + 0.1) / good) / ((neg + 0.1) / (n - good))
     chosen = np.flatnonzero((seen >= 3) & (g > 12) & (odds > 8))
-    chosen = np.sort(chosen[np.argsort(-g[chosen], kind="stable")[:MOST_TERMS]])
-    at = np.full(len(names), -1)
-    at[chosen] = np.arange(len(chosen))
-    keep = at[term] >= 0
-    term, row = at[term[keep]], row[keep]
+    return np.sort(bucket[chosen[np.argsort(-g[chosen], kind="stable")[:MOST_TERMS]]])
+
+
+def constant(label: np.ndarray) -> Machine:
+    """The machine for rows of one class, or none: their share of toxic ones."""
+    p = min(max(float(np.mean(label)) if len(label) else 0.0, 1e-9), 1 - 1e-9)
+    return Machine(float(np.log(p / (1 - p))), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
+
+
+def fit(rows: list[np.ndarray], label: np.ndarray, bucket: np.ndarray, *, steps: int = 800, seed: int = 7) -> Machine:
+    """``rows``: the distinct terms of each document, as indices of ``bucket``."""
+    label, n, width = np.asarray(label, float), len(label), len(bucket)
+    if not n or label.min() == label.max():
+        return constant(label)
+    term, row = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(n), [len(r) for r in rows])
     rng = np.random.default_rng(seed)
-    m = Machine(LEAST_BIAS, names[chosen], np.log(odds[chosen]) * 0.1, rng.normal(0, 0.01, (len(chosen), FACTORS)))
+    m = Machine(LEAST_BIAS, np.asarray(bucket, np.int64), np.full(width, 0.3), rng.normal(0, 0.01, (width, FACTORS)))
     # full-batch Adam: the sample is small and its chosen terms are few
-    state = [np.zeros(1), m.weight, m.factor]
-    state[0][0] = m.bias
+    state = [np.array([m.bias]), m.weight, m.factor]
     first, second = [np.zeros_like(x) for x in state], [np.zeros_like(x) for x in state]
-    width = len(chosen)
     for step in range(1, steps + 1):
         m.bias = float(state[0][0])
         error = (1 / (1 + np.exp(-np.clip(m.logits(term, row, n), -30, 30))) - label) / n
@@ -126,9 +127,9 @@ def fit(rows: list[np.ndarray], label: np.ndarray, *, steps: int = 800, seed: in
             np.bincount(term, e, width) + 1e-5 * m.weight,
             np.stack([np.bincount(term, e * (sums[row, f] - m.factor[term, f]), width) for f in range(FACTORS)], 1) + 1e-3 * m.factor,
         ]
-        for x, g1, a, b in zip(state, grads, first, second):
-            a += 0.1 * (g1 - a)
-            b += 0.001 * (g1 * g1 - b)
+        for x, g, a, b in zip(state, grads, first, second):
+            a += 0.1 * (g - a)
+            b += 0.001 * (g * g - b)
             x -= 0.05 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
         # without this the many clean rows push the bias so low that one term alone cannot make up for it
         state[0][0] = max(state[0][0], LEAST_BIAS)
@@ -136,25 +137,74 @@ def fit(rows: list[np.ndarray], label: np.ndarray, *, steps: int = 800, seed: in
     return m
 
 
+def buckets_of(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The distinct buckets of each text, sorted."""
+    for _, data, offsets in blocks(texts):
+        bucket, row = _distinct(*_terms(data, offsets), BUCKETS)
+        cuts = np.searchsorted(row, np.arange(len(offsets)))
+        yield from (bucket[a:b] for a, b in zip(cuts, cuts[1:]))
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for _, data, offsets in blocks(batch.column(2)):
-            bucket, row = _distinct(*_terms(data, offsets), BUCKETS)
-            cuts = np.searchsorted(row, np.arange(len(offsets)))
-            out += [bucket[a:b].astype(np.int32) for a, b in zip(cuts, cuts[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in out], pa.binary())], names=["doc_id", "label", "buckets"])
+        rows = list(buckets_of(batch.column(2)))
+        marks = list(zip(*map(_signature, rows))) or [(), ()]
+        cols = [*(pa.array(x, pa.int64()) for x in marks), pa.array([x.astype(np.int32).tobytes() for x in rows], pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "label", "s1", "s2", "buckets"])
+
+
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (label, buckets): the task's counts of rows of each class for every bucket."""
+    count = np.zeros((2, BUCKETS), np.int32)
+    for batch in batches:
+        for label, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            count[int(label > 0), np.frombuffer(raw, np.int32)] += 1
+    hit = np.flatnonzero(count.any(0))
+    if len(hit):
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(count[1, hit].astype(np.int64)), pa.array(count[0, hit].astype(np.int64))], names=["bucket", "pos", "neg"])
+
+
+def _narrowed(shared):
+    """Of (label, buckets): the label and the terms that were chosen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = shared.value
+        for batch in batches:
+            terms = [np.flatnonzero(np.isin(names, np.frombuffer(raw, np.int32))).astype(np.int32).tobytes() for raw in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.binary())], names=["label", "terms"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
-    """A machine from the rows of ``labels`` that are not held out."""
+    """A machine from the rows of ``labels`` that are not held out.
+
+    The terms of the sample stay on the executors; to the driver come its ids and labels, the buckets that may
+    be chosen, and what each row has of those that are.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "toxic-sample")
     known = labels.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     sample = sample_ids(known, per_class)
     if not sample:
-        return fit([], np.zeros(0))
-    got = sample_texts(docs, sample, "int", id_col, text_col).mapInArrow(lean(_sampled), "doc_id long, label int, buckets binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["buckets"]))
-    return fit([np.frombuffer(r["buckets"], np.int32).astype(np.int64) for r in got], np.array([r["label"] for r in got]))
+        return constant(np.zeros(0))
+    fields = "doc_id long, label int, s1 long, s2 long, buckets binary"
+    terms = scratch.table(sample_texts(docs, sample, "int", id_col, text_col).mapInArrow(lean(_sampled), fields), "terms")
+    rows = sorted(tuple(r) for r in terms.select("doc_id", "label", "s1", "s2").distinct().collect())
+    rows = [rows[i] for i in unlike([((s1, s2), label) for _, label, s1, s2 in rows])]
+    label = np.array([r[1] for r in rows])
+    if not len(label) or label.min() == label.max():
+        return constant(label)
+    own = spark.createDataFrame(rows, "doc_id long, label int, s1 long, s2 long")
+    used = terms.dropDuplicates(["doc_id", "label", "s1", "s2"]).join(F.broadcast(own), ["doc_id", "label", "s1", "s2"]).select("label", "buckets")
+    tally = used.mapInArrow(lean(_tallied), "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # a bucket with fewer toxic rows can never be chosen
+    tally = tally.where("pos >= 3").toPandas()
+    bucket = choose(*(tally[c].to_numpy() for c in ("bucket", "pos", "neg")), len(label), int(label.sum()))
+    got = used.mapInArrow(lean(_narrowed(spark.sparkContext.broadcast(bucket))), "label int, terms binary").collect()
+    got.sort(key=lambda r: (r["label"], r["terms"]))
+    scratch.close()
+    return fit([np.frombuffer(r["terms"], np.int32) for r in got], np.array([r["label"] for r in got]), bucket)
 
 
 def _scored(shared):

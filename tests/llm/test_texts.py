@@ -253,15 +253,14 @@ def test_pairs_of_terms():
     rows, label = [], []
     for i in range(800):
         a, b = i % 2, i // 2 % 2
-        rows.append(np.array([1] * a + [2] * b + [100 + i % 50], np.int64))
+        rows.append(np.array([0] * a + [1] * b + [2 + i % 50], np.int64))
         label.append(a and b)
-    m = toxicity.fit(rows, np.array(label), steps=1500)
-    if not {1, 2} <= set(m.bucket.tolist()):
-        m = toxicity.Machine(m.bias, np.array([1, 2]), np.zeros(2), np.ones((2, toxicity.FACTORS)))
-    at = {b: i for i, b in enumerate(m.bucket.tolist())}
-    both = m.logits(np.array([at[1], at[2]]), np.array([0, 0]), 1)[0]
-    alone = max(m.logits(np.array([at[t]]), np.array([0]), 1)[0] for t in (1, 2))
-    assert both > alone
+    m = toxicity.fit(rows, np.array(label), np.arange(52))
+    score = lambda *terms: m.logits(np.array(terms), np.zeros(len(terms), int), 1)[0]
+    assert score(0, 1) > 1 > 0 > max(score(0), score(1))
+    assert score(0, 1) - score(0) > score(1) - m.bias + 0.5  # the pair adds to its parts
+    found = [score(*r) > 0 for r in rows]
+    assert found == [bool(x) for x in label]
 
 
 # --- dialogues ------------------------------------------------------------------------------------
