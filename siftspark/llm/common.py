@@ -21,12 +21,17 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]"
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one where none is set (tests on one machine)."""
+    """The shared folder that the session names; a temporary one where it names none (tests on one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="siftspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="siftspark-")
+        found = _own_folders[app]
     return found.rstrip("/")
 
 

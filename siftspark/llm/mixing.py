@@ -87,7 +87,8 @@ def _copies(docs: DataFrame, scratch: Scratch, weights, share, most, seed, id_co
         before.append((part, source, rows.get(source, 0)))
         rows[source] = rows.get(source, 0) + n
         sizes[source] = sizes.get(source, 0) + size
-    target = targets(list(sizes.items()), weights, share, most)
+    # to a millionth of a word, whatever the order of sums
+    target = {s: round(t, 6) for s, t in targets(list(sizes.items()), weights, share, most).items()}
     rate = {s: target[s] / w if w else 0.0 for s, w in sizes.items()}
 
     def crossed(offset) -> Column:

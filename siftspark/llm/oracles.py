@@ -28,7 +28,45 @@ def _url_sql() -> str:
     """
 
 
+#: CTEs r, c(doc, component) over a table ``e(a, b)`` of links and ``nodes(id)``.
+_COMPONENTS = """links AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+             r(id, seen) AS (SELECT id, id FROM nodes UNION SELECT links.b, r.seen FROM r JOIN links ON links.a = r.id),
+             c AS (SELECT id, min(seen) AS component FROM r GROUP BY id)"""
+
 ORACLES = {
+    "op1_jaccard_join": f"""
+        WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_AZ}', '{_az}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+             s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS sh FROM t),
+             u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+             e AS (SELECT p.doc_id AS a, q.doc_id AS b FROM u p JOIN u q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY p.doc_id, q.doc_id, p.n, q.n
+                   HAVING 100 * count(*) >= 90 * (p.n + q.n - count(*))),
+             nodes AS (SELECT doc_id AS id FROM documents), {_COMPONENTS}
+        SELECT doc_id, len(sh)::BIGINT AS n_shingles, component AS component_id FROM s JOIN c ON c.id = s.doc_id
+    """,
+    "op9_mixing": """
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+             s0 AS (SELECT source, sum(size)::DOUBLE AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nr FROM d GROUP BY source),
+             s1 AS (SELECT *, [3, 1, 2][nr % 3 + 1]::DOUBLE AS w, 2 * source_size AS cap FROM s0),
+             s2 AS (SELECT *, row_number() OVER o AS k, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+                           sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM s1 WINDOW o AS (ORDER BY cap / w, nr)),
+             l AS (SELECT (1.5 * (SELECT sum(size) FROM d) - capped) / free AS level FROM s2 WHERE (1.5 * (SELECT sum(size) FROM d) - capped) / free <= cap / w ORDER BY k LIMIT 1),
+             s AS (SELECT source, source_size::BIGINT AS source_size, round(CASE WHEN level IS NULL THEN cap ELSE least(level * w, cap) END, 6) AS target FROM s2 LEFT JOIN l ON true),
+             p AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+                          row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) - 1 AS pos FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source),
+             o AS (SELECT source, j, ('0x' || left(sha256('mix|' || coalesce('=' || source, 'null') || '|' || j), 13))::BIGINT / 4503599627370496.0 AS u FROM s, range(32) x(j)),
+             q AS (SELECT p.doc_id, p.source, size, source_size, target, j, (floor((pos + 1) * rate + u) - floor(pos * rate + u))::BIGINT AS copies
+                   FROM p JOIN o ON o.source IS NOT DISTINCT FROM p.source),
+             b AS (SELECT source, j FROM (SELECT source, j, abs(sum(size * copies) - any_value(target)) AS off FROM q GROUP BY source, j)
+                   QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, j) = 1)
+        SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken FROM q JOIN b ON b.source IS NOT DISTINCT FROM q.source AND b.j = q.j
+    """,
+    "op10_embedding_dedup": f"""
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+             e AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id < q.vec_id WHERE list_dot_product(p.x, q.x) / (p.n * q.n) >= 0.9),
+             nodes AS (SELECT vec_id AS id FROM v), {_COMPONENTS}
+        SELECT id AS vec_id, (SELECT count(*) FROM links WHERE links.a = c.id) AS n_links, component AS component_id, id = component AS kept FROM c
+    """,
     "op2_chat_perspectives": """
         WITH t AS (SELECT conv_id, turn, coalesce(nullif(replace(role, '<|', '< |'), ''), 'unknown') AS role,
                           replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
