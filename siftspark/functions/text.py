@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +36,11 @@ def _text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value of ``c``, which is computed once however often ``body`` names it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(_text(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
@@ -46,8 +52,12 @@ def normalize_newlines(c: Column | str) -> Column:
 
 def _cut(c: Column, patterns: tuple[str, ...]) -> Column:
     """Up to the earliest match of any pattern."""
-    first = F.least(*(F.nullif(F.regexp_instr(c, F.lit(p)), F.lit(0)) for p in patterns))
-    return F.when(first.isNull(), c).otherwise(F.substring(c, F.lit(1), first - 1))
+
+    def cut(text: Column) -> Column:
+        first = F.least(*(F.nullif(F.regexp_instr(text, F.lit(p)), F.lit(0)) for p in patterns))
+        return F.left(text, F.coalesce(first - 1, F.length(text)))
+
+    return let(c, cut)
 
 
 def strip_quotes(c: Column | str) -> Column:
@@ -73,8 +83,7 @@ def collapse(c: Column | str) -> Column:
 
 
 def snippet(c: Column | str, n: int = SNIPPET_CHARS) -> Column:
-    short = collapse(c)
-    return F.when(F.length(short) <= n, short).otherwise(F.concat(F.left(short, F.lit(n - 1)), F.lit("…")))
+    return let(collapse(c), lambda short: F.when(F.length(short) <= n, short).otherwise(F.concat(F.left(short, F.lit(n - 1)), F.lit("…"))))
 
 
 def clip_error(c: Column | str, n: int = 180) -> Column:
@@ -82,7 +91,8 @@ def clip_error(c: Column | str, n: int = 180) -> Column:
 
 
 def _joined(a: Column, b: Column, between: str) -> Column:
-    return F.when((a != "") & (b != ""), F.concat(a, F.lit(between), b)).otherwise(F.concat(a, b))
+    pair = F.struct(a.alias("a"), b.alias("b"))
+    return let(pair, lambda p: F.when((p["a"] != "") & (p["b"] != ""), F.concat(p["a"], F.lit(between), p["b"])).otherwise(F.concat(p["a"], p["b"])))
 
 
 def embed_text(subject: Column | str, body: Column | str, cap: int = CHAR_CAP) -> Column:

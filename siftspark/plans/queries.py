@@ -52,8 +52,8 @@ def clean_newlines(spark, sf_dir):
 
 @query
 def clean_body(spark, sf_dir):
-    cleaned = text.clean_body(_reply())
-    return _docs(spark, sf_dir).select("id", F.length(cleaned).cast("long").alias("cleaned_chars"), text.sha256(cleaned).alias("content_hash"))
+    both = text.let(text.clean_body(_reply()), lambda c: F.struct(F.length(c).cast("long").alias("cleaned_chars"), text.sha256(c).alias("content_hash")))
+    return _docs(spark, sf_dir).select("id", both.alias("c")).select("id", "c.*")
 
 
 @query
