@@ -104,6 +104,15 @@ def hit_document(subject: Column | str, short: Column | str, cap: int = 1500) ->
     return F.left(_joined(strip(subject), strip(short), "\n"), F.lit(cap))
 
 
+#: Fixed value: how a reranker is told its task unless it is told otherwise.
+RERANK_INSTRUCTION = "Given a mail search query, retrieve the most relevant email."
+
+
+def rerank_pair(query: Column | str, document: Column | str, instruction: str = RERANK_INSTRUCTION) -> Column:
+    """A query and a document as one prompt of a reranker."""
+    return F.concat(F.lit(f"<Instruct>: {instruction}\n<Query>: "), _text(query), F.lit("\n<Document>: "), _text(document))
+
+
 def query_text(c: Column | str) -> Column:
     return F.concat(F.lit(QUERY_INSTRUCTION), strip(c))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import QUERY_INSTRUCTION
+from ..functions.text import QUERY_INSTRUCTION, RERANK_INSTRUCTION
 from ..operators.answers import DATA_BEGIN, DATA_END
 from .queries import TERMS, VECTOR_IDS
 
@@ -97,6 +97,9 @@ ORACLES = {
     "query_text": f"SELECT item_id, '{QUERY_INSTRUCTION}' || {_strip('text')} AS payload FROM benchmark",
     "hit_document": f"""WITH {_M} SELECT id, left(CASE WHEN {_strip('subject')} <> '' AND {_strip('snippet')} <> '' THEN {_strip('subject')} || chr(10) || {_strip('snippet')}
         ELSE {_strip('subject')} || {_strip('snippet')} END, 1500) AS document FROM m""",
+    "rerank_pairs": f"""WITH {_M} SELECT id, '<Instruct>: {RERANK_INSTRUCTION}' || chr(10) || '<Query>: the boat' || chr(10) || '<Document>: ' ||
+        left(CASE WHEN {_strip('subject')} <> '' AND {_strip('snippet')} <> '' THEN {_strip('subject')} || chr(10) || {_strip('snippet')}
+        ELSE {_strip('subject')} || {_strip('snippet')} END, 1500) AS prompt FROM m""",
     "document_text": f"""WITH {_M} SELECT id, lane || ' <' || from_addr || '>' AS sender, sha256(left('Subject: ' || {_strip('subject')} || chr(10) || 'From: ' || lane || ' <' ||
         from_addr || '>' || chr(10) || 'To: bob@example.com' || chr(10) || 'Date: ' || date_utc || chr(10) || 'Lane: ' || lane ||
         CASE WHEN {_strip('body')} <> '' THEN chr(10) || chr(10) || {_strip('body')} ELSE '' END, 16000)) AS text_hash FROM m""",

@@ -83,6 +83,11 @@ def hit_document(spark, sf_dir):
     return _docs(spark, sf_dir).select("id", text.hit_document("subject", "snippet").alias("document"))
 
 
+@query
+def rerank_pairs(spark, sf_dir):
+    return _docs(spark, sf_dir).select("id", text.rerank_pair(F.lit("the boat"), text.hit_document("subject", "snippet")).alias("prompt"))
+
+
 @query
 def document_text(spark, sf_dir):
     doc = text.document_text("subject", "from_addr", "lane", F.lit("bob@example.com"), "date_utc", "lane", "body", 16000)
