@@ -8,8 +8,8 @@ harmless alone is another term than the same stem with an ending. The model is
 
 so that pairs, such as an insult with the mention of a group, weigh more or less than their words alone.
 It is fitted on at most ``per_class`` labelled rows of each class (a documented bound; the rows whose seeded
-hash of the id is smallest) over the buckets that tell the classes apart in them. Every row is scored on its
-whole text. Labels and ids are never inputs of a score.
+hash of the id is smallest) over the buckets that tell the classes apart in them, alone or with another one. Every
+row is scored on its whole text. Labels and ids are never inputs of a score.
 
 Defined cases: null and empty texts get the score of no terms at all; labels that are null or of unknown
 documents are ignored; without rows of both classes every score is the share of the class there is (0 without
@@ -33,6 +33,8 @@ BUCKETS = 1 << 22
 PREFIXES = (3, 4, 5, 6, 7, 8, 9)
 #: Factors of the machine, and buckets that it may use.
 FACTORS, MOST_TERMS = 4, 20_000
+#: Terms whose pairs one step counts at once.
+TILE = 1024
 LEAST_BIAS = -2.5
 #: Score from which a document counts as toxic.
 CUT = 0.7
@@ -88,16 +90,66 @@ def unlike(rows: list[tuple]) -> list[int]:
     return sorted(seen.values())
 
 
-def choose(bucket: np.ndarray, pos: np.ndarray, neg: np.ndarray, n: int, good: int) -> np.ndarray:
-    """The buckets, sorted, that tell ``good`` toxic rows from the others of ``n``: in at least 3 rows, by their
-    likelihood ratio against independence, and rare in clean rows, as in long texts every common word occurs."""
-    pos, neg, rate = pos.astype(float), neg.astype(float), good / n
+def _ratio(pos, neg, rate) -> np.ndarray:
+    """The likelihood ratio of counts of toxic and clean rows against a share ``rate`` of toxic ones."""
+    pos, neg, rate = np.broadcast_arrays(np.asarray(pos, float), np.asarray(neg, float), np.asarray(rate, float))
     seen = pos + neg
     with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (np.where(pos, pos * np.log(pos / (seen * rate)), 0) + np.where(neg, neg * np.log(neg / (seen * (1 - rate))), 0))
-    odds = ((pos + 0.1) / good) / ((neg + 0.1) / (n - good))
-    chosen = np.flatnonzero((seen >= 3) & (g > 12) & (odds > 8))
-    return np.sort(bucket[chosen[np.argsort(-g[chosen], kind="stable")[:MOST_TERMS]]])
+        return 2 * (np.where(pos > 0, pos * np.log(pos / (seen * rate)), 0) + np.where(neg > 0, neg * np.log(neg / (seen * (1 - rate))), 0))
+
+
+def _logit(p: float) -> float:
+    return float(np.log(p / (1 - p)))
+
+
+def _odds(pos: np.ndarray, neg: np.ndarray, n: int, good: int) -> np.ndarray:
+    return ((pos + 0.1) / good) / ((neg + 0.1) / (n - good))
+
+
+def choose(bucket: np.ndarray, pos: np.ndarray, neg: np.ndarray, n: int, good: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets, and their likelihood ratios against independence, that tell ``good`` toxic rows from the others of
+    ``n`` alone: in at least 3 rows, and rare in clean rows, as in long texts every common word occurs."""
+    pos, neg = pos.astype(float), neg.astype(float)
+    g = _ratio(pos, neg, good / n)
+    chosen = (pos + neg >= 3) & (g > 12) & (_odds(pos, neg, n, good) > 8)
+    return bucket[chosen], g[chosen]
+
+
+def best(bucket: np.ndarray, worth: np.ndarray) -> np.ndarray:
+    """The distinct buckets of most worth, sorted."""
+    order = np.argsort(-worth, kind="stable")
+    first = np.sort(np.unique(bucket[order], return_index=True)[1])[:MOST_TERMS]
+    return np.sort(bucket[order][first])
+
+
+def pair_level(pos: np.ndarray, rate: float) -> tuple[int, float] | None:
+    """The fewest toxic rows that a pair of terms needs, and the least ratio: as many pairs are tried, the ratio for one
+    term is raised by twice the logarithm of their number, so that chance gives no more pairs than one test would.
+    A term in fewer toxic rows can be in no such pair."""
+    pos = np.sort(pos)
+    for p in range(3, int(pos[-1]) + 1 if len(pos) else 0):
+        m = len(pos) - int(np.searchsorted(pos, p))
+        least = 12 + 2 * np.log(max(1.0, m * (m - 1) / 2))
+        if -2 * p * np.log(rate) > least:
+            return p, float(least)
+    return None
+
+
+def pair_ratios(a: np.ndarray, b: np.ndarray, good: int, level: tuple[int, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of 0/1 matrices (term x row, the ``good`` toxic rows first): indices of the pairs that tell the classes apart, and
+    how well. Each term must tell them apart among the rows of the other, so that a common word beside an insult is no pair."""
+    n = a.shape[1]
+    pos, neg = a[:, :good] @ b[:, :good].T, a[:, good:] @ b[:, good:].T
+    i, j = np.nonzero((pos >= level[0]) & (_odds(pos, neg, n, good) > 8))
+    p, q = pos[i, j].astype(float), neg[i, j].astype(float)
+    worth = _ratio(p, q, good / n)
+    for x, k in ((a, i), (b, j)):
+        own, other = x[:, :good].sum(1)[k].astype(float), x[:, good:].sum(1)[k].astype(float)
+        share = own / (own + other)
+        within = np.where(p > (p + q) * share, _ratio(p, q, share) + _ratio(own - p, other - q, share), 0)
+        worth = np.minimum(worth, within)
+    keep = worth > level[1]
+    return i[keep], j[keep], worth[keep]
 
 
 def constant(label: np.ndarray) -> Machine:
@@ -106,14 +158,14 @@ def constant(label: np.ndarray) -> Machine:
     return Machine(float(np.log(p / (1 - p))), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, bucket: np.ndarray, *, steps: int = 800, seed: int = 7) -> Machine:
-    """``rows``: the distinct terms of each document, as indices of ``bucket``."""
+def fit(rows: list[np.ndarray], label: np.ndarray, bucket: np.ndarray, *, start: np.ndarray | float = 0.3, steps: int = 800, seed: int = 7) -> Machine:
+    """``rows``: the distinct terms of each document, as indices of ``bucket``; ``start``: weights to begin with."""
     label, n, width = np.asarray(label, float), len(label), len(bucket)
     if not n or label.min() == label.max():
         return constant(label)
     term, row = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(n), [len(r) for r in rows])
     rng = np.random.default_rng(seed)
-    m = Machine(LEAST_BIAS, np.asarray(bucket, np.int64), np.full(width, 0.3), rng.normal(0, 0.01, (width, FACTORS)))
+    m = Machine(LEAST_BIAS, np.asarray(bucket, np.int64), np.zeros(width) + start, rng.normal(0, 0.01, (width, FACTORS)))
     # full-batch Adam: the sample is small and its chosen terms are few
     state = [np.array([m.bias]), m.weight, m.factor]
     first, second = [np.zeros_like(x) for x in state], [np.zeros_like(x) for x in state]
@@ -176,6 +228,92 @@ def _narrowed(shared):
     return run
 
 
+def _marked(shared):
+    """Of (label, buckets): the label and a bit for each of the given buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = shared.value
+        for batch in batches:
+            bits = [np.packbits(np.isin(names, np.frombuffer(raw, np.int32))).tobytes() for raw in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["label", "bits"])
+
+    return run
+
+
+def _tiled(shared, n: int, good: int, level: tuple[int, float]):
+    """Of pairs of tiles of terms: each term's best pair in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            for s, t in zip(*(c.to_pylist() for c in batch.columns)):
+                a, b = (np.unpackbits(bits[x * TILE : (x + 1) * TILE], axis=1, count=n).astype(np.float32) for x in (s, t))
+                i, j, worth = pair_ratios(a, b, good, level)
+                term = np.concatenate((i + s * TILE, j + t * TILE))
+                hit, at = np.unique(term, return_inverse=True)
+                best = np.zeros(len(hit))
+                np.maximum.at(best, at, np.concatenate((worth, worth)))
+                yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int64)), pa.array(best)], names=["term", "worth"])
+
+    return run
+
+
+def _unsettled(shared):
+    """The rows (label, buckets) that single terms do not settle: clean ones, toxic ones that the machine over single
+    terms misses, and those with a term that brings a clean row over the cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, doubtful = shared.value
+        for batch in batches:
+            terms = [np.flatnonzero(np.isin(m.bucket, np.frombuffer(raw, np.int32))) for raw in batch.column(1).to_pylist()]
+            keep = [not y or bool(doubtful[t].any()) or m.logits(t, np.zeros(len(t), np.int64), 1)[0] < _logit(CUT) for y, t in zip(batch.column(0).to_pylist(), terms)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def best_pairs(used: DataFrame, single: Machine, doubtful: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that tell the classes apart with another one in the rows that single terms do not settle, and the
+    ratio of each one's best pair. All pairs of the terms that ``pair_level`` leaves are counted; a bit for each of
+    these and each row of the sample goes through the driver."""
+    spark = used.sparkSession
+    rest = used.mapInArrow(lean(_unsettled(spark.sparkContext.broadcast((single, doubtful)))), "label int, buckets binary")
+    count = {r["good"]: r["count"] for r in rest.groupBy((F.col("label") > 0).alias("good")).count().collect()}
+    good, n = count.get(True, 0), sum(count.values())
+    tally = _tally(rest).where("pos >= 3").toPandas() if 0 < good < n else None  # pairs of rarer terms reach no level
+    level = pair_level(tally["pos"].to_numpy(), good / n) if tally is not None else None
+    if level is None:
+        return np.zeros(0, np.int64), np.zeros(0)
+    bucket = np.sort(tally["bucket"].to_numpy()[tally["pos"].to_numpy() >= level[0]])
+    got = rest.mapInArrow(lean(_marked(spark.sparkContext.broadcast(bucket))), "label int, bits binary").collect()
+    rows = np.stack([np.frombuffer(r["bits"], np.uint8) for r in sorted(got, key=lambda r: -r["label"])])
+    turned = [np.packbits(np.unpackbits(rows[:, c : c + TILE // 8], axis=1).T, axis=1) for c in range(0, rows.shape[1], TILE // 8)]
+    # words and beginnings that are in the same rows are one term here
+    same, of = np.unique(np.concatenate(turned)[: len(bucket)], axis=0, return_inverse=True)
+    tiles = range(-(-len(same) // TILE))
+    tasks = [(s, t) for s in tiles for t in tiles if s <= t]
+    todo = spark.createDataFrame(tasks, "s int, t int").repartition(min(len(tasks), 64))
+    found = todo.mapInArrow(lean(_tiled(spark.sparkContext.broadcast(same), n, good, level)), "term long, worth double")
+    worth = np.zeros(len(same))
+    for r in found.groupBy("term").agg(F.max("worth").alias("worth")).collect():
+        worth[r["term"]] = r["worth"]
+    worth = worth[of.ravel()]
+    return bucket[worth > 0], worth[worth > 0]
+
+
+def _tally(used: DataFrame) -> DataFrame:
+    """(bucket, pos, neg) of (label, buckets)."""
+    rows = used.mapInArrow(lean(_tallied), "bucket long, pos long, neg long")
+    return rows.groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def _rows_of(used: DataFrame, bucket: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """What each row of (label, buckets) has of the sorted ``bucket``, and the labels."""
+    got = used.mapInArrow(lean(_narrowed(used.sparkSession.sparkContext.broadcast(bucket))), "label int, terms binary").collect()
+    got.sort(key=lambda r: (r["label"], r["terms"]))
+    return [np.frombuffer(r["terms"], np.int32) for r in got], np.array([r["label"] for r in got])
+
+
 def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """A machine from the rows of ``labels`` that are not held out.
 
@@ -197,14 +335,23 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 4000, id_col:
         return constant(label)
     own = spark.createDataFrame(rows, "doc_id long, label int, s1 long, s2 long")
     used = terms.dropDuplicates(["doc_id", "label", "s1", "s2"]).join(F.broadcast(own), ["doc_id", "label", "s1", "s2"]).select("label", "buckets")
-    tally = used.mapInArrow(lean(_tallied), "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # a bucket with fewer toxic rows can never be chosen
-    tally = tally.where("pos >= 3").toPandas()
-    bucket = choose(*(tally[c].to_numpy() for c in ("bucket", "pos", "neg")), len(label), int(label.sum()))
-    got = used.mapInArrow(lean(_narrowed(spark.sparkContext.broadcast(bucket))), "label int, terms binary").collect()
-    got.sort(key=lambda r: (r["label"], r["terms"]))
+    tally = _tally(used).where("pos >= 3").toPandas()
+    bucket, worth = choose(*(tally[c].to_numpy() for c in ("bucket", "pos", "neg")), len(label), int(label.sum()))
+    names = best(bucket, worth)
+    rows, label = _rows_of(used, names)
+    machine = fit(rows, label, names)
+    doubtful = np.zeros(len(names), bool)
+    for terms, y in zip(rows, label):
+        if not y and machine.logits(terms, np.zeros(len(terms), np.int64), 1)[0] >= _logit(CUT):
+            doubtful[terms] = True
+    more, gain = best_pairs(used, machine, doubtful)
+    if len(more):
+        names = best(np.concatenate((bucket, more)), np.concatenate((worth, gain)))
+        # common terms begin without a weight: in long texts they would add up
+        machine = fit(*_rows_of(used, names), names, start=np.where(np.isin(names, bucket), 0.3, 0.0))
     scratch.close()
-    return fit([np.frombuffer(r["terms"], np.int32) for r in got], np.array([r["label"] for r in got]), bucket)
+    return machine
 
 
 def _scored(shared):

@@ -263,6 +263,25 @@ def test_pairs_of_terms():
     assert found == [bool(x) for x in label]
 
 
+def test_pairs_reach_the_machine(spark):
+    """Words that are common in clean rows, and toxic only together, from the texts on."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(1600):
+        a, b = i % 2, i // 2 % 2
+        w = rng.choices(words, k=40) + ["grobble"] * a + ["folk"] * b
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, a & b))
+    df, lab = table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    truth = dict(labels)
+    held = [(r["predicted"], truth[r["doc_id"]]) for r in toxicity.toxicity(df, lab).collect() if r["held_out"]]
+    assert sum(t for _, t in held) > 100 and sum(p == t for p, t in held) >= 0.99 * len(held)
+    some = table(spark, [(1, "grobble " + words[0]), (2, "folk " + words[0]), (3, "folk grobble " + words[0])])
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score(some, toxicity.train(df, lab)).collect()} == {1: 0, 2: 0, 3: 1}
+
+
 # --- dialogues ------------------------------------------------------------------------------------
 
 
