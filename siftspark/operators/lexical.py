@@ -55,6 +55,32 @@ def phrase_table(spark: SparkSession, queries: dict[object, list[list[str]]], ke
     return spark.createDataFrame(rows, f"query_id {key_type}, phrase string, offset int, term string, size int, phrases int")
 
 
+def phrases_of(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """As ``phrase_table``, of the texts of a table, read as ``query_terms.phrases`` reads a query."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    words = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_]+(?:[-.][A-Za-z0-9_]+)*"), F.lit(0))
+    words = F.when(F.size(words) > 0, words).otherwise(F.array(text))
+    found = F.array_distinct(F.filter(F.transform(words, tokens), lambda p: F.size(p) > 0))
+    rows = table.select(F.col(id_col).alias("query_id"), found.alias("found")).select("query_id", F.size("found").alias("phrases"), F.explode("found").alias("p"))
+    return rows.select("query_id", F.array_join("p", " ").alias("phrase"), F.size("p").alias("size"), "phrases", F.posexplode("p").alias("offset", "term"))
+
+
+def holders(index: Index, phrases: DataFrame) -> DataFrame:
+    """(query_id, id) of the rows that have every phrase of a query, as ``match`` finds them, for phrases from a table.
+    The rows with a query's rarest phrase are its candidates, and only they are looked up for the others."""
+    wanted = phrases.select("phrase", "offset", "term", "size").distinct()
+    found = index.occurrences.join(wanted, "term").withColumn("start", F.col("pos") - F.col("offset"))
+    whole = found.where("size = 1").select("phrase", "id").union(
+        found.where("size > 1").groupBy("phrase", "id", "field", "start", "size").count().where("`count` = size").select("phrase", "id")
+    ).distinct()
+    df = whole.groupBy("phrase").agg(F.count("*").alias("df"))
+    owners = phrases.select("query_id", "phrase", "phrases").distinct()
+    rare = owners.join(df, "phrase").groupBy("query_id", "phrases").agg(F.min(F.struct("df", "phrase"))["phrase"].alias("phrase"), F.count("*").alias("have"))
+    some = rare.where("have = phrases").select("query_id", "phrase").join(whole, "phrase").select("query_id", "id")
+    have = some.join(owners, "query_id").join(whole, ["phrase", "id"]).groupBy("query_id", "id", "phrases").agg(F.count("*").alias("have"))
+    return have.where("have = phrases").select("query_id", "id")
+
+
 def match(index: Index, phrases: DataFrame, weights: dict[str, float]) -> DataFrame:
     """(query_id, id, score) of the rows that have every phrase of a query; higher is better.
 

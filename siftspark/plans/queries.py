@@ -314,11 +314,9 @@ def bm25_lane_filter(spark, sf_dir):
 
 @query
 def benchmark_batch(spark, sf_dir):
-    """Every benchmark passage's first three words as a query, over the whole archive."""
-    rows = archive.table(spark, sf_dir, "benchmark").select("item_id", "text").collect()
-    phrases = {r["item_id"]: query_terms.phrases(" ".join((r["text"] or "").split()[:3])) for r in rows}
-    found = lexical.match(archive.index(spark, sf_dir), lexical.phrase_table(spark, phrases), {"subject": 5, "body": 1, "from_addr": 1})
-    return found.groupBy("query_id").agg(F.count("*").alias("hits"))
+    """Every benchmark passage as a query, with all of its phrases, over the whole archive."""
+    phrases = lexical.phrases_of(archive.table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return lexical.holders(archive.index(spark, sf_dir), phrases).groupBy("query_id").agg(F.count("*").alias("hits"))
 
 
 @query

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siftspark.functions.query_terms import phrases
 from siftspark.operators import answers, fusion, health, lexical, thread_pack, vector
+from siftspark.plans.queries import queries
 from siftspark.plans.retrieve import Query, Store, retrieve, subject_then_body
 from siftspark.sources import schemas
 
@@ -52,6 +53,28 @@ def test_bm25_as_the_full_text_engine(spark):
         assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want), q
 
 
+def test_whole_passages(spark):
+    """Passages of a table as queries: all of their phrases count, not only the first."""
+    docs = [(1, "The quick red fox jumps over INV-7788"), (2, "the quick red fox sleeps"), (3, "The quick red dog, inv 7788"), (4, "7788 inv over the quick red fox jumps"), (5, "")]
+    asked = [(10, "The quick red fox jumps over INV-7788"), (11, "the quick red"), (12, "the quick red fox and nobody"), (13, "red red dog."), (14, ""), (15, None), (16, "the.quick fox")]
+    index = lexical.build_index(spark.createDataFrame(docs, "id long, body string"), ["body"])
+    table = lexical.phrases_of(spark.createDataFrame(asked, "item_id long, text string"), "item_id", "text")
+    known = {q: phrases(t) for q, t in asked}
+    want = sorted(map(tuple, lexical.phrase_table(spark, known).collect()))
+    assert sorted(map(tuple, table.select("query_id", "phrase", "offset", "term", "size", "phrases").collect())) == want
+    got = {tuple(r) for r in lexical.holders(index, table).collect()}
+    assert got == {(10, 1), (11, 1), (11, 2), (11, 3), (11, 4), (13, 3), (16, 1), (16, 2), (16, 4)}
+    assert got == {(r["query_id"], r["id"]) for r in lexical.match(index, lexical.phrase_table(spark, known), {"body": 1}).collect()}
+
+
+def test_benchmark_asks_whole_passages(spark, tmp_path):
+    docs = [(1, "one two three four five"), (2, "one two three six")]
+    fields = "doc_id long, text string, lang string, source string"
+    spark.createDataFrame([(*d, "en", "web") for d in docs], fields).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "one two three four"), (2, "one two three seven")], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    assert [tuple(r) for r in queries()["benchmark_batch"](spark, f"file://{tmp_path}").collect()] == [(1, 1)]
+
+
 def test_index_on_disk(spark, tmp_path):
     docs = spark.createDataFrame([(1, "running dogs"), (2, "a dog runs")], "id long, body string")
     index = lexical.stemmed(lexical.build_index(docs, ["body"]))
