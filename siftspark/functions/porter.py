@@ -40,9 +40,17 @@ def _swap(word: str, table: dict[str, str], least: int) -> str:
 
 
 def stem(word: str) -> str:
-    if len(word) < 3 or not word.isascii() or not word.isalpha():
+    """As the full-text engine does: digits and the bytes of other letters are consonants, and words of under 3 or over 64
+    bytes stay."""
+    if not word.isascii():
+        return _stem(word.encode().decode("latin-1")).encode("latin-1").decode(errors="ignore")
+    return _stem(word)
+
+
+def _stem(word: str) -> str:
+    if not 3 <= len(word) <= 64:
         return word
-    if word.endswith("sses") or word.endswith("ies"):
+    if word.endswith("sses") or word.endswith("ies") and len(word) > 3:
         word = word[:-2]
     elif word.endswith("s") and not word.endswith("ss"):
         word = word[:-1]

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ SUBJECT_BOOST = 5.0
 class Index:
     occurrences: DataFrame  # term, id, field, pos[, bucket]
     lengths: DataFrame  # id, dl
+    porter: bool = False  # whether the terms are Porter stems
 
 
 def build_index(text: DataFrame, fields: list[str], id_col: str = "id", stem=None) -> Index:
@@ -39,19 +42,25 @@ def write_index(index: Index, path: str) -> None:
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
     placed = index.occurrences.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16)))
     placed.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/occurrences")
-    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    # a column of the lengths tells a stemmed index, so that both come from one write
+    lengths = index.lengths.withColumn("porter", F.lit(True)) if index.porter else index.lengths
+    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/occurrences"), spark.read.parquet(f"{path}/lengths"))
+    lengths = spark.read.parquet(f"{path}/lengths")
+    return Index(spark.read.parquet(f"{path}/occurrences"), lengths.drop("porter"), "porter" in lengths.columns)
 
 
-def phrase_table(spark: SparkSession, queries: dict[object, list[list[str]]], key_type: str = "long") -> DataFrame:
-    """(query_id, phrase, offset, term, size, phrases): the distinct phrases of every query."""
+def phrase_table(spark: SparkSession, queries: dict[object, list[list[str]]], key_type: str = "long", *, porter: bool = False) -> DataFrame:
+    """(query_id, phrase, offset, term, size, phrases): the distinct phrases of every query. With ``porter`` the terms are
+    stems, for a stemmed index; phrases stay distinct by their words, as each counts in the full-text engine."""
+    from ..functions.porter import stem
+
     rows = []
     for query_id, found in queries.items():
         distinct = list(dict.fromkeys(map(tuple, found)))
-        rows += [(query_id, " ".join(p), i, t, len(p), len(distinct)) for p in distinct for i, t in enumerate(p)]
+        rows += [(query_id, " ".join(p), i, stem(t) if porter else t, len(p), len(distinct)) for p in distinct for i, t in enumerate(p)]
     return spark.createDataFrame(rows, f"query_id {key_type}, phrase string, offset int, term string, size int, phrases int")
 
 
@@ -140,18 +149,20 @@ def identifier_match(spark: SparkSession, index: Index, identifiers: dict[object
     return one.join(F.broadcast(names), F.col("query_id") == F.col("phrase")).groupBy(F.col("owner").alias("query_id"), "id").agg(F.sum("score").alias("score"))
 
 
-def porter_stems(df: DataFrame, term_col: str = "term") -> DataFrame:
-    """(term, stem) of the distinct terms; stemming costs a vocabulary, not a corpus."""
+def stemmed(index: Index) -> Index:
+    """The index with every term replaced by its Porter stem; stemming costs the vocabulary of a batch, not its rows."""
     from ..functions.porter import stem
 
     def run(batches):
-        for pdf in batches:
-            yield pdf.assign(stem=[stem(t) for t in pdf[term_col]])[[term_col, "stem"]]
-
-    return df.select(term_col).distinct().mapInPandas(run, f"{term_col} string, stem string")
-
-
-def stemmed(index: Index) -> Index:
-    """The index with every term replaced by its Porter stem."""
-    stems = porter_stems(index.occurrences)
-    return Index(index.occurrences.join(stems, "term").select(F.col("stem").alias("term"), "id", "field", "pos"), index.lengths)
+        known: dict[str, str] = {}
+        for batch in batches:
+            at = batch.schema.get_field_index("term")
+            coded = pc.dictionary_encode(batch.column(at))
+            words = coded.dictionary.to_pylist()
+            if len(known) > 1 << 20:
+                known.clear()
+            stems = pa.array([known.get(w) or known.setdefault(w, stem(w)) for w in words], pa.string())
+            yield batch.set_column(at, "term", stems.take(coded.indices))
+
+    rows = index.occurrences.select("term", "id", "field", "pos")
+    return Index(rows.mapInArrow(run, rows.schema), index.lengths, True)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet
-from ..operators.lexical import Index, build_index, identifier_index
+from ..operators.lexical import Index, build_index, identifier_index, stemmed
 from .retrieve import Query, Store
 
 NOW = "2026-01-01T00:00:00Z"
@@ -44,9 +44,10 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
     return build_index(messages(spark, sf_dir).select("id", "subject", "body", "from_addr"), ["subject", "body", "from_addr"])
 
 
-def store(spark: SparkSession, sf_dir: str) -> Store:
-    m = messages(spark, sf_dir)
-    return Store(m.drop("body"), index(spark, sf_dir), vectors(spark, sf_dir), identifier_index(m, "id", ["body"]))
+def store(spark: SparkSession, sf_dir: str, *, porter: bool = True) -> Store:
+    """The archive; queries with a SQL twin take the index unstemmed, as SQL has no stemmer."""
+    m, found = messages(spark, sf_dir), index(spark, sf_dir)
+    return Store(m.drop("body"), stemmed(found) if porter else found, vectors(spark, sf_dir), identifier_index(m, "id", ["body"]))
 
 
 def query_vectors(spark: SparkSession, sf_dir: str, ids: list[int]) -> dict[int, list[float]]:

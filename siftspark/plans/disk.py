@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.answers import best_snippet
-from ..operators.lexical import Index, build_index, identifier_index, read_index, write_index
+from ..operators.lexical import Index, build_index, identifier_index, read_index, stemmed, write_index
 from ..sources import schemas
 from ..sources.tables import exists, read
 from .retrieve import Store
@@ -15,9 +15,9 @@ FIELDS = ["subject", "body", "from_addr"]
 
 
 def refresh_indexes(spark: SparkSession, root: str) -> None:
-    """Builds both indexes from the messages and text of the archive."""
+    """Builds both indexes from the messages and text of the archive: that of the text stemmed, that of identifiers not."""
     text = read(spark, f"{root}/text", schemas.MESSAGE_TEXT)
-    write_index(build_index(text, FIELDS), f"{root}/index")
+    write_index(stemmed(build_index(text, FIELDS)), f"{root}/index")
     messages = read(spark, f"{root}/messages", schemas.MESSAGES)
     both = messages.select("id", "subject", "message_id_header", "cleaned_body", "snippet").join(text.select("id", "body"), "id", "left")
     write_index(identifier_index(both, "id", ["subject", "cleaned_body", "body", "snippet", "message_id_header"]), f"{root}/identifiers")
@@ -43,7 +43,7 @@ def open_store(spark: SparkSession, root: str) -> Store:
         return read_index(spark, f"{root}/{name}") if exists(spark, f"{root}/{name}/lengths") else None
 
     text = table("text", schemas.MESSAGE_TEXT)
-    found = index("index") or build_index(text, FIELDS)
+    found = index("index") or stemmed(build_index(text, FIELDS))
     chunks = table("chunk_map", schemas.CHUNK_MAP) if exists(spark, f"{root}/chunk_map") else None
     return Store(messages_for_search(table("messages", schemas.MESSAGES), text), found, table("vectors", schemas.VECTORS), index("identifiers"), chunks)
 

@@ -309,7 +309,7 @@ def bm25_subject_boost(spark, sf_dir):
 def bm25_lane_filter(spark, sf_dir):
     asked = [archive.Query(q, t) for q, t in TERMS.items()]
     limits = filters(spark, asked, {q: "de" if q == 2 else "en" for q in TERMS})
-    return lexical_list(spark, archive.store(spark, sf_dir), asked, limits).drop("variant")
+    return lexical_list(spark, archive.store(spark, sf_dir, porter=False), asked, limits).drop("variant")
 
 
 @query

@@ -64,7 +64,7 @@ def _filtered(found: DataFrame, store: Store, limits: DataFrame) -> DataFrame:
 
 def lexical_list(spark: SparkSession, store: Store, queries: Sequence[Query], limits: DataFrame, k: int = FTS_K) -> DataFrame:
     """(query_id, variant, id, fts_rank): filters come before the top k and leave the statistics alone."""
-    found = match(store.index, phrase_table(spark, {q.query_id: phrases(q.text) for q in queries}), WEIGHTS)
+    found = match(store.index, phrase_table(spark, {q.query_id: phrases(q.text) for q in queries}, porter=store.index.porter), WEIGHTS)
     order = Window.partitionBy("query_id", "variant").orderBy(F.round("score", 9).desc(), "id")
     return _filtered(found, store, limits).withColumn("fts_rank", F.row_number().over(order).cast("long")).where(F.col("fts_rank") <= k).drop("score")
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import sqlite3
 
 from siftspark import __main__ as cli
+from siftspark.functions.query_terms import phrases
 from siftspark.plans.ask import ask, call, get_message, hybrid_search, query_vector, semantic_search, tools
 from siftspark.plans.disk import open_store, refresh_indexes
+from siftspark.plans.retrieve import Query, retrieve
 from siftspark.sources import schemas
 from siftspark.sources.services import ServiceError
 
@@ -23,6 +26,33 @@ def archive(spark, root):
     refresh_indexes(spark, root)
 
 
+def test_search_stems_as_the_full_text_engine(spark, tmp_path):
+    """An archive on disk against SQLite's porter unicode61, with words in other forms than the text's."""
+    root = f"file://{tmp_path}/s"
+    text = [("m1", "Invoice for paint", "He runs the boats", "Ada"), ("m2", "Invoices", "running boat and invoiced", "Bo"), ("m3", "other", "nothing, INV-7788s", "Cy"), ("m4", "Paint", "painted boats, INV 7788", "Di"), ("m5", "x", "cold days", "Ed")]
+    text += [(f"n{i}", "filler", f"word{i}", "Ed") for i in range(6)]
+    m = spark.createDataFrame([(i, "inbox", f, s, "2026-09-01T00:00:00Z", i) for i, s, _, f in text], "id string, lane string, from_addr string, subject string, date_utc string, thread_id string")
+    schemas.conform(m, schemas.MESSAGES).write.parquet(f"{root}/messages")
+    spark.createDataFrame(text, schemas.MESSAGE_TEXT).write.parquet(f"{root}/text")
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table f using fts5(id unindexed, subject, body, from_addr, tokenize='porter unicode61')")
+    con.executemany("insert into f values (?, ?, ?, ?)", text)
+    asked = ["invoices", "running boats", "painting", "INV-7788", "boat boats", "day"]
+    want = {}
+    for i, q in enumerate(asked):
+        found = con.execute("select id from f where f match ? order by round(bm25(f, 0.0, 5.0, 1.0, 1.0), 9), id", (" AND ".join('"%s"' % " ".join(p) for p in phrases(q)),))
+        want[i] = [r[0] for r in found]
+    assert all(want.values())
+    for built in (False, True):
+        if built:
+            refresh_indexes(spark, root)
+        found = retrieve(spark, open_store(spark, root), [Query(i, q, lane="none") for i, q in enumerate(asked)], now=NOW, expand=False).where("fts_rank < 1000")
+        got = {i: [] for i in range(len(asked))}
+        for r in found.orderBy("query_id", "fts_rank").collect():
+            got[r["query_id"]].append(r["message_id"])
+        assert got == want
+
+
 def test_archive_on_disk(spark, tmp_path, capsys):
     root = f"file://{tmp_path}/a"
     archive(spark, root)
