@@ -1,10 +1,11 @@
 """Embedding near-dedup: a navigable small-world graph per shard, every shard queried, cosines verified.
 
 Vectors with equal components are one class, so copies are neither indexed nor compared again. Classes are dealt
-by hash into shards of bounded size; a task builds the graph of one shard, audits it against brute force on a
-sample of its own vectors and widens the beam until the audit reaches ``RECALL``. Blocks of vectors are then sent to
-the shards, each pair of shards meeting once; a full beam widens further. What a beam finds is checked
-in double precision. Links inside a shard are reduced to labels, so a query names each of a shard's components
+by hash into shards of bounded size; a task builds the graph of one shard, audits it against brute force on samples
+of its own vectors, until enough links between different ones are seen, and widens the beam until the audit reaches
+``RECALL``. Blocks of vectors are then sent to the shards, each pair of shards meeting once; each foreign shard is audited
+in the same way, and a block that fails is asked again with a wider beam. A full beam widens further, and one as wide as the
+shard is brute force. What a beam finds is checked in double precision. Links inside a shard are reduced to labels, so a query names each of a shard's components
 once; counts of links are added up instead of listing pairs.
 
 Defined cases: vectors that are null, zero, empty, or hold null or non-finite components link with nothing; only vectors of
@@ -31,6 +32,8 @@ from .hnsw import Graph
 SHARDS, SHARD_SIZE = 12, 65_536
 BLOCK = 512
 RECALL, AUDIT, BEAM = 0.995, 256, 32
+#: Links that an audit must have seen, or all rows: with fewer than 1 / (1 - RECALL) none may be missing.
+ENOUGH = 400
 #: Single precision of the beam against double precision of the check.
 SLACK = 1e-4
 
@@ -84,22 +87,68 @@ class _Shard:
         self.graph = Graph(self.unit)
         self.linked = np.zeros(len(self.ids), np.int64)
         self.label = np.arange(len(self.ids))
-        self.beam = self._audit()
+        self.beam = BEAM
+        self.source, self.seen = None, 0
+        self._audit()
+
+    def _links(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links of rows with the shard by brute force."""
+        q, m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        step = max(1, (8 << 20) // (8 * max(1, len(self.unit))))
+        for a in range(0, len(unit), step):
+            i, j = np.nonzero(unit[a : a + step] @ self.unit.T >= self.least - SLACK)
+            # as ``pairs`` checks them, to the last bit
+            good = np.einsum("ij,ij->i", unit[i + a], self.unit[j]) >= self.least
+            q.append(i[good] + a)
+            m.append(j[good])
+        return np.concatenate(q), np.concatenate(m)
+
+    def _missed(self, unit: np.ndarray, want: np.ndarray, itself: np.ndarray | None = None) -> bool:
+        """Whether the beam finds too few of the links ``want`` (row x shard size + node); ``itself``: the rows' own nodes."""
+        q, m = self.pairs(unit, self.beam)
+        if itself is not None:
+            q, m = q[m != itself[q]], m[m != itself[q]]
+        return np.isin(want, q * len(self.unit) + m).sum() < RECALL * len(want)
 
-    def _audit(self) -> int:
-        """The narrowest beam with which the links of a sample are found."""
+    def _audit(self) -> None:
+        """Widens the beam until the links of a sample between different vectors are found."""
+        n = len(self.unit)
+        order = np.random.default_rng(5).permutation(n)
+        rows, want, taken = [], [], 0
+        while taken < n and sum(map(len, want)) < ENOUGH:
+            some = order[taken : taken + AUDIT]
+            q, m = self._links(self.unit[some])
+            other = m != some[q]
+            want.append((q[other] + taken) * n + m[other])
+            rows.append(some)
+            taken += len(some)
+        rows, want = np.concatenate(rows), np.concatenate(want)
+        # only rows with links can fail
+        linked, at = np.unique(want // n, return_inverse=True)
+        rows, want = rows[linked], at * n + want % n
+        while self.beam < n and self._missed(self.unit[rows], want, rows):
+            self.beam *= 2
+
+    def _audit_foreign(self, source: int, unit: np.ndarray) -> None:
+        """The same for rows of another shard, of which at least ``AUDIT`` of each block are sampled, and all of them until
+        enough links of that shard were seen."""
+        if source != self.source:
+            self.source, self.seen = source, 0
         n = len(self.unit)
-        some = np.unique(np.linspace(0, n - 1, min(n, AUDIT)).astype(int))
-        want = {(int(q), int(m)) for q, m in zip(*np.nonzero(self.unit[some] @ self.unit.T >= self.least))}
-        beam = BEAM
-        while beam < n:
-            got = set(zip(*(a.tolist() for a in self.pairs(self.unit[some], beam))))
-            if len(want & got) >= RECALL * len(want):
+        order = np.random.default_rng(5).permutation(len(unit))
+        for a in range(0, len(unit), AUDIT):
+            if a and self.seen >= ENOUGH:
                 break
-            beam *= 2
-        return beam
+            some = order[a : a + AUDIT]
+            q, m = self._links(unit[some])
+            self.seen += len(q)
+            linked, at = np.unique(q, return_inverse=True)
+            while self.beam < n and len(q) and self._missed(unit[some[linked]], at * n + m):
+                self.beam *= 2
 
     def pairs(self, unit: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        if beam >= len(self.unit):
+            return self._links(unit)
         q, m = self.graph.within(unit, self.least - SLACK, beam)
         good = np.zeros(len(q), bool)
         for a in range(0, len(q), 1 << 16):
@@ -128,9 +177,10 @@ class _Shard:
             if (before == self.label).all():
                 break
 
-    def query(self, ids: np.ndarray, ns: np.ndarray, x: np.ndarray):
-        """Of a foreign block: links of each row, and the edges (row, component of the shard)."""
+    def query(self, ids: np.ndarray, ns: np.ndarray, x: np.ndarray, source: int = -1):
+        """Of a block of shard ``source``: links of each row, and the edges (row, component of the shard)."""
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        self._audit_foreign(source, unit)
         q, m = self.pairs(unit, self.beam)
         self.linked += np.bincount(m, ns[q], len(self.ids)).astype(np.int64)
         links = np.bincount(q, self.ns[m], len(ids)).astype(np.int64)
@@ -170,7 +220,7 @@ def _searched(least: float):
                 yield counts(shard.ids, shard.linked)
 
         for batch in batches:
-            for dim, target, _, is_query, ids, ns, x in zip(*(c.to_pylist() for c in batch.columns)):
+            for dim, target, source, is_query, ids, ns, x in zip(*(c.to_pylist() for c in batch.columns)):
                 if now != (dim, target):
                     yield from end()
                     now, parts, shard = (dim, target), [], None
@@ -180,7 +230,7 @@ def _searched(least: float):
                 yield from begin()
                 if shard is not None:
                     block = np.frombuffer(ids, np.int64).reshape(-1, 2)
-                    links, src, dst = shard.query(block, np.frombuffer(ns, np.int64), np.frombuffer(x, np.float64).reshape(-1, dim))
+                    links, src, dst = shard.query(block, np.frombuffer(ns, np.int64), np.frombuffer(x, np.float64).reshape(-1, dim), source)
                     yield counts(block, links)
                     yield edges(src, dst)
         yield from end()

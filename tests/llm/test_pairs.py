@@ -148,6 +148,42 @@ def test_graph_recall():
     assert len(want & set(zip(q.tolist(), m.tolist()))) >= 0.99 * len(want)
 
 
+def test_audits_see_every_lost_link(monkeypatch):
+    """A graph that loses links between different vectors below a wide beam: of its own, and of foreign vectors only."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(700, 16))
+    for i in range(4):
+        x[2 * i + 1] = x[2 * i] + rng.normal(size=16) * 0.02
+    far = rng.normal(size=(520, 16))
+    far[:5] = x[100:105] + rng.normal(size=(5, 16)) * 0.02
+    blank = [(np.arange(2 * len(v)).reshape(-1, 2).tobytes(), np.ones(len(v), np.int64).tobytes(), v.tobytes()) for v in (x, far)]
+    own = x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def losing(least_beam, foreign_only):
+        def within(self, q, least, beam):
+            sims = q @ own.T
+            i, j = np.nonzero(sims >= least)
+            itself, known = sims[i, j] > 1 - 1e-9, (np.abs(sims).max(1) > 1 - 1e-9)[i]
+            keep = itself | (beam >= least_beam) | (known & foreign_only)
+            return i[keep], j[keep]
+
+        return within
+
+    monkeypatch.setattr(Graph, "within", losing(128, False))
+    shard = embedding_dedup._Shard(blank[:1], 16, 0.9)
+    shard.own()
+    assert shard.beam == 128 and shard.linked.sum() == 8
+    monkeypatch.setattr(Graph, "within", losing(128, True))
+    shard = embedding_dedup._Shard(blank[:1], 16, 0.9)
+    shard.own()
+    ids = np.arange(1040).reshape(-1, 2)
+    links = shard.query(ids, np.ones(520, np.int64), far)[0]
+    assert links.sum() == 5 and shard.beam == 128
+    monkeypatch.setattr(Graph, "within", losing(1 << 20, False))
+    shard = embedding_dedup._Shard(blank[:1], 16, 0.9)
+    assert shard.beam >= 700 and shard.query(ids, np.ones(520, np.int64), far)[0].sum() == 5
+
+
 @pytest.mark.parametrize("shards", [1, 4, 5])
 def test_embeddings(spark, shards):
     x = vectors()
