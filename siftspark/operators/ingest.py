@@ -13,6 +13,8 @@ from ..sources.schemas import INCREMENTAL_MESSAGES, INCREMENTAL_META, missing_co
 from ..sources.tables import update, upsert
 
 MODEL, VERSION = "qwen3-embedding-8b", "v1"
+#: What names a row of the tables of vectors and of records.
+VECTOR_KEY, META_KEY = ["message_id"], ["message_id", "model", "model_version"]
 
 
 def with_text(messages: DataFrame, text: DataFrame) -> DataFrame:
@@ -127,7 +129,7 @@ def enrich_messages(messages: DataFrame, done: DataFrame) -> DataFrame:
 
 def write_embeddings(vectors: DataFrame, meta: DataFrame, new_vectors: DataFrame, new_meta: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables after an upsert by their keys."""
-    return upsert(vectors, new_vectors, ["message_id"]), upsert(meta, new_meta, ["message_id", "model", "model_version"])
+    return upsert(vectors, new_vectors, VECTOR_KEY), upsert(meta, new_meta, META_KEY)
 
 
 def identifier_report(messages: DataFrame, text_cols: list[str]) -> DataFrame:
@@ -136,9 +138,8 @@ def identifier_report(messages: DataFrame, text_cols: list[str]) -> DataFrame:
     return found.agg(F.count("*").alias("examined"), F.count_if(F.col("n") > 0).alias("updated"), F.count_if(F.col("n") == 0).alias("empty"))
 
 
-_KEYS = ["message_id", "model", "model_version"]
 #: What a merge copies in compatibility mode; such rows count as legacy afterwards.
-_SEVEN = [*_KEYS, "created_at", "text_hash", "char_count", "dims"]
+_SEVEN = [*META_KEY, "created_at", "text_hash", "char_count", "dims"]
 
 
 def merge_missing(primary_meta: DataFrame, primary_vectors: DataFrame, other_meta: DataFrame, other_vectors: DataFrame, *, compat: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -149,8 +150,8 @@ def merge_missing(primary_meta: DataFrame, primary_vectors: DataFrame, other_met
     """
     columns = [c for c in other_meta.columns if not compat or c in _SEVEN]
     held = other_vectors.select("message_id", F.lit(True).alias("held")).distinct()
-    known = primary_meta.select(*_KEYS, F.lit(True).alias("known")).distinct()
-    examined = other_meta.select(*columns).join(known, _KEYS, "left").join(held, "message_id", "left")
+    known = primary_meta.select(*META_KEY, F.lit(True).alias("known")).distinct()
+    examined = other_meta.select(*columns).join(known, META_KEY, "left").join(held, "message_id", "left")
     fresh = examined.where("known is null and held is not null")
     counts = examined.agg(
         F.count("*").alias("examined"),

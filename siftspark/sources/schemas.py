@@ -20,6 +20,7 @@ MESSAGES = _schema(
     references_header=_S, cleaned_body=_S, cleaned_chars=_L, has_attachments=_I,
 )
 MESSAGE_TEXT = _schema(id=_S, subject=_S, body=_S, from_addr=_S)
+MESSAGE_IDS = _schema(id=_S, message_id=_S, identifiers=_S)
 META = _schema(
     message_id=_S, model=_S, model_version=_S, created_at=_S, text_hash=_S, char_count=_L, dims=_L, embed_model=_S, embed_dim=_L,
     embed_quant=_S, instruct_version=_S, quote_stripped=_I, content_hash=_S, chunk_id=_S, source=_S,

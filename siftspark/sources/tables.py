@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +15,46 @@ from .schemas import conform
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A Parquet table, conformed to ``schema`` if given; the columns that are not used are never read."""
+    """A Parquet or versioned table, conformed to ``schema`` if given; the columns that are not used are never read."""
+    if schema is not None and exists(spark, f"{path}/versions"):
+        return VersionedTable(spark, path, schema).read()
     df = spark.read.parquet(path)
     return conform(df, schema) if schema else df
 
 
+def writable(spark: SparkSession, path: str, schema: T.StructType) -> VersionedTable:
+    """The versioned table at ``path``; a plain Parquet table that is there becomes its first version."""
+    table = VersionedTable(spark, path, schema)
+    if not exists(spark, f"{path}/versions") and exists(spark, path):
+        table.overwrite(read(spark, path, schema))
+    return table
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for what all machines must see. Where it names none, a temporary one on this
+    machine will do if Spark runs on it alone; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="siftspark-")
+    return _own_folders[context.applicationId]
+
+
+_own_folders: dict[str, str] = {}
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file at any path that Spark can write."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     """A table of any database whose driver is on the class path."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
@@ -39,47 +77,115 @@ def vector_dims(vectors: DataFrame, column: str = "embedding") -> DataFrame:
 
 
 class VersionedTable:
-    """A table that is overwritten whole: each version is a directory, and a one-line pointer names the current
-    one. A reader of the version before keeps its files, and a failed write leaves the pointer as it was."""
+    """A table of segments: one written whole, and after it one for each upsert, holding the new rows only.
+
+    Every version is a numbered pointer file that lists its segments; a new one is written beside the others and renamed into
+    place, and nothing is removed for it. So a reader always finds a whole version, and a write that fails or
+    crashes leaves the version before. ``MOST`` segments are merged into one."""
+
+    #: Segments that a reader merges at most.
+    MOST = 16
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
 
-    def _fs(self):
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
     def _path(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def current(self) -> str | None:
-        if not self._fs().exists(self._path("CURRENT")):
-            return None
-        return self.spark.read.text(f"{self.root}/CURRENT").first()["value"]
-
-    def read(self) -> DataFrame:
-        name = self.current()
-        if name is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{name}")
+    def _fs(self):
+        return self._path("x").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[int]:
+        fs, root = self._fs(), self._path("versions")
+        names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(x) for x in names if x.isdigit())
+
+    def current(self) -> tuple[list[str], list[str]]:
+        """The segments of the newest version, oldest first, and the key columns by which they are merged."""
+        versions = self._versions()
+        if not versions:
+            return [], []
+        stream = self._fs().open(self._path(f"versions/{versions[-1]:012d}"))
+        try:
+            found = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        return found["segments"], found["keys"]
+
+    def _point(self, segments: list[str], keys: list[str]) -> None:
+        name = f"{(self._versions() or [0])[-1] + 1:012d}"
+        fs, draft = self._fs(), self._path(f"versions/.{name}-{uuid.uuid4().hex}")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps({"segments": segments, "keys": keys}).encode()))
+        out.close()
+        target = self._path(f"versions/{name}")
+        if fs.exists(target) or not fs.rename(draft, target):
+            fs.delete(draft, False)
+            raise RuntimeError(f"another writer has written version {name} of {self.root}")
 
-    def overwrite(self, df: DataFrame) -> None:
-        name = f"v-{uuid.uuid4().hex}"
+    def _written(self, df: DataFrame) -> str:
+        name = f"s-{uuid.uuid4().hex}"
         df.select(*self.schema.names).write.parquet(f"{self.root}/{name}")
-        fs = self._fs()
-        out = fs.create(self._path("CURRENT.next"), True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        fs.delete(self._path("CURRENT"), False)
-        fs.rename(self._path("CURRENT.next"), self._path("CURRENT"))
+        return name
 
-    def upsert(self, new: DataFrame, keys: list[str]) -> None:
-        """Rows of ``new`` replace those of equal keys."""
-        self.overwrite(upsert(self.read(), new, keys))
+    def _segment(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{name}")
 
+    def read(self) -> DataFrame:
+        segments, keys = self.current()
+        if not segments:
+            return self.spark.createDataFrame([], self.schema)
+        if len(segments) == 1:
+            return self._segment(segments[0])
+        for i, name in enumerate(segments[1:], 1):
+            more = self._segment(name).withColumn("_nth", F.lit(i))
+            late = more if i == 1 else late.unionByName(more)
+        # of each key the row of the newest segment; the first segment has one for each key
+        others = F.struct("_nth", *(c for c in self.schema.names if c not in keys))
+        newest = late.groupBy(*keys).agg(F.max(others).alias("_row")).select(*keys, "_row.*").select(*self.schema.names)
+        return upsert(self._segment(segments[0]), newest, keys, distinct=True)
+
+    def overwrite(self, df: DataFrame, keys: list[str] | None = None) -> None:
+        self._point([self._written(df)], keys or [])
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+    def upsert(self, new: DataFrame, keys: list[str]) -> None:
+        """Rows of ``new``, one for each key (see ``one_row``), replace those of equal keys."""
+        segments, had = self.current()
+        new = one_row(conform(new, self.schema), keys)
+        if not segments or len(segments) > 1 and had != keys:
+            return self.overwrite(upsert(self.read(), new, keys, distinct=True), keys)
+        self._point([*segments, self._written(new)], keys)
+        if len(segments) + 1 >= self.MOST:
+            self.overwrite(self.read(), keys)
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Removes all but the newest ``keep`` versions, and the segments that none of these has."""
+        fs, wanted = self._fs(), set()
+        for version in self._versions()[-keep:]:
+            stream = fs.open(self._path(f"versions/{version:012d}"))
+            wanted |= set(json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["segments"])
+            stream.close()
+        for version in self._versions()[:-keep]:
+            fs.delete(self._path(f"versions/{version:012d}"), False)
+        for f in fs.listStatus(self._path("")):
+            name = f.getPath().getName()
+            if name.startswith("s-") and name not in wanted:
+                fs.delete(f.getPath(), True)
+
+
+def one_row(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key: of several the one that is greatest in its other columns, compared in turn, nulls least."""
+    others = [c for c in rows.columns if c not in keys]
+    if not others:
+        return rows.distinct()
+    return rows.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_row")).select(*keys, "_row.*").select(*rows.columns)
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], *, distinct: bool = False) -> DataFrame:
+    """``old`` with the rows of ``new``, one for each key, in place of those of equal keys; ``distinct``: ``new`` has no key
+    twice."""
+    new = new if distinct else one_row(new, keys)
+    return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def update(old: DataFrame, new: DataFrame, key: str, columns: list[str], keep_old: tuple[str, ...] = ()) -> DataFrame:

@@ -10,10 +10,10 @@ from collections.abc import Callable
 from contextlib import contextmanager
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.ingest import MODEL, VERSION, eligible, enrich_messages, incremental_actions, meta_rows, prepared, write_embeddings
+from ..operators.ingest import META_KEY, MODEL, VECTOR_KEY, VERSION, eligible, enrich_messages, incremental_actions, meta_rows, prepared
 from ..sources.services import Embedder, embed_column
 from ..sources.tables import VersionedTable
 
@@ -25,15 +25,15 @@ LOCK_SECONDS = 4 * 3600
 def embed_changed(rows: DataFrame, meta: VersionedTable, vectors: VersionedTable, make: Callable[[], Embedder], now: str, dims: int) -> DataFrame:
     """Embeds the missing and stale among ``rows`` and upserts both tables; the rows that were done are returned.
 
-    Running it again on the same rows does nothing."""
-    todo = incremental_actions(prepared(eligible(rows)), meta.read(), model=MODEL, version=VERSION).where("action <> 'skip'")
+    Of several rows of one id, as when a batch has two files with it, the last by ``ingested_at``, then by hash, is taken.
+    Only the new rows are written; running it again on the same rows does nothing."""
+    last = [F.col(c).desc_nulls_last() for c in ("ingested_at", "text_hash") if c in rows.columns or c == "text_hash"]
+    one = prepared(eligible(rows)).withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(*last))).where("_n = 1").drop("_n")
+    todo = incremental_actions(one, meta.read(), model=MODEL, version=VERSION).where("action <> 'skip'")
     # the changed rows only: each is embedded once and read twice
     done = embed_column(todo.select("id", "thread_id", "in_reply_to", "references_header", "cleaned_body", "cleaned_chars", "content_hash", "text_hash", "document", F.col("document").alias("text")), make).drop("text").persist()
-    new_vectors = done.select(F.col("id").cast("string").alias("message_id"), "embedding")
-    new_meta = meta_rows(done.withColumn("id", F.col("id").cast("string")), now, dims)
-    all_vectors, all_meta = write_embeddings(vectors.read(), meta.read(), new_vectors, new_meta)
-    vectors.overwrite(all_vectors)
-    meta.overwrite(all_meta)
+    vectors.upsert(done.select(F.col("id").cast("string").alias("message_id"), "embedding"), VECTOR_KEY)
+    meta.upsert(meta_rows(done.withColumn("id", F.col("id").cast("string")), now, dims), META_KEY)
     return done
 
 
@@ -50,7 +50,9 @@ def stream_embeddings(source: DataFrame, meta: VersionedTable, vectors: Versione
 
 
 def enrich(messages: VersionedTable, done: DataFrame) -> None:
-    messages.overwrite(enrich_messages(messages.read(), done))
+    """Writes the messages that ``done`` changes."""
+    old = messages.read().join(done.select("id"), "id", "left_semi")
+    messages.upsert(enrich_messages(old, done), ["id"])
 
 
 # --- run log and lock -----------------------------------------------------------------------------
