@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import fcntl
+import os
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
@@ -45,6 +47,11 @@ class Report:
     embeddings: int = 0
     embedded_ids: int = 0
     coverage_gap: int = 0
+    backups: bool | None = None
+    #: For each sample query: hits of the text search with their first subjects, and of the hybrid search with vector ranks.
+    texts: list[dict] = field(default_factory=list)
+    hybrids: list[dict] = field(default_factory=list)
+    writers: list[str] = field(default_factory=list)
     problems: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
 
@@ -57,7 +64,10 @@ class Report:
         return asdict(self) | {"exit_code": self.exit_code}
 
     def lines(self) -> list[str]:
-        return [f"{k}: {v}" for k, v in self.to_dict().items() if k not in ("problems", "warnings")] + [f"problem: {p}" for p in self.problems] + [f"warning: {w}" for w in self.warnings]
+        plain = [f"{k}: {v}" for k, v in self.to_dict().items() if not isinstance(v, list)]
+        plain += [f"text search {t['query']!r}: {t['hits']} hits; {' | '.join(t['subjects'])}" for t in self.texts]
+        plain += [f"hybrid search {h['query']!r}: {h['hits']} hits, {h['vec_real']} with a vector rank, {h['vec_missing']} without" for h in self.hybrids]
+        return plain + [f"writer: {w}" for w in self.writers] + [f"problem: {p}" for p in self.problems] + [f"warning: {w}" for w in self.warnings]
 
 
 def run_health(messages: DataFrame | None, meta: DataFrame | None, vectors: DataFrame | None) -> Report:
@@ -69,3 +79,17 @@ def run_health(messages: DataFrame | None, meta: DataFrame | None, vectors: Data
     out.warnings += [f"{i['orphan_records']} orphan records"] if i["orphan_records"] else []
     out.warnings += [f"{c['coverage_gap']} messages without an embedding"] if c["coverage_gap"] else []
     return out
+
+
+def lock_holders(locks: list[str]) -> list[str]:
+    """The writer locks among the given files that a process holds now, on this machine; nothing is stopped."""
+    held = []
+    for path in locks:
+        if not os.path.exists(path):
+            continue
+        with open(path) as f:
+            try:
+                fcntl.flock(f, fcntl.LOCK_SH | fcntl.LOCK_NB)
+            except OSError:
+                held.append(f"{path} (process {f.read().strip() or 'unknown'})")
+    return held

@@ -12,7 +12,7 @@ from ..functions.text import query_text
 from ..operators.answers import Answer, answer, audit_rows, best_body, draft_row, prompt_block
 from ..operators.thread_pack import citations, get_thread
 from ..operators.vector import cosine_search
-from ..sources.services import Embedder, ServiceError
+from ..sources.services import Embedder, Scorer, ServiceError
 from .retrieve import Query, Store, retrieve
 
 ASK_K = 8
@@ -83,8 +83,8 @@ def get_message(messages: DataFrame, text: DataFrame, message_id: object) -> dic
     return one.asDict() if one else None
 
 
-def tools(spark: SparkSession, store: Store, text: DataFrame, *, clock: Callable[[], str], embed: Embedder | None = None, generate=None) -> dict[str, Callable[[dict], dict]]:
-    """JSON arguments to JSON results, for an HTTP handler or a tool server."""
+def tools(spark: SparkSession, store: Store, text: DataFrame, *, clock: Callable[[], str], embed: Embedder | None = None, generate=None, scorer: Scorer | None = None, drafts: str | None = None) -> dict[str, Callable[[dict], dict]]:
+    """JSON arguments to JSON results, for ``plans.server``; ``drafts`` is the folder of the drafts' text files."""
 
     def window(a: dict) -> dict:
         return {x: a.get(x) for x in ("lane", "after", "before")}
@@ -99,11 +99,11 @@ def tools(spark: SparkSession, store: Store, text: DataFrame, *, clock: Callable
         return key
 
     return {
-        "ask": lambda a: ask(spark, store, text, a["query"], now=clock(), embed=embed, generate=None if a.get("hits_only") else generate, k=int(a.get("k") or ASK_K), **window(a))[0].__dict__,
-        "hybrid_search": lambda a: {"hits": rows(hybrid_search(spark, store, a["query"], now=clock(), embed=None if a.get("fts_only") else embed, k=int(a.get("k") or 20), **window(a)).orderBy("out_pos"))},
+        "ask": lambda a: ask(spark, store, text, a["query"], now=clock(), embed=embed, generate=None if a.get("hits_only") else generate, k=int(a.get("k") or ASK_K), scorer=scorer, **window(a))[0].__dict__,
+        "hybrid_search": lambda a: {"hits": rows(hybrid_search(spark, store, a["query"], now=clock(), embed=None if a.get("fts_only") else embed, k=int(a.get("k") or 20), scorer=scorer, **window(a)).orderBy("out_pos"))},
         "get_thread": lambda a: {"messages": rows(get_thread(store.messages, one_key(a)))},
         "get_message": lambda a: {"message": get_message(store.messages, text, a["message_id"])},
-        "draft_reply": lambda a: {"draft": rows(draft_row(store.messages, a["message_id"], a["text"], clock(), bool(a.get("send"))))[0]},
+        "draft_reply": lambda a: {"draft": rows(draft_row(store.messages, a["message_id"], a.get("text"), clock(), bool(a.get("send")), drafts))[0] | {"sent": False}},
     }
 
 

@@ -4,23 +4,60 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.identifiers import extract_identifiers
 from ..operators.answers import best_snippet
-from ..operators.lexical import Index, build_index, identifier_index, read_index, stemmed, write_index
+from ..operators.lexical import Index, build_index, read_index, stemmed, write_index
 from ..sources import schemas
-from ..sources.tables import exists, read
+from ..sources.tables import exists, read, writable
 from .retrieve import Store
 
 FIELDS = ["subject", "body", "from_addr"]
 
 
+#: Where the identifiers of a message come from.
+IDENTIFIER_COLUMNS = ["subject", "cleaned_body", "body", "snippet", "message_id_header"]
+
+
+def identifier_rows(messages: DataFrame, text: DataFrame) -> DataFrame:
+    """(id, message_id, identifiers) of every message: its header id, and its identifiers in order with a space between."""
+    both = messages.select("id", "subject", "message_id_header", "cleaned_body", "snippet").join(text.select("id", "body"), "id", "left")
+    header = F.coalesce("message_id_header", F.lit(""))
+    return both.select("id", header.alias("message_id"), F.array_join(extract_identifiers(*IDENTIFIER_COLUMNS), " ").alias("identifiers"))
+
+
+def upsert_identifiers(spark: SparkSession, root: str, changed: DataFrame | None = None) -> dict[str, int]:
+    """Computes the identifiers of the messages whose ``id`` is in ``changed`` (all of them by default) and writes those
+    rows only; the counts of what was examined, has identifiers or a header id, and has neither."""
+    messages, text = read(spark, f"{root}/messages", schemas.MESSAGES), read(spark, f"{root}/text", schemas.MESSAGE_TEXT)
+    if changed is not None:
+        messages = messages.join(changed.select(F.col("id").cast("string").alias("id")).distinct(), "id", "left_semi")
+    rows = identifier_rows(messages, text).persist()
+    some = (F.col("identifiers") != "") | (F.col("message_id") != "")
+    found = rows.agg(F.count("*").alias("examined"), F.count_if(some).alias("updated"), F.count_if(~some).alias("empty")).first().asDict()
+    writable(spark, f"{root}/messages_ids", schemas.MESSAGE_IDS).upsert(rows, ["id"])
+    rows.unpersist()
+    return found
+
+
 def refresh_indexes(spark: SparkSession, root: str) -> None:
     """Builds both indexes from the messages and text of the archive: that of the text stemmed, that of identifiers not."""
     text = read(spark, f"{root}/text", schemas.MESSAGE_TEXT)
     write_index(stemmed(build_index(text, FIELDS)), f"{root}/index")
-    messages = read(spark, f"{root}/messages", schemas.MESSAGES)
-    both = messages.select("id", "subject", "message_id_header", "cleaned_body", "snippet").join(text.select("id", "body"), "id", "left")
-    write_index(identifier_index(both, "id", ["subject", "cleaned_body", "body", "snippet", "message_id_header"]), f"{root}/identifiers")
+    upsert_identifiers(spark, root)
+    write_index(build_index(read(spark, f"{root}/messages_ids", schemas.MESSAGE_IDS), ["identifiers"]), f"{root}/identifiers")
+
+
+def migrate_table(spark: SparkSession, path: str, schema: T.StructType) -> list[str]:
+    """Adds the columns of ``schema`` that the Parquet table at ``path`` lacks, by a copy that becomes its first version, and
+    names them. A table that lacks none is left as it is."""
+    if exists(spark, f"{path}/versions") or not exists(spark, path):
+        return []
+    added = schemas.migrate(read(spark, path), schema)[1]
+    if added:
+        writable(spark, path, schema)
+    return added
 
 
 def messages_for_search(messages: DataFrame, text: DataFrame) -> DataFrame:
@@ -44,7 +81,8 @@ def open_store(spark: SparkSession, root: str) -> Store:
 
     text = table("text", schemas.MESSAGE_TEXT)
     found = index("index") or stemmed(build_index(text, FIELDS))
+    identifiers = index("identifiers")
+    if identifiers is None and exists(spark, f"{root}/messages_ids"):
+        identifiers = build_index(table("messages_ids", schemas.MESSAGE_IDS), ["identifiers"])
     chunks = table("chunk_map", schemas.CHUNK_MAP) if exists(spark, f"{root}/chunk_map") else None
-    return Store(messages_for_search(table("messages", schemas.MESSAGES), text), found, table("vectors", schemas.VECTORS), index("identifiers"), chunks)
-
-
+    return Store(messages_for_search(table("messages", schemas.MESSAGES), text), found, table("vectors", schemas.VECTORS), identifiers, chunks)

@@ -32,7 +32,7 @@ def load(name: str) -> Callable:
     return getattr(importlib.import_module(module), attribute)
 
 
-def _post(url: str, payload: dict, timeout: float) -> dict:
+def post_json(url: str, payload: dict, timeout: float) -> dict:
     request = urllib.request.Request(url, json.dumps(payload).encode(), {"Content-Type": "application/json"})
     with urllib.request.urlopen(request, timeout=timeout) as answer:
         return json.load(answer)
@@ -53,12 +53,12 @@ def http_embedder(base: str, model: str, timeout: float = 300) -> Embedder:
     def embed(texts: Sequence[str]) -> list[list[float]]:
         got = None
         try:
-            got = parse_embeddings(_post(f"{base.rstrip('/')}/api/embed", {"model": model, "input": list(texts)}, timeout))
+            got = parse_embeddings(post_json(f"{base.rstrip('/')}/api/embed", {"model": model, "input": list(texts)}, timeout))
         except urllib.error.HTTPError as e:
             if e.code != 404:
                 raise ServiceError(f"the embedder answered {e.code}") from e
         if got is None:
-            got = parse_embeddings(_post(f"{base.rstrip('/')}/v1/embeddings", {"model": model, "input": list(texts)}, timeout))
+            got = parse_embeddings(post_json(f"{base.rstrip('/')}/v1/embeddings", {"model": model, "input": list(texts)}, timeout))
         if got is None or len(got) != len(texts):
             raise ServiceError("the embedder did not answer with one vector for each text")
         return got
@@ -66,10 +66,24 @@ def http_embedder(base: str, model: str, timeout: float = 300) -> Embedder:
     return embed
 
 
-def http_generator(base: str, model: str, timeout: float = 30, max_tokens: int = 768) -> Generator:
+def http_models(base: str, timeout: float = 5) -> list[str]:
+    """The models that a chat service has loaded; none where it cannot be asked."""
+    try:
+        with urllib.request.urlopen(f"{base.rstrip('/')}/v1/models", timeout=timeout) as answer:
+            found = json.load(answer).get("data", [])
+    except (OSError, ValueError, AttributeError):
+        return []
+    return [str(m["id"]) for m in found if isinstance(m, dict) and m.get("id")]
+
+
+def http_generator(base: str, model: str, timeout: float = 30, max_tokens: int = 768, *, loaded_only: bool = False) -> Generator:
+    """Posts to ``/v1/chat/completions``; with ``loaded_only`` a service that does not list the model is down."""
+
     def generate(messages: Sequence[dict]) -> str:
         payload = {"model": model, "messages": list(messages), "max_tokens": clamp_tokens(max_tokens), "temperature": 0}
-        answer = _post(f"{base.rstrip('/')}/v1/chat/completions", payload, timeout)
+        if loaded_only and model not in http_models(base):
+            raise ServiceError(f"the service has not loaded {model}")
+        answer = post_json(f"{base.rstrip('/')}/v1/chat/completions", payload, timeout)
         return answer["choices"][0]["message"]["content"]
 
     return generate
@@ -79,6 +93,17 @@ def clamp_tokens(n: int | None, low: int = 512, high: int = 1024, default: int =
     return default if n is None else max(low, min(high, int(n)))
 
 
+def embed_health(base: str, timeout: float = 5) -> None:
+    """Raises unless the embedding service answers; to be called before a run that embeds."""
+    try:
+        with urllib.request.urlopen(f"{base.rstrip('/')}/api/tags", timeout=timeout) as answer:
+            status = answer.status
+    except (OSError, ValueError) as e:
+        raise ServiceError(f"the embedding service at {base} does not answer ({type(e).__name__})") from e
+    if not 200 <= status < 300:
+        raise ServiceError(f"the embedding service at {base} answered {status}")
+
+
 def reachable(url: str, timeout: float = 3) -> bool:
     try:
         with urllib.request.urlopen(url, timeout=timeout) as answer:
