@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # What marks sign-in mail.
@@ -24,6 +24,12 @@ def in_shard(row_id: Column | str, shards: int, shard: int) -> Column:
     return (head % F.lit(shards).cast("decimal(20,0)")) == F.lit(shard)
 
 
+def register_sql(spark: SparkSession) -> None:
+    """``in_shard`` as the SQL function ``in_id_shard(id, shards, shard)`` of the session."""
+    head = "CAST(conv(substring(sha1(CAST(id AS STRING)), 1, 16), 16, 10) AS DECIMAL(20, 0))"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION in_id_shard(id STRING, shards INT, shard INT) RETURNS BOOLEAN RETURN {head} % shards = shard")
+
+
 def length_skip(n: Column | str, max_chars: int | None = None, min_chars: int | None = None) -> Column:
     """``too_long`` or ``too_short`` or null. A minimum alone is exclusive, with a maximum the band is closed."""
     if any(x is not None and x < 0 for x in (max_chars, min_chars)) or None not in (max_chars, min_chars) and max_chars < min_chars:

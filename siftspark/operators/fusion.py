@@ -39,7 +39,7 @@ def decayed(fused: DataFrame, messages: DataFrame, now: str, except_for: Sequenc
     window) keep theirs."""
     dates = messages.select("id", F.col("date_utc").alias("date"))
     factor = F.when(F.col("query_id").isin(list(except_for)), F.lit(1.0)).otherwise(recency("date", now))
-    return F.broadcast(fused).join(dates, "id", "left").withColumn("rrf", F.col("rrf") * factor).select(*fused.columns)
+    return fused.join(dates, "id", "left").withColumn("rrf", F.col("rrf") * factor).select(*fused.columns)
 
 
 def positioned(fused: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Full-text search: an index of token occurrences, and BM25 over it.
 
-The index is two tables: ``occurrences(term, id, field, pos)``, stored by bucket of the term so that a query reads
-the buckets of its terms only, and ``lengths(id, dl)``. Statistics are of the whole index whatever a query filters.
+The index is two tables: ``occurrences(term, id, field, pos, dl)``, stored by bucket of the term so that a query reads
+the buckets of its terms only, and ``lengths(id, dl)``. Every occurrence has its document's length, so that scoring joins
+nothing with the lengths. Statistics are of the whole index whatever a query filters.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ SUBJECT_BOOST = 5.0
 
 @dataclass
 class Index:
-    occurrences: DataFrame  # term, id, field, pos[, bucket]
+    occurrences: DataFrame  # term, id, field, pos, dl[, bucket]
     lengths: DataFrame  # id, dl
     porter: bool = False  # whether the terms are Porter stems
 
@@ -32,10 +33,10 @@ def build_index(text: DataFrame, fields: list[str], id_col: str = "id", stem=Non
     """Of the token occurrences of ``fields``; ``stem`` maps a column of terms to one of stems."""
     parts = F.array(*(F.struct(F.lit(f).alias("field"), tokens(f).alias("terms")) for f in fields))
     rows = text.select(F.col(id_col).alias("id"), parts.alias("parts"))
-    lengths = rows.select("id", F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.size(p["terms"])).alias("dl"))
-    flat = rows.select("id", F.explode("parts").alias("p")).select("id", F.col("p.field").alias("field"), F.posexplode("p.terms").alias("pos", "term"))
+    length = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.size(p["terms"])).alias("dl")
+    flat = rows.select("id", length, F.explode("parts").alias("p")).select("id", "dl", F.col("p.field").alias("field"), F.posexplode("p.terms").alias("pos", "term"))
     term = F.col("term") if stem is None else stem(F.col("term"))
-    return Index(flat.select(term.alias("term"), "id", "field", "pos"), lengths)
+    return Index(flat.select(term.alias("term"), "id", "field", "pos", "dl"), rows.select("id", length))
 
 
 def write_index(index: Index, path: str) -> None:
@@ -102,19 +103,19 @@ def match(index: Index, phrases: DataFrame, weights: dict[str, float]) -> DataFr
         buckets = [r[0] for r in wanted.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
         occurrences = occurrences.where(F.col("bucket").isin(buckets))
     found = occurrences.join(F.broadcast(wanted), "term").withColumn("start", F.col("pos") - F.col("offset"))
-    whole = found.where("size = 1").select("phrase", "id", "field").union(
-        found.where("size > 1").groupBy("phrase", "id", "field", "start", "size").count().where("`count` = size").select("phrase", "id", "field")
+    whole = found.where("size = 1").select("phrase", "id", "field", "dl").union(
+        found.where("size > 1").groupBy("phrase", "id", "field", "start", "size", "dl").count().where("`count` = size").select("phrase", "id", "field", "dl")
     )
     weight = F.lit(0.0)
     for field, w in weights.items():
         weight = F.when(F.col("field") == field, float(w)).otherwise(weight)
-    tf = whole.groupBy("phrase", "id").agg(F.sum(weight).alias("tf"))
+    tf = whole.groupBy("phrase", "id").agg(F.sum(weight).alias("tf"), F.max("dl").alias("dl"))
     df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
     stats = index.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     df = df.crossJoin(F.broadcast(stats)).select("phrase", "avgdl", F.when(raw <= 0, 1e-6).otherwise(raw).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(F.broadcast(df), "phrase").join(index.lengths, "id").select("phrase", "id", part.alias("part"))
+    scored = tf.join(F.broadcast(df), "phrase").select("phrase", "id", part.alias("part"))
     owners = phrases.select("query_id", "phrase", "phrases").distinct()
     every = scored.join(F.broadcast(owners), "phrase").groupBy("query_id", "id", "phrases").agg(F.sum("part").alias("score"), F.count("*").alias("have"))
     return every.where("have = phrases").select("query_id", "id", "score")
@@ -164,5 +165,5 @@ def stemmed(index: Index) -> Index:
             stems = pa.array([known.get(w) or known.setdefault(w, stem(w)) for w in words], pa.string())
             yield batch.set_column(at, "term", stems.take(coded.indices))
 
-    rows = index.occurrences.select("term", "id", "field", "pos")
+    rows = index.occurrences.select("term", "id", "field", "pos", "dl")
     return Index(rows.mapInArrow(run, rows.schema), index.lengths, True)

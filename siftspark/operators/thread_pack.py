@@ -28,7 +28,7 @@ def spine_members(messages: DataFrame, threads: DataFrame) -> DataFrame:
 
     The root is the member whose id is the thread's, else the earliest; members stand by date, nulls first, then id.
     """
-    inside = messages.where("thread_id is not null").join(F.broadcast(threads.select("thread_id").distinct()), "thread_id", "left_semi").select("thread_id", "id", "date_utc")
+    inside = messages.where("thread_id is not null").join(threads.select("thread_id").distinct(), "thread_id", "left_semi").select("thread_id", "id", "date_utc")
     own = F.col("id").cast("string") == F.col("thread_id").cast("string")
     by_date = [F.col("date_utc").asc_nulls_first(), F.col("id").asc()]
     root = Window.partitionBy("thread_id").orderBy(F.when(own, 0).otherwise(1), *by_date)
@@ -46,7 +46,7 @@ def expand_spine(packed: DataFrame, hits: DataFrame, messages: DataFrame) -> Dat
     rrf 0. Every id comes once.
     """
     threads = packed.where("thread_id is not null").select("query_id", "thread_id", "pack_pos")
-    spine = F.broadcast(threads).join(spine_members(messages, threads), "thread_id").select("query_id", "id", "pack_pos", "part", "nth")
+    spine = threads.join(spine_members(messages, threads), "thread_id").select("query_id", "id", "pack_pos", "part", "nth")
     others = hits.join(threads, ["query_id", "thread_id"]).select("query_id", "id", "pack_pos", F.lit(2).alias("part"), F.col("pos").alias("nth"))
     extra = spine.unionByName(others).join(packed.select("query_id", "id"), ["query_id", "id"], "left_anti")
     once = Window.partitionBy("query_id", "id").orderBy("pack_pos", "part", "nth")

@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Query vectors that go to every task at once, in bytes.
 MOST_QUERY_BYTES = 64 << 20
+#: Vectors of a block that a table of queries meets, on average at most.
+BLOCK = 65_536
 
 
 def knn(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, *, id_col: str = "message_id", vector_col: str = "embedding") -> DataFrame:
@@ -49,15 +52,76 @@ def knn(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, *, i
             q, i = np.nonzero(keep)
             yield pd.DataFrame({"query_id": names[q], "id": ids[i], "distance": distance[q, i]})
 
-    near = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInPandas(nearest, fields)
+    return _best(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInPandas(nearest, fields), k)
+
+
+def _best(near: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.round("distance", 12), "id")
     return near.withColumn("vec_rank", F.row_number().over(order).cast("long")).where(F.col("vec_rank") <= k)
 
 
+def _unit(column: pa.Array) -> np.ndarray:
+    """The rows of a list column, none of them null, at unit length."""
+    x = column.flatten().to_numpy().reshape(len(column), -1).astype(float)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def knn_table(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "message_id", vector_col: str = "embedding") -> DataFrame:
+    """As ``knn``, for a table of queries (query_id, v) of any number.
+
+    The vectors are dealt into blocks of bounded size, every query goes to each block, and a block gives its ``k`` nearest of
+    every query; queries pass a block's vectors in batches. Nothing goes through the driver.
+    """
+    spark = vectors.sparkSession
+    kind = vectors.schema[id_col].dataType.simpleString()
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-vectors.count() // BLOCK))
+    rows = vectors.where(F.col(vector_col).isNotNull()).select(
+        F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"), F.lit(None).cast("long").alias("query_id"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")
+    )
+    block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asked = queries.where("v is not null").select(block.alias("block"), F.col("query_id").cast("long").alias("query_id"), F.lit(None).cast(kind).alias("id"), F.col("v").cast("array<double>").alias("v"))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, parts, unit = None, [], [], None
+        for batch in batches:
+            place, is_query = batch.column(0).to_numpy(), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(place) != 0) | (np.diff(is_query.astype(int)) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(place)]):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if place[a] != now:
+                    now, ids, parts, unit = place[a], [], [], None
+                if not is_query[a]:
+                    ids.append(part.column(2))
+                    parts.append(_unit(part.column(3)))
+                elif parts or unit is not None:
+                    if unit is None:
+                        unit, ids, parts = np.concatenate(parts), pa.concat_arrays(ids), []
+                    asked = _unit(part.column(3))
+                    if asked.shape[1] != unit.shape[1]:
+                        raise ValueError(f"vectors of {unit.shape[1]} dimensions, queries of {asked.shape[1]}")
+                    step = max(1, (4 << 20) // len(unit))
+                    for c in range(0, len(asked), step):
+                        distance = 1 - asked[c : c + step] @ unit.T
+                        least = min(k, len(unit)) - 1
+                        keep = distance <= np.partition(distance, least, axis=1)[:, least][:, None] + 1e-12
+                        q, i = np.nonzero(keep)
+                        names = part.column(1).take(pa.array(q + c))
+                        yield pa.RecordBatch.from_arrays([names, ids.take(pa.array(i)), pa.array(distance[q, i])], names=["query_id", "id", "distance"])
+
+    both = rows.union(asked).repartition(blocks, "block").sortWithinPartitions("block", F.col("query_id").asc_nulls_first())
+    return _best(both.mapInArrow(nearest, f"query_id long, id {kind}, distance double"), k)
+
+
 def cosine_search(vectors: DataFrame, text: DataFrame, queries: list[tuple[int, list[float]]], k: int = 10) -> DataFrame:
     """The cosine-only path: (query_id, id, subject, from_addr, score, distance, snippet), score = 1 - distance."""
+    return with_text(F.broadcast(knn(vectors, queries, k)), text)  # k rows for each query of the driver
+
+
+def with_text(found: DataFrame, text: DataFrame) -> DataFrame:
+    """Neighbours (query_id, id, distance) with what a cosine search shows of them."""
     from ..functions.text import snippet
 
-    found = knn(vectors, queries, k)
     rows = text.select(F.col("id"), "subject", "from_addr", snippet("body").alias("snippet"))
-    return F.broadcast(found).join(rows, "id", "left").select("query_id", "id", "subject", "from_addr", (1 - F.col("distance")).alias("score"), "distance", "snippet")
+    return found.join(rows, "id", "left").select("query_id", "id", "subject", "from_addr", (1 - F.col("distance")).alias("score"), "distance", "snippet")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from ..functions.query_terms import MONEY_WORDS, NOT_NAMES
 from ..functions.text import QUERY_INSTRUCTION, RERANK_INSTRUCTION
 from ..operators.answers import DATA_BEGIN, DATA_END
-from .queries import TERMS, VECTOR_IDS
+from .queries import EVERY, TERMS
 
 # white space as Unicode and Python see it, for RE2
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -44,9 +45,9 @@ _REASONS = f"""r AS (SELECT id, message_id IS NOT NULL AND reason = 'due' AS cha
         WHEN length({_PAYLOAD}) < 200 THEN 'too_short' ELSE 'due' END AS reason FROM m LEFT JOIN meta ON meta.message_id = m.id))"""
 
 
-def _bm25(boost: float) -> str:
-    """CTE s(query_id, id, score) over all messages for TERMS."""
-    words = ", ".join(f"({q}, '{t}')" for q, x in TERMS.items() for t in dict.fromkeys(x.split()))
+def _bm25(boost: float, terms: dict[int, str] = TERMS) -> str:
+    """CTE s(query_id, id, score) over all messages for ``terms``."""
+    words = ", ".join(f"({q}, '{t}')" for q, x in terms.items() for t in dict.fromkeys(x.split()))
     fields = " UNION ALL ".join(f"SELECT id, {w} AS w, unnest({_tokens(f)}) AS term FROM m" for f, w in (("subject", boost), ("body", 1.0), ("from_addr", 1.0)))
     return f"""w(query_id, term) AS (VALUES {words}), occ AS ({fields}),
         dl AS (SELECT m.id, coalesce(n, 0) AS dl FROM m LEFT JOIN (SELECT id, count(*) AS n FROM occ GROUP BY id) USING (id)),
@@ -60,19 +61,22 @@ def _bm25(boost: float) -> str:
 
 
 def _knn(k: int) -> str:
-    ids = ", ".join(map(str, VECTOR_IDS))
-    return f"""q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id IN ({ids})),
+    return f"""q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % {EVERY} = 0),
         d AS (SELECT query_id, vec_id AS id, 1 - list_dot_product(qv, embedding::DOUBLE[]) /
                      (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS distance FROM q, embeddings),
         v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), id) AS vec_rank FROM d QUALIFY vec_rank <= {k})"""
 
 
 _FTS = "f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS fts_rank FROM s QUALIFY fts_rank <= 50)"
+#: CTE f(query_id, id, score, fts_rank): the list of each vector query's words.
+_LISTS = f"""{_FTS.replace("f AS", "f0 AS", 1)},
+    asked AS (SELECT vec_id AS query_id, vec_id // {EVERY} % {len(TERMS)} + 1 AS words FROM embeddings WHERE vec_id % {EVERY} = 0),
+    f AS (SELECT asked.query_id, id, score, fts_rank FROM asked JOIN f0 ON f0.query_id = words)"""
 _RRF = "1.0 / (60 + coalesce(fts_rank, 1000)) + 1.0 / (60 + coalesce(vec_rank, 1000))"
 _FUSED = f"""u AS (SELECT query_id, id, coalesce(fts_rank, 1000) AS fts_rank, coalesce(vec_rank, 1000) AS vec_rank, {_RRF} AS rrf
-    FROM f FULL JOIN (SELECT * FROM v WHERE query_id <= 4) USING (query_id, id))"""
+    FROM f FULL JOIN v USING (query_id, id))"""
 _AGE = "exp(-0.002 * greatest(epoch_us(TIMESTAMP '{now}') - epoch_us(date_utc::TIMESTAMP), 0) / 86400000000.0)"
-_HITS = f"""{_M}, {_bm25(5.0)}, {_FTS}, {_knn(50)}, {_FUSED},
+_HITS = f"""{_M}, {_bm25(5.0)}, {_LISTS}, {_knn(50)}, {_FUSED},
     h0 AS (SELECT u.query_id, u.id, fts_rank, vec_rank, thread_id, date_utc,
         round(rrf * {_AGE.format(now='2026-01-01 00:00:00')}, 12) AS rrf FROM u LEFT JOIN m ON m.id = u.id),
     h AS (SELECT *, CASE WHEN pos % 7 <> 0 THEN id % 10 / 10.0 END AS rerank FROM (
@@ -87,6 +91,28 @@ _PACK = """p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos
 _REPLY = r"""'> before' || chr(13) || chr(10) || body || replace(chr(10) || '-- ' || chr(10) || 'Ada' || chr(10) ||
     'On Tue, 1 Apr 2025, Ada <ada@example.com> wrote:' || chr(10) || '> earlier' || chr(10), chr(10), chr(13) || chr(10))"""
 
+_WORD = r"[\p{L}\p{N}_]"
+_NAME, _EDGE = "[A-Z][a-z]{2,}", r"[^\p{L}\p{N}_]"
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
+
+
+_IDENTIFIER = (
+    r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b|\b\d{3,4}-\d{3,4}-\d{2,4}\b"
+    r"|\b(?i:INV)[-_][A-Za-z0-9][-A-Za-z0-9]{1,}\b|\b(?i:inv(?:oice)?)[\s#:.-]*\d{3,}[A-Za-z0-9-]*\b"
+)
+_QUERY_READING = f"""WITH b AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'invoice INV-' WHEN 1 THEN 'from Ada Lovelace 123-456-' ELSE '' END || item_id || ' ' || text AS q FROM benchmark),
+    w AS (SELECT *, list_transform(regexp_extract_all(lower(q), '[a-z$]+'), lambda x: ltrim(x, '$')) AS low, regexp_extract_all(q, '{_WORD}+') AS words FROM b),
+    p AS (SELECT item_id, q, low, words, CASE WHEN len(regexp_extract_all(q, '[A-Za-z0-9_]+(?:[-.][A-Za-z0-9_]+)*')) > 0
+        THEN regexp_extract_all(q, '[A-Za-z0-9_]+(?:[-.][A-Za-z0-9_]+)*') ELSE [q] END AS found FROM w)
+    SELECT item_id, CASE WHEN contains(q, '$') OR list_has_any(low, {_list(MONEY_WORDS)}) THEN 'money'
+        WHEN regexp_matches(q, '(^|{_EDGE}){_NAME}\\s+{_NAME}($|{_EDGE})') OR regexp_matches(q, '(^|{_EDGE})(from|to|fwd|forward(ed)?(\\s+to)?)\\s+{_NAME}($|{_EDGE})') THEN 'people'
+        WHEN len(list_filter(words, lambda x: regexp_full_match(x, '{_NAME}') AND NOT list_contains({_list(NOT_NAMES)}, lower(x)))) > 0 THEN 'people' END AS lane,
+        regexp_matches(q, '{_IDENTIFIER}') AS is_identifier,
+        array_to_string(list_filter(list_transform(found, lambda x: array_to_string(regexp_extract_all(strip_accents(lower(x)), '[\\p{{L}}\\p{{N}}]+'), ' ')), lambda x: x <> ''), '|') AS phrases FROM p"""
+
 ORACLES = {
     "clean_newlines": f"WITH {_M} SELECT id, sha256(replace({_REPLY}, chr(13) || chr(10), chr(10))) AS normal FROM m",
     "clean_body": f"WITH {_M} SELECT id, length({_CLEAN}) AS cleaned_chars, sha256({_CLEAN}) AS content_hash FROM m",
@@ -113,6 +139,32 @@ ORACLES = {
         CASE WHEN id % 4 <= 1 THEN '<p' || id || '@x>' END AS in_reply_to, CASE WHEN id % 4 = 0 THEN 2 ELSE 0 END::BIGINT AS n_refs FROM m""",
     "identifier_extract": f"""WITH {_M}, t AS (SELECT id, regexp_extract_all(subject, '(?i)\\bINV[-_][A-Za-z0-9][-A-Za-z0-9]+\\b') AS more FROM m)
         SELECT id, '123-456-78|INV-A' || id || '|Invoice #' || lpad(id::VARCHAR, 5, '0') || '|' || lpad(id::VARCHAR, 5, '0') AS identifiers FROM t""",
+    "identifier_report": f"""WITH t AS (SELECT concat_ws(chr(10), nullif(url, ''), nullif(html, '')) AS t FROM pages)
+        SELECT count(*) AS examined, count(*) FILTER (regexp_matches(t, '{_IDENTIFIER}')) AS updated, count(*) FILTER (NOT regexp_matches(t, '{_IDENTIFIER}')) AS empty FROM t""",
+    "query_reading": _QUERY_READING,
+    "scorer_answers": f"""WITH {_M} SELECT id, round(exp(-(id % 7)) / (exp(-(id % 7)) + CASE WHEN id % 3 <> 0 THEN exp(-(id % 5)) ELSE exp(-10.0) END), 9) AS logprobs,
+        round(exp(id % 4) / (exp(id % 4) + exp(id % 6)), 9) AS pairs, CASE WHEN id % 2 = 1 THEN 1.0 WHEN id % 100 <= 1 THEN id % 100 ELSE round(id % 100 / 100.0, 9) END::DOUBLE AS said,
+        least(greatest(id, 512), 1024)::BIGINT AS tokens FROM m""",
+    "clipped_subjects": f"WITH {_M} SELECT id, {_snippet('subject', 40)} AS subject FROM m",
+    "message_lookup": f"""WITH {_M}, x AS (SELECT *, CASE WHEN id % 5 = 0 THEN 'short' WHEN id % 5 <> 1 THEN snippet ELSE '' END AS own FROM m)
+        SELECT id, subject, from_addr, CASE WHEN length(trim(own)) >= 8 THEN own ELSE coalesce(nullif(snippet, ''), nullif(own, ''), subject) END AS snippet FROM x""",
+    "conformed": "SELECT page_id::VARCHAR AS id, url AS from_addr, length(html)::BIGINT AS size_bytes, NULL::VARCHAR AS lane, 0 AS has_attachments FROM pages",
+    "migrated": "SELECT doc_id::VARCHAR AS message_id, quality::INTEGER AS quote_stripped, 1024::BIGINT AS dims, 'v1' AS model_version, NULL::VARCHAR AS content_hash, 4::BIGINT AS lacked FROM labels",
+    "upserted_records": f"WITH {_M}, {_META} SELECT message_id, CASE WHEN text_hash = 'stale' THEN 'newer' ELSE text_hash END AS text_hash FROM meta",
+    "enriched_messages": f"""WITH {_M} SELECT id, CASE WHEN quality IS NULL THEN thread_id::VARCHAR ELSE 't' END AS thread_id, CASE WHEN quality = 1 THEN '<r@x>' ELSE from_addr END AS in_reply_to,
+        CASE WHEN quality IS NOT NULL THEN '<s@x>' END AS references_header, CASE WHEN quality IS NULL THEN '' ELSE 'c' END AS cleaned_body, CASE WHEN quality IS NULL THEN 0 ELSE 1 END::BIGINT AS cleaned_chars,
+        CASE WHEN quality IS NULL THEN 'old' ELSE 'new' END AS content_hash FROM m LEFT JOIN labels ON labels.doc_id = m.id""",
+    "identifier_text": f"""WITH {_M} SELECT id, '<' || id || '@x>' AS message_id, concat_ws(' ', CASE WHEN id % 2 = 0 THEN '123-456-' || lpad((id % 100)::VARCHAR, 2, '0') END,
+        CASE WHEN TRUE THEN 'INV-S' || id END, 'invoice ' || lpad(id::VARCHAR, 4, '0'), lpad(id::VARCHAR, 4, '0')) AS identifiers FROM m""",
+    "chunk_of_message": "SELECT conv_id AS id, min(conv_id || '-' || lpad(turn::VARCHAR, 4, '0')) AS chunk_id FROM conversations GROUP BY 1",
+    "candidate_preview": f"WITH {_M}, {_META}, {_ACTIONS} SELECT id, action FROM a WHERE action <> 'skip' ORDER BY id LIMIT 20",
+    "shard_sql": f"WITH {_M} SELECT id, ('0x' || left(sha1(id::VARCHAR), 16))::UBIGINT % 4 = 1 AS mine FROM m",
+    "message_by_id": f"WITH {_M} SELECT id, subject, sha256(left(body, 4000)) AS body_hash, false AS auth FROM m WHERE id = 40",
+    "draft_of_message": "SELECT sha1('40|2026-01-01T00:00:00Z') AS id, '40' AS message_id, '2026-01-01T00:00:00Z' AS created_at, 'thanks' AS text, 'pending' AS status FROM documents WHERE doc_id = 40",
+    "health_report": f"""WITH {_M}, {_META} SELECT 'messages' AS name, count(*) AS n FROM m UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'embedded_ids', count(DISTINCT message_id) FROM meta
+        UNION ALL SELECT 'coverage_gap', count(*) FROM m WHERE id NOT IN (SELECT message_id FROM meta) UNION ALL SELECT 'exit_code', 0 UNION ALL SELECT 'problems', 0""",
+    "hits_prompt": """WITH j AS (SELECT conv_id, '[' || string_agg('{"turn": ' || turn || ', "text": ' || to_json(text) || '}', ', ' ORDER BY turn, text) || ']' AS packed FROM conversations GROUP BY 1)
+        SELECT conv_id, sha256('Question:' || chr(10) || 'who?' || chr(10) || chr(10) || 'Hits:' || chr(10) || CASE WHEN length(packed) <= 600 THEN packed ELSE left(packed, 600) || '…' END) AS prompt_hash FROM j""",
     "auth_shaped": f"WITH {_M} SELECT id, id % 3 = 0 OR id % 5 = 0 AS auth FROM m",
     "shard_count": f"WITH {_M} SELECT (('0x' || left(sha1(id::VARCHAR), 16))::UBIGINT % 7)::BIGINT AS shard, count(*) AS n FROM m GROUP BY 1",
     "length_bands": f"""WITH {_M}, n AS (SELECT id, length({_PAYLOAD}) AS n FROM m) SELECT id, CASE WHEN n > 1000 THEN 'too_long' ELSE 'due' END AS at_most,
@@ -127,13 +179,13 @@ ORACLES = {
     "lane_filter": f"WITH {_M} SELECT id, lane FROM m WHERE lower(lane) = 'de'",
     "date_window": f"""WITH {_M}, d AS (SELECT id, coalesce(CASE WHEN id % 13 <> 0 THEN date_utc END, '') AS d FROM m)
         SELECT id, d >= '2024-06-01' AND d <= '2024-06-30T23:59:59.999999Z' AS inside, d <= '2024-06-30T23:59:59.999999Z' AS "before", d >= '2024-06-01' AS "after" FROM d""",
-    "text_join": f"WITH {_M} SELECT id, subject, length(body) AS n FROM m WHERE id % 3 <> 0 AND id % 4 <> 0 AND trim(body) <> ''",
+    "text_join": f"WITH {_M} SELECT id, subject, length(body) AS n FROM m WHERE id % 4 <> 0 AND trim(body) <> ''",
     "corpus_counts": f"""WITH {_M} SELECT count(*) AS joined, count(*) FILTER (id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS auth,
         count(*) FILTER (trim(coalesce(body, '')) = '') AS empty FROM m""",
     "meta_join": f"WITH {_M}, {_META} SELECT m.id, message_id IS NOT NULL AS meta_present, quote_stripped::BIGINT AS quote_stripped FROM m LEFT JOIN meta ON message_id = m.id",
     "coverage": f"""WITH {_M}, {_META} SELECT (SELECT count(*) FROM m) AS messages, (SELECT count(*) FROM embeddings) AS embeddings,
         (SELECT count(DISTINCT message_id) FROM meta) AS embedded_ids, (SELECT count(*) FROM m WHERE id NOT IN (SELECT message_id FROM meta)) AS coverage_gap""",
-    "integrity": "SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)) AS repeated_ids, (SELECT count(*) FROM documents WHERE doc_id IS NULL) AS null_ids, 1::BIGINT AS orphan_records",
+    "integrity": "SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)) AS repeated_ids, (SELECT count(*) FROM documents WHERE doc_id IS NULL) AS null_ids, (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS orphan_records",
     "vector_dimensions": "SELECT DISTINCT len(embedding) AS dims FROM embeddings",
     "incremental_action": f"WITH {_M}, {_META}, {_ACTIONS} SELECT id, action FROM a",
     "incremental_counts": f"""WITH {_M}, {_META}, {_ACTIONS} SELECT count(*) AS examined, count(*) FILTER (action = 'missing') AS missing, count(*) FILTER (action = 'stale') AS stale,
@@ -143,26 +195,41 @@ ORACLES = {
     "candidate_counts": f"""WITH {_M}, {_META}, {_REASONS} SELECT count(*) AS examined, count(*) FILTER (reason = 'already') AS already, count(*) FILTER (reason = 'too_long') AS too_long,
         count(*) FILTER (reason = 'too_short') AS too_short, count(*) FILTER (changed) AS hash_changed, count(*) FILTER (reason = 'due') AS due FROM r""",
     "candidate_batch": f"WITH {_M}, {_META}, {_ACTIONS} SELECT id, action FROM a WHERE action <> 'skip' ORDER BY id LIMIT 100",
-    "merge_missing": f"""WITH {_M}, {_META}, o AS (SELECT message_id AS i FROM meta WHERE message_id % 2 = 1)
-        SELECT count(*) AS examined, count(*) FILTER (i % 3 <> 0 AND i % 10 <> 5) AS inserted, count(*) FILTER (i % 3 = 0) AS skipped,
-               count(*) FILTER (i % 3 <> 0 AND i % 10 = 5) AS missing_vector,
-               (SELECT count(*) FROM meta WHERE message_id % 2 = 0 OR message_id % 3 = 0) + count(*) FILTER (i % 3 <> 0 AND i % 10 <> 5) AS records,
-               (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0) + count(*) FILTER (i % 3 <> 0 AND i % 10 <> 5) AS vectors FROM o""",
+    "merge_missing": f"""WITH {_M}, {_META}, o AS (SELECT message_id IN (SELECT doc_id FROM labels) AS known, message_id IN (SELECT page_id FROM pages) AS held FROM meta),
+        c AS (SELECT count(*) AS examined, count(*) FILTER (NOT known AND held) AS inserted, count(*) FILTER (known) AS skipped, count(*) FILTER (NOT known AND NOT held) AS missing_vector FROM o)
+        SELECT *, skipped + inserted AS records, (SELECT count(*) FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)) + inserted AS vectors FROM c""",
     "fts_hit_count": f"WITH {_M}, {_bm25(1.0)} SELECT query_id::BIGINT AS query_id, count(*) AS hits FROM s GROUP BY 1",
     "bm25_top50": f"WITH {_M}, {_bm25(1.0)}, {_FTS} SELECT query_id::BIGINT AS query_id, id, score, fts_rank FROM f",
     "bm25_subject_boost": f"WITH {_M}, {_bm25(5.0)}, {_FTS} SELECT query_id::BIGINT AS query_id, id, score, fts_rank FROM f",
     "bm25_lane_filter": f"""WITH {_M}, {_bm25(5.0)} SELECT s.query_id::BIGINT AS query_id, s.id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s.id) AS fts_rank
         FROM s JOIN m ON m.id = s.id WHERE lane = CASE WHEN query_id = 2 THEN 'de' ELSE 'en' END QUALIFY fts_rank <= 50""",
+    "benchmark_batch": f"""WITH {_M}, p AS (SELECT DISTINCT item_id, phrase FROM (SELECT item_id, array_to_string(regexp_extract_all(strip_accents(lower(unnest(
+            CASE WHEN regexp_matches(text, '[A-Za-z0-9_]') THEN regexp_extract_all(text, '[A-Za-z0-9_]+(?:[-.][A-Za-z0-9_]+)*') ELSE [coalesce(text, '')] END))), '[\\p{{L}}\\p{{N}}]+'), ' ') AS phrase FROM benchmark) WHERE phrase <> ''),
+        f AS (SELECT id, ' ' || unnest([{', '.join(f"array_to_string({_tokens(c)}, ' ')" for c in ('subject', 'body', 'from_addr'))}]) || ' ' AS line FROM m),
+        h AS (SELECT DISTINCT x.phrase, f.id FROM (SELECT DISTINCT phrase FROM p) x JOIN f ON contains(f.line, ' ' || x.phrase || ' ')),
+        n AS (SELECT item_id, count(*) AS phrases FROM p GROUP BY 1),
+        r AS (SELECT item_id, id FROM p JOIN h USING (phrase) JOIN n USING (item_id) GROUP BY item_id, id, phrases HAVING count(*) = phrases)
+        SELECT item_id AS query_id, count(*) AS hits FROM r GROUP BY 1""",
+    "subject_then_body_hits": f"""WITH {_M}, {_bm25(5.0, {0: 'that the'})}, x AS (SELECT id, 0 AS part, 0::BIGINT AS nth FROM (SELECT id FROM m WHERE lower(subject) LIKE '%that%' AND lower(subject) LIKE '%the%' ORDER BY id LIMIT 20)
+            UNION ALL SELECT id, 1, nth FROM (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS nth FROM s) WHERE nth <= 20),
+        o AS (SELECT id, part, nth FROM x QUALIFY row_number() OVER (PARTITION BY id ORDER BY part, nth) = 1)
+        SELECT id, row_number() OVER (ORDER BY part, nth, id) AS pos FROM o QUALIFY pos <= 20""",
+    "stream_available_now": f"""WITH {_M}, c AS (SELECT *, {_CLEAN} AS clean FROM m WHERE trim(coalesce(body, '')) <> ''),
+        d AS (SELECT id, clean, left('Subject: ' || {_strip('subject')} || chr(10) || 'From: ' || {_strip('from_addr')} || chr(10) || 'To: ' || chr(10) || 'Date: ' || date_utc || chr(10) || 'Lane: ' || {_strip('lane')} ||
+            CASE WHEN clean <> '' THEN chr(10) || chr(10) || clean ELSE '' END, 16000) AS doc FROM c)
+        SELECT id::VARCHAR AS message_id, 'qwen3-embedding-8b' AS model, sha256(doc) AS text_hash, length(doc) AS char_count, 2::BIGINT AS dims, 1 AS quote_stripped, sha256(clean) AS content_hash FROM d""",
+    "stream_again": f"""WITH {_M} SELECT count(*) AS examined, 0::BIGINT AS missing, 0::BIGINT AS stale, count(*) AS skipped_quote_stripped, 0::BIGINT AS skipped_legacy_embedded, 0::BIGINT AS candidates
+        FROM m WHERE trim(coalesce(body, '')) <> ''""",
     "subject_like": f"WITH {_M} SELECT id FROM m WHERE lower(subject) LIKE '%the%' AND lower(subject) LIKE '%re%'",
     "identifier_hits": """WITH i AS (SELECT doc_id AS id, doc_id % 7 = 3 AS a, doc_id = 17 OR doc_id % 7 = 1 AS b FROM documents)
         SELECT 1::BIGINT AS query_id, count(*) AS hits, min(id) AS low, max(id) AS high FROM i WHERE a
         UNION ALL SELECT 2, count(*), min(id), max(id) FROM i WHERE b""",
-    "knn_top50": f"WITH {_knn(50)} SELECT query_id, id, round(distance, 9) AS distance, vec_rank FROM v",
-    "cosine_search": f"""WITH {_M}, {_knn(10)} SELECT query_id, v.id, subject, from_addr, round(1 - distance, 9) AS score, round(distance, 9) AS distance, snippet FROM v LEFT JOIN m ON m.id = v.id""",
+    "knn_top50": f"WITH {_knn(50)} SELECT query_id, id, round(distance, 9) + 0.0::DOUBLE AS distance, vec_rank FROM v",
+    "cosine_search": f"""WITH {_M}, {_knn(10)} SELECT query_id, v.id, subject, from_addr, round(1 - distance, 9) AS score, round(distance, 9) + 0.0::DOUBLE AS distance, snippet FROM v LEFT JOIN m ON m.id = v.id""",
     "knn_post_filter": f"""WITH {_M}, {_knn(50)} SELECT query_id, v.id, row_number() OVER (PARTITION BY query_id ORDER BY vec_rank) AS vec_rank
         FROM v LEFT JOIN m ON m.id = v.id WHERE coalesce(lane, '') = 'en' AND coalesce(date_utc, '') >= '2024-02-01'""",
-    "rrf_fuse": f"WITH {_M}, {_bm25(5.0)}, {_FTS}, {_knn(50)}, {_FUSED} SELECT query_id::BIGINT AS query_id, id, fts_rank, vec_rank, 1000::BIGINT AS ids_rank, round(rrf, 9) AS rrf FROM u",
-    "rrf_identifiers": f"""WITH {_M}, {_bm25(5.0)}, {_FTS}, {_knn(50)}, {_FUSED},
+    "rrf_fuse": f"WITH {_M}, {_bm25(5.0)}, {_LISTS}, {_knn(50)}, {_FUSED} SELECT query_id::BIGINT AS query_id, id, fts_rank, vec_rank, 1000::BIGINT AS ids_rank, round(rrf, 9) AS rrf FROM u",
+    "rrf_identifiers": f"""WITH {_M}, {_bm25(5.0)}, {_LISTS}, {_knn(50)}, {_FUSED},
         i AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS ids_rank FROM f WHERE id % 5 = 0)
         SELECT query_id::BIGINT AS query_id, id, fts_rank, vec_rank, coalesce(ids_rank, 1000) AS ids_rank, round(rrf + 1.0 / (60 + coalesce(ids_rank, 1000)), 9) AS rrf
         FROM u LEFT JOIN i USING (query_id, id)""",
@@ -170,7 +237,7 @@ ORACLES = {
     "rerank_head_tail": f"""WITH {_HITS} SELECT query_id::BIGINT AS query_id, id, CASE WHEN pos <= 20 THEN row_number() OVER (PARTITION BY query_id ORDER BY pos > 20,
         coalesce(rerank, 0) DESC, rrf DESC, id) ELSE pos END AS pos, CASE WHEN pos <= 20 THEN rerank END AS rerank FROM h""",
     "thread_packs": f"WITH {_HITS}, {_PACK.format(k=20)} SELECT query_id::BIGINT AS query_id, id, pack_pos FROM p",
-    "thread_root_last3": f"""WITH {_M}, g AS (SELECT thread_id, id, date_utc FROM m WHERE thread_id IN (SELECT thread_id FROM m WHERE id % 3 = 0)),
+    "thread_root_last3": f"""WITH {_M}, g AS (SELECT thread_id, id, date_utc FROM m WHERE thread_id IS NOT NULL),
         {_SPINE.format(members='g')} SELECT thread_id, id, part, nth FROM k""",
     "conversation_spine": f"""WITH g AS (SELECT conv_id AS thread_id, conv_id * 1000 + turn AS id, CASE WHEN turn <> 1 THEN lpad(turn::VARCHAR, 6, '0') END AS date_utc FROM conversations),
         {_SPINE.format(members='g')} SELECT thread_id, id, part, nth FROM k""",
@@ -193,7 +260,8 @@ ORACLES = {
             FROM c JOIN m USING (id) WHERE citation <= 8 GROUP BY query_id)
         SELECT query_id::BIGINT AS query_id, sha256(block) AS block_hash, length(block) AS n FROM b""",
     "audit_log": f"""WITH {_HITS}, {_CITED.format(where='')}, a AS (SELECT query_id, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY citation) AS ids FROM c WHERE citation <= 8 GROUP BY 1),
-        asked(query_id, query) AS (VALUES {', '.join(f"({q}, '{t}')" for q, t in TERMS.items())}, (99, 'nothing'))
+        texts(words, query) AS (VALUES {', '.join(f"({q}, '{t}')" for q, t in TERMS.items())}),
+        all_asked AS (SELECT query_id, query FROM asked JOIN texts USING (words) UNION ALL SELECT -1, 'nothing')
         SELECT '2026-01-01T00:00:00Z' AS ts, 'test' AS actor, query, 8::BIGINT AS k, coalesce(n, 0) AS hit_count, coalesce(ids, '') AS hit_ids,
-               '{{"generate_mode":"hits_only"}}' AS detail FROM asked LEFT JOIN a USING (query_id)""",
+               '{{"generate_mode":"hits_only"}}' AS detail FROM all_asked LEFT JOIN a USING (query_id)""",
 }

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,15 +12,17 @@ from ..functions import candidates as C
 from ..functions import identifiers, query_terms, scores, text, threads
 from ..functions import vectors as V
 from ..operators import answers, fusion, health, ingest, lexical, thread_pack, vector
-from ..sources.tables import VersionedTable, vector_dims
-from . import archive
-from .retrieve import filters, lexical_list, retrieve, subject_then_body, vector_list
+from ..sources import schemas, scorers, services, tables
+from ..sources.tables import VersionedTable, shared_folder, vector_dims
+from . import archive, disk
+from .retrieve import filters, first_chunks, lexical_list, retrieve, subject_then_body, vector_list
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
 TERMS = {1: "that the and", 2: "der die und", 3: "que de la", 4: "with"}
-VECTOR_IDS = [1, 2, 3, 4, 5, 17, 100]
+#: The vector searches ask for every vector whose id is divisible by this.
+EVERY = 50
 
 
 def query(f: Query) -> Query:
@@ -34,7 +35,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _round(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 9) for c in columns})
+    # a negative zero is zero
+    return df.withColumns({c: F.round(c, 9) + F.lit(0.0) for c in columns})
 
 
 # --- scalar functions -----------------------------------------------------------------------------
@@ -206,7 +208,7 @@ def date_window(spark, sf_dir):
 @query
 def text_join(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    body = d.where(F.col("id") % 3 != 0).select("id", "subject", F.when(F.col("id") % 4 != 0, F.col("body")).otherwise("  ").alias("body"), "from_addr")
+    body = d.select("id", "subject", F.when(F.col("id") % 4 != 0, F.col("body")).otherwise("  ").alias("body"), "from_addr")
     rows = ingest.with_text(d.select("id", F.when(F.col("id") % 2 == 0, F.col("subject")).alias("subject"), "lane"), body)
     return ingest.eligible(rows).select("id", "subject", F.length("body").cast("long").alias("n"))
 
@@ -231,7 +233,8 @@ def coverage(spark, sf_dir):
 
 @query
 def integrity(spark, sf_dir):
-    return health.integrity(_docs(spark, sf_dir), archive.meta(spark, sf_dir).unionByName(archive.meta(spark, sf_dir).limit(1).withColumn("message_id", F.lit(-1).cast("long"))))
+    """Vectors whose document is not there are the orphans."""
+    return health.integrity(_docs(spark, sf_dir), archive.vectors(spark, sf_dir).select("message_id"))
 
 
 @query
@@ -272,11 +275,13 @@ def candidate_batch(spark, sf_dir):
 
 @query
 def merge_missing(spark, sf_dir):
-    """Counters of a merge of the records with odd ids, some of which lack a vector, into those with even or thrice odd ids."""
+    """Counters of a merge of all records into those of labelled messages; the other archive has vectors of the ids of
+    pages only."""
     meta, vec = archive.meta(spark, sf_dir), archive.vectors(spark, sf_dir)
-    mine = meta.where("message_id % 2 = 0 or message_id % 3 = 0")
-    mine_vec = vec.where("message_id % 2 = 0 or message_id % 3 = 0")
-    merged, vectors, counts = ingest.merge_missing(mine, mine_vec, meta.where("message_id % 2 = 1"), vec.where("message_id % 10 <> 5"))
+    labelled = archive.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("message_id"))
+    paged = archive.table(spark, sf_dir, "pages").select(F.col("page_id").alias("message_id"))
+    mine, mine_vec = (x.join(labelled, "message_id", "left_semi") for x in (meta, vec))
+    merged, vectors, counts = ingest.merge_missing(mine, mine_vec, meta, vec.join(paged, "message_id", "left_semi"))
     sizes = merged.agg(F.count("*").alias("records")).crossJoin(vectors.agg(F.count("*").alias("vectors")))  # one row each
     return counts.crossJoin(sizes)
 
@@ -326,7 +331,7 @@ def subject_like(spark, sf_dir):
 
 @query
 def subject_then_body_hits(spark, sf_dir):
-    return subject_then_body(spark, archive.store(spark, sf_dir), "that the", 20)
+    return subject_then_body(spark, archive.store(spark, sf_dir, porter=False), "that the", 20)
 
 
 @query
@@ -338,8 +343,14 @@ def identifier_hits(spark, sf_dir):
     return found.groupBy("query_id").agg(F.count("*").alias("hits"), F.min("id").alias("low"), F.max("id").alias("high"))
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, v, words): the vectors that are queries, each with one of the texts of ``TERMS``."""
+    words = F.pmod(F.floor(F.col("vec_id") / EVERY), F.lit(len(TERMS))) + 1
+    return archive.table(spark, sf_dir, "embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"), words.alias("words"))
+
+
 def _near(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return vector.knn(archive.vectors(spark, sf_dir), sorted(archive.query_vectors(spark, sf_dir, VECTOR_IDS).items()), k)
+    return vector.knn_table(archive.vectors(spark, sf_dir), _asked(spark, sf_dir), k)
 
 
 @query
@@ -349,24 +360,23 @@ def knn_top50(spark, sf_dir):
 
 @query
 def cosine_search(spark, sf_dir):
-    asked = sorted(archive.query_vectors(spark, sf_dir, VECTOR_IDS).items())
-    return _round(vector.cosine_search(archive.vectors(spark, sf_dir), _docs(spark, sf_dir), asked, 10), "score", "distance")
+    return _round(vector.with_text(_near(spark, sf_dir, 10), _docs(spark, sf_dir)), "score", "distance")
 
 
 @query
 def knn_post_filter(spark, sf_dir):
-    near = _near(spark, sf_dir, 50)
-    asked = [archive.Query(q, "x", lane="en", after="2024-02-01") for q in VECTOR_IDS]
-    return vector_list(near, archive.store(spark, sf_dir), filters(spark, asked, dict.fromkeys(VECTOR_IDS, "en"))).drop("variant")
+    lo, hi = query_terms.date_bounds("2024-02-01", None)
+    limits = _asked(spark, sf_dir).select("query_id", F.lit(0).alias("variant"), F.lit("en").alias("want"), F.lit(lo).alias("lo"), F.lit(hi).cast("string").alias("hi"))
+    return vector_list(_near(spark, sf_dir, 50), archive.store(spark, sf_dir), limits).drop("variant")
 
 
 def _fused(spark: SparkSession, sf_dir: str, with_ids: bool = False) -> DataFrame:
-    fts = fusion.ranked(_scores(spark, sf_dir, {"subject": 5, "body": 1, "from_addr": 1}).withColumn("score", F.round("score", 9)), 50, "fts_rank")
-    vec = _near(spark, sf_dir, 50).where("query_id <= 4")
+    lists = fusion.ranked(_scores(spark, sf_dir, {"subject": 5, "body": 1, "from_addr": 1}).withColumn("score", F.round("score", 9)), 50, "fts_rank")
+    fts = _asked(spark, sf_dir).select("query_id", "words").join(lists.withColumnRenamed("query_id", "words"), "words")
     ids = None
     if with_ids:
         ids = fts.where("id % 5 = 0").select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy("id")).cast("long").alias("ids_rank"))
-    return fusion.fuse(fts, vec, ids)
+    return fusion.fuse(fts, _near(spark, sf_dir, 50), ids)
 
 
 @query
@@ -380,10 +390,10 @@ def rrf_identifiers(spark, sf_dir):
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fused, decayed and positioned, with threads."""
+    """Fused, decayed and positioned, with threads; a vector without a message is a hit too."""
     m = _docs(spark, sf_dir)
     fused = fusion.decayed(_fused(spark, sf_dir), m, archive.NOW).withColumn("rrf", F.round("rrf", 12))
-    return F.broadcast(fusion.positioned(fused)).join(m.select("id", "thread_id", "date_utc"), "id").withColumn("rerank", F.when(F.col("pos") % 7 != 0, F.col("id") % 10 / 10.0))
+    return fusion.positioned(fused).join(m.select("id", "thread_id", "date_utc"), "id", "left").withColumn("rerank", F.when(F.col("pos") % 7 != 0, F.col("id") % 10 / 10.0))
 
 
 @query
@@ -404,7 +414,7 @@ def thread_packs(spark, sf_dir):
 @query
 def thread_root_last3(spark, sf_dir):
     m = _docs(spark, sf_dir)
-    return thread_pack.spine_members(m, m.where("id % 3 = 0").select("thread_id").where("thread_id is not null"))
+    return thread_pack.spine_members(m, m.select("thread_id").where("thread_id is not null"))
 
 
 @query
@@ -452,12 +462,153 @@ def prompt_blocks(spark, sf_dir):
 
 @query
 def audit_log(spark, sf_dir):
-    asked = spark.createDataFrame([*TERMS.items(), (99, "nothing")], "query_id long, query string")
+    words = spark.createDataFrame([*TERMS.items()], "words long, query string")
+    asked = _asked(spark, sf_dir).join(words, "words").select("query_id", "query").union(spark.createDataFrame([(-1, "nothing")], "query_id long, query string"))
     cited = thread_pack.citations(_hits(spark, sf_dir)).where("citation <= 8")
     return answers.audit_rows(cited, asked, archive.NOW, "test", 8)
 
 
-# --- whole plans without a SQL twin ---------------------------------------------------------------
+# --- what the driver reads of a query, scorers, sources, writers ------------------------------------
+
+
+def _each(f, kind: str):
+    """A function of one value on the driver, applied to a column in batches."""
+    return F.pandas_udf(lambda x: x.map(f), kind)
+
+
+@query
+def query_reading(spark, sf_dir):
+    """What a search reads of a query's text: every passage of ``benchmark`` as a query."""
+    said = F.concat(F.when(F.col("item_id") % 4 == 0, "invoice INV-").when(F.col("item_id") % 4 == 1, "from Ada Lovelace 123-456-").otherwise(""), F.col("item_id").cast("string"), F.lit(" "), "text")
+    rows = archive.table(spark, sf_dir, "benchmark").select("item_id", said.alias("q"))
+    return rows.select(
+        "item_id",
+        _each(query_terms.infer_lane, "string")("q").alias("lane"),
+        _each(identifiers.is_identifier_query, "boolean")("q").alias("is_identifier"),
+        _each(lambda q: "|".join(" ".join(p) for p in query_terms.phrases(q)), "string")("q").alias("phrases"),
+    )
+
+
+@query
+def scorer_answers(spark, sf_dir):
+    """Scores from answers of every shape that a scorer gives: log probabilities, pairs of logits, texts; and token limits."""
+    i = F.col("id").cast("double")
+    logprobs = _each(lambda x: scores.yes_no_from_logprobs([{"token": " Yes", "logprob": -(x % 7)}] + ([{"token": "no", "logprob": -(x % 5)}] if x % 3 else [])), "double")
+    pairs = _each(lambda x: scores.checked_scores([[x % 4, x % 6]], 1)[0], "double")
+    said = _each(lambda x: scorers.answered_score({"response": "<think>no</think>yes" if x % 2 else f"{x % 100:.0f}"}), "double")
+    tokens = _each(lambda x: services.clamp_tokens(int(x)), "long")
+    rows = _docs(spark, sf_dir).select("id", logprobs(i).alias("logprobs"), pairs(i).alias("pairs"), said(i).alias("said"), tokens(i).alias("tokens"))
+    return _round(rows, "logprobs", "pairs", "said")
+
+
+@query
+def clipped_subjects(spark, sf_dir):
+    return _docs(spark, sf_dir).select("id", health.clip_subject("subject", 40).alias("subject"))
+
+
+@query
+def message_lookup(spark, sf_dir):
+    """Messages that lack a subject, sender or snippet, with those of their text."""
+    d = _docs(spark, sf_dir)
+    lacking = d.select("id", F.when(F.col("id") % 2 == 0, F.col("subject")).alias("subject"), F.when(F.col("id") % 3 == 0, "").otherwise(F.col("from_addr")).alias("from_addr"), F.when(F.col("id") % 5 == 0, "short").when(F.col("id") % 5 != 1, F.col("snippet")).alias("snippet"))
+    return disk.messages_for_search(lacking, d.select("id", "subject", "from_addr", "body")).select("id", "subject", "from_addr", "snippet")
+
+
+@query
+def conformed(spark, sf_dir):
+    """Pages as messages: columns under another name, of another type, and missing ones."""
+    pages = archive.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("FROM"), F.length("html").alias("size_bytes"))
+    return schemas.conform(pages, schemas.MESSAGES).select("id", "from_addr", "size_bytes", "lane", "has_attachments")
+
+
+@query
+def migrated(spark, sf_dir):
+    """Labels as records of embeddings, with the columns that they lack added."""
+    labels = archive.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("message_id"), F.col("quality").cast("int").alias("quote_stripped"))
+    new, _ = schemas.migrate(labels, schemas.META)
+    lacking = schemas.missing_columns(labels, schemas.INCREMENTAL_META)
+    return new.select("message_id", "quote_stripped", "dims", "model_version", "content_hash", F.lit(len(lacking)).cast("long").alias("lacked"))
+
+
+@query
+def upserted_records(spark, sf_dir):
+    """Records after an upsert that has each stale one twice."""
+    meta = archive.meta(spark, sf_dir)
+    stale = meta.where("text_hash = 'stale'")
+    new = stale.withColumn("text_hash", F.lit("new")).union(stale.withColumn("text_hash", F.lit("newer")))
+    return tables.upsert(meta, new, ingest.META_KEY).select("message_id", "text_hash")
+
+
+@query
+def enriched_messages(spark, sf_dir):
+    """Messages after an update of the labelled ones; a reply header stays where there is no new one."""
+    d = _docs(spark, sf_dir).select("id", F.col("thread_id").cast("string").alias("thread_id"), F.col("from_addr").alias("in_reply_to"), F.lit(None).cast("string").alias("references_header"), F.lit("").alias("cleaned_body"), F.lit(0).cast("long").alias("cleaned_chars"), F.lit("old").alias("content_hash"))
+    new = archive.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit("t").alias("thread_id"), F.when(F.col("quality") == 1, "<r@x>").alias("in_reply_to"), F.lit("<s@x>").alias("references_header"), F.lit("c").alias("cleaned_body"), F.lit(1).cast("long").alias("cleaned_chars"), F.lit("new").alias("content_hash"))
+    return ingest.enrich_messages(d, new)
+
+
+@query
+def identifier_text(spark, sf_dir):
+    """Identifiers of every message from all of its texts."""
+    i = F.col("id").cast("string")
+    d = _docs(spark, sf_dir)
+    messages = d.select("id", F.concat(F.lit("INV-S"), i).alias("subject"), F.concat(F.lit("<"), i, F.lit("@x>")).alias("message_id_header"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("123-456-"), F.lpad(F.col("id") % 100, 2, "0"))).alias("cleaned_body"), F.lit("").alias("snippet"))
+    return disk.identifier_rows(messages, d.select("id", F.concat(F.lit("invoice "), F.lpad(i, 4, "0")).alias("body")))
+
+
+@query
+def chunk_of_message(spark, sf_dir):
+    """The first chunk of every message, for turns of conversations as chunks."""
+    turns = archive.table(spark, sf_dir, "conversations")
+    return first_chunks(turns.select(F.col("conv_id").alias("message_id"), F.concat_ws("-", "conv_id", F.lpad(F.col("turn").cast("string"), 4, "0")).alias("chunk_id")))
+
+
+@query
+def candidate_preview(spark, sf_dir):
+    """What a dry run shows."""
+    return ingest.candidates(_actions(spark, sf_dir).where("action <> 'skip'").select("id", "action"), 20)
+
+
+@query
+def shard_sql(spark, sf_dir):
+    """``in_id_shard`` as a function of SQL."""
+    C.register_sql(spark)
+    _docs(spark, sf_dir).select("id").createOrReplaceTempView("siftspark_ids")
+    return spark.sql("SELECT id, in_id_shard(CAST(id AS STRING), 4, 1) AS mine FROM siftspark_ids")
+
+
+@query
+def message_by_id(spark, sf_dir):
+    """One message with what a prompt may show of it."""
+    from .ask import with_prompt_body
+
+    d = _docs(spark, sf_dir)
+    one = with_prompt_body(d.drop("body").where("id = 40"), d.select("id", "body"))
+    return one.select("id", "subject", F.sha2("prompt_body", 256).alias("body_hash"), C.auth_shaped("lane", "subject").alias("auth"))
+
+
+@query
+def draft_of_message(spark, sf_dir):
+    return answers.draft_row(_docs(spark, sf_dir), 40, "thanks", archive.NOW).select("id", "message_id", "created_at", "text", "status")
+
+
+@query
+def health_report(spark, sf_dir):
+    """The counts and findings of a health run over the archive."""
+    got = health.run_health(_docs(spark, sf_dir), archive.meta(spark, sf_dir), archive.vectors(spark, sf_dir))
+    rows = [(name, int(getattr(got, name))) for name in ("messages", "embeddings", "embedded_ids", "coverage_gap", "exit_code")] + [("problems", len(got.problems))]
+    return spark.createDataFrame(rows, "name string, n long")
+
+
+@query
+def hits_prompt(spark, sf_dir):
+    """The prompt of each conversation's turns as hits, cut where it grows too long."""
+    hits = archive.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("hits"))
+    made = F.pandas_udf(lambda found: found.map(lambda rows: answers.hits_messages("who?", [{"turn": int(r["turn"]), "text": r["text"]} for r in rows], 600)[1]["content"]), "string")
+    return hits.select("conv_id", F.sha2(made("hits"), 256).alias("prompt_hash"))
+
+
+# --- whole plans ------------------------------------------------------------------------------------
 
 
 @query
@@ -467,17 +618,13 @@ def hybrid_retrieve(spark, sf_dir):
     return _round(retrieve(spark, archive.store(spark, sf_dir), asked, now=archive.NOW), "rrf")
 
 
-@query
-def stream_available_now(spark, sf_dir):
-    """Embeds whatever changed among the messages as a stream of files, and shows the records it wrote."""
-    from ..sources import schemas
+def _embedded(spark: SparkSession, sf_dir: str) -> tuple[VersionedTable, DataFrame]:
+    """The records after a stream of files with all messages was embedded, and the messages."""
     from ..streaming.increment import stream_embeddings
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siftspark-")).rstrip("/") + f"/stream-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
-    if root.startswith("file://"):
-        shutil.rmtree(root[7:], ignore_errors=True)
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = _docs(spark, sf_dir).withColumn("id", F.col("id").cast("string"))
-    source = schemas.conform(rows.drop("thread_id", "snippet"), schemas.MESSAGES).withColumn("body", F.lit("")).drop("body")
+    source = schemas.conform(rows.drop("thread_id", "snippet"), schemas.MESSAGES)
     arrived = source.join(rows.select("id", "body"), "id")
     arrived.write.mode("overwrite").parquet(f"{root}/in")
     meta, vec = VersionedTable(spark, f"{root}/meta", schemas.META), VersionedTable(spark, f"{root}/vectors", schemas.VECTORS)
@@ -487,8 +634,22 @@ def stream_available_now(spark, sf_dir):
         return lambda texts: [[float(len(t)), 1.0] for t in texts]
 
     stream_embeddings(stream, meta, vec, make, f"{root}/checkpoint", 2, lambda: archive.NOW).awaitTermination()
+    return meta, spark.read.parquet(f"{root}/in")
+
+
+@query
+def stream_available_now(spark, sf_dir):
+    """Embeds whatever changed among the messages as a stream of files, and shows the records it wrote."""
+    meta, _ = _embedded(spark, sf_dir)
     return meta.read().select("message_id", "model", "text_hash", "char_count", "dims", "quote_stripped", "content_hash")
 
 
+@query
+def stream_again(spark, sf_dir):
+    """What a second run over the same messages would do."""
+    meta, rows = _embedded(spark, sf_dir)
+    return ingest.incremental_counts(ingest.incremental_actions(ingest.prepared(ingest.eligible(rows)), meta.read()))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)

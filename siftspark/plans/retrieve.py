@@ -20,6 +20,7 @@ from ..operators.lexical import SUBJECT_BOOST, Index, identifier_match, match, p
 from ..operators.thread_pack import expand_spine, pack
 from ..operators.vector import knn
 
+# Lengths of the three lists, and of the result.
 FTS_K = VEC_K = IDS_K = 50
 DEFAULT_K = 20
 WEIGHTS = {"subject": SUBJECT_BOOST, "body": 1.0, "from_addr": 1.0}
@@ -59,7 +60,7 @@ def _filtered(found: DataFrame, store: Store, limits: DataFrame) -> DataFrame:
     date = F.coalesce("date_utc", F.lit(""))
     lane = F.col("want").isNull() | (F.lower(F.coalesce("lane", F.lit(""))) == F.lower("want"))
     inside = lane & (F.col("lo").isNull() | (date >= F.col("lo"))) & (F.col("hi").isNull() | (date <= F.col("hi")))
-    return found.join(facts, "id", "left").join(F.broadcast(limits), "query_id").where(inside).select(*found.columns, "variant")
+    return found.join(facts, "id", "left").join(limits, "query_id").where(inside).select(*found.columns, "variant")
 
 
 def lexical_list(spark: SparkSession, store: Store, queries: Sequence[Query], limits: DataFrame, k: int = FTS_K) -> DataFrame:
@@ -73,7 +74,7 @@ def vector_list(near: DataFrame, store: Store, limits: DataFrame) -> DataFrame:
     """(query_id, variant, id, vec_rank): neighbours that pass the filters, renumbered. The filter stays after the
     top k, which defines results."""
     order = Window.partitionBy("query_id", "variant").orderBy("vec_rank")
-    kept = _filtered(F.broadcast(near.select("query_id", "id", "vec_rank")), store, limits)
+    kept = _filtered(near.select("query_id", "id", "vec_rank"), store, limits)
     return kept.withColumn("vec_rank", F.row_number().over(order).cast("long"))
 
 
@@ -87,25 +88,27 @@ def retrieve(
     scorer: Callable[[str, Sequence[str]], Sequence[float]] | None = None,
     top: int = 20,
     expand: bool = True,
+    vec_hits: Callable[[Sequence[Query], int], DataFrame] | None = None,
 ) -> DataFrame:
     """Hits in order of ``out_pos``: the pack of at most ``k`` threads, then (if ``expand``) its threads' spines.
 
     A lane that was inferred and leaves all three lists of a query empty is dropped for that query; where it only
     leaves the vector list empty, that list alone is taken without the lane. Both variants are ranked in one pass.
     The ranked lists hold at most 100 rows of each query and are read several times, so they are persisted; they
-    go with the session's cache.
+    go with the session's cache. ``vec_hits`` gives the neighbours (query_id, id, vec_rank) in place of the store's vectors.
     """
     if any(not (q.text or "").strip() for q in queries):
         raise ValueError("an empty query")
     k = max(1, k)
     lanes = {q.query_id: infer_lane(q.text, q.lane) for q in queries}
     inferred = {q.query_id: None for q in queries if q.lane is None and lanes[q.query_id]}
-    limits = filters(spark, queries, lanes, inferred)
+    # what follows from the driver's queries is small: at most two filters, and VEC_K neighbours, of each
+    limits = F.broadcast(filters(spark, queries, lanes, inferred))
     kind = store.messages.schema["id"].dataType.simpleString()
 
-    near = knn(store.vectors, [(q.query_id, q.vector) for q in queries if q.vector is not None], VEC_K)
+    near = vec_hits(queries, VEC_K) if vec_hits else knn(store.vectors, [(q.query_id, q.vector) for q in queries if q.vector is not None], VEC_K)
     fts = lexical_list(spark, store, queries, limits).persist()
-    vec = vector_list(near.withColumn("id", F.col("id").cast(kind)), store, limits).persist()
+    vec = vector_list(F.broadcast(near.withColumn("id", F.col("id").cast(kind))), store, limits).persist()
     asked = [q for q in queries if is_identifier_query(q.text)]
     if asked and store.identifiers is not None:
         found = identifier_match(spark, store.identifiers, {q.query_id: query_identifiers(q.text) for q in asked})
@@ -124,7 +127,7 @@ def retrieve(
         return with_turn.where(F.col("variant") == F.coalesce(F.col(flag), F.lit(False)).cast("int"))
 
     fused = fuse(chosen(fts, "free_fts"), chosen(vec, "free_vec"), ids, with_ids=[q.query_id for q in asked])
-    fused = decayed(fused, store.messages, now, except_for=[q.query_id for q in queries if q.after or q.before])
+    fused = decayed(F.broadcast(fused), store.messages, now, except_for=[q.query_id for q in queries if q.after or q.before])
     facts = store.messages.select("id", "thread_id", F.col("date_utc").alias("date"), F.col("from_addr").alias("from"), "subject", "snippet", "lane")
     # at most 150 rows of each query
     hits = F.broadcast(positioned(fused)).join(facts, "id", "left").persist()
@@ -136,23 +139,28 @@ def retrieve(
         out = packed.select("query_id", "id", F.col("pack_pos").alias("out_pos"), F.lit(True).alias("in_pack"), "fts_rank", "vec_rank", "rrf", "rerank")
     out = F.broadcast(out).join(facts, "id", "left")
     if store.chunks is not None:
-        first = store.chunks.groupBy(F.col("message_id").cast(kind).alias("id")).agg(F.min("chunk_id").alias("chunk_id"))
-        out = out.join(first, "id", "left")
+        out = out.join(first_chunks(store.chunks).withColumn("id", F.col("id").cast(kind)), "id", "left")
     else:
         out = out.withColumn("chunk_id", F.lit(None).cast("string"))
+    # fixed names
     fields = ["chunk_id", "thread_id", "date", "from", "subject", "snippet", "fts_rank", "vec_rank", "rrf", "rerank", "lane"]
     return out.select("query_id", "out_pos", F.col("id").alias("message_id"), *fields)
 
 
+def first_chunks(chunks: DataFrame) -> DataFrame:
+    """(id, chunk_id): the smallest chunk id of each message."""
+    return chunks.groupBy(F.col("message_id").alias("id")).agg(F.min("chunk_id").alias("chunk_id"))
+
+
 def subject_then_body(spark: SparkSession, store: Store, query: str, k: int) -> DataFrame:
     """Subject matches first, then body matches, each id once, up to ``k``."""
     from ..operators.lexical import subject_scan
 
-    subject = subject_scan(store.messages, query).select("id", F.lit(0).alias("part"), F.col("id").alias("nth"))
+    # the first k of each list are enough, and all that ever meets in one task
+    subject = subject_scan(store.messages, query).orderBy("id").limit(k).select("id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("nth"))
     asked = [Query(0, query)]
     body = lexical_list(spark, store, asked, filters(spark, asked, {0: None}), k).select("id", F.lit(1).alias("part"), F.col("fts_rank").alias("nth"))
-    both = subject.withColumn("nth", F.row_number().over(Window.orderBy("nth"))).orderBy("nth").limit(k).unionByName(body.withColumn("nth", F.col("nth").cast("int")))
-    once = both.groupBy("id").agg(F.min(F.struct("part", "nth")).alias("at")).orderBy("at", "id").limit(k)
+    once = subject.unionByName(body).groupBy("id").agg(F.min(F.struct("part", "nth")).alias("at")).orderBy("at", "id").limit(k)
     return once.withColumn("pos", F.row_number().over(Window.orderBy("at", "id")).cast("long")).select("id", "pos")
 
 
