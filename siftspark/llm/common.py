@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import tempfile
 import uuid
 
 import numpy as np
@@ -17,22 +16,24 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
+
 #: The class ``[\x20\x09-\x0D]`` that separates words in every operator here.
 SPACES = r"[\x20\x09-\x0D]"
 
 
-_own_folders: dict[str, str] = {}
+#: Bytes of rows that go to a Python worker at once; one longer row goes alone.
+BATCH_BYTES = 4 << 20
+
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's ``arrow.maxBytesPerBatch`` to ``BATCH_BYTES``, unless the session has a value of its own.
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one where it names none (tests on one machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app = spark.sparkContext.applicationId
-        if app not in _own_folders:
-            _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="siftspark-")
-        found = _own_folders[app]
-    return found.rstrip("/")
+    Operators call this as they begin: what they return is lazy, so the setting must outlast the call. It bounds
+    what whole texts of any length take beside the heap, and changes no result."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == f"{64 << 20}b":  # Spark's default
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 class Scratch:
@@ -44,10 +45,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        # JVM-side batches of whole texts stay small, whatever the length of the texts
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 2000:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        small_batches(spark)
         atexit.register(self.close)
 
     def _remove(self, path: str) -> None:
@@ -73,6 +72,12 @@ class Scratch:
             return
 
 
+def whole(docs: DataFrame, **own: Column) -> DataFrame:
+    """The rows of ``docs`` as one value ``doc`` each, beside columns of an operator's own: their names clash with none."""
+    names = ("`" + c.replace("`", "``") + "`" for c in docs.columns)
+    return docs.select(F.struct(*names).alias("doc"), *(c.alias(name) for name, c in own.items()))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model may learn from: crc32 of the id as text leaves 1 modulo 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
