@@ -4,78 +4,84 @@ Two texts are equal when they are identical after each run of ``[\\x20\\x09-\\x0
 space. Every task first inserts its texts into a trie of its own, so a text with very many copies leaves
 each task once; the distinct texts of the tasks are then dealt to owners by length and content hash, and
 the owners insert the full byte strings. A terminal node holds the smallest id and the number of rows.
-Beyond its memory budget a trie spills by subtree: the largest child of the root goes to a file, later
-texts under it are appended there, and it is finished on its own when the rest is done.
+Beyond its memory budget a trie spills by subtree: a large subtree that leaves others behind goes out as rows that wait,
+later texts under it follow them, and Spark deals what waits to the owners of another round, by length and hash with
+another salt. Nothing is kept on a machine, so a lost task is run again like any other.
 
 Defined cases: null text counts as empty; rows with a null id are counted in their group but are never
 the row that stays (unless the group has no other id: then ``keep_id`` is null and all of its rows stay);
 a row that appears twice with the same id is one document listed twice and both rows stay if it is the
-smallest; an empty table gives an empty result; other columns do not matter.
+smallest; a text longer than the budget is held whole, alone if it must be; bytes that are not UTF-8 are compared
+as they are, except that Spark's replacement of white space turns them into U+FFFD where it changes a text; an
+empty table gives an empty result; other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
 
-import os
-import pickle
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, lean, shuffle_partitions
+from .common import SPACES, Scratch, lean, shuffle_partitions, whole
 
 _ABSENT = (1 << 63) - 1
+#: Bytes that a node takes beside its label.
+_NODE = 300
+
+
+def _shared(a: bytes, b: bytes) -> int:
+    """How many bytes at their beginning two strings share."""
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (differ.bit_length() + 7) // 8
 
 
 class PatriciaTrie:
-    """Byte strings with a smallest id and a count each; spills subtrees of the root beyond ``budget`` bytes."""
-
-    def __init__(self, budget: int = 64 << 20, depth: int = 0):
-        self.budget, self.depth, self.size = budget, depth, 0
-        self.root: list = [b"", {}, None]  # label, children by first byte, [id, count] at a terminal
-        self.weight: dict[int, int] = {}
-        self.spilled: dict[int, object] = {}
-
-    def add(self, text: bytes, owner: int, count: int = 1) -> None:
-        first = text[0] if text else -1
-        if first in self.spilled:
-            pickle.dump((text, owner, count), self.spilled[first])
-            return
-        grown = self._insert(text, owner, count)
-        if grown:
-            self.size += grown
-            self.weight[first] = self.weight.get(first, 0) + grown
-            if self.size > self.budget:
-                self._spill()
-
-    def _insert(self, text: bytes, owner: int, count: int) -> int:
-        """Bytes by which the trie grew."""
-        node, at, grown = self.root, 0, 0
+    """Byte strings with a smallest id and a count each; puts subtrees out beyond ``budget`` bytes (0: never).
+
+    A node is [label, children by first byte, [id, count] at a terminal]. A subtree that was put out leaves a node
+    without children or terminal, whose label is its first byte."""
+
+    def __init__(self, budget: int = 0):
+        self.budget, self.size, self.terminals = budget, 0, 0
+        self.root: list = [b"", {}, None]
+
+    def add(self, text: bytes, owner: int, count: int = 1) -> Iterator[tuple[bytes, int, int]]:
+        """Inserts; gives (text, id, count) of what goes out for it."""
+        node, at = self.root, 0
         while True:
             if at == len(text):
                 if node[2] is None:
                     node[2] = [owner, count]
-                    return grown + 100
-                node[2][0] = min(node[2][0], owner)
-                node[2][1] += count
-                return grown
+                    self.terminals += 1
+                    self.size += 100
+                else:
+                    node[2][0] = min(node[2][0], owner)
+                    node[2][1] += count
+                break
             child = node[1].get(text[at])
             if child is None:
                 node[1][text[at]] = [text[at:], {}, [owner, count]]
-                return grown + len(text) - at + 300
+                self.terminals += 1
+                self.size += len(text) - at + _NODE
+                break
             label = child[0]
+            if not child[1] and child[2] is None:
+                yield text, owner, count
+                return
             if text.startswith(label, at):
                 node, at = child, at + len(label)
                 continue
-            rest = text[at : at + len(label)]
-            same = len(os.path.commonprefix((label, rest)))
+            same = _shared(label, text[at : at + len(label)])
             fork = [label[:same], {label[same]: child}, None]
             child[0] = label[same:]
             node[1][text[at]] = fork
-            grown += 300
+            self.size += _NODE
             node, at = fork, at + same
+        while self.budget and self.size > self.budget and self.terminals > 1:
+            yield from self._put_out()
 
     @staticmethod
     def _walk(node: list, head: bytes) -> Iterator[tuple[bytes, int, int]]:
@@ -86,79 +92,90 @@ class PatriciaTrie:
                 yield head, *node[2]
             todo.extend((c, head + c[0]) for c in node[1].values())
 
-    def _spill(self) -> None:
-        choices = [b for b in self.root[1] if b in self.weight]
-        if not choices:
-            return
-        byte = max(choices, key=self.weight.get)
-        file = self.spilled[byte] = tempfile.TemporaryFile()  # lives no longer than the task
-        child = self.root[1].pop(byte)
-        for entry in self._walk(child, child[0]):
-            pickle.dump(entry, file)
-        self.size -= self.weight.pop(byte)
+    def _weights(self) -> dict[int, tuple[int, int]]:
+        """Bytes and terminals of every subtree, by the identity of its node."""
+        order, todo = [], [self.root]
+        while todo:
+            node = todo.pop()
+            order.append(node)
+            todo.extend(node[1].values())
+        out: dict[int, tuple[int, int]] = {}
+        for node in reversed(order):
+            below = [out[id(c)] for c in node[1].values()]
+            out[id(node)] = len(node[0]) + _NODE + sum(w for w, _ in below), (node[2] is not None) + sum(n for _, n in below)
+        return out
+
+    def _put_out(self) -> Iterator[tuple[bytes, int, int]]:
+        """Below the first fork, the smallest subtree on the heaviest path of at least half the budget, or the heaviest."""
+        held = self._weights()
+
+        def real(node: list) -> list[list]:
+            return [c for c in node[1].values() if held[id(c)][1]]
+
+        node, head, forked = self.root, b"", False
+        while True:
+            forked = forked or len(real(node)) + (node[2] is not None) > 1
+            child = max(real(node), key=lambda c: (held[id(c)][0], c[0]))
+            if forked and all(2 * held[id(c)][0] < self.budget for c in real(child)):
+                break
+            node, head = child, head + child[0]
+        first = child[0][:1]
+        for entry in self._walk(child, head + child[0]):
+            self.terminals -= 1
+            yield entry
+        node[1][first[0]] = [first, {}, None]
+        self.size -= held[id(child)][0] - _NODE
 
     def items(self) -> Iterator[tuple[bytes, int, int]]:
-        """Every distinct text once: (text, smallest id, count). Ends the trie."""
+        """Every string that is still in, once: (text, smallest id, count)."""
         yield from self._walk(self.root, b"")
-        self.root = [b"", {}, None]
-        for byte in list(self.spilled):
-            file = self.spilled.pop(byte)
-            file.seek(0)
-            # the spilled subtree shares its first byte, which the part below leaves out
-            part, head = PatriciaTrie(self.budget, self.depth + 1), bytes([byte])
-            # a single text that is larger than the budget cannot be divided further
-            if self.depth > 64:
-                part.budget = 1 << 62
-            while True:
-                try:
-                    text, owner, count = pickle.load(file)
-                except EOFError:
-                    break
-                part.add(text[1:], owner, count)
-            file.close()
-            for text, owner, count in part.items():
-                yield head + text, owner, count
-
-
-_DISTINCT = "n_bytes long, content long, text string, owner long, n long"
-
-
-def _distinct(budget: int, flush: int):
-    """Rows of (n_bytes, content, text, owner, n) to one row for each distinct text of the task.
-
-    ``flush``: bytes of distinct texts after which a first-stage trie is emptied (it need not be complete);
-    0 for owners, which must see everything.
-    """
+
+
+_ENTRY = "text binary, owner long, n long, waits boolean"
+_SCHEMA = pa.schema([("text", pa.binary()), ("owner", pa.int64()), ("n", pa.int64()), ("waits", pa.bool_())])
+
+
+def _merged(budget: int, flush: int):
+    """Rows of (text, owner, n) to a row for each distinct text of the task.
+
+    ``flush``: bytes after which a first-stage trie is emptied (it need not be complete); 0 for owners, which see
+    everything, and let wait what they put out beyond ``budget``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("n_bytes", pa.int64()), ("content", pa.int64()), ("text", pa.string()), ("owner", pa.int64()), ("n", pa.int64())])
-        tries: PatriciaTrie | None = None
-
-        def out(trie: PatriciaTrie) -> Iterator[pa.RecordBatch]:
-            rows, held = [], 0
-            for key, owner, n in trie.items():
-                # the key is 16 bytes of length and hash before the text: equal texts only meet under equal keys
-                rows.append((len(key) - 8, int.from_bytes(key[:8], "big", signed=True), key[8:].decode(), owner, n))
-                held += len(key)
-                if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
-
-        for batch in batches:
-            for content, text, owner, n in zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                tries = tries or PatriciaTrie(budget)
-                tries.add(content.to_bytes(8, "big", signed=True) + text, owner, n)
-                if flush and tries.size > flush:
-                    yield from out(tries)
-                    tries = None
-        if tries:
-            yield from out(tries)
+        trie, rows, held = PatriciaTrie(0 if flush else budget), [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
+
+        def all_of(t: PatriciaTrie) -> Iterator[tuple]:
+            return ((*x, False) for x in t.items())
+
+        def entries() -> Iterator[tuple]:
+            nonlocal trie
+            for batch in batches:
+                for text, owner, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    yield from ((*x, True) for x in trie.add(text, owner, n))
+                    if flush and trie.size > flush:
+                        full, trie = trie, PatriciaTrie()
+                        yield from all_of(full)
+            yield from all_of(trie)
+
+        for row in entries():
+            rows.append(row)
+            held += len(row[0]) + 100
+            if held > 4 << 20:
+                yield out()
+                rows, held = [], 0
+        if rows:
+            yield out()
 
     return run
 
 
+def _normal(text_col: str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"{SPACES}+", " ")
+
+
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", content_hash: str = "xxhash64({0})", budget: int = 64 << 20) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -167,23 +184,38 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
-    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"{SPACES}+", " ")
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select(
-        "doc_id",
-        "text",
-        F.octet_length("text").cast("long").alias("n_bytes"),
-        F.expr(content_hash.format("text")).cast("long").alias("content"),
-    )
-    local = keyed.select("n_bytes", "content", "text", F.coalesce("doc_id", F.lit(_ABSENT)).alias("owner"), F.lit(1).cast("long").alias("n")).mapInArrow(lean(_distinct(budget, budget // 2)), _DISTINCT)
-    dealt = local.repartition(shuffle_partitions(spark), "n_bytes", "content")
-    owners = dealt.mapInArrow(lean(_distinct(budget, 0)), _DISTINCT).select(
-        "n_bytes",
-        "content",
-        F.sha2("text", 256).alias("text_sha256"),
-        F.when(F.col("owner") != _ABSENT, F.col("owner")).alias("keep_id"),
-        F.col("n").alias("group_size"),
-    )
-    owned = scratch.table(owners, "owners")
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumn("n_bytes", F.octet_length("text").cast("long")).withColumn("content", F.expr(content_hash.format("text")).cast("long"))
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _normal(text_col).cast("binary").alias("text"))
+    entry = rows.select("text", F.coalesce("doc_id", F.lit(_ABSENT)).alias("owner"), F.lit(1).cast("long").alias("n"))
+    dealt = placed(entry.mapInArrow(lean(_merged(budget, budget // 2)), _ENTRY)).repartition(shuffle_partitions(spark), "n_bytes", "content")
+    turn, done = 0, []
+    while True:
+        got = dealt.select("text", "owner", "n").mapInArrow(lean(_merged(budget, 0)), _ENTRY)
+        # whole texts only of what waits for the next round
+        facts = placed(got).select(
+            "n_bytes",
+            "content",
+            F.sha2("text", 256).alias("text_sha256"),
+            F.when(F.col("owner") != _ABSENT, F.col("owner")).alias("keep_id"),
+            "owner",
+            "n",
+            "waits",
+            F.when(F.col("waits"), F.col("text")).alias("text"),
+        )
+        facts = scratch.table(facts, f"owners-{turn}")
+        done.append(facts.where("not waits").select("n_bytes", "content", "text_sha256", "keep_id", F.col("n").alias("group_size")))
+        waiting = facts.where("waits")
+        if waiting.isEmpty():
+            break
+        turn += 1
+        dealt = waiting.withColumn("salt", F.lit(turn)).repartition(shuffle_partitions(spark), "n_bytes", "content", "salt")
+    owned = done[0]
+    for more in done[1:]:
+        owned = owned.union(more)
+    keyed = placed(rows)
     key = ["n_bytes", "content"]
     if owned.groupBy(*key).count().where("count > 1").isEmpty():
         joined = keyed.drop("text").join(owned, key)
@@ -197,10 +229,14 @@ def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs`` that stay: of equal texts the one of the smallest id, once."""
     scratch = Scratch(docs.sparkSession, "copies")
     found = scratch.table(exact_dedup(docs, id_col=id_col, text_col=text_col), "found")
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"{SPACES}+", " "), 256)
-    keyed = docs.withColumn("_sha", sha).withColumn("_id", F.col(id_col).cast("long"))
-    lost = found.where("not kept").select(F.col("text_sha256").alias("_sha"), F.col("doc_id").alias("_lost")).distinct()
-    kept = keyed.alias("k").join(lost.alias("l"), (F.col("k._sha") == F.col("l._sha")) & F.col("k._id").eqNullSafe(F.col("_lost")), "left_anti")
+    if found.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        lost = found.where("not kept").select(F.col("doc_id").alias("id"))
+        left = whole(docs, id=F.col(id_col).cast("long")).join(lost, "id", "left_anti")
+        return left.select("doc.*")
+    # an id that recurs, or none, does not name a row
+    rows = whole(docs, id=F.col(id_col).cast("long"), sha=F.sha2(_normal(text_col), 256))
+    lost = found.where("not kept").select(F.col("doc_id").alias("lost_id"), F.col("text_sha256").alias("lost_sha")).distinct()
+    left = rows.join(lost, (F.col("sha") == F.col("lost_sha")) & F.col("id").eqNullSafe(F.col("lost_id")), "left_anti")
     if not found.where("kept").groupBy("text_sha256").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["_sha"])
-    return kept.select(*docs.columns)
+        left = left.dropDuplicates(["sha"])
+    return left.select("doc.*")

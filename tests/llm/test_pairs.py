@@ -116,17 +116,35 @@ def test_drop_copies(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 9] and kept.columns == table(spark, rows).columns
 
 
-@pytest.mark.parametrize("budget", [1 << 30, 1500])
+@pytest.mark.parametrize("budget", [1 << 30, 1500, 1])
 def test_trie(budget):
     rng = random.Random(2)
-    trie, want = exact_dedup.PatriciaTrie(budget), {}
+    rows, want = [], {}
     for i in range(400):
         text = bytes(rng.choices(b"ab", k=rng.randrange(0, 12))) * rng.randrange(1, 3)
-        trie.add(text, i * 7 % 400)
+        rows.append((text, i * 7 % 400, 1))
         low, n = want.get(text, (1 << 60, 0))
         want[text] = (min(low, i * 7 % 400), n + 1)
-    got = list(trie.items())
+    got, turns = [], 0
+    while rows:  # as the rounds of owners: what a trie puts out meets in the next one
+        trie, turns = exact_dedup.PatriciaTrie(budget), turns + 1
+        rows = [out for row in rows for out in trie.add(*row)]
+        held = list(trie.items())
+        assert held and not {t for t, *_ in held} & {t for t, *_ in rows}
+        assert len(held) == 1 or trie.size <= max(budget, 400)
+        got += held
     assert len(got) == len(want) and {t: (o, n) for t, o, n in got} == want
+    assert (turns > 3) == (budget < 1 << 30)
+
+
+def test_trie_shares_edges():
+    """Texts of one beginning hold it once, and the budget counts it once."""
+    head = b"the same beginning " * 200
+    trie = exact_dedup.PatriciaTrie()
+    for i in range(50):
+        assert not list(trie.add(head + b"%d" % i, i))
+    assert list(trie.root[1]) == [head[0]] and trie.root[1][head[0]][0] == head
+    assert len(head) < trie.size < 2 * len(head) + 50 * 400 and len(list(trie.items())) == 50
 
 
 def vectors(seed=0, n=120, d=8):
