@@ -1,129 +1,103 @@
 """Mixing sources to target weights by systematic sampling.
 
 Within a source every document has the same expected number of copies. The documents stand in order of size,
-the expected copies are summed along that order, one random offset is added, and a document is emitted once
-for each integer boundary that its part of the sum crosses. The order by size spreads every size evenly
-over the sample; of ``CANDIDATES`` seeded random offsets the one whose words come nearest to the target is
-taken. Positions come from a range partitioning that is written once, so that reruns of lost tasks
-see the same order; no source is gathered in one task.
+the expected copies are summed along that order, one random offset (seeded by the source's name) is added, and a
+document is emitted once for each integer boundary that its part of the sum crosses. The order by size spreads every
+size evenly over the sample, so the words taken are off the target by no more than a few of the largest documents.
+Positions come from a range partitioning that is written once, so that reruns of lost tasks see the same
+order; no source is gathered in one task, and rows that are alike in every respect are dealt out too.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; texts of size 0
-are sampled like others; repeated rows are separate documents; a source without words gets target 0 and no
-copies; an empty table gives an empty result; other columns are kept by ``mix`` and ignored by ``mix_report``.
+are sampled like others; texts of any length are only counted; repeated rows are separate documents; a source without
+words gets target 0 and no copies; an empty table gives an empty result; other columns are kept by ``mix``, whatever their
+names and types, and ignored by ``mix_report``.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean, shuffle_partitions
-
-CANDIDATES = 32
-
-
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
-    """Words to take of each source: ``share`` of all by weight, at most ``most`` times its size, the excess
-    reshared by weight among the rest until none is above. Weights go by code-point order, null last."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {name: float(weights[i % len(weights)]) for i, (name, _) in enumerate(order)}
-    size = {name: float(n) for name, n in order}
-    total, out = share * sum(size.values()), {}
-    free = list(size)
-    while free:
-        each = total / sum(weight[s] for s in free)
-        above = [s for s in free if each * weight[s] > most * size[s]]
-        if not above:
-            out |= {s: each * weight[s] for s in free}
+from .common import Scratch, shuffle_partitions, whole
+
+
+def _in_order(rows: DataFrame, scratch: Scratch, name: str, *order: Column | str) -> DataFrame:
+    """``rows``, written in the given order with the number of their part (``part``) and their place in it (``nth``)."""
+    spread = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return scratch.table(spread.withColumns({"part": F.spark_partition_id(), "nth": nth}), name)
+
+
+def targets(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(source, source_size, target) of (source, source_size): ``share`` of all words by weight, at most ``most`` times the
+    source's size, the excess reshared by weight among the rest until none is above; to a millionth of a word, whatever
+    the order of sums. Weights go by code-point order, null last. Sources may be many: only sums come to the driver,
+    and one count for each part of the table of sources."""
+    ordered = _in_order(sizes, scratch, "sources", F.col("source").asc_nulls_last())
+    before, starts = 0, []
+    for part, n in sorted(tuple(r) for r in ordered.groupBy("part").count().collect()):
+        starts.append((part, before))
+        before += n
+    ordered = ordered.join(sizes.sparkSession.createDataFrame(starts, "part int, before long"), "part")
+    weight = F.array(*(F.lit(float(w)) for w in weights))[((F.col("before") + F.col("nth")) % len(weights)).cast("int")]
+    shares = ordered.select("source", "source_size", weight.alias("w"), (F.col("source_size") * F.lit(float(most))).alias("most"))
+    shares = scratch.table(shares, "shares")
+    level = 0.0
+    while True:  # the level only rises, and with it the sources that are full
+        full = F.col("most") < F.lit(level) * F.col("w")
+        row = shares.agg(
+            F.sum("source_size").alias("all"), F.sum(F.when(full, F.col("most"))).alias("full"), F.sum(F.when(~full, F.col("w"))).alias("free")
+        ).first()
+        if not row["free"]:
             break
-        for s in above:
-            out[s] = most * size[s]
-            total -= out[s]
-            free.remove(s)
-    return out
-
-
-def offsets(source: str | None, seed: str) -> list[float]:
-    """Seeded candidates in [0, 1)."""
-    name = "null" if source is None else "=" + source
-    return [int(hashlib.sha256(f"{seed}|{name}|{j}".encode()).hexdigest()[:13], 16) / 16**13 for j in range(CANDIDATES)]
+        risen = (share * row["all"] - (row["full"] or 0.0)) / row["free"]
+        if risen <= level * (1 + 1e-12):
+            break
+        level = risen
+    return shares.select("source", "source_size", F.round(F.least(F.lit(level) * F.col("w"), F.col("most")), 6).alias("target"))
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds ``nth``: the rows of the same source before it in the task."""
-    seen: dict = {}
-    for batch in batches:
-        out = np.empty(batch.num_rows, np.int64)
-        for i, source in enumerate(batch.column("source").to_pylist()):
-            out[i] = seen.get(source, 0)
-            seen[source] = out[i] + 1
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "nth"])
+def offset(seed: str) -> Column:
+    """A number in [0, 1) for each ``source``: 52 bits of a hash."""
+    name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
+    return F.conv(F.left(F.sha2(F.concat(F.lit(f"{seed}|"), name), 256), F.lit(13)), 16, 10).cast("double") / float(1 << 52)
 
 
-def _copies(docs: DataFrame, scratch: Scratch, weights, share, most, seed, id_col, text_col, source_col) -> DataFrame:
-    """(row, doc_id, source, size, source_size, target, copies); ``row`` is a hash of id, text and source."""
-    spark = docs.sparkSession
+def _copies(docs: DataFrame, scratch: Scratch, weights, share, most, seed, id_col, text_col, source_col, with_doc: bool) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies), and the whole row as ``doc`` if wanted."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    row = docs.select(
-        F.xxhash64(text, id_col, source_col).alias("row"),
-        F.col(source_col).cast("string").alias("source"),
-        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
-        F.col(id_col).cast("long").alias("doc_id"),
-    )
-    order = ["source", "size", "doc_id", "row"]
-    row = row.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    row = scratch.table(row.mapInArrow(lean(_numbered), "row long, source string, size long, doc_id long, part int, nth long"), "ordered")
-    # a row for each source of each part: as parts are ranges, not more than sources and parts together
-    parts = sorted((tuple(r) for r in row.groupBy("part", "source").agg(F.count("*"), F.sum("size")).collect()), key=lambda r: r[0])
-    rows: dict[str | None, int] = {}
-    sizes: dict[str | None, int] = {}
-    before = []
-    for part, source, n, size in parts:
-        before.append((part, source, rows.get(source, 0)))
-        rows[source] = rows.get(source, 0) + n
-        sizes[source] = sizes.get(source, 0) + size
-    # to a millionth of a word, whatever the order of sums
-    target = {s: round(t, 6) for s, t in targets(list(sizes.items()), weights, share, most).items()}
-    rate = {s: target[s] / w if w else 0.0 for s, w in sizes.items()}
-
-    def crossed(offset) -> Column:
-        at = F.col("before") + F.col("nth")
-        return (F.floor((at + 1) * F.col("rate") + offset) - F.floor(at * F.col("rate") + offset)).cast("long")
-
-    def placed(offset: dict[str | None, list[float]]) -> DataFrame:
-        fields = "p int, s string, before long, source_size long, target double, rate double, offset array<double>"
-        facts = spark.createDataFrame([(p, s, b, sizes[s], target[s], rate[s], offset[s]) for p, s, b in before], fields)
-        return row.join(F.broadcast(facts), (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
-
-    tries = {s: offsets(s, seed) for s in sizes}
-    sums = F.array(*(F.sum(F.col("size") * crossed(F.col("offset")[j])) for j in range(CANDIDATES)))
-    words = {r["source"]: r["words"] for r in placed(tries).groupBy("source").agg(sums.alias("words")).collect()} if before else {}
-    best = {s: [min((abs(n - target[s]), j, u) for j, (n, u) in enumerate(zip(words[s], tries[s])))[2]] for s in sizes}
-    return placed(best).select("row", "doc_id", "source", "size", "source_size", "target", crossed(F.col("offset")[0]).alias("copies"))
+    own = {
+        "doc_id": F.col(id_col).cast("long"),
+        "source": F.col(source_col).cast("string"),
+        "size": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"),
+        "alike": F.xxhash64(text),
+        # deals rows that are alike in all else
+        "tie": F.monotonically_increasing_id(),
+    }
+    rows = whole(docs, **own) if with_doc else docs.select(*(c.alias(name) for name, c in own.items()))
+    rows = _in_order(rows, scratch, "ordered", F.col("source").asc_nulls_last(), "size", "doc_id", "alike", "tie")
+    # a row for each source of each part; as parts are ranges, not more than sources and parts together
+    parts = rows.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.min("nth").alias("first"))
+    parts = scratch.table(parts, "parts")
+    goal = scratch.table(targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), scratch, weights, share, most), "targets")
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    places = parts.select("source", "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift")).alias("p")
+    places = places.join(goal.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    places = places.select(F.col("p.source").alias("of"), F.col("part").alias("in"), "shift", "source_size", "target", rate.alias("rate"))
+    found = rows.join(places, (F.col("part") == F.col("in")) & F.col("source").eqNullSafe(F.col("of")))
+    at, u = F.col("shift") + F.col("nth"), offset(seed)
+    copies = F.floor((at + 1) * F.col("rate") + u) - F.floor(at * F.col("rate") + u)
+    return found.select(*(["doc"] if with_doc else []), "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mix_report(docs: DataFrame, *, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, source, copies."""
-    got = _copies(docs, Scratch(docs.sparkSession, "mix"), weights, share, most, seed, id_col, text_col, source_col)
+    got = _copies(docs, Scratch(docs.sparkSession, "mix"), weights, share, most, seed, id_col, text_col, source_col, False)
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
 def mix(docs: DataFrame, *, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as it is taken."""
-    scratch = Scratch(docs.sparkSession, "mix")
-    got = _copies(docs, scratch, weights, share, most, seed, id_col, text_col, source_col)
-    took = scratch.table(got.groupBy(F.col("row").alias("_row")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_alike")), "took")
-    keyed = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), id_col, source_col))
-    mixed = keyed.join(took.where("_copies > 0"), "_row")
-    if took.where("_alike > 1").isEmpty():
-        each = F.col("_copies")
-    else:  # repeated rows share their copies out
-        nth = F.row_number().over(Window.partitionBy("_row").orderBy(*docs.columns))
-        each = F.floor(F.col("_copies") / F.col("_alike")) + (nth <= F.col("_copies") % F.col("_alike")).cast("int")
-    mixed = mixed.withColumn("_each", each.cast("int")).where("_each > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*docs.columns)
+    got = _copies(docs, Scratch(docs.sparkSession, "mix"), weights, share, most, seed, id_col, text_col, source_col, True).where("copies > 0")
+    return got.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("doc.*")

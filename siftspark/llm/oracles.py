@@ -54,12 +54,9 @@ ORACLES = {
              s AS (SELECT source, source_size::BIGINT AS source_size, round(CASE WHEN level IS NULL THEN cap ELSE least(level * w, cap) END, 6) AS target FROM s2 LEFT JOIN l ON true),
              p AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
                           row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) - 1 AS pos FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source),
-             o AS (SELECT source, j, ('0x' || left(sha256('mix|' || coalesce('=' || source, 'null') || '|' || j), 13))::BIGINT / 4503599627370496.0 AS u FROM s, range(32) x(j)),
-             q AS (SELECT p.doc_id, p.source, size, source_size, target, j, (floor((pos + 1) * rate + u) - floor(pos * rate + u))::BIGINT AS copies
-                   FROM p JOIN o ON o.source IS NOT DISTINCT FROM p.source),
-             b AS (SELECT source, j FROM (SELECT source, j, abs(sum(size * copies) - any_value(target)) AS off FROM q GROUP BY source, j)
-                   QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, j) = 1)
-        SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken FROM q JOIN b ON b.source IS NOT DISTINCT FROM q.source AND b.j = q.j
+             u AS (SELECT source, ('0x' || left(sha256('mix|' || coalesce('=' || source, 'null')), 13))::BIGINT / 4503599627370496.0 AS u FROM s)
+        SELECT doc_id, size, source_size, target, (size * (floor((pos + 1) * rate + u) - floor(pos * rate + u)))::BIGINT AS taken
+        FROM p JOIN u ON u.source IS NOT DISTINCT FROM p.source
     """,
     "op10_embedding_dedup": f"""
         WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),

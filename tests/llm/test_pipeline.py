@@ -8,10 +8,11 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from siftspark.llm import mixing, packing, toxicity
+from siftspark.llm import packing, toxicity
 from siftspark.llm.queries import tokenizer_file
 
 from .test_pairs import SPACE, roots, shingles
+from .test_texts import plain_targets
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -75,7 +76,7 @@ def test_stages(spark, corpus, tmp_path):
         have[source[i]] += size(i)
     for i in ids[3]:
         took[source[i]] += size(i)
-    target = mixing.targets(list(have.items()))
+    target = plain_targets(list(have.items()))
     assert set(ids[3]) <= set(ids[2]) and max(Counter(ids[3]).values()) <= 2
     assert all(abs(took[s] - target[s]) <= 130 for s in have)
 
