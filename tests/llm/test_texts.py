@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from siftspark.llm import chat_format, language_id, line_dedup, mixing, packing, toxicity, url_filter
+from siftspark.llm.common import Scratch
 from siftspark.llm.queries import oracle_sql, queries, tokenizer_file
 
 
@@ -92,10 +93,34 @@ def test_word_tokenizer(text):
 # --- mixing ---------------------------------------------------------------------------------------
 
 
-def test_targets():
-    got = mixing.targets([("b", 100), (None, 10), ("a", 100)])
+def plain_targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
+    """Words to take of each source: shared by weight, the excess reshared until no source is above its limit."""
+    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
+    weight = {name: float(weights[i % len(weights)]) for i, (name, _) in enumerate(order)}
+    size = {name: float(n) for name, n in order}
+    total, out, free = share * sum(size.values()), {}, set(size)
+    while free:
+        each = total / sum(weight[s] for s in free)
+        above = {s for s in free if each * weight[s] > most * size[s]}
+        if not above:
+            return out | {s: each * weight[s] for s in free}
+        out |= {s: most * size[s] for s in above}
+        total -= sum(out[s] for s in above)
+        free -= above
+    return out
+
+
+def test_targets(spark):
+    def targets(rows):
+        got = mixing.targets(spark.createDataFrame(rows, "source string, source_size long"), Scratch(spark, "targets"))
+        return {r["source"]: r["target"] for r in got.collect()}
+
+    got = targets([("b", 100), (None, 10), ("a", 100)])
     assert sum(got.values()) == pytest.approx(315) and got[None] == 20 and got["a"] == pytest.approx(200) and got["b"] == pytest.approx(95)
-    assert mixing.targets([]) == {} and mixing.targets([("a", 0)]) == {"a": 0.0}
+    assert targets([]) == {} and targets([("a", 0)]) == {"a": 0.0}
+    rng = random.Random(1)
+    many = [(f"s{i:03d}", rng.choice([0, 1, 10, 100, 5000])) for i in range(90)]
+    assert targets(many) == pytest.approx(plain_targets(many))
 
 
 def test_mix(spark):
@@ -111,7 +136,7 @@ def test_mix(spark):
         taken[r["source"]] += r["taken"]
         target[r["source"]] = r["target"]
         assert r["taken"] <= 2 * r["size"]
-    assert target == pytest.approx(mixing.targets(list(sizes.items())))
+    assert target == pytest.approx(plain_targets(list(sizes.items())))
     assert all(abs(taken[s] - target[s]) <= max(40, 0.01 * target[s]) for s in sizes)
     again = mixing.mix_report(df.repartition(7)).collect()
     assert Counter(map(str, again)) == Counter(map(str, report))
@@ -126,15 +151,16 @@ def test_mix(spark):
 # --- lines ----------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
-def test_lines(spark, broadcast_bytes):
+@pytest.mark.parametrize("asks", [10_000, 3])
+def test_lines(spark, monkeypatch, asks):
+    monkeypatch.setattr(line_dedup, "ASKS", asks)
     rng = random.Random(4)
     pool = ["Common", " common\t", "COMMON", "rare", "", "  ", "É x", "é x"]
     rows = [(i, "\n".join(rng.choices(pool, k=rng.randrange(0, 6)))) for i in range(40)] + [(50, None), (51, ""), (52, "tail\n"), (None, "common"), (3, "common\nown")]
     keys = [{line_dedup.line_key(x) for x in (t or "").split("\n")} for _, t in rows]
     counts = Counter(k for s in keys for k in s if k)
     df = table(spark, [(*r, 1) for r in rows], "doc_id long, text string, k1 int")
-    got = line_dedup.line_dedup(df, least=10, broadcast_bytes=broadcast_bytes).collect()
+    got = line_dedup.line_dedup(df, least=10).collect()
     want = []
     for i, t in rows:
         lines = (t or "").split("\n")
@@ -144,13 +170,38 @@ def test_lines(spark, broadcast_bytes):
     assert line_dedup.line_dedup(df.where("false")).count() == 0
 
 
-def test_lines_are_reversible(spark):
+def test_lines_are_reversible(spark, tmp_path):
     a, b = table(spark, [(1, "x\ny"), (2, "x")]), table(spark, [(3, "y\ny\nz")])
-    before = line_dedup.reference_counts(a)
+    before = line_dedup.build(a, least=2)
     both = line_dedup.insert(before, b)
-    assert sorted(r["n"] for r in both.collect()) == [1, 2, 2]
+    assert sorted(r["n"] for r in both.counts.collect()) == [1, 2, 2]
     rows = lambda df: sorted(tuple(r) for r in df.collect())
-    assert rows(line_dedup.delete(both, b)) == rows(before)
+    again = line_dedup.delete(both, b)
+    assert rows(again.counts) == rows(before.counts)
+
+    def held(index):
+        """Which of x, y and z the stored filters hold, and how many marks there are in all."""
+        filters = {r["shard"]: line_dedup.CuckooFilter.of(r["marks"]) for r in index.filters.collect()}
+        keys = [line_dedup.key_hash(k) for k in "xyz"]
+        return [k2 % index.shards in filters and k1 in filters[k2 % index.shards] for k1, k2 in keys], sum(int((f.table > 0).sum()) for f in filters.values())
+
+    assert held(before) == ([True, False, False], 1) and held(both) == ([True, True, False], 2) and held(again) == held(before)
+    path = f"file://{tmp_path}/index"
+    both.save(path)
+    kept = {r["doc_id"]: r["kept"] for r in line_dedup.line_dedup(table(spark, [(7, "z\nY\nq"), (8, "z")]), index=line_dedup.LineIndex.load(spark, path)).collect()}
+    assert kept == {7: "z\nq", 8: "z"}
+
+
+def test_filters_that_overflow(spark):
+    """A shard that grows far beyond its first filter, and back."""
+    few, many = table(spark, [(1, "a\nb")]), table(spark, [(i, f"l{j}") for j in range(9000) for i in (2 * j, 2 * j + 1)])
+    before = line_dedup.insert(line_dedup.build(few, least=2), few)
+    after = line_dedup.insert(before, many)
+    filters = {r["shard"]: line_dedup.CuckooFilter.of(r["marks"]) for r in after.filters.collect()}
+    keys = [line_dedup.key_hash(k) for k in ["a", "b", *(f"l{j}" for j in range(9000))]]
+    assert all(k1 in filters[k2 % after.shards] for k1, k2 in keys) and sum(int((f.table > 0).sum()) for f in filters.values()) == len(keys)
+    back = line_dedup.delete(after, many)
+    assert sum(int((line_dedup.CuckooFilter.of(r["marks"]).table > 0).sum()) for r in back.filters.collect()) == 2
 
 
 def test_cuckoo_filter():
