@@ -9,14 +9,14 @@ loss mask covers the bodies and end marks of the assistant's turns, as character
 ``<|`` inside a text or role becomes ``< |``, so that no text can open a turn.
 
 Defined cases: a null text is an empty turn, a null or empty role the speaker ``unknown``; null turns come first; turns of equal number
-follow by role, then text; repeated rows are rendered as often; rows of a null conversation form one; a dialogue
+follow by role, then text; repeated rows are rendered as often; texts of any length are rendered whole; rows of a null conversation form one; a dialogue
 of system turns alone has no participant and gives no row; an empty table gives an empty result; other columns do not matter.
 A rendered dialogue is one value, so a dialogue's turns meet in one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,32 +27,29 @@ def _safe(c: Column) -> Column:
 def chat_perspectives(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per dialogue and participant: conv_id, speaker, n_turns, rendered, loss_spans, n_loss_chars."""
     role = F.coalesce(F.nullif(_safe(F.col(role_col)), F.lit("")), F.lit("unknown"))
-    turn = F.struct(F.col(turn_col).cast("long").alias("turn"), role.alias("role"), _safe(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    dialogues = turns.select(F.col(conv_col).alias("conv_id"), turn.alias("turn")).groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-    speakers = F.array_sort(F.array_distinct(F.filter(F.transform("turns", lambda t: t["role"]), lambda r: r != "system")))
-    sides = dialogues.select("conv_id", "turns", F.explode(speakers).alias("speaker"))
-
-    def part(t: Column) -> Column:
-        mine = t["role"] == F.col("speaker")
-        head = F.when(mine, "<|assistant|>\n").when(t["role"] == "system", "<|system|>\n").otherwise(F.concat(F.lit("<|user name="), t["role"], F.lit("|>\n")))
-        return F.struct(head.alias("head"), F.concat(t["text"], F.lit("<|end|>")).alias("body"), mine.alias("mine"))
-
-    parts = sides.select("conv_id", "speaker", F.transform("turns", part).alias("parts"))
-    widths = F.transform("parts", lambda p: F.length(p["head"]) + F.length(p["body"]) + 1)
-    # where each part ends, as running sums
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("ends"))
-    ends = F.aggregate(widths, zero, lambda acc, w: F.struct((acc["at"] + w).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + w)).alias("ends")), lambda acc: acc["ends"])
-    placed = parts.withColumn("ends", ends)
-    spans = F.filter(
-        F.zip_with("parts", "ends", lambda p, e: F.when(p["mine"], F.concat_ws("-", (e - 1 - F.length(p["body"])).cast("string"), (e - 1).cast("string")))),
-        lambda s: s.isNotNull(),
-    )
-    loss = F.aggregate("parts", F.lit(0).cast("long"), lambda acc, p: acc + F.when(p["mine"], F.length(p["body"])).otherwise(0))
-    return placed.select(
+    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), _safe(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    rows = rows.withColumn("body", F.concat("text", F.lit("<|end|>")))
+    mine = F.lit("<|assistant|>\n")
+    head = F.when(F.col("role") == "system", "<|system|>\n").otherwise(F.concat(F.lit("<|user name="), "role", F.lit("|>\n")))
+    rows = rows.withColumn("head", head)
+    # where each turn ends if all are others' turns; ends are distinct, as no turn is empty
+    so_far = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("at", F.sum(F.length("head") + F.length("body") + 1).over(so_far))
+    # for the speaker of a turn, all of their turns up to it have the assistant's head
+    nth = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("at"))
+    end = F.col("at") + nth * (F.length(mine) - F.length("head"))
+    span = F.concat_ws("-", (end - 1 - F.length("body")).cast("string"), (end - 1).cast("string"))
+    part = F.struct("at", "role", "head", "body", span.alias("span"))
+    dialogues = rows.select("conv_id", part.alias("part")).groupBy("conv_id").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    speakers = F.array_sort(F.array_distinct(F.filter(F.transform("parts", lambda p: p["role"]), lambda r: r != "system")))
+    sides = dialogues.select("conv_id", "parts", F.explode(speakers).alias("speaker"))
+    said = F.filter("parts", lambda p: p["role"] == F.col("speaker"))
+    whole = F.transform("parts", lambda p: F.concat(F.when(p["role"] == F.col("speaker"), mine).otherwise(p["head"]), p["body"], F.lit("\n")))
+    return sides.select(
         "conv_id",
         "speaker",
         F.size("parts").cast("long").alias("n_turns"),
-        F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "").alias("rendered"),
-        F.array_join(spans, ",").alias("loss_spans"),
-        loss.alias("n_loss_chars"),
+        F.array_join(whole, "").alias("rendered"),
+        F.array_join(F.transform(said, lambda p: p["span"]), ",").alias("loss_spans"),
+        F.aggregate(said, F.lit(0).cast("long"), lambda n, p: n + F.length(p["body"])).alias("n_loss_chars"),
     )
