@@ -10,8 +10,8 @@ The fit uses at most ``per_language`` rows of each language (a documented bound;
 is smallest, none of them held out). Language, source and id are never inputs of a prediction.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any sampled row all are ``und``;
-null languages are not learned; repeated rows are predicted each; an empty table gives an empty result;
-other columns do not matter.
+null languages are not learned; repeated rows are predicted each; texts of any length are read whole, by their bytes whether
+UTF-8 or not; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, _LETTER, blocks, held_out, lean, mix
+from .common import _LETTER, blocks, held_out, lean, mix, small_batches
 from .features import sample_ids, sample_texts
 
 DIMS = 1 << 13
@@ -149,7 +149,7 @@ def _predicted(shared):
 
 def language_id(docs: DataFrame, *, per_language: int = 600, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score, rejected."""
-    Scratch(docs.sparkSession, "language")  # for its batch size
+    small_batches(docs.sparkSession)
     model = train(docs, per_language=per_language, id_col=id_col, text_col=text_col, lang_col=lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # CENTROIDS x DIMS floats for each language
     text = F.col(text_col)

@@ -13,7 +13,8 @@ row is scored on its whole text. Labels and ids are never inputs of a score.
 
 Defined cases: null and empty texts get the score of no terms at all; labels that are null or of unknown
 documents are ignored; without rows of both classes every score is the share of the class there is (0 without
-any); repeated rows are scored each; an empty table gives an empty result; other columns do not matter.
+any); repeated rows are scored each; texts of any length are scored whole, by their bytes whether UTF-8 or not; an empty
+table gives an empty result; other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import _LETTER, Scratch, blocks, held_out, lean, mix, prefix_hash, runs, signed, span_hash
+from .common import _LETTER, Scratch, blocks, held_out, lean, mix, prefix_hash, runs, signed, small_batches, span_hash, whole
 from .features import sample_ids, sample_texts
 
 BUCKETS = 1 << 22
 PREFIXES = (3, 4, 5, 6, 7, 8, 9)
-#: Factors of the machine, and buckets that it may use.
+#: Factors of the machine, and its size: buckets of which it may have weights (a parameter of the fit).
 FACTORS, MOST_TERMS = 4, 20_000
 #: Terms whose pairs one step counts at once.
 TILE = 1024
@@ -115,10 +117,10 @@ def choose(bucket: np.ndarray, pos: np.ndarray, neg: np.ndarray, n: int, good: i
     return bucket[chosen], g[chosen]
 
 
-def best(bucket: np.ndarray, worth: np.ndarray) -> np.ndarray:
-    """The distinct buckets of most worth, sorted."""
+def best(bucket: np.ndarray, worth: np.ndarray, most: int = MOST_TERMS) -> np.ndarray:
+    """The ``most`` distinct buckets of most worth, sorted."""
     order = np.argsort(-worth, kind="stable")
-    first = np.sort(np.unique(bucket[order], return_index=True)[1])[:MOST_TERMS]
+    first = np.sort(np.unique(bucket[order], return_index=True)[1])[:most]
     return np.sort(bucket[order][first])
 
 
@@ -314,11 +316,11 @@ def _rows_of(used: DataFrame, bucket: np.ndarray) -> tuple[list[np.ndarray], np.
     return [np.frombuffer(r["terms"], np.int32) for r in got], np.array([r["label"] for r in got])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
+def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 4000, terms: int = MOST_TERMS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """A machine from the rows of ``labels`` that are not held out.
 
-    The terms of the sample stay on the executors; to the driver come its ids and labels, the buckets that may
-    be chosen, and what each row has of those that are.
+    ``per_class`` bounds the sample, ``terms`` the machine, which is broadcast. The terms of the sample stay on the
+    executors; to the driver come its ids and labels, the buckets that may be chosen, and what each row has of those that are.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxic-sample")
@@ -327,27 +329,27 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 4000, id_col:
     if not sample:
         return constant(np.zeros(0))
     fields = "doc_id long, label int, s1 long, s2 long, buckets binary"
-    terms = scratch.table(sample_texts(docs, sample, "int", id_col, text_col).mapInArrow(lean(_sampled), fields), "terms")
-    rows = sorted(tuple(r) for r in terms.select("doc_id", "label", "s1", "s2").distinct().collect())
+    held = scratch.table(sample_texts(docs, sample, "int", id_col, text_col).mapInArrow(lean(_sampled), fields), "terms")
+    rows = sorted(tuple(r) for r in held.select("doc_id", "label", "s1", "s2").distinct().collect())
     rows = [rows[i] for i in unlike([((s1, s2), label) for _, label, s1, s2 in rows])]
     label = np.array([r[1] for r in rows])
     if not len(label) or label.min() == label.max():
         return constant(label)
     own = spark.createDataFrame(rows, "doc_id long, label int, s1 long, s2 long")
-    used = terms.dropDuplicates(["doc_id", "label", "s1", "s2"]).join(F.broadcast(own), ["doc_id", "label", "s1", "s2"]).select("label", "buckets")
+    used = held.dropDuplicates(["doc_id", "label", "s1", "s2"]).join(F.broadcast(own), ["doc_id", "label", "s1", "s2"]).select("label", "buckets")
     # a bucket with fewer toxic rows can never be chosen
     tally = _tally(used).where("pos >= 3").toPandas()
     bucket, worth = choose(*(tally[c].to_numpy() for c in ("bucket", "pos", "neg")), len(label), int(label.sum()))
-    names = best(bucket, worth)
+    names = best(bucket, worth, terms)
     rows, label = _rows_of(used, names)
     machine = fit(rows, label, names)
     doubtful = np.zeros(len(names), bool)
-    for terms, y in zip(rows, label):
-        if not y and machine.logits(terms, np.zeros(len(terms), np.int64), 1)[0] >= _logit(CUT):
-            doubtful[terms] = True
+    for own, y in zip(rows, label):
+        if not y and machine.logits(own, np.zeros(len(own), np.int64), 1)[0] >= _logit(CUT):
+            doubtful[own] = True
     more, gain = best_pairs(used, machine, doubtful)
     if len(more):
-        names = best(np.concatenate((bucket, more)), np.concatenate((worth, gain)))
+        names = best(np.concatenate((bucket, more)), np.concatenate((worth, gain)), terms)
         # common terms begin without a weight: in long texts they would add up
         machine = fit(*_rows_of(used, names), names, start=np.where(np.isin(names, bucket), 0.3, 0.0))
     scratch.close()
@@ -384,12 +386,12 @@ def score(docs: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col
 def reject_toxic(docs: DataFrame, machine: Machine, *, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not toxic, with their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    kept = docs.select(F.col(text_col).alias("_text"), *docs.columns)
-    kept = kept.mapInArrow(lean(_scored(shared)), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, score double")
-    return kept.where(F.col("score") < CUT).select(*docs.columns)
+    rows = whole(docs, text=F.col(text_col)).select("text", "doc")
+    fields = StructType([rows.schema["doc"], StructField("score", DoubleType())])
+    return rows.mapInArrow(lean(_scored(shared)), fields).where(F.col("score") < CUT).select("doc.*")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``score`` with a machine of ``train``."""
-    Scratch(docs.sparkSession, "toxicity")  # for its batch size
+    small_batches(docs.sparkSession)
     return score(docs, train(docs, labels, **options))

@@ -5,7 +5,8 @@ strict and soft terms of the vocabulary in one pass; a hit counts where letters
 of it. One strict term, or ``SOFT_LIMIT`` distinct soft ones, reject the url.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and is searched as it is (null: allowed);
-repeated rows are judged each; null ids are kept; an empty table gives an empty result; other columns do not matter.
+repeated rows are judged each; null ids are kept; urls of any length are searched whole; bytes that are not UTF-8 become
+U+FFFD; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -59,8 +60,9 @@ def _judged(rules, strict, soft, limit):
         for batch in batches:
             out = []
             for url, host, path in zip(*(batch.column(x).to_pylist() for x in ("url", "host", "path"))):
+                url = (url or b"").decode(errors="replace")
                 fit = next((r for r in order if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])), None)
-                a, b = hits(automaton, (url or "").translate({c: c + 32 for c in range(65, 91)}))
+                a, b = hits(automaton, url.translate({c: c + 32 for c in range(65, 91)}))
                 out.append((fit and fit[1] + fit[2], fit[0] if fit else "block" if a or len(b) >= limit else "allow", a, b))
             types = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
             cols = list(zip(*out)) or [()] * 4
@@ -77,7 +79,7 @@ def url_filter(pages: DataFrame, *, rules=RULES, strict=STRICT, soft=SOFT, limit
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
-        url.alias("url"),
+        url.cast("binary").alias("url"),
         F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), upper, lower).alias("host"),
         F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1).alias("path"),
     )
