@@ -50,12 +50,6 @@ def store(spark: SparkSession, sf_dir: str, *, porter: bool = True) -> Store:
     return Store(m.drop("body"), stemmed(found) if porter else found, vectors(spark, sf_dir), identifier_index(m, "id", ["body"]))
 
 
-def query_vectors(spark: SparkSession, sf_dir: str, ids: list[int]) -> dict[int, list[float]]:
-    """Vectors of the archive that stand in for those of query texts."""
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(ids)).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return {r["vec_id"]: r["v"] for r in rows.collect()}
-
-
 def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding records of the documents that have a vector: every 7th is stale, every 5th is from before content hashes."""
     from ..functions.text import clean_body, sha256
@@ -75,13 +69,13 @@ def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def queries_of(vectors_by_id: dict[int, list[float]]) -> list[Query]:
-    """A fixed batch: words of several lanes, inferred and given lanes, dates, and lanes that match nothing."""
-    v = vectors_by_id.get
-    return [
-        Query(1, "that the and", v(1)),
-        Query(2, "der die und", v(2), lane="de"),
-        Query(3, "que de la", v(3), after="2024-06-01", before="2025-03-31"),
-        Query(4, "the invoice", v(4)),
-        Query(5, "with are", v(5), lane="en", after="2024-03-01"),
+def queries_of(ids: list[int]) -> list[Query]:
+    """A query for each id, in turn with words of several lanes, inferred and given lanes, dates, and lanes that match nothing."""
+    kinds = [
+        ("that the and", {}),
+        ("der die und", {"lane": "de"}),
+        ("que de la", {"after": "2024-06-01", "before": "2025-03-31"}),
+        ("the invoice", {}),
+        ("with are", {"lane": "en", "after": "2024-03-01"}),
     ]
+    return [Query(i, kinds[n % 5][0], **kinds[n % 5][1]) for n, i in enumerate(ids)]

@@ -613,9 +613,12 @@ def hits_prompt(spark, sf_dir):
 
 @query
 def hybrid_retrieve(spark, sf_dir):
-    """The whole plan: inferred and given lanes, dates, fallback, packs and spines."""
-    asked = archive.queries_of(archive.query_vectors(spark, sf_dir, [1, 2, 3, 4, 5]))
-    return _round(retrieve(spark, archive.store(spark, sf_dir), asked, now=archive.NOW), "rrf")
+    """The whole plan: inferred and given lanes, dates, fallback, packs and spines. The ids of the queries come to the driver,
+    where queries are; their vectors do not."""
+    asked = _asked(spark, sf_dir)
+    ids = sorted(r["query_id"] for r in asked.select("query_id").collect())
+    near = lambda queries, k: vector.knn_table(archive.vectors(spark, sf_dir), asked, k)
+    return _round(retrieve(spark, archive.store(spark, sf_dir), archive.queries_of(ids), now=archive.NOW, vec_hits=near), "rrf")
 
 
 def _embedded(spark: SparkSession, sf_dir: str) -> tuple[VersionedTable, DataFrame]:

@@ -23,6 +23,8 @@ from ..operators.vector import knn
 # Lengths of the three lists, and of the result.
 FTS_K = VEC_K = IDS_K = 50
 DEFAULT_K = 20
+#: Queries of which what they find is sent to every task.
+MOST_BROADCAST = 500
 WEIGHTS = {"subject": SUBJECT_BOOST, "body": 1.0, "from_addr": 1.0}
 
 
@@ -102,13 +104,14 @@ def retrieve(
     k = max(1, k)
     lanes = {q.query_id: infer_lane(q.text, q.lane) for q in queries}
     inferred = {q.query_id: None for q in queries if q.lane is None and lanes[q.query_id]}
-    # what follows from the driver's queries is small: at most two filters, and VEC_K neighbours, of each
-    limits = F.broadcast(filters(spark, queries, lanes, inferred))
+    # what follows from few queries is small: two filters, 50 neighbours, 150 hits of each at most
+    small = F.broadcast if len(queries) <= MOST_BROADCAST else lambda df: df
+    limits = small(filters(spark, queries, lanes, inferred))
     kind = store.messages.schema["id"].dataType.simpleString()
 
     near = vec_hits(queries, VEC_K) if vec_hits else knn(store.vectors, [(q.query_id, q.vector) for q in queries if q.vector is not None], VEC_K)
     fts = lexical_list(spark, store, queries, limits).persist()
-    vec = vector_list(F.broadcast(near.withColumn("id", F.col("id").cast(kind))), store, limits).persist()
+    vec = vector_list(small(near.withColumn("id", F.col("id").cast(kind))), store, limits).persist()
     asked = [q for q in queries if is_identifier_query(q.text)]
     if asked and store.identifiers is not None:
         found = identifier_match(spark, store.identifiers, {q.query_id: query_identifiers(q.text) for q in asked})
@@ -123,21 +126,20 @@ def retrieve(
     turn = left.select("query_id", F.col("v").isNull().alias("free_vec"), (F.col("v").isNull() & F.col("f").isNull() & F.col("i").isNull()).alias("free_fts"))
 
     def chosen(rows: DataFrame, flag: str) -> DataFrame:
-        with_turn = rows.join(F.broadcast(turn), "query_id", "left")
+        with_turn = rows.join(small(turn), "query_id", "left")
         return with_turn.where(F.col("variant") == F.coalesce(F.col(flag), F.lit(False)).cast("int"))
 
     fused = fuse(chosen(fts, "free_fts"), chosen(vec, "free_vec"), ids, with_ids=[q.query_id for q in asked])
-    fused = decayed(F.broadcast(fused), store.messages, now, except_for=[q.query_id for q in queries if q.after or q.before])
+    fused = decayed(small(fused), store.messages, now, except_for=[q.query_id for q in queries if q.after or q.before])
     facts = store.messages.select("id", "thread_id", F.col("date_utc").alias("date"), F.col("from_addr").alias("from"), "subject", "snippet", "lane")
-    # at most 150 rows of each query
-    hits = F.broadcast(positioned(fused)).join(facts, "id", "left").persist()
+    hits = small(positioned(fused)).join(facts, "id", "left").persist()
     hits, _ = rerank(hits, {q.query_id: q.text for q in queries}, scorer, top)
     packed = pack(hits, k)
     if expand:
         out = expand_spine(packed, hits, store.messages)
     else:
         out = packed.select("query_id", "id", F.col("pack_pos").alias("out_pos"), F.lit(True).alias("in_pack"), "fts_rank", "vec_rank", "rrf", "rerank")
-    out = F.broadcast(out).join(facts, "id", "left")
+    out = small(out).join(facts, "id", "left")
     if store.chunks is not None:
         out = out.join(first_chunks(store.chunks).withColumn("id", F.col("id").cast(kind)), "id", "left")
     else:
