@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import uuid
 
 import numpy as np
@@ -65,6 +66,12 @@ class Scratch:
         for name in names:
             self._remove(f"{self.root}/{name}")
 
+    def free(self) -> None:
+        """Lets go of the shuffle files of steps that are over: Spark removes them when the driver's JVM finds that nothing
+        refers to them, which on a large heap may be long after."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self) -> None:
         try:
             self._remove(self.root)

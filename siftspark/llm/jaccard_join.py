@@ -11,14 +11,15 @@ cell. The order puts frequent tokens last, by a sketch of fixed width that count
 decides speed, never results.
 
 The result needs components, not all pairs. So the first round opens each chunk for its own members, and for
-one anchor of every candidate group; the second opens what is left only where query and chunk still have different
-components. A large group of near copies is joined by its anchors, and no list of all its pairs exists. No
-token, group or candidate is capped.
+one anchor of every group at the largest group of each of its tokens. The second round opens the cells of groups that share
+tokens and do not all belong to one component yet, for the classes of another component than the chunk's. Near copies
+are joined by the first round, and no list of all their pairs, or of the pairs of their groups, is made. A chunk that many
+classes ask is copied. No token, group or candidate is capped.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and link with nothing (each is
 its own component); rows with a null id keep a null component; rows of the same id count as one document, with
-their links pooled; an empty table gives an empty result; other columns do not matter. Shingles are compared as 64-bit
-hashes and classes as pairs of such.
+their links pooled; texts of any length are read whole, by their bytes whether UTF-8 or not; an empty table gives an empty
+result; other columns do not matter, whatever their names. Shingles are compared as 64-bit hashes and classes as pairs of such.
 """
 
 from __future__ import annotations
@@ -30,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, lean, mix, shingle_rows, shuffle_partitions, signed
+from .common import Scratch, blocks, lean, mix, shingle_rows, shuffle_partitions, signed, whole
 from .components import connected_components
 
 #: Counters of the sketch, and the parts in which tasks hand them over.
 WIDTH, PARTS = 1 << 21, 32
-#: Classes of a group's chunk, on average at most.
-MEMBERS = 256
+#: Classes of a group's chunk, on average at most, and queries of a copy of one.
+MEMBERS, ASKS = 256, 256
 
 
 def _class(tokens: np.ndarray) -> tuple[int, int]:
@@ -68,8 +69,9 @@ def _classes(k: int):
                 yield pa.RecordBatch.from_arrays([ids.slice(first, n), *cols, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         step = WIDTH // PARTS
         if sketch.any():
-            # saturating: a token this frequent in one task is frequent anyway
-            parts = [np.minimum(sketch[i * step : (i + 1) * step], 255).astype(np.uint8).tobytes() for i in range(PARTS)]
+            # a byte for each: fifteenths of powers of two
+            scaled = np.minimum(np.round(15 * np.log2(1.0 + sketch)), 255).astype(np.uint8)
+            parts = [scaled[i * step : (i + 1) * step].tobytes() for i in range(PARTS)]
             blank = pa.nulls(PARTS, pa.int64())
             yield pa.RecordBatch.from_arrays([blank, blank, blank, blank, blank, pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
@@ -80,7 +82,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            add = np.frombuffer(counts, np.uint8).astype(np.int64)
+            add = 2 ** (np.frombuffer(counts, np.uint8) / 15) - 1
             sums[part] = sums[part] + add if part in sums else add
     if sums:
         # only the order of magnitude matters for the order of tokens: eighths of powers of two
@@ -88,6 +90,11 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(level, pa.binary())], names=["part", "counts"])
 
 
+#: Columns of the rows of prefixes; least rows of a token that are dealt to several parts, and classes that a task remembers.
+_TOKENS = ["token", "g", "n", "at", "salt", "c"]
+HOT, KNOWN = 4096, 100_000
+
+
 def common_needed(n: int) -> int:
     """Tokens that the prefixes of two linked sets must share, of which the smaller has ``n`` tokens (or fewer, if
     they need not share as many in all)."""
@@ -95,64 +102,69 @@ def common_needed(n: int) -> int:
 
 
 def _prefixes(k: int, num: int, den: int, shared):
-    """Of (text): (token, g, n, at) of the first tokens of each class, once per task and class."""
+    """Of (text): (token, g, n, at, salt, c) of the first tokens of each class, once for most classes of a task; ``salt`` deals
+    the rows of a token that very many texts have, and is 0 for all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = shared.value
+        level, hot = shared.value
         done: set[tuple[int, int]] = set()
         for batch in batches:
             for _, data, offsets in blocks(batch.column(0)):
-                tokens, groups, sizes, places = [], [], [], []
+                tokens, groups, sizes, places, salts, names = [], [], [], [], [], []
                 for t in shingle_rows(data, offsets, k):
                     if not len(t) or (key := _class(t)) in done:
                         continue
+                    if len(done) >= KNOWN:
+                        done.clear()
                     done.add(key)
                     n = len(t)
                     take = min(n, n - -(-num * n // den) + common_needed(n))
-                    order = np.argsort(level[(t & np.uint64(WIDTH - 1)).astype(np.int64)], kind="stable")[:take]
+                    seen = level[(t & np.uint64(WIDTH - 1)).astype(np.int64)]
+                    order = np.argsort(seen, kind="stable")[:take]
                     tokens.append(t[order])
                     groups.append(np.full(take, _group(t)))
                     sizes.append(np.full(take, n))
                     places.append(np.arange(take))
+                    deal = (2 ** (seen[order] / 8) / hot).astype(np.int64)
+                    salts.append(np.where(deal > 0, 1 + key[0] % np.maximum(deal, 1), 0))
+                    names.append(np.full(take, key[0]))
                 if tokens:
-                    cols = [signed(np.concatenate(tokens)), *(np.concatenate(x) for x in (groups, sizes, places))]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["token", "g", "n", "at"])
+                    cols = [signed(np.concatenate(tokens)), *(np.concatenate(x) for x in (groups, sizes, places, salts, names))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=_TOKENS)
 
     return run
 
 
 def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (token, g, n, at): the first of each (token, g, n) whose token has more than one group."""
-    carry = np.zeros((0, 4), np.int64)  # the first rows of a token that so far has one group
-    wide = None  # the token of the last row, if it has several groups
+    """Of rows sorted by (token, salt, g, n, at): the first of each (token, salt, g, n) whose token has a salt or more than
+    one class."""
+    carry = np.zeros((0, 6), np.int64)  # the first rows of a token that so far has one class
+    wide = None  # the token of the last row, if it is kept whole
     last = None
     for batch in batches:
-        rows = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
+        rows = np.stack([c.to_numpy() for c in batch.columns], 1)
         if not len(rows):
             continue
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(1)
-        new[0] = last is None or (rows[0, :3] != last[:3]).any()
+        before = np.concatenate((rows[:1] if last is None else last[None], rows[:-1]))
+        new = (rows[:, [0, 1, 2, 4]] != before[:, [0, 1, 2, 4]]).any(1)
+        new[0] |= last is None
         last = rows[-1].copy()
-        rows = rows[new]
+        # rows of a token whose class is not the one before it, and those with a salt, make it one that is kept
+        marked = (rows[:, 0] == before[:, 0]) & (rows[:, 5] != before[:, 5]) | (rows[:, 4] > 0)
+        kept = np.unique(rows[marked, 0])
+        rows = np.concatenate((carry, rows[new]))
         if not len(rows):
+            if len(kept) and kept[-1] == last[0]:
+                wide = int(last[0])
             continue
-        if len(carry):
-            rows = np.concatenate((carry, rows))
-        starts = np.flatnonzero(np.diff(rows[:, 0], prepend=rows[0, 0] - 1))
-        starts = starts if len(starts) else np.zeros(1, np.int64)
-        low, high = np.minimum.reduceat(rows[:, 1], starts), np.maximum.reduceat(rows[:, 1], starts)
-        several = low != high
-        if wide is not None and rows[0, 0] == wide:
-            several[0] = True
-        lengths = np.diff(np.append(starts, len(rows)))
-        keep = np.repeat(several, lengths)
-        tail = not several[-1]
-        wide = None if tail else int(rows[-1, 0])
-        carry = rows[starts[-1] :] if tail else carry[:0]
+        keep = np.isin(rows[:, 0], kept)
+        if wide is not None:
+            keep |= rows[:, 0] == wide
+        wide = int(last[0]) if last[0] == wide or (len(kept) and np.isin(last[0], kept)) else None
+        tail = rows[:, 0] == last[0]
+        carry = rows[tail] if wide is None else rows[:0]
         if keep.any():
-            out = rows[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, i])) for i in range(4)], names=["token", "g", "n", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in rows[keep].T], names=_TOKENS)
 
 
 def _sets(k: int):
@@ -183,7 +195,9 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class Opened:
-    """One chunk of a group: its row of the matrix, its members, and who is linked with whom so far."""
+    """One chunk of a group: its row of the matrix, its members, and who is linked with whom so far.
+
+    Classes go by the component that they are known to belong to, so those of one component are never compared."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
@@ -199,10 +213,10 @@ class Opened:
             self.root[x] = x = self.root[self.root[x]]
         return x
 
-    def member(self, rep: int, key: tuple, tokens: np.ndarray) -> None:
+    def member(self, component: int, key: tuple, tokens: np.ndarray) -> None:
         if key not in self.seen:
             self.seen.add(key)
-            self.ids.append(rep)
+            self.ids.append(component)
             self.sets.append(tokens)
 
     def complete(self, own: bool) -> list[tuple[int, int]]:
@@ -211,9 +225,9 @@ class Opened:
             return []
         self.union = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
         self.size = np.array([len(s) for s in self.sets])
-        return [x for rep, tokens in zip(self.ids, self.sets) for x in self.query(rep, tokens)] if own and len(self.sets) > 1 else []
+        return [x for component, tokens in zip(self.ids, self.sets) for x in self.query(component, tokens)] if own and len(self.sets) > 1 else []
 
-    def query(self, rep: int, tokens: np.ndarray) -> list[tuple[int, int]]:
+    def query(self, component: int, tokens: np.ndarray) -> list[tuple[int, int]]:
         """New links of a query with members that it is not yet connected with."""
         n = len(tokens)
         if self.den * _common(tokens, self.union) < self.num * n:  # not even all of the group together
@@ -221,20 +235,22 @@ class Opened:
         out = []
         for i in np.flatnonzero((self.den * self.size >= self.num * n) & (self.den * n >= self.num * self.size)):
             other = self.ids[i]
-            if self.find(rep) == self.find(other):
+            if self.find(component) == self.find(other):
                 continue
             both = _common(tokens, self.sets[i])
             if self.den * both >= self.num * (n + self.size[i] - both):
-                self.root[self.find(rep)] = self.find(other)
-                out.append((rep, other))
+                self.root[self.find(component)] = self.find(other)
+                out.append((component, other))
         return out
 
 
 def _open(num: int, den: int, own: bool):
-    """Of rows (g, chunk, is_query, rep, c, h, tokens) sorted by the first three: links (src, dst)."""
+    """Of rows (g, chunk, copy, kind, component, rep, c, h, tokens) sorted by the first four: links (src, dst). A chunk's rows
+    are the components of members that are in another's than their own (kind 0), its members (1), and its queries (2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, chunk = None, Opened(num, den)
+        known: dict[tuple, int] = {}
         links: list[tuple[int, int]] = []
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -243,16 +259,17 @@ def _open(num: int, den: int, own: bool):
                 links.clear()
 
         for batch in batches:
-            for g, part, is_query, rep, c, h, tokens in zip(*(x.to_pylist() for x in batch.columns)):
-                if now != (g, part):
+            for g, part, copy, kind, component, rep, c, h, tokens in zip(*(x.to_pylist() for x in batch.columns)):
+                if now != (g, part, copy):
                     links += chunk.complete(own)
-                    now, chunk = (g, part), Opened(num, den)
-                tokens = np.frombuffer(tokens, np.uint64)
-                if is_query:
-                    links += chunk.complete(own)
-                    links += chunk.query(rep, tokens)
+                    now, chunk, known = (g, part, copy), Opened(num, den), {}
+                if kind == 0:
+                    known[rep, c, h] = component
+                elif kind == 1:
+                    chunk.member(known.get((rep, c, h), rep), (rep, c, h), np.frombuffer(tokens, np.uint64))
                 else:
-                    chunk.member(rep, (rep, c, h), tokens)
+                    links += chunk.complete(own)
+                    links += chunk.query(component, np.frombuffer(tokens, np.uint64))
             yield from out()
         links += chunk.complete(own)
         yield from out()
@@ -265,20 +282,13 @@ SLOTS = 1 << 20
 
 
 def _likely(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
-    """Rows of which ``keys`` may be in ``wanted``: those whose hash falls on a slot that is taken there."""
-    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")
-    taken = np.zeros(SLOTS, bool)
-    taken[[r[0] for r in wanted.select(slot).distinct().collect()]] = True  # SLOTS values at most
-    shared = rows.sparkSession.sparkContext.broadcast(taken)
+    """Rows of which ``keys`` may be in ``wanted``: those whose hash falls on a slot that is taken there. What is broadcast
+    is the numbers of the slots, ``SLOTS`` at most."""
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int").alias("slot")
+    return rows.select("*", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi").drop("slot")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(shared.value[batch.column(0).to_numpy()])).select(batch.schema.names[1:])
-
-    return rows.select(slot.alias("_slot"), *rows.columns).mapInArrow(lean(run), rows.schema)
 
-
-def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", members: int = MEMBERS) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", members: int = MEMBERS, asks_each: int = ASKS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Two documents link when ``den * |intersection| >= num * |union|`` of their ``k``-word shingles.
@@ -295,80 +305,137 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     level = np.zeros(WIDTH, np.uint16)
     for r in sums:
         level[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["counts"], np.uint16)
-    shared = spark.sparkContext.broadcast(level)
+    # where many tokens share each counter, only one far above the others tells a frequent token
+    shared = spark.sparkContext.broadcast((level, max(HOT, 8 * float((2 ** (level / 8)).mean()))))
 
     classes = rows.where("n > 0 and doc_id is not null").groupBy("c", "h", "n", "g").agg(F.min("doc_id").alias("rep"))
     classes = scratch.table(classes, "classes")
-    groups = classes.groupBy("g").agg(F.count("*").alias("classes"), F.min(F.struct("rep", "c", "h")).alias("anchor"))
+    fields = ", ".join(f"{name} long" for name in _TOKENS)
+    tokens = texts.where("doc_id is not null").select("text").mapInArrow(lean(_prefixes(k, num, den, shared)), fields)
+    tokens = tokens.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "g", "n", "at").mapInArrow(lean(_shared_tokens), fields)
+    tokens = scratch.table(tokens, "tokens")
+    scratch.free()
+    pooled = tokens.where("salt > 0").groupBy("token", "g", "n").agg(F.min("at").alias("at"))
+    tokens = tokens.where("salt = 0").select("token", "g", "n", "at").union(pooled)
+
+    # what a class of size n shares in the prefixes with any that it links with, at least; others take no further part
+    fewest = F.least(F.floor(F.col("n") * num / den / 100) + common_needed(0), F.ceil(F.col("n") * num / den))
+    busy = scratch.table(tokens.groupBy("g", "n").count().where(F.col("count") >= fewest).select("g", "n"), "busy")
+    some = classes.join(busy, ["g", "n"], "left_semi")
+    groups = some.groupBy("g").agg(F.count("*").alias("classes"), F.min(F.struct("rep", "c", "h")).alias("anchor"))
     groups = scratch.table(groups.withColumn("chunks", F.ceil(F.col("classes") / members).cast("int")), "groups")
 
-    # cells of the matrix that prefixes can fill: pairs of groups with a common token and compatible sizes
-    # (by size, and by how many tokens come after the common one)
-    tokens = texts.where("doc_id is not null").select("text").mapInArrow(lean(_prefixes(k, num, den, shared)), "token long, g long, n long, at long")
-    tokens = tokens.repartition(parts, "token").sortWithinPartitions("token", "g", "n", "at").mapInArrow(lean(_shared_tokens), "token long, g long, n long, at long")
-    tokens = scratch.table(tokens, "tokens")
-    a, b = tokens.alias("a"), tokens.alias("b")
-    fits = (F.col("a.n") * den >= F.col("b.n") * num) & (F.col("b.n") * den >= F.col("a.n") * num)
-    # what two sets of these sizes share if they link, and how much of it within the prefixes
-    needed = F.ceil((F.col("a.n") + F.col("b.n")) * num / (num + den))
-    early = F.least(F.floor(F.least("a.n", "b.n") / 100) + common_needed(0), needed)
-    fits &= F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) + early - 1 >= needed
-    cells = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.g") < F.col("b.g")) & fits)
-    cells = cells.select(F.col("a.g").alias("qg"), F.col("b.g").alias("g"), early.alias("early"))
-    cells = cells.groupBy("qg", "g").agg(F.count("*").alias("common"), F.min("early").alias("early")).where("common >= early")
-    cells = scratch.table(cells.select("qg", "g"), "cells")
-
-    # sets of the classes that any cell, or their own group, may open
-    busy = cells.select(F.col("qg").alias("g")).union(cells.select("g")).union(groups.where("classes > 1").select("g")).distinct()
-    asking = cells.select(F.col("qg").alias("g"), F.lit(True).alias("asks")).distinct()
-    facts = groups.join(busy, "g", "left_semi").join(asking, "g", "left").select("g", "chunks", "anchor", F.coalesce("asks", F.lit(False)).alias("asks"))
+    # the first cells: each group with the largest one of every token, so that near copies meet in few places
+    tokens = scratch.table(tokens.join(busy.join(groups.select("g", "classes"), "g"), ["g", "n"]), "kept")
+    scratch.drop("tokens")
+    hubs = tokens.groupBy("token").agg(F.max(F.struct("classes", "g")).alias("hub")).select("token", F.col("hub.g").alias("hub"))
+    cells = tokens.join(hubs, "token").where("g <> hub").groupBy("g", "hub").agg(F.count("*").alias("common"), F.min("n").alias("n")).where(F.col("common") >= fewest)
+    cells = scratch.table(cells.select(F.col("g").alias("qg"), F.col("hub").alias("g")), "cells")
+
+    # in the first round the hubs and the groups of several classes are opened, and the anchors of some ask
+    hosts = cells.select("g", F.lit(True).alias("hosts")).distinct()
+    guests = cells.select(F.col("qg").alias("g"), F.lit(True).alias("guests")).distinct()
+    facts = groups.join(hosts, "g", "left").join(guests, "g", "left").select(
+        "g", "chunks", "anchor", ((F.col("classes") > 1) | F.coalesce("hosts", F.lit(False))).alias("opens"), ((F.col("chunks") > 1) | F.coalesce("guests", F.lit(False))).alias("asks")
+    )
     # written, so that the join with the classes of a very large group is one that can be split
-    placed = classes.join(scratch.table(facts, "facts"), "g").withColumn("chunk", F.pmod("h", "chunks").cast("int"))
+    placed = some.join(scratch.table(facts, "facts"), "g").withColumn("chunk", F.pmod("h", "chunks").cast("int"))
     is_anchor = (F.col("rep") == F.col("anchor.rep")) & (F.col("c") == F.col("anchor.c")) & (F.col("h") == F.col("anchor.h"))
-    wanted = placed.select("rep", "c", "h", "g", "chunk", "chunks", is_anchor.alias("is_anchor"), (is_anchor & F.col("asks")).alias("asks"))
-    wanted = scratch.table(wanted, "wanted")
-    sets = texts.join(wanted.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id").select("doc_id", "text", "c", "h", "g", "chunk", "chunks", "is_anchor", "asks")
-    sets = sets.mapInArrow(lean(_sets(k)), "rep long, c long, h long, g long, chunk int, chunks int, is_anchor boolean, asks boolean, tokens binary")
+    wanted = scratch.table(placed.select("rep", "c", "h", "g", "chunk", "opens", (is_anchor & F.col("asks")).alias("asks")), "wanted")
+    named = wanted.withColumnRenamed("rep", "doc_id")
+    sets = _likely(texts, named, "doc_id").join(named.hint("merge"), "doc_id").select("doc_id", "text", "c", "h", "g", "chunk", "opens", "asks")
+    sets = sets.mapInArrow(lean(_sets(k)), "rep long, c long, h long, g long, chunk int, opens boolean, asks boolean, tokens binary")
     sets = scratch.table(sets, "sets")
+    scratch.free()
     each = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    columns = ["g", "chunk", "is_query", "rep", "c", "h", "tokens"]
-
-    def opened(queries: DataFrame, targets: DataFrame, own: bool, name: str) -> DataFrame:
-        """Links of queries (g, chunk, rep, c, h, tokens) with the members of their chunk among ``targets``, and
-        of these with each other if ``own``."""
-        inside = targets.withColumn("is_query", F.lit(False)).select(*columns)
-        both = inside.union(queries.withColumn("is_query", F.lit(True)).select(*columns))
-        both = both.repartition(parts, "g", "chunk").sortWithinPartitions("g", "chunk", "is_query", "rep")
+    columns = ["g", "chunk", "copy", "kind", "component", "rep", "c", "h", "tokens"]
+
+    def opened(asks: DataFrame, askers: DataFrame, targets: DataFrame, own: bool, name: str, names: DataFrame | None = None) -> DataFrame:
+        """Links of ``asks`` (g, chunk, rep, c, h, component), whose tokens are among ``askers``, with the members of
+        their chunk among ``targets``, and of these with each other if ``own``. A chunk that many ask is copied, and its
+        queries are dealt to the copies. ``names`` (g, chunk, rep, c, h, component): members in another's component."""
+        copies = F.ceil(F.col("n") / asks_each).cast("int")
+        load = scratch.table(asks.groupBy("g", "chunk").agg(F.count("*").alias("n")).select("g", "chunk", copies.alias("copies")), f"{name}-load")
+        busy = load.where("copies > 1")
+        many = F.coalesce("copies", F.lit(1))
+        of = F.pmod(F.xxhash64("rep", "c", "h"), many).cast("int")
+        dealt = asks.join(busy, ["g", "chunk"], "left").select("g", "chunk", of.alias("copy"), F.lit(2).alias("kind"), "rep", "c", "h", "component")
+
+        def copied(rows: DataFrame, kind: int) -> DataFrame:
+            each_copy = F.explode(F.sequence(F.lit(0), many - 1))
+            return rows.join(busy, ["g", "chunk"], "left").withColumn("copy", each_copy).withColumn("kind", F.lit(kind)).select(*columns)
+
+        both = dealt.join(askers.select("rep", "c", "h", "tokens"), ["rep", "c", "h"]).select(*columns)
+        both = both.union(copied(targets.withColumn("component", F.lit(None).cast("long")), 1))
+        if names is not None:
+            both = both.union(copied(names.withColumn("tokens", F.lit(None).cast("binary")), 0))
+        both = both.repartition(parts, "g", "chunk", "copy").sortWithinPartitions("g", "chunk", "copy", "kind", "component", "rep", "c", "h")
         return scratch.table(both.mapInArrow(lean(_open(num, den, own)), "src long, dst long"), name)
 
-    anchors = sets.where("is_anchor")
-    across = anchors.where("chunks > 1").select("g", each.alias("chunk"), "rep", "c", "h", "tokens")
+    anchor = ["anchor.rep", "anchor.c", "anchor.h", F.col("anchor.rep").alias("component")]
+    across = groups.where("chunks > 1").select("g", each.alias("chunk"), *anchor)
     reach = cells.join(groups.select("g", "chunks"), "g").select("qg", "g", each.alias("chunk"))
-    far = sets.where("asks").select(F.col("g").alias("qg"), "rep", "c", "h", "tokens").join(reach, "qg").select("g", "chunk", "rep", "c", "h", "tokens")
-    links = opened(across.union(far), sets, True, "links-1")
+    far = reach.join(groups.select(F.col("g").alias("qg"), "anchor"), "qg").select("g", "chunk", *anchor)
+    links = opened(across.union(far), sets.where("asks"), sets.where("opens"), True, "links-1")
     # one document with several texts pools their links
     same = rows.where("n > 0 and doc_id is not null").join(classes, ["c", "h", "n", "g"]).select("doc_id", "rep")
     links = links.union(same.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").join(same, "doc_id").select("doc_id", "rep"))
-    found = scratch.table(connected_components(links, scratch, "cc-1"), "found-1")
-
-    # what the anchors have not settled: other members of a query's group, chunks with a component of others
-    inner = groups.where("chunks > 1").select(F.col("g").alias("qg"), "g", "chunks")
-    outer = cells.join(groups.select("g", "chunks"), "g").select("qg", "g", "chunks")
-    larger = groups.where("classes > 1").select(F.col("g").alias("qg"))
-    open_cells = inner.union(outer.join(larger, "qg", "left_semi")).select("qg", "g", each.alias("chunk"))
-    if not open_cells.isEmpty():
-        known = wanted.join(found, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
+    found = connected_components(links, scratch, "cc-1")
+    scratch.free()
+
+    # what that has not settled: other chunks of a query's group, and groups that share tokens while their classes are not
+    # all of one component. A token's largest component is never paired with itself, so near copies make no pairs here.
+    known = scratch.table(wanted.join(found, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")), "known")
+    most = F.max(F.struct("count", "component"))
+    span = known.groupBy("g", "component").count().groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"), most.alias("top"))
+    span = scratch.table(span, "span")
+    inner = groups.where("chunks > 1").join(span.where("low <> high"), "g").select(F.col("g").alias("qg"), "g")
+    of = tokens.join(span.select("g", F.when(F.col("low") == F.col("high"), F.col("low")).alias("of")), "g")
+    major = of.where("of is not null").groupBy("token", "of").count().groupBy("token").agg(F.max(F.struct("count", "of")).alias("m")).select("token", F.col("m.of").alias("major"))
+    of = of.join(major, "token", "left").withColumn("is_major", F.coalesce(F.col("of") == F.col("major"), F.lit(False)))
+    of = scratch.table(of.select("token", "g", "n", "at", "of", "is_major"), "of")
+    a, b = of.where("not is_major").alias("a"), of.alias("b")
+    apart = (F.col("a.g") != F.col("b.g")) & F.coalesce(F.col("a.of") != F.col("b.of"), F.lit(True)) & (F.col("b.is_major") | (F.col("a.g") < F.col("b.g")))
+    # by size, and by how many tokens come after the common one: what two sets of these sizes share if they link, and how
+    # much of it within the prefixes
+    fits = (F.col("a.n") * den >= F.col("b.n") * num) & (F.col("b.n") * den >= F.col("a.n") * num)
+    needed = F.ceil((F.col("a.n") + F.col("b.n")) * num / (num + den))
+    early = F.least(F.floor(F.least("a.n", "b.n") / 100) + common_needed(0), needed)
+    fits &= F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) + early - 1 >= needed
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & apart & fits)
+    pairs = pairs.select(F.least("a.g", "b.g").alias("qg"), F.greatest("a.g", "b.g").alias("g"), early.alias("early"))
+    pairs = pairs.groupBy("qg", "g").agg(F.count("*").alias("common"), F.min("early").alias("early")).where("common >= early")
+    pairs = scratch.table(inner.union(pairs.select("qg", "g")), "pairs")
+    if not pairs.isEmpty():
+        # Of a cell's two groups one, the host, has its largest component. The other's classes that are not of it ask all of
+        # the host's chunks; where the other has some that are, the host's strays ask the chunks of those.
+        top, chunked = span.select("g", "top"), groups.select("g", "chunks")
+        sides = pairs.join(top.select(F.col("g").alias("qg"), F.col("top").alias("qtop")), "qg").join(top, "g")
+        hosts = F.col("qtop") >= F.col("top")
+        either = lambda a, b: F.when(hosts, a).otherwise(b)
+        sides = sides.select(either(F.col("qg"), F.col("g")).alias("host"), either(F.col("g"), F.col("qg")).alias("guest"), F.greatest("qtop", "top")["component"].alias("main"), F.least("qtop", "top")["component"].alias("usual"))
+        sides = scratch.table(sides, "sides")
+        class_ = known.select(F.col("g").alias("asking"), F.col("chunk").alias("from"), "rep", "c", "h", "component")
+        strays = class_.join(top.select(F.col("g").alias("asking"), F.col("top.component").alias("own")), "asking").where("component <> own").drop("own")
+        guests = sides.select(F.col("guest").alias("asking"), F.col("host").alias("g"), "main", "usual")
+        asks = guests.where("main = usual").join(strays, "asking").unionByName(guests.where("main <> usual").join(class_, "asking").where("component <> main"))
+        asks = asks.join(chunked, "g").withColumn("chunk", each).where("asking <> g or `from` <> chunk").select("g", "chunk", "rep", "c", "h", "component")
+        held = known.select("g", "chunk", F.col("component").alias("main")).distinct()
+        back = sides.where("host <> guest").select(F.col("host").alias("asking"), F.col("guest").alias("g"), "main").join(held, ["g", "main"]).join(strays, "asking")
+        asks = asks.union(back.select("g", "chunk", "rep", "c", "h", "component"))
         span = known.groupBy("g", "chunk").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        asks = known.where("not is_anchor").select(F.col("g").alias("qg"), F.col("chunk").alias("qchunk"), "rep", "c", "h", "component").join(open_cells, "qg").where("qg <> g or qchunk <> chunk")
-        asks = asks.join(span, ["g", "chunk"]).where("low <> component or high <> component").select("g", "chunk", "rep", "c", "h")
+        asks = asks.join(span, ["g", "chunk"]).where("low <> component or high <> component").select("g", "chunk", "rep", "c", "h", "component")
         asks = scratch.table(asks, "asks")
         if not asks.isEmpty():
-            targets = _likely(sets, asks, "g", "chunk").join(asks.select("g", "chunk").distinct(), ["g", "chunk"], "left_semi")
-            askers = _likely(sets, asks, "rep", "c", "h").select("rep", "c", "h", "tokens")
-            more = opened(asks.join(askers, ["rep", "c", "h"]), targets, False, "links-2")
+            chunks = asks.select("g", "chunk").distinct()
+            targets = _likely(sets, asks, "g", "chunk").join(chunks, ["g", "chunk"], "left_semi")
+            names = known.where("component <> rep").join(chunks, ["g", "chunk"], "left_semi")
+            more = opened(asks, _likely(sets, asks, "rep", "c", "h"), targets, False, "links-2", names)
             links = more.union(found.select(F.col("node").alias("src"), F.col("component").alias("dst")))
-            found = scratch.table(connected_components(links, scratch, "cc-2"), "found-2")
-    scratch.drop("tokens", "cells", "sets", "wanted")
+            found = connected_components(links, scratch, "cc-2")
+    # the result reads the documents' classes and the components alone
+    loads = [f"links-{i}{x}" for i in (1, 2) for x in ("", "-load")]
+    scratch.drop("busy", "groups", "kept", "cells", "facts", "wanted", "sets", "known", "span", "of", "pairs", "sides", "asks", *loads)
 
     whole = classes.join(found, F.col("rep") == F.col("node"), "left").select("c", "h", F.col("n"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(whole, ["c", "h", "n"], "left")
@@ -378,5 +445,5 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
 def drop_near_copies(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their component: those of its smallest id."""
     found = jaccard_components(docs, k=k, num=num, den=den, id_col=id_col, text_col=text_col)
-    others = found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(others, F.col(id_col).cast("long") == F.col("_id"), "left_anti")
+    others = found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    return whole(docs, id=F.col(id_col).cast("long")).join(others, "id", "left_anti").select("doc.*")

@@ -67,6 +67,17 @@ def test_jaccard(spark, k, num, members):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(s), want[i]) for i, s in sets.items()}
 
 
+def test_jaccard_hot(spark, monkeypatch):
+    """Every token dealt to several parts, chunks of two classes, copies of one query each, and classes forgotten at once."""
+    monkeypatch.setattr(jaccard_join, "HOT", 1)
+    monkeypatch.setattr(jaccard_join, "KNOWN", 1)
+    rows = texts(11, 40)
+    sets = {i: shingles(t, 3) for i, t in rows}
+    want = roots(sets, [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 70 * len(sets[a] | sets[b])])
+    got = jaccard_join.jaccard_components(table(spark, rows), k=3, num=70, members=2, asks_each=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_jaccard_large_group(spark):
     """Near copies in more chunks than one, chained so that no document is near all others."""
     words = [f"v{i}" for i in range(300)]
