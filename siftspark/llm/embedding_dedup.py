@@ -1,12 +1,14 @@
 """Embedding near-dedup: a navigable small-world graph per shard, every shard queried, cosines verified.
 
 Vectors with equal components are one class, so copies are neither indexed nor compared again. Classes are dealt
-by hash into shards of bounded size; a task builds the graph of one shard, audits it against brute force on samples
-of its own vectors, until enough links between different ones are seen, and widens the beam until the audit reaches
-``RECALL``. Blocks of vectors are then sent to the shards, each pair of shards meeting once; each foreign shard is audited
-in the same way, and a block that fails is asked again with a wider beam. A full beam widens further, and one as wide as the
-shard is brute force. What a beam finds is checked in double precision. Links inside a shard are reduced to labels, so a query names each of a shard's components
-once; counts of links are added up instead of listing pairs.
+by hash into shards of bounded size; a task builds the graph of one shard and audits it against brute force: on a sample of
+its vectors, each without its match with itself, and, as true links may be rare, on as many vectors made from the sample
+whose cosine with their origin lies between the threshold and 1. The beam widens until both audits reach ``RECALL``.
+Blocks of vectors are then sent to the shards, each pair of shards meeting once; a sample of every foreign block is audited
+too, and a block that fails is asked with a wider beam. A full beam widens further, and one as wide as the
+shard is brute force. What a beam finds is checked in double precision. Links inside a shard are reduced to labels, so a
+query names each of a shard's components once; counts of links are added up instead of listing pairs. What the audits
+wanted and found with the beam that was used in the end is logged.
 
 Defined cases: vectors that are null, zero, empty, or hold null or non-finite components link with nothing; only vectors of
 equal length are compared; a null id is kept, links with nothing and has a null component; rows of the same
@@ -16,24 +18,27 @@ id and equal vectors count as separate vectors; an empty table gives an empty re
 from __future__ import annotations
 
 import hashlib
+import logging
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, lean
 from .components import connected_components
 from .hnsw import Graph
 
+_log = logging.getLogger(__name__)
+
 #: Least number of shards, and most classes in one on average.
 SHARDS, SHARD_SIZE = 12, 65_536
 BLOCK = 512
-RECALL, AUDIT, BEAM = 0.995, 256, 32
-#: Links that an audit must have seen, or all rows: with fewer than 1 / (1 - RECALL) none may be missing.
-ENOUGH = 400
+#: Share of links that audits must find; vectors of a shard, and of a foreign block, that are audited; beam to begin with.
+RECALL, AUDIT, SPOT, BEAM = 0.995, 256, 32, 16
 #: Single precision of the beam against double precision of the check.
 SLACK = 1e-4
 
@@ -41,13 +46,15 @@ SLACK = 1e-4
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (vec_id, embedding as doubles): validity, a hash of the vector and its bytes."""
     for batch in batches:
+        column = batch.column(1)
+        flat = pc.fill_null(column.flatten(), math.nan).to_numpy()
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())
         good, k1, k2, raw = [], [], [], []
-        for v in batch.column(1):
-            x = np.array([], float) if not v.is_valid else np.array([math.nan if c is None else c for c in v.as_py()], float)
-            with np.errstate(over="ignore"):
-                ok = len(x) > 0 and bool(np.isfinite(x).all()) and bool(x.any())
-            x = (x / np.abs(x).max() if ok else x) + 0.0
-            d = hashlib.blake2b((x if ok else np.zeros(0)).tobytes(), digest_size=16).digest()
+        for a, b in zip(np.concatenate(([0], ends)), ends):
+            x = flat[a:b]
+            ok = b > a and bool(np.isfinite(x).all()) and bool(x.any())
+            x = (x / np.abs(x).max() if ok else x[:0]) + 0.0
+            d = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
             good.append(ok)
             k1.append(int.from_bytes(d[:8], "little", signed=True))
             k2.append(int.from_bytes(d[8:], "little", signed=True))
@@ -88,7 +95,7 @@ class _Shard:
         self.linked = np.zeros(len(self.ids), np.int64)
         self.label = np.arange(len(self.ids))
         self.beam = BEAM
-        self.source, self.seen = None, 0
+        self.wanted = self.found = 0
         self._audit()
 
     def _links(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,48 +110,41 @@ class _Shard:
             m.append(j[good])
         return np.concatenate(q), np.concatenate(m)
 
-    def _missed(self, unit: np.ndarray, want: np.ndarray, itself: np.ndarray | None = None) -> bool:
-        """Whether the beam finds too few of the links ``want`` (row x shard size + node); ``itself``: the rows' own nodes."""
-        q, m = self.pairs(unit, self.beam)
-        if itself is not None:
-            q, m = q[m != itself[q]], m[m != itself[q]]
-        return np.isin(want, q * len(self.unit) + m).sum() < RECALL * len(want)
-
-    def _audit(self) -> None:
-        """Widens the beam until the links of a sample between different vectors are found."""
+    def _widen(self, unit: np.ndarray, itself: np.ndarray | None = None) -> None:
+        """Widens the beam until it finds the links of rows, as brute force does; ``itself``: the rows' own nodes."""
         n = len(self.unit)
-        order = np.random.default_rng(5).permutation(n)
-        rows, want, taken = [], [], 0
-        while taken < n and sum(map(len, want)) < ENOUGH:
-            some = order[taken : taken + AUDIT]
-            q, m = self._links(self.unit[some])
-            other = m != some[q]
-            want.append((q[other] + taken) * n + m[other])
-            rows.append(some)
-            taken += len(some)
-        rows, want = np.concatenate(rows), np.concatenate(want)
-        # only rows with links can fail
-        linked, at = np.unique(want // n, return_inverse=True)
-        rows, want = rows[linked], at * n + want % n
-        while self.beam < n and self._missed(self.unit[rows], want, rows):
-            self.beam *= 2
 
-    def _audit_foreign(self, source: int, unit: np.ndarray) -> None:
-        """The same for rows of another shard, of which at least ``AUDIT`` of each block are sampled, and all of them until
-        enough links of that shard were seen."""
-        if source != self.source:
-            self.source, self.seen = source, 0
-        n = len(self.unit)
-        order = np.random.default_rng(5).permutation(len(unit))
-        for a in range(0, len(unit), AUDIT):
-            if a and self.seen >= ENOUGH:
+        def codes(q: np.ndarray, m: np.ndarray) -> np.ndarray:
+            if itself is not None:
+                q, m = q[m != itself[q]], m[m != itself[q]]
+            return q * n + m
+
+        want = codes(*self._links(unit))
+        rows = np.unique(want // n)  # only rows with links can fail
+        if not len(rows):
+            return
+        unit, itself = unit[rows], None if itself is None else itself[rows]
+        want = np.searchsorted(rows, want // n) * n + want % n
+        while True:
+            found = int(np.isin(want, codes(*self.pairs(unit, self.beam))).sum())
+            if found >= RECALL * len(want) or self.beam >= n:
                 break
-            some = order[a : a + AUDIT]
-            q, m = self._links(unit[some])
-            self.seen += len(q)
-            linked, at = np.unique(q, return_inverse=True)
-            while self.beam < n and len(q) and self._missed(unit[some[linked]], at * n + m):
-                self.beam *= 2
+            self.beam *= 2
+        self.wanted += len(want)
+        self.found += found
+
+    def _audit(self) -> None:
+        """Of a sample of the shard: the vectors themselves, and others made from them that link with them."""
+        rng = np.random.default_rng(5)
+        some = rng.permutation(len(self.unit))[:AUDIT]
+        self._widen(self.unit[some], some)
+        x = self.unit[some]
+        side = rng.normal(size=x.shape)
+        side -= np.einsum("ij,ij->i", side, x)[:, None] * x
+        width = np.linalg.norm(side, axis=1, keepdims=True)
+        cosine = self.least + (1 - self.least) * rng.uniform(0.01, 0.9, (len(x), 1))
+        made = cosine * x + np.sqrt(1 - cosine**2) * side / np.maximum(width, 1e-300)
+        self._widen(made[width[:, 0] > 1e-9])  # one dimension has no other side
 
     def pairs(self, unit: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         if beam >= len(self.unit):
@@ -177,10 +177,10 @@ class _Shard:
             if (before == self.label).all():
                 break
 
-    def query(self, ids: np.ndarray, ns: np.ndarray, x: np.ndarray, source: int = -1):
-        """Of a block of shard ``source``: links of each row, and the edges (row, component of the shard)."""
+    def query(self, ids: np.ndarray, ns: np.ndarray, x: np.ndarray):
+        """Of a block of another shard: links of each row, and the edges (row, component of the shard)."""
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        self._audit_foreign(source, unit)
+        self._widen(unit[np.random.default_rng(len(unit)).permutation(len(unit))[:SPOT]])
         q, m = self.pairs(unit, self.beam)
         self.linked += np.bincount(m, ns[q], len(self.ids)).astype(np.int64)
         links = np.bincount(q, self.ns[m], len(ids)).astype(np.int64)
@@ -218,6 +218,9 @@ def _searched(least: float):
             yield from begin()
             if shard is not None:
                 yield counts(shard.ids, shard.linked)
+                # the audits' figures are a row without a vector
+                audited = [None], [shard.wanted], [shard.found], [None]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in audited], schema=_FOUND)
 
         for batch in batches:
             for dim, target, source, is_query, ids, ns, x in zip(*(c.to_pylist() for c in batch.columns)):
@@ -230,7 +233,7 @@ def _searched(least: float):
                 yield from begin()
                 if shard is not None:
                     block = np.frombuffer(ids, np.int64).reshape(-1, 2)
-                    links, src, dst = shard.query(block, np.frombuffer(ns, np.int64), np.frombuffer(x, np.float64).reshape(-1, dim), source)
+                    links, src, dst = shard.query(block, np.frombuffer(ns, np.int64), np.frombuffer(x, np.float64).reshape(-1, dim))
                     yield counts(block, links)
                     yield edges(src, dst)
         yield from end()
@@ -238,6 +241,13 @@ def _searched(least: float):
     return run
 
 
+def _places(spark: SparkSession, parts: int) -> DataFrame:
+    """(target, place): numbers of which Spark's hash deals one to each of ``parts`` partitions, so that no two shards share
+    a task."""
+    numbers = spark.range(64 * parts).select(F.col("id").alias("place"), F.pmod(F.hash("id"), F.lit(parts)).alias("target"))
+    return numbers.groupBy("target").agg(F.min("place").alias("place"))
+
+
 def embedding_dedup(vectors: DataFrame, *, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", shard_size: int = SHARD_SIZE, shards: int = SHARDS) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
@@ -260,11 +270,13 @@ def embedding_dedup(vectors: DataFrame, *, least: float = 0.9, id_col: str = "ve
     order = ["dim", "target", "shard", "is_query", "ids", "ns", "x"]
     both = blocks.withColumn("target", F.col("shard")).withColumn("is_query", F.lit(False)).select(*order)
     both = both.union(asked.withColumn("is_query", F.lit(True)).select(*order))
-    # the target's number is its partition's, so that no two shards share a task
-    both = both.repartitionByRange(parts, "target").sortWithinPartitions("dim", "target", "is_query", "shard", "ids")
-    found = scratch.table(both.mapInArrow(lean(_searched(least)), "rep long, k1 long, links long, other long"), "found")
+    both = both.join(_places(spark, parts), "target", "left").withColumn("place", F.coalesce("place", "target"))
+    both = both.repartition(parts, "place").sortWithinPartitions("dim", "target", "is_query", "shard", "ids")
+    found = scratch.table(both.select(*order).mapInArrow(lean(_searched(least)), "rep long, k1 long, links long, other long"), "found")
     joined = connected_components(found.where("other is not null").select(F.col("rep").alias("src"), F.col("other").alias("dst")), scratch)
-    links = found.where("other is null").groupBy("rep", "k1").agg(F.sum("links").alias("links"))
+    seen = found.where("rep is null").agg(F.sum("k1"), F.sum("links")).first()
+    _log.info("audits wanted %s links and found %s", *(x or 0 for x in seen))
+    links = found.where("rep is not null and other is null").groupBy("rep", "k1").agg(F.sum("links").alias("links"))
     facts = classes.select("k1", "k2", "rep", "n").join(links, ["rep", "k1"], "left").join(joined, F.col("rep") == F.col("node"), "left")
     facts = facts.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = keyed.select("vec_id", good.alias("good"), "k1", "k2").join(facts, ["k1", "k2"], "left")

@@ -404,7 +404,7 @@ def line_dedup(docs: DataFrame, *, least: int = 10, least_chars: int = 1, id_col
     lines = scratch.table(_lines(docs, text_col, index.least_chars if index else least_chars), "lines")
     index = index or _index_of(_counts(lines), scratch, least, least_chars)
     hits = scratch.table(_hits(index, lines, scratch), "hits")
-    scratch.drop("lines")
+    scratch.drop("lines", "load", "counts", "filters")  # those of a given index are elsewhere
     rows = _named(docs, text_col, F.col(id_col).cast("long").alias("doc_id"))
     text, gone = F.col("text"), F.col("gone")
 

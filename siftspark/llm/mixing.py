@@ -80,6 +80,7 @@ def _copies(docs: DataFrame, scratch: Scratch, weights, share, most, seed, id_co
     parts = rows.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.min("nth").alias("first"))
     parts = scratch.table(parts, "parts")
     goal = scratch.table(targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), scratch, weights, share, most), "targets")
+    scratch.drop("sources", "shares")
     before = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     places = parts.select("source", "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift")).alias("p")
     places = places.join(goal.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))

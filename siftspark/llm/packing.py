@@ -7,7 +7,8 @@ the corpus; sequences with equal contents are planned together. Pieces find thei
 their length. No row is cut, dropped or moved except that documents above the capacity are cut into pieces.
 
 Defined cases: null and empty texts have the end token alone; repeated rows and rows with null ids are packed
-like any other; an empty table gives an empty result; columns other than id and text do not matter.
+like any other; a very long text is tokenised whole and cut into pieces; bytes that are not UTF-8 become U+FFFD; an
+empty table gives an empty result; columns other than id and text do not matter.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean
+from .common import Scratch, lean, shuffle_partitions
 
 CAPACITY = 4096
-#: Parts into which the pieces of one length are dealt to be numbered.
-SALTS = 64
+#: Least pieces of one length that one task numbers before others help.
+LEAST = 1000
 #: Words whose ids a tokenising task remembers.
 CACHE = 200_000
 
@@ -91,7 +92,7 @@ def _pieces(tokenizer: str, capacity: int, end_id: int):
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "") + end
+                ids = encode((text.as_py() or b"").decode(errors="replace")) + end
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
                     rows.append((doc_id, piece, start, len(part) // 4, zlib.crc32(part)))
@@ -197,11 +198,17 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: i
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
-    pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
         lean(_pieces(tokenizer, capacity, end_id)), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
-    pieces = scratch.table(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")), "pieces")
-    # at most capacity x SALTS rows, whatever the corpus
+    pieces = scratch.table(pieces.withColumn("nth", F.monotonically_increasing_id()), "pieces")
+    # at most capacity rows, whatever the corpus
+    lengths = [tuple(r) for r in pieces.groupBy("length").count().collect()]
+    # the pieces of a length that very many have are numbered in several parts
+    each = max(LEAST, sum(n for _, n in lengths) // (4 * shuffle_partitions(spark)))
+    salts = spark.createDataFrame([(length, -(-n // each)) for length, n in lengths], "length long, salts long")
+    pieces = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("nth"), "salts"))
+    # at most a row for each length and part
     counts = sorted(tuple(r) for r in pieces.groupBy("length", "salt").count().collect())
     histogram: dict[int, int] = {}
     first: list[tuple[int, int, int]] = []
@@ -211,14 +218,14 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: i
     if not counts:
         return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     base = np.array(first, dtype=np.int64)
-    bases = spark.sparkContext.broadcast((base[:, 0] * SALTS + base[:, 1], base[:, 2]))
+    bases = spark.sparkContext.broadcast((base[:, 0] << 32 | base[:, 1], base[:, 2]))
     shared = spark.sparkContext.broadcast(plan(histogram, capacity))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, starts = bases.value
         now, n = -1, 0
         for batch in batches:  # sorted: the rows of one length and salt follow each other
-            key = batch.column("length").to_numpy() * SALTS + batch.column("salt").to_numpy()
+            key = batch.column("length").to_numpy() << 32 | batch.column("salt").to_numpy()
             change = np.flatnonzero(np.diff(key, prepend=now)) if len(key) else np.zeros(0, int)
             began = np.zeros(len(key), np.int64)
             began[change] = change

@@ -15,8 +15,8 @@ from ..sources.tables import exists
 from .ask import hybrid_search
 from .retrieve import WEIGHTS, Store
 
-# Sample queries, and how many subjects of each are shown.
-TEXT_QUERIES, HYBRID_QUERIES, SHOWN = ("bill", "Caddell"), ("SDGE bill", "Caddell"), 5
+#: Sample queries, and how many subjects of each are shown.
+TEXT_QUERIES, HYBRID_QUERIES, SHOWN = ("bill", "invoice"), ("utility bill", "invoice"), 5
 
 
 def text_sample(spark: SparkSession, store: Store, queries: Sequence[str] = TEXT_QUERIES, shown: int = SHOWN) -> list[dict]:

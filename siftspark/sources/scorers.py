@@ -170,7 +170,7 @@ def rerank_note(mode: str) -> str:
 
 
 def error_label(error: BaseException) -> str:
-    """What went wrong with a generator, by a fixed set of names."""
+    """What went wrong with a generator, by fixed names."""
     refused = (61, 111, 10061)
     if isinstance(error, ServiceError) and error.__cause__ is not None:
         error = error.__cause__

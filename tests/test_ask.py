@@ -16,14 +16,15 @@ from siftspark.sources.services import ServiceError
 NOW = "2026-09-06T15:00:00Z"
 
 
-def archive(spark, root):
+def archive(spark, root, indexed=True):
     rows = [("m1", "money", "Shop", "Receipt for boat paint", None, "2026-09-01T00:00:00Z", "t1"), ("m2", "auth", "Bank", "Your code is 1", "boat 123456", "2026-09-02T00:00:00Z", "t2"), ("m3", "inbox", "", "", "", "2026-09-03T00:00:00Z", "t1")]
     m = spark.createDataFrame(rows, "id string, lane string, from_addr string, subject string, snippet string, date_utc string, thread_id string")
     schemas.conform(m, schemas.MESSAGES).write.parquet(f"{root}/messages")
     text = [("m1", "Receipt for boat paint", "Paint for the boat, INV-7788", "Shop"), ("m2", "Your code is 1", "boat 123456", "Bank"), ("m3", "Boat again", "More about the boat and its paint", "Ada")]
     spark.createDataFrame(text, schemas.MESSAGE_TEXT).write.parquet(f"{root}/text")
     spark.createDataFrame([("m1", [1.0, 0.0]), ("m3", [0.8, 0.6])], schemas.VECTORS).write.parquet(f"{root}/vectors")
-    refresh_indexes(spark, root)
+    if indexed:
+        refresh_indexes(spark, root)
 
 
 def test_search_stems_as_the_full_text_engine(spark, tmp_path):

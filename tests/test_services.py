@@ -200,7 +200,7 @@ def test_shared_folder(spark):
 
 def test_http_and_tools(spark, tmp_path):
     root = f"file://{tmp_path}/a"
-    archive(spark, root)
+    archive(spark, root, False)
     served = tools(spark, open_store(spark, root), spark.read.parquet(f"{root}/text"), clock=lambda: NOW, drafts=f"{root}/drafts")
     assert server.respond(served, "GET", "/health")[1]["tools"] == list(server.SCHEMAS)
     assert server.respond(served, "GET", "/message?id=m1")[1]["message"]["subject"] == "Receipt for boat paint"
@@ -233,7 +233,7 @@ def test_http_and_tools(spark, tmp_path):
 
 def test_neighbours_from_elsewhere(spark, tmp_path):
     root = f"file://{tmp_path}/a"
-    archive(spark, root)
+    archive(spark, root, False)
     given = lambda queries, k: spark.createDataFrame([(q.query_id, "m3", 1) for q in queries], "query_id long, id string, vec_rank long")
     hits = retrieve(spark, open_store(spark, root), [Query(0, "paint", lane="none")], now=NOW, vec_hits=given, expand=False).collect()
     assert {h["message_id"]: h["vec_rank"] for h in hits if h["vec_rank"] < 1000} == {"m3": 1}
@@ -245,7 +245,7 @@ def test_neighbours_from_elsewhere(spark, tmp_path):
 def test_backfill_merge_and_health(spark, tmp_path, capsys):
     root, other = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
     for r in (root, other):
-        archive(spark, r)
+        archive(spark, r, False)
     spark.createDataFrame([("m1", "m", "v1")], "message_id string, model string, model_version string").write.parquet(f"{root}/meta")
     assert "content_hash" in migrate_table(spark, f"{root}/meta", schemas.META) and migrate_table(spark, f"{root}/meta", schemas.META) == []
     make = lambda: lambda texts: [[float(len(t)), 1.0] for t in texts]
@@ -270,7 +270,7 @@ def test_backfill_merge_and_health(spark, tmp_path, capsys):
     with pytest.raises(ValueError):
         runs.backfill(spark, other, None, now=NOW, dims=2)
     empty = f"file://{tmp_path}/c"
-    archive(spark, empty)
+    archive(spark, empty, False)
     spark.createDataFrame([], schemas.VECTORS).write.mode("overwrite").parquet(f"{empty}/vectors")
     assert runs.merge_archives(spark, empty, [root, other], dry=True)["inserted"] > 0
     total = runs.merge_archives(spark, empty, [root, other])
@@ -286,7 +286,7 @@ def test_backfill_merge_and_health(spark, tmp_path, capsys):
         got = checkup.checkup(spark, open_store(spark, root), *parts, now=NOW, embed=lambda _: [[1.0, 0.0]], probe=down, backups=f"{root}/backups", locks=[str(lock)])
     said = " ".join(got.warnings)
     assert got.exit_code == 0 and got.backups is False and len(got.writers) == 1 and "down" in said and "no backups" in said and "a writer runs" in said
-    assert [t["query"] for t in got.texts] == ["bill", "Caddell"] and all(h["vec_real"] == 0 for h in got.hybrids)
+    assert [t["query"] for t in got.texts] == ["bill", "invoice"] and all(h["vec_real"] == 0 for h in got.hybrids)
     up = checkup.checkup(spark, open_store(spark, root), *parts, now=NOW, embed=lambda _: [[1.0, 0.0]])
     assert any(h["vec_real"] for h in up.hybrids) and up.texts[0]["hits"] == 0 and not up.writers
     assert checkup.text_sample(spark, open_store(spark, root), ["boats"])[0] == {"query": "boats", "hits": 3, "subjects": ["Boat again", "Receipt for boat paint", "Your code is 1"]}
@@ -300,7 +300,7 @@ def test_backfill_merge_and_health(spark, tmp_path, capsys):
 
 def test_daily(spark, tmp_path):
     root, ran = f"file://{tmp_path}/a", []
-    archive(spark, root)
+    archive(spark, root, False)
     make = lambda: lambda texts: [[1.0, 0.0] for _ in texts]
 
     def down():
