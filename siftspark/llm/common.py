@@ -85,6 +85,17 @@ def whole(docs: DataFrame, **own: Column) -> DataFrame:
     return docs.select(F.struct(*names).alias("doc"), *(c.alias(name) for name, c in own.items()))
 
 
+def lower_az(c: Column) -> Column:
+    """A-Z lower-cased, all else as it is; texts without other letters take the faster way."""
+    upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, upper, low))
+
+
+def split_words(c: Column, between: str) -> Column:
+    """The longest runs without a character of the class ``between``, which match its complement, in order."""
+    return F.array_remove(F.split(c, f"{between}+"), "")
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model may learn from: crc32 of the id as text leaves 1 modulo 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -94,6 +105,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def numbered(rows: DataFrame, scratch: Scratch, name: str, *order: Column | str) -> tuple[DataFrame, int]:
+    """``rows`` with their place in the given order, from 0 (``place``), and how many they are. They are dealt by ranges and written
+    once, so that no task sees them all and a task that is run again finds the same order; one number of each part
+    comes to the driver. The order should tell all rows apart, as equal ones are not dealt."""
+    spread = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    written = scratch.table(spread.withColumns({"part": F.spark_partition_id(), "nth": nth}), name)
+    before, starts = 0, []
+    for part, n in sorted(tuple(r) for r in written.groupBy("part").count().collect()):
+        starts.append((part, before))
+        before += n
+    starts = rows.sparkSession.createDataFrame(starts, "part int, before long")
+    placed = written.join(F.broadcast(starts), "part").withColumn("place", F.col("before") + F.col("nth"))
+    return placed.drop("part", "nth", "before"), before
+
+
 def lean(run):
     """A function for ``mapInArrow`` that gives its memory back when its task ends: Spark keeps Python workers for later
     tasks, and what each of them holds on to counts against the executor."""

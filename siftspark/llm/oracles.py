@@ -6,6 +6,10 @@ _CHARS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_LOWER = f"translate(coalesce(text, ''), '{_AZ}', '{_az}')"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
 def _url_sql() -> str:
     """Rules, then the vocabulary as one regular expression for each term."""
     from .url_filter import RULES, SOFT, SOFT_LIMIT, STRICT
@@ -97,4 +101,58 @@ ORACLES = {
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM d
     """,
+    "op13_decontamination": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
+             i AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM benchmark),
+             k AS (SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 8, 2)), lambda p: w[p:p + 9])) AS x FROM i WHERE len(w) > 0),
+             sizes AS (SELECT DISTINCT len(x) AS size FROM k),
+             o AS (SELECT doc_id, p, w[p:p + size - 1] AS x FROM d, sizes, unnest(range(1, len(w) - size + 2)) AS r(p)),
+             hits AS (SELECT o.doc_id, o.p, len(o.x) AS size, k.item_id FROM o JOIN k ON o.x = k.x),
+             n AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS pos FROM hits) GROUP BY doc_id),
+             l AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id
+    """,
+    "op12_source_divergence": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+             w AS (SELECT row_id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+             v AS (SELECT lang, term, count(*)::HUGEINT AS lang_n FROM w GROUP BY lang, term HAVING count(DISTINCT row_id) >= 3),
+             l AS (SELECT lang, count(*)::HUGEINT AS kept, sum(lang_n)::HUGEINT AS lang_total FROM v GROUP BY lang),
+             g AS (SELECT DISTINCT lang, source FROM d),
+             c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w GROUP BY ALL),
+             x AS (SELECT g.lang, g.source, v.term, lang_n, coalesce(n, 0)::HUGEINT AS n FROM g JOIN v ON v.lang = g.lang
+                   LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+             p AS (SELECT x.*, 1 + (1000000000::HUGEINT * (n + 1)) // ((sum(n) OVER (PARTITION BY x.lang, source))::HUGEINT + kept) AS p,
+                          1 + (1000000000::HUGEINT * (lang_n + 1)) // (lang_total + kept) AS q FROM x JOIN l ON l.lang = x.lang),
+             pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value
+                       FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+             r AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value FROM g JOIN g h ON h.lang = g.lang AND h.source <> g.source
+                   LEFT JOIN pairs ON pairs.lang = g.lang AND pairs.source = g.source AND pairs.item = h.source
+                   UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q),
+             k AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r)
+        SELECT * FROM k WHERE part = 'pair' OR rank <= 200
+    """,
+    "op11_importance_resampling": f"""
+        WITH RECURSIVE crc AS (SELECT n, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) AS t FROM range(256) AS r(n)),
+             d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
+             i AS (SELECT regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM benchmark),
+             df AS (SELECT doc_id, unnest(flatten([list_transform(range(1, len(w) + 2 - n), lambda p: array_to_string(w[p:p + n - 1], ' ')) for n in [1, 2, 3]])) AS x FROM d),
+             tf AS (SELECT unnest(flatten([list_transform(range(1, len(w) + 2 - n), lambda p: array_to_string(w[p:p + n - 1], ' ')) for n in [1, 2, 3]])) AS x FROM i),
+             x AS (SELECT x, list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda o: ('0x' || o)::UTINYINT) AS h FROM (SELECT x FROM df UNION SELECT x FROM tf)),
+             st(x, h, c) AS (SELECT x, h, 4294967295::BIGINT FROM x UNION ALL SELECT x, h[2:], xor(t, c >> 8) FROM st JOIN crc ON n = xor(c, h[1]::BIGINT) & 255 WHERE len(h) > 0),
+             b AS (SELECT x, xor(c, 4294967295) % 10000 AS bucket FROM st WHERE len(h) = 0),
+             s AS (SELECT bucket, count(*) AS n FROM df JOIN b ON b.x = df.x GROUP BY bucket),
+             t AS (SELECT bucket, count(*) AS n FROM tf JOIN b ON b.x = tf.x GROUP BY bucket),
+             g AS (SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000)
+                                                    / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000))))::BIGINT AS gain FROM s LEFT JOIN t ON t.bucket = s.bucket),
+             w AS (SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS weight FROM df JOIN b ON b.x = df.x JOIN g ON g.bucket = b.bucket GROUP BY doc_id),
+             sc AS (SELECT d.doc_id, len(d.w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+                           coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('42:' || d.doc_id), 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score
+                    FROM d LEFT JOIN w ON w.doc_id = d.doc_id),
+             r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM sc WHERE n_words >= 20)
+        SELECT sc.doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 5 * count(*) // 100 FROM r) THEN place END AS rank
+        FROM sc LEFT JOIN r ON r.doc_id = sc.doc_id
+    """,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, toxicity, url_filter
+from . import chat_format, decontamination, divergence, embedding_dedup, exact_dedup, importance, jaccard_join, language_id, line_dedup, mixing, packing, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,20 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_dedup(_read(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = importance.importance_resampling(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed="42")
+    return got.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_read(spark, sf_dir, "documents"), least_docs=3, smoothing=1, top=200)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontamination.decontamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), gram=5, span=10)
+    return got.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("item_ids", 256).alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_jaccard_join,
@@ -76,6 +90,9 @@ def queries() -> dict[str, Query]:
         op8_exact_dedup,
         op9_mixing,
         op10_embedding_dedup,
+        op11_importance_resampling,
+        op12_source_divergence,
+        op13_decontamination,
     )
     return {f.__name__: f for f in found}
 
