@@ -49,7 +49,7 @@ def _grams(hashes: Column, n: Column, size: int) -> Column:
 def _smallest_nearby(grams: Column, n_grams: Column, at: Column, width: int) -> Column:
     """Whether the gram at ``at`` is the smallest of any window of ``width`` grams that holds it."""
     starts = _range(F.greatest(at - (width - 1), F.lit(0)), F.least(at, n_grams - width))
-    return F.exists(starts, lambda j: F.get(grams, at) == F.least(*(F.get(grams, j + i) for i in range(width))))
+    return F.exists(starts, lambda j: F.get(grams, at) == F.array_min(F.array(*(F.get(grams, j + i) for i in range(width)))))
 
 
 def _fingerprint(words: Column, at: Column, value: Column, size: int, around: int) -> Column:
@@ -133,9 +133,13 @@ def decontamination(
 
     at = F.filter(_range(F.lit(0), F.size("grams") - 1), held)
     parts = [F.transform(at, lambda p: _fingerprint(F.col("w"), p, F.get("grams", p), gram, around))]
-    for size in sorted(seen.keys() - {0}):
-        starts = F.filter(_range(F.lit(0), F.col("n") - size), lambda p, size=size: _may_hold(F.col("sketch"), _hashed(F.col("hashes"), p, size), words))
-        parts.append(F.transform(starts, lambda p, size=size: _fingerprint(F.col("w"), p, _hashed(F.col("hashes"), p, size), size, around)))
+
+    def of_short_items(size: int) -> Column:
+        value = lambda p: _hashed(F.col("hashes"), p, size)
+        starts = F.filter(_range(F.lit(0), F.col("n") - size), lambda p: _may_hold(F.col("sketch"), value(p), words))
+        return F.transform(starts, lambda p: _fingerprint(F.col("w"), p, value(p), size, around))
+
+    parts += [of_short_items(size) for size in sorted(seen.keys() - {0})]
     rows = rows.select("doc_id", "id0", "key", F.col("n").cast("long").alias("n_words"), F.concat(*parts).alias("found"))
     rows = scratch.table(rows, "documents")
 
