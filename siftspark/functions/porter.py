@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 _STEP2 = dict(
     x.split(":")
     for x in (
@@ -80,3 +85,73 @@ def _stem(word: str) -> str:
     if word.endswith("ll") and _measure(word) > 1:
         word = word[:-1]
     return word
+
+
+# --- the same on columns ---------------------------------------------------------------------------
+
+
+def _shape_of(word: Column) -> Column:
+    """As ``_shape``. A y is a vowel if an even number of y stand between it and a consonant, or an odd number between
+    it and a vowel or the beginning."""
+    plain = F.regexp_replace(F.regexp_replace(word, "[^aeiouy]", "c"), "[aeiou]", "v")
+    told = F.regexp_replace(plain, "(?<=c(?:yy){0,32})y|(?<=vy(?:yy){0,32})y|(?<=^y(?:yy){0,32})y", "v")
+    return F.when(plain.contains("y"), F.translate(told, "y", "c")).otherwise(plain)
+
+
+def _over(shape: Column, n: int) -> Column:
+    """Whether the measure is above ``n``."""
+    return shape.contains("vc") if n == 0 else shape.rlike("vc" + ".*vc" * n)
+
+
+def _short_end(word: Column, shape: Column) -> Column:
+    return F.endswith(shape, F.lit("cvc")) & ~F.right(word, F.lit(1)).isin("w", "x", "y")
+
+
+def stems(rows: DataFrame, word: str, out: str) -> DataFrame:
+    """``rows`` with the stem of ``word`` in ``out``, equal to ``stem``: each step of the algorithm is a projection of built-in
+    functions, so that no step is computed twice."""
+    w, s = F.col("_w"), F.col("_s")
+    cut = lambda c, n: F.left(c, F.length(c) - n)
+    ends = lambda *xs: functools.reduce(lambda a, b: a | b, (F.endswith(w, F.lit(x)) for x in xs))
+
+    def step(df: DataFrame, value: Column) -> DataFrame:
+        df = df.withColumn("_w", F.when(F.col("_short"), w).otherwise(value))
+        return df.withColumn("_s", _shape_of(w))
+
+    def swapped(table: dict[str, str]) -> Column:
+        value = w
+        for end, new in sorted(table.items(), key=lambda x: len(x[0])):  # the longest is tested first
+            value = F.when(ends(end), F.when(_over(cut(s, len(end)), 0), F.concat(cut(w, len(end)), F.lit(new))).otherwise(w)).otherwise(value)
+        return value
+
+    ascii_only = F.length(word) == F.octet_length(word)
+    # bytes of other letters as one consonant each
+    df = rows.withColumn("_w", F.when(ascii_only, F.col(word)).otherwise(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")))
+    df = df.withColumn("_short", ~F.length("_w").between(3, 64))
+    df = step(df, F.when(ends("sses") | ends("ies") & (F.length(w) > 3), cut(w, 2)).when(ends("s") & ~ends("ss"), cut(w, 1)).otherwise(w))
+    less = F.when(ends("ed") & cut(s, 2).contains("v"), 2).when(ends("ing") & cut(s, 3).contains("v"), 3)
+    df = df.withColumn("_cut", F.when(~ends("eed"), less))
+    df = df.withColumns({"_base": F.left(w, F.length(w) - F.col("_cut")), "_shape": F.left(s, F.length(s) - F.col("_cut"))})
+    base, shape = F.col("_base"), F.col("_shape")
+    double = base.rlike(r"(?s)(.)\1$") & F.endswith(shape, F.lit("c")) & ~F.right(base, F.lit(1)).isin("l", "s", "z")
+    mended = (
+        F.when(base.rlike("(?:at|bl|iz)$"), F.concat(base, F.lit("e")))
+        .when(double, cut(base, 1))
+        .when(_over(shape, 0) & ~_over(shape, 1) & _short_end(base, shape), F.concat(base, F.lit("e")))
+        .otherwise(base)
+    )
+    df = step(df, F.when(ends("eed"), F.when(_over(cut(s, 3), 0), cut(w, 1)).otherwise(w)).when(F.col("_cut").isNotNull(), mended).otherwise(w))
+    df = step(df, F.when(ends("y") & cut(s, 1).contains("v"), F.concat(cut(w, 1), F.lit("i"))).otherwise(w))
+    df = step(df, swapped(_STEP2))
+    df = step(df, swapped(_STEP3))
+    value = w
+    for end in sorted(_STEP4, key=len):
+        gone = _over(cut(s, len(end)), 1) & (w.rlike("[st]ion$") if end == "ion" else F.lit(True))
+        value = F.when(ends(end), F.when(gone, cut(w, len(end))).otherwise(w)).otherwise(value)
+    df = step(df, value)
+    head, shape = cut(w, 1), cut(s, 1)
+    df = step(df, F.when(ends("e") & (_over(shape, 1) | _over(shape, 0) & ~_short_end(head, shape)), head).otherwise(w))
+    df = df.withColumn("_w", F.when(~F.col("_short") & ends("ll") & _over(s, 1), cut(w, 1)).otherwise(w))
+    # part of a letter that is left over is dropped
+    back = F.replace(F.make_valid_utf8(F.encode("_w", "ISO-8859-1").cast("string")), F.lit("�"), F.lit(""))
+    return df.withColumn(out, F.when(ascii_only, w).otherwise(back)).drop("_w", "_s", "_short", "_cut", "_base", "_shape")
