@@ -1,9 +1,14 @@
 """Mixing sources to target weights by systematic sampling.
 
-Within a source every document has the same expected number of copies. The documents stand in order of size,
+Within a source every document has the same expected number of copies. The documents stand in order of size, the largest first,
 the expected copies are summed along that order, one random offset (seeded by the source's name) is added, and a
-document is emitted once for each integer boundary that its part of the sum crosses. The order by size spreads every
-size evenly over the sample, so the words taken are off the target by no more than a few of the largest documents.
+document is emitted once for each integer boundary that its part of the sum crosses.
+
+As the offset grows, each emitted copy moves to the next larger document, and new ones come in at the smallest: the words taken
+grow in steps of the gaps between neighbours in size, by the size of the largest document in all, and average to the target. So
+they are never off by more than the source's largest document; and as of ``OFFSETS`` evenly spaced offsets from the seeded one on that
+which brings the words nearest to the target is taken, they are as a rule off by a small part of that.
+
 Positions come from a range partitioning that is written once, so that reruns of lost tasks see the same
 order; no source is gathered in one task, and rows that are alike in every respect are dealt out too.
 
@@ -57,9 +62,13 @@ def targets(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (3,
     return shares.select("source", "source_size", F.round(F.least(F.lit(level) * F.col("w"), F.col("most")), 6).alias("target"))
 
 
-def offset(seed: str) -> Column:
-    """A number in [0, 1) for each ``source``: 52 bits of a hash."""
-    name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
+#: Offsets of a source that are tried.
+OFFSETS = 32
+
+
+def offset(seed: str, source: str = "source") -> Column:
+    """A number in [0, 1) for each source: 52 bits of a hash."""
+    name = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
     return F.conv(F.left(F.sha2(F.concat(F.lit(f"{seed}|"), name), 256), F.lit(13)), 16, 10).cast("double") / float(1 << 52)
 
 
@@ -75,7 +84,7 @@ def _copies(docs: DataFrame, scratch: Scratch, weights, share, most, seed, id_co
         "tie": F.monotonically_increasing_id(),
     }
     rows = whole(docs, **own) if with_doc else docs.select(*(c.alias(name) for name, c in own.items()))
-    rows = _in_order(rows, scratch, "ordered", F.col("source").asc_nulls_last(), "size", "doc_id", "alike", "tie")
+    rows = _in_order(rows, scratch, "ordered", F.col("source").asc_nulls_last(), F.col("size").desc(), "doc_id", "alike", "tie")
     # a row for each source of each part; as parts are ranges, not more than sources and parts together
     parts = rows.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.min("nth").alias("first"))
     parts = scratch.table(parts, "parts")
@@ -86,10 +95,20 @@ def _copies(docs: DataFrame, scratch: Scratch, weights, share, most, seed, id_co
     places = places.join(goal.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     places = places.select(F.col("p.source").alias("of"), F.col("part").alias("in"), "shift", "source_size", "target", rate.alias("rate"))
-    found = rows.join(places, (F.col("part") == F.col("in")) & F.col("source").eqNullSafe(F.col("of")))
-    at, u = F.col("shift") + F.col("nth"), offset(seed)
-    copies = F.floor((at + 1) * F.col("rate") + u) - F.floor(at * F.col("rate") + u)
-    return found.select(*(["doc"] if with_doc else []), "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    places = scratch.table(places, "places")
+    here = (F.col("part") == F.col("in")) & F.col("source").eqNullSafe(F.col("of"))
+    at = F.col("shift") + F.col("nth")
+    copies = lambda u: (F.floor((at + 1) * F.col("rate") + u) - F.floor(at * F.col("rate") + u)).cast("long")
+
+    # the words that each offset would take: one row for each source
+    tried = [F.pmod(F.col("u") + k / OFFSETS, F.lit(1.0)) for k in range(OFFSETS)]
+    asked = rows.select("source", "part", "nth", "size").join(places.withColumn("u", offset(seed, "of")), here)
+    words = asked.groupBy("of").agg(F.first("u").alias("u"), F.first("target").alias("target"), *(F.sum(F.col("size") * copies(u)).alias(f"w{k}") for k, u in enumerate(tried)))
+    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"w{k}") - F.col("target")).alias("off"), F.lit(k).alias("k"), u.alias("u")) for k, u in enumerate(tried))))
+    chosen = scratch.table(words.select(F.col("of").alias("named"), best["u"].alias("u")), "offsets")
+    places = places.join(chosen, F.col("of").eqNullSafe(F.col("named")))
+    found = rows.join(places, here).withColumn("copies", copies(F.col("u")))
+    return found.select(*(["doc"] if with_doc else []), "doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def mix_report(docs: DataFrame, *, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

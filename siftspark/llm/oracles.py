@@ -57,8 +57,12 @@ ORACLES = {
              l AS (SELECT (1.5 * (SELECT sum(size) FROM d) - capped) / free AS level FROM s2 WHERE (1.5 * (SELECT sum(size) FROM d) - capped) / free <= cap / w ORDER BY k LIMIT 1),
              s AS (SELECT source, source_size::BIGINT AS source_size, round(CASE WHEN level IS NULL THEN cap ELSE least(level * w, cap) END, 6) AS target FROM s2 LEFT JOIN l ON true),
              p AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-                          row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) - 1 AS pos FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source),
-             u AS (SELECT source, ('0x' || left(sha256('mix|' || coalesce('=' || source, 'null')), 13))::BIGINT / 4503599627370496.0 AS u FROM s)
+                          row_number() OVER (PARTITION BY d.source ORDER BY size DESC, doc_id) - 1 AS pos FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source),
+             u0 AS (SELECT source, ('0x' || left(sha256('mix|' || coalesce('=' || source, 'null')), 13))::BIGINT / 4503599627370496.0 AS u FROM s),
+             u1 AS (SELECT source, k, CASE WHEN u + k / 32.0::DOUBLE >= 1 THEN u + k / 32.0::DOUBLE - 1 ELSE u + k / 32.0::DOUBLE END AS u FROM u0, range(32) AS r(k)),
+             t AS (SELECT u1.source, k, u1.u, abs(sum(size * (floor((pos + 1) * rate + u) - floor(pos * rate + u))) - any_value(target)) AS off
+                   FROM p JOIN u1 ON u1.source IS NOT DISTINCT FROM p.source GROUP BY u1.source, k, u1.u),
+             u AS (SELECT source, arg_min(u, (off, k)) AS u FROM t GROUP BY source)
         SELECT doc_id, size, source_size, target, (size * (floor((pos + 1) * rate + u) - floor(pos * rate + u)))::BIGINT AS taken
         FROM p JOIN u ON u.source IS NOT DISTINCT FROM p.source
     """,

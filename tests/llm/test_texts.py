@@ -148,6 +148,22 @@ def test_mix(spark):
     assert mixing.mix_report(df.where("false")).count() == 0 and mixing.mix(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_mix_is_near_its_targets(spark, seed):
+    """Small sources, whose sizes are far apart: never off by more than the largest document, and by little as a rule."""
+    rng = random.Random(seed)
+    rows = [(i, "w " * int(rng.lognormvariate(4, 1.2)), f"s{i % 25}") for i in range(25 * 12)]
+    report = mixing.mix_report(table(spark, rows, "doc_id long, text string, source string")).collect()
+    taken, target, largest = Counter(), {}, Counter()
+    for r in report:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+    off = {s: abs(taken[s] - target[s]) for s in target}
+    assert all(off[s] <= largest[s] for s in off)
+    assert np.median([off[s] / target[s] for s in off]) < 0.03 and np.mean([off[s] / target[s] for s in off]) < 0.08
+
+
 # --- lines ----------------------------------------------------------------------------------------
 
 
