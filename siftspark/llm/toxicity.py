@@ -33,8 +33,8 @@ from .features import sample_ids, sample_texts
 
 BUCKETS = 1 << 22
 PREFIXES = (3, 4, 5, 6, 7, 8, 9)
-#: Factors of the machine, and its size: buckets of which it may have weights (a parameter of the fit).
-FACTORS, MOST_TERMS = 4, 20_000
+#: Factors of the machine.
+FACTORS = 4
 #: Terms whose pairs one step counts at once.
 TILE = 1024
 LEAST_BIAS = -2.5
@@ -117,13 +117,6 @@ def choose(bucket: np.ndarray, pos: np.ndarray, neg: np.ndarray, n: int, good: i
     return bucket[chosen], g[chosen]
 
 
-def best(bucket: np.ndarray, worth: np.ndarray, most: int = MOST_TERMS) -> np.ndarray:
-    """The ``most`` distinct buckets of most worth, sorted."""
-    order = np.argsort(-worth, kind="stable")
-    first = np.sort(np.unique(bucket[order], return_index=True)[1])[:most]
-    return np.sort(bucket[order][first])
-
-
 def pair_level(pos: np.ndarray, rate: float) -> tuple[int, float] | None:
     """The fewest toxic rows that a pair of terms needs, and the least ratio: as many pairs are tried, the ratio for one
     term is raised by twice the logarithm of their number, so that chance gives no more pairs than one test would.
@@ -316,11 +309,11 @@ def _rows_of(used: DataFrame, bucket: np.ndarray) -> tuple[list[np.ndarray], np.
     return [np.frombuffer(r["terms"], np.int32) for r in got], np.array([r["label"] for r in got])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 4000, terms: int = MOST_TERMS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
+def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """A machine from the rows of ``labels`` that are not held out.
 
-    ``per_class`` bounds the sample, ``terms`` the machine, which is broadcast. The terms of the sample stay on the
-    executors; to the driver come its ids and labels, the buckets that may be chosen, and what each row has of those that are.
+    ``per_class`` bounds the sample, and with it the machine, which is broadcast: it has every term of the sample that tells the classes
+    apart, at most one for each of ``BUCKETS``. The terms of the sample stay on the executors; to the driver come its ids and labels, the buckets that may be chosen, and what each row has of those that are.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxic-sample")
@@ -339,17 +332,17 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 4000, terms: i
     used = held.dropDuplicates(["doc_id", "label", "s1", "s2"]).join(F.broadcast(own), ["doc_id", "label", "s1", "s2"]).select("label", "buckets")
     # a bucket with fewer toxic rows can never be chosen
     tally = _tally(used).where("pos >= 3").toPandas()
-    bucket, worth = choose(*(tally[c].to_numpy() for c in ("bucket", "pos", "neg")), len(label), int(label.sum()))
-    names = best(bucket, worth, terms)
+    bucket, _ = choose(*(tally[c].to_numpy() for c in ("bucket", "pos", "neg")), len(label), int(label.sum()))
+    names = np.unique(bucket)
     rows, label = _rows_of(used, names)
     machine = fit(rows, label, names)
     doubtful = np.zeros(len(names), bool)
     for own, y in zip(rows, label):
         if not y and machine.logits(own, np.zeros(len(own), np.int64), 1)[0] >= _logit(CUT):
             doubtful[own] = True
-    more, gain = best_pairs(used, machine, doubtful)
+    more, _ = best_pairs(used, machine, doubtful)
     if len(more):
-        names = best(np.concatenate((bucket, more)), np.concatenate((worth, gain)), terms)
+        names = np.unique(np.concatenate((bucket, more)))
         # common terms begin without a weight: in long texts they would add up
         machine = fit(*_rows_of(used, names), names, start=np.where(np.isin(names, bucket), 0.3, 0.0))
     scratch.close()
@@ -377,7 +370,7 @@ def _scored(shared):
 
 def score(docs: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # bounded by MOST_TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # bounded by the sample it was fitted on
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"))
     scored = rows.mapInArrow(lean(_scored(shared)), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
