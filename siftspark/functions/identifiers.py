@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Fixed values.
 UUID = r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b"
 PARCEL = r"\b\d{3,4}-\d{3,4}-\d{2,4}\b"
@@ -17,8 +19,8 @@ INVOICE = r"\b(?:inv(?:oice)?[\s#:.-]*)(\d{3,}[A-Za-z0-9-]*)\b"
 def _first_seen(found: Column) -> Column:
     """Distinct whatever the case, the first spelling of each, in order."""
     trimmed = F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")
-    low = F.transform(trimmed, lambda x: F.lower(x))
-    return F.transform(F.array_distinct(low), lambda x: F.element_at(trimmed, F.array_position(low, x).cast("int")))
+    both = F.struct(trimmed.alias("own"), F.transform(trimmed, lambda x: F.lower(x)).alias("low"))
+    return let(both, lambda b: F.transform(F.array_distinct(b["low"]), lambda x: F.element_at(b["own"], F.array_position(b["low"], x).cast("int"))))
 
 
 def extract_identifiers(*parts: Column | str) -> Column:
@@ -48,3 +50,15 @@ def query_identifiers(query: str | None) -> list[str]:
         for token in (m[0].strip(), m[1]):
             out.setdefault(token.lower(), token)
     return [x.replace('"', " ").strip() for x in out.values() if x]
+
+
+def asks_identifier(query: Column) -> Column:
+    """As ``is_identifier_query``."""
+    q = F.coalesce(query, F.lit(""))
+    return q.rlike(f"(?U){UUID}") | q.rlike(f"(?U){PARCEL}") | q.rlike(f"(?iU){INVOICE_TOKEN}") | q.rlike(f"(?iU){INVOICE}")
+
+
+def identifiers_asked(query: Column) -> Column:
+    """As ``query_identifiers``."""
+    plain = F.transform(extract_identifiers(query), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit(" "))))
+    return F.filter(plain, lambda x: x != "")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 _STEP2 = dict(
     x.split(":")
     for x in (
@@ -107,51 +110,68 @@ def _short_end(word: Column, shape: Column) -> Column:
     return F.endswith(shape, F.lit("cvc")) & ~F.right(word, F.lit(1)).isin("w", "x", "y")
 
 
-def stems(rows: DataFrame, word: str, out: str) -> DataFrame:
-    """``rows`` with the stem of ``word`` in ``out``, equal to ``stem``: each step of the algorithm is a projection of built-in
-    functions, so that no step is computed twice."""
-    w, s = F.col("_w"), F.col("_s")
-    cut = lambda c, n: F.left(c, F.length(c) - n)
-    ends = lambda *xs: functools.reduce(lambda a, b: a | b, (F.endswith(w, F.lit(x)) for x in xs))
+def stem_of(word: Column | str) -> Column:
+    """The stem of a column of words, equal to ``stem``: built-in functions only. Each step binds its word and shape once
+    (``let``), so the expression grows with the steps and not with what each of them reads. The shape is told once: a
+    cut shortens both, and what is put on has no y, whose kind depends on what stands before it."""
+    word = F.col(word) if isinstance(word, str) else word
+    pair = lambda w, s: F.struct(w.alias("w"), s.alias("s"))
+    less = lambda c, n: F.left(c, F.length(c) - n)
+    cut = lambda b, n: pair(less(b["w"], n), less(b["s"], n))
+
+    def put(b: Column, n: int, end: str) -> Column:
+        """The last ``n`` letters replaced by ``end``."""
+        return pair(F.concat(less(b["w"], n), F.lit(end)), F.concat(less(b["s"], n), F.lit(_shape(end))))
+
+    def ends(b: Column, *xs: str) -> Column:
+        return functools.reduce(lambda x, y: x | y, (F.endswith(b["w"], F.lit(x)) for x in xs))
 
-    def step(df: DataFrame, value: Column) -> DataFrame:
-        df = df.withColumn("_w", F.when(F.col("_short"), w).otherwise(value))
-        return df.withColumn("_s", _shape_of(w))
+    def swapped(table: dict[str, str]) -> Callable[[Column], Column]:
+        def value(b: Column) -> Column:
+            out = b
+            for end, new in sorted(table.items(), key=lambda x: len(x[0])):  # the longest is tested first
+                out = F.when(ends(b, end), F.when(_over(less(b["s"], len(end)), 0), put(b, len(end), new)).otherwise(b)).otherwise(out)
+            return out
 
-    def swapped(table: dict[str, str]) -> Column:
-        value = w
-        for end, new in sorted(table.items(), key=lambda x: len(x[0])):  # the longest is tested first
-            value = F.when(ends(end), F.when(_over(cut(s, len(end)), 0), F.concat(cut(w, len(end)), F.lit(new))).otherwise(w)).otherwise(value)
         return value
 
-    ascii_only = F.length(word) == F.octet_length(word)
-    # bytes of other letters as one consonant each
-    df = rows.withColumn("_w", F.when(ascii_only, F.col(word)).otherwise(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")))
-    df = df.withColumn("_short", ~F.length("_w").between(3, 64))
-    df = step(df, F.when(ends("sses") | ends("ies") & (F.length(w) > 3), cut(w, 2)).when(ends("s") & ~ends("ss"), cut(w, 1)).otherwise(w))
-    less = F.when(ends("ed") & cut(s, 2).contains("v"), 2).when(ends("ing") & cut(s, 3).contains("v"), 3)
-    df = df.withColumn("_cut", F.when(~ends("eed"), less))
-    df = df.withColumns({"_base": F.left(w, F.length(w) - F.col("_cut")), "_shape": F.left(s, F.length(s) - F.col("_cut"))})
-    base, shape = F.col("_base"), F.col("_shape")
-    double = base.rlike(r"(?s)(.)\1$") & F.endswith(shape, F.lit("c")) & ~F.right(base, F.lit(1)).isin("l", "s", "z")
-    mended = (
-        F.when(base.rlike("(?:at|bl|iz)$"), F.concat(base, F.lit("e")))
-        .when(double, cut(base, 1))
-        .when(_over(shape, 0) & ~_over(shape, 1) & _short_end(base, shape), F.concat(base, F.lit("e")))
-        .otherwise(base)
-    )
-    df = step(df, F.when(ends("eed"), F.when(_over(cut(s, 3), 0), cut(w, 1)).otherwise(w)).when(F.col("_cut").isNotNull(), mended).otherwise(w))
-    df = step(df, F.when(ends("y") & cut(s, 1).contains("v"), F.concat(cut(w, 1), F.lit("i"))).otherwise(w))
-    df = step(df, swapped(_STEP2))
-    df = step(df, swapped(_STEP3))
-    value = w
-    for end in sorted(_STEP4, key=len):
-        gone = _over(cut(s, len(end)), 1) & (w.rlike("[st]ion$") if end == "ion" else F.lit(True))
-        value = F.when(ends(end), F.when(gone, cut(w, len(end))).otherwise(w)).otherwise(value)
-    df = step(df, value)
-    head, shape = cut(w, 1), cut(s, 1)
-    df = step(df, F.when(ends("e") & (_over(shape, 1) | _over(shape, 0) & ~_short_end(head, shape)), head).otherwise(w))
-    df = df.withColumn("_w", F.when(~F.col("_short") & ends("ll") & _over(s, 1), cut(w, 1)).otherwise(w))
-    # part of a letter that is left over is dropped
-    back = F.replace(F.make_valid_utf8(F.encode("_w", "ISO-8859-1").cast("string")), F.lit("�"), F.lit(""))
-    return df.withColumn(out, F.when(ascii_only, w).otherwise(back)).drop("_w", "_s", "_short", "_cut", "_base", "_shape")
+    def plural(b: Column) -> Column:
+        return F.when(ends(b, "sses") | ends(b, "ies") & (F.length(b["w"]) > 3), cut(b, 2)).when(ends(b, "s") & ~ends(b, "ss"), cut(b, 1)).otherwise(b)
+
+    def mended(b: Column) -> Column:
+        double = b["w"].rlike(r"(?s)(.)\1$") & F.endswith(b["s"], F.lit("c")) & ~F.right(b["w"], F.lit(1)).isin("l", "s", "z")
+        short = _over(b["s"], 0) & ~_over(b["s"], 1) & _short_end(b["w"], b["s"])
+        return F.when(ends(b, "at", "bl", "iz"), put(b, 0, "e")).when(double, cut(b, 1)).when(short, put(b, 0, "e")).otherwise(b)
+
+    def past(b: Column) -> Column:
+        without = lambda n: F.when(less(b["s"], n).contains("v"), let(cut(b, n), mended)).otherwise(b)
+        return F.when(ends(b, "eed"), F.when(_over(less(b["s"], 3), 0), cut(b, 1)).otherwise(b)).when(ends(b, "ed"), without(2)).when(ends(b, "ing"), without(3)).otherwise(b)
+
+    def last_y(b: Column) -> Column:
+        return F.when(ends(b, "y") & less(b["s"], 1).contains("v"), put(b, 1, "i")).otherwise(b)
+
+    def fourth(b: Column) -> Column:
+        out = b
+        for end in sorted(_STEP4, key=len):
+            gone = _over(less(b["s"], len(end)), 1) & (ends(b, "sion", "tion") if end == "ion" else F.lit(True))
+            out = F.when(ends(b, end), F.when(gone, cut(b, len(end))).otherwise(b)).otherwise(out)
+        return out
+
+    def last_e(b: Column) -> Column:
+        shape = less(b["s"], 1)
+        return F.when(ends(b, "e") & (_over(shape, 1) | _over(shape, 0) & ~_short_end(less(b["w"], 1), shape)), cut(b, 1)).otherwise(b)
+
+    def last_l(b: Column) -> Column:
+        return F.when(ends(b, "ll") & _over(b["s"], 1), cut(b, 1)).otherwise(b)
+
+    steps = [plural, past, last_y, swapped(_STEP2), swapped(_STEP3), fourth, last_e, last_l]
+
+    def whole(w: Column) -> Column:
+        told = functools.reduce(let, steps, pair(w, _shape_of(w)))["w"]
+        return F.when(F.length(w).between(3, 64), told).otherwise(w)
+
+    # bytes of other letters are one consonant each; part of a letter that is left over is dropped
+    ascii_only = lambda w: F.length(w) == F.octet_length(w)
+    bytes_of = lambda w: F.when(ascii_only(w), w).otherwise(F.decode(F.encode(w, "UTF-8"), "ISO-8859-1"))
+    back = lambda x: F.replace(F.make_valid_utf8(F.encode(x, "ISO-8859-1").cast("string")), F.lit("\ufffd"), F.lit(""))
+    return let(word, lambda w: let(let(bytes_of(w), whole), lambda x: F.when(ascii_only(w), x).otherwise(back(x))))

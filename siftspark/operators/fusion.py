@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import MISSING_RANK, ScoreError, checked_scores, recency, rrf
 from ..functions.text import hit_document
+from ..sources.tables import local_table
 
 
 def ranked(scored: DataFrame, k: int, name: str, score: Column | None = None) -> DataFrame:
@@ -18,10 +19,10 @@ def ranked(scored: DataFrame, k: int, name: str, score: Column | None = None) ->
     return scored.withColumn(name, F.row_number().over(order).cast("long")).where(F.col(name) <= k)
 
 
-def fuse(fts: DataFrame, vec: DataFrame, ids: DataFrame | None = None, with_ids: Sequence[object] | None = None) -> DataFrame:
+def fuse(fts: DataFrame, vec: DataFrame, ids: DataFrame | None = None, with_ids: DataFrame | None = None) -> DataFrame:
     """(query_id, id, fts_rank, vec_rank, ids_rank, rrf): the union of the lists, missing ranks at the constant.
 
-    The identifier term counts for the queries in ``with_ids`` only (all, if ``ids`` is given alone)."""
+    The identifier term counts for the queries in the table ``with_ids`` (query_id) only; for all, if ``ids`` is given alone."""
     both = fts.select("query_id", "id", "fts_rank").join(vec.select("query_id", "id", "vec_rank"), ["query_id", "id"], "full")
     value = rrf("fts_rank", "vec_rank")
     if ids is None:
@@ -29,17 +30,22 @@ def fuse(fts: DataFrame, vec: DataFrame, ids: DataFrame | None = None, with_ids:
     else:
         both = both.join(ids.select("query_id", "id", "ids_rank"), ["query_id", "id"], "full")
         three = rrf("fts_rank", "vec_rank", "ids_rank")
-        value = three if with_ids is None else F.when(F.col("query_id").isin(list(with_ids)), three).otherwise(value)
+        if with_ids is not None:
+            both = both.join(with_ids.select("query_id", F.lit(True).alias("_asks")), "query_id", "left")
+        value = three if with_ids is None else F.when(F.col("_asks"), three).otherwise(value)
     missing = lambda c: F.coalesce(c, F.lit(MISSING_RANK)).cast("long").alias(c)
     return both.select("query_id", "id", missing("fts_rank"), missing("vec_rank"), missing("ids_rank"), value.alias("rrf"))
 
 
-def decayed(fused: DataFrame, messages: DataFrame, now: str, except_for: Sequence[object] = ()) -> DataFrame:
-    """Fused rows with rrf times the recency of the message's date; queries in ``except_for`` (those with a date
-    window) keep theirs."""
+def decayed(fused: DataFrame, messages: DataFrame, now: str, except_for: DataFrame | None = None) -> DataFrame:
+    """Fused rows with rrf times the recency of the message's date; those of the queries in the table ``except_for``
+    (query_id; those with a date window) stay as they are."""
     dates = messages.select("id", F.col("date_utc").alias("date"))
-    factor = F.when(F.col("query_id").isin(list(except_for)), F.lit(1.0)).otherwise(recency("date", now))
-    return fused.join(dates, "id", "left").withColumn("rrf", F.col("rrf") * factor).select(*fused.columns)
+    rows, factor = fused.join(dates, "id", "left"), recency("date", now)
+    if except_for is not None:
+        rows = rows.join(except_for.select("query_id", F.lit(True).alias("_dated")), "query_id", "left")
+        factor = F.when(F.col("_dated"), F.lit(1.0)).otherwise(factor)
+    return rows.withColumn("rrf", F.col("rrf") * factor).select(*fused.columns)
 
 
 def positioned(fused: DataFrame) -> DataFrame:
@@ -75,7 +81,7 @@ def rerank(hits: DataFrame, queries: dict[object, str], scorer: Callable[[str, S
         modes[query_id] = "live"
         scores += [(query_id, r["id"], s) for r, s in zip(rows, got)]
     kinds = {f.name: f.dataType.simpleString() for f in hits.schema}
-    table = hits.sparkSession.createDataFrame(scores, f"query_id {kinds['query_id']}, id {kinds['id']}, rerank double")
+    table = local_table(hits.sparkSession, scores, f"query_id {kinds['query_id']}, id {kinds['id']}, rerank double")
     joined = hits.drop("rerank").join(F.broadcast(table), ["query_id", "id"], "left")
     live = [q for q, m in modes.items() if m == "live"]
     return rerank_order(joined.where(F.col("query_id").isin(live)), top).unionByName(joined.where(~F.col("query_id").isin(live))), modes

@@ -1,88 +1,154 @@
 """Full-text search: an index of token occurrences, and BM25 over it.
 
-The index is two tables: ``occurrences(term, id, field, pos, dl)``, stored by bucket of the term so that a query reads
-the buckets of its terms only, and ``lengths(id, dl)``. Every occurrence has its document's length, so that scoring joins
-nothing with the lengths. Statistics are of the whole index whatever a query filters.
+The index is ``occurrences(term, id, field, pos, dl)``, stored by bucket of the term so that a query reads the buckets of its
+terms only, and ``lengths(id, dl)``. Every occurrence has its document's length, so that scoring joins nothing with the lengths.
+Terms are kept as they are; a stemmed search has the table ``vocabulary(term, stem)`` beside them, and reads the terms of a
+query's stems. Statistics are of the whole index whatever a query filters. ``operators.segments`` keeps an index up to date.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.query_terms import fold_tokens
+from ..functions.porter import stem, stem_of
+from ..functions.query_terms import QUERY_WORD
 from ..functions.text import tokens
+from ..sources.tables import local_table, settled
 
 K1, B = 1.2, 0.75
 BUCKETS = 64
 SUBJECT_BOOST = 5.0
+#: Phrases of all queries together that are sent to every task; beyond it they are joined by shuffles.
+MOST_SENT = 20_000
 
 
 @dataclass
 class Index:
-    occurrences: DataFrame  # term, id, field, pos, dl[, bucket]
+    """``seg`` numbers the segments of an index that has several; an id of ``dead`` (id, until) is dead in those below ``until``.
+    ``stats``: number of rows and of tokens, where they are known without reading ``lengths``."""
+
+    occurrences: DataFrame  # term, id, field, pos, dl[, bucket][, seg]
     lengths: DataFrame  # id, dl
-    porter: bool = False  # whether the terms are Porter stems
+    porter: bool = False  # whether queries are stemmed
+    vocabulary: DataFrame | None = None  # term, stem
+    dead: DataFrame | None = None
+    stats: tuple[int, int] | None = None
 
 
-def build_index(text: DataFrame, fields: list[str], id_col: str = "id", stem=None) -> Index:
-    """Of the token occurrences of ``fields``; ``stem`` maps a column of terms to one of stems."""
+def build_index(text: DataFrame, fields: list[str], id_col: str = "id") -> Index:
+    """Of the token occurrences of ``fields``."""
     parts = F.array(*(F.struct(F.lit(f).alias("field"), tokens(f).alias("terms")) for f in fields))
     rows = text.select(F.col(id_col).alias("id"), parts.alias("parts"))
     length = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.size(p["terms"])).alias("dl")
     flat = rows.select("id", length, F.explode("parts").alias("p")).select("id", "dl", F.col("p.field").alias("field"), F.posexplode("p.terms").alias("pos", "term"))
-    term = F.col("term") if stem is None else stem(F.col("term"))
-    return Index(flat.select(term.alias("term"), "id", "field", "pos", "dl"), rows.select("id", length))
+    return Index(flat.select("term", "id", "field", "pos", "dl"), rows.select("id", length))
+
+
+def stemmed(index: Index) -> Index:
+    """The index for queries whose words are stemmed, as ``porter unicode61`` does."""
+    return replace(index, porter=True)
+
+
+def bucket_of(term: Column | str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 def write_index(index: Index, path: str) -> None:
-    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-    placed = index.occurrences.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16)))
+    """Occurrences by bucket, lengths, and of a stemmed index the vocabulary: each distinct term is stemmed once."""
+    spark = index.occurrences.sparkSession
+    placed = index.occurrences.select("term", "id", "field", "pos", "dl").withColumn("bucket", bucket_of("term")).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16)))
     placed.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/occurrences")
+    if index.porter:
+        write_vocabulary(spark, path)
     # a column of the lengths tells a stemmed index, so that both come from one write
     lengths = index.lengths.withColumn("porter", F.lit(True)) if index.porter else index.lengths
     lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
 
+def write_vocabulary(spark: SparkSession, path: str) -> None:
+    """The stem of each distinct term of the occurrences at ``path``."""
+    terms = spark.read.schema("term string").parquet(f"{path}/occurrences").distinct()
+    terms.withColumn("stem", stem_of("term")).repartition("stem").sortWithinPartitions("stem").write.mode("overwrite").parquet(f"{path}/vocabulary")
+
+
 def read_index(spark: SparkSession, path: str) -> Index:
     lengths = spark.read.parquet(f"{path}/lengths")
-    return Index(spark.read.parquet(f"{path}/occurrences"), lengths.drop("porter"), "porter" in lengths.columns)
+    porter = "porter" in lengths.columns
+    kind = lengths.schema["id"].dataType.simpleString()
+    occurrences = spark.read.schema(f"term string, id {kind}, field string, pos int, dl long, bucket int").parquet(f"{path}/occurrences")
+    return Index(occurrences, lengths.drop("porter"), porter, spark.read.parquet(f"{path}/vocabulary") if porter else None)
 
 
-def phrase_table(spark: SparkSession, queries: dict[object, list[list[str]]], key_type: str = "long", *, porter: bool = False) -> DataFrame:
-    """(query_id, phrase, offset, term, size, phrases): the distinct phrases of every query. With ``porter`` the terms are
-    stems, for a stemmed index; phrases stay distinct by their words, as each counts in the full-text engine."""
-    from ..functions.porter import stem
-
+def phrase_table(spark: SparkSession, queries: dict[object, list[list[str]]], key_type: str = "long") -> DataFrame:
+    """(query_id, phrase, offset, term, size, phrases): the distinct phrases of every query, by their words also where
+    the words are stemmed, as each counts in the full-text engine."""
     rows = []
     for query_id, found in queries.items():
         distinct = list(dict.fromkeys(map(tuple, found)))
-        rows += [(query_id, " ".join(p), i, stem(t) if porter else t, len(p), len(distinct)) for p in distinct for i, t in enumerate(p)]
-    return spark.createDataFrame(rows, f"query_id {key_type}, phrase string, offset int, term string, size int, phrases int")
+        rows += [(query_id, " ".join(p), i, t, len(p), len(distinct)) for p in distinct for i, t in enumerate(p)]
+    return local_table(spark, rows, f"query_id {key_type}, phrase string, offset int, term string, size int, phrases int")
 
 
-def phrases_of(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """As ``phrase_table``, of the texts of a table, read as ``query_terms.phrases`` reads a query."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_]+(?:[-.][A-Za-z0-9_]+)*"), F.lit(0))
+def phrases_in(query: Column) -> Column:
+    """As ``query_terms.phrases``: arrays of terms."""
+    text = F.coalesce(query, F.lit(""))
+    words = F.regexp_extract_all(text, F.lit(QUERY_WORD), F.lit(0))
     words = F.when(F.size(words) > 0, words).otherwise(F.array(text))
-    found = F.array_distinct(F.filter(F.transform(words, tokens), lambda p: F.size(p) > 0))
-    rows = table.select(F.col(id_col).alias("query_id"), found.alias("found")).select("query_id", F.size("found").alias("phrases"), F.explode("found").alias("p"))
+    return F.filter(F.transform(words, tokens), lambda p: F.size(p) > 0)
+
+
+def phrases_of(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """As ``phrase_table``, of the texts of a table."""
+    rows = table.select(F.col(id_col).alias("query_id"), F.array_distinct(phrases_in(F.col(text_col))).alias("found"))
+    rows = rows.select("query_id", F.size("found").alias("phrases"), F.explode("found").alias("p"))
     return rows.select("query_id", F.array_join("p", " ").alias("phrase"), F.size("p").alias("size"), "phrases", F.posexplode("p").alias("offset", "term"))
 
 
+def _places(index: Index, phrases: DataFrame, small: bool) -> DataFrame:
+    """(phrase, id, field, dl): where the phrases stand, once for each field of a row."""
+    wanted = phrases.select("phrase", "offset", "term", "size").distinct()
+    send = F.broadcast if small else lambda df: df
+    occurrences = index.occurrences
+    if index.porter:
+        if small:
+            # few words, which the driver stems
+            rows = [(r["phrase"], r["offset"], r["size"], stem(r["term"])) for r in wanted.collect()]
+            wanted = local_table(wanted.sparkSession, rows, "phrase string, offset int, size int, stem string")
+        else:
+            wanted = wanted.withColumn("stem", stem_of("term")).drop("term")
+        if index.vocabulary is not None:
+            wanted = index.vocabulary.join(send(wanted), "stem").drop("stem")
+        else:
+            # a stem begins as its word does
+            first = wanted.select(F.left("stem", F.lit(1)).alias("first")).distinct()
+            near = occurrences.join(send(first), F.left("term", F.lit(1)) == F.col("first"), "left_semi")
+            occurrences = near.withColumn("term", stem_of("term"))
+            wanted = wanted.withColumnRenamed("stem", "term")
+    if "bucket" in occurrences.columns:
+        # at most as many numbers as there are buckets
+        wanted = settled(wanted.withColumn("bucket", bucket_of("term"))) if small else wanted.withColumn("bucket", bucket_of("term"))
+        buckets = [r[0] for r in wanted.select("bucket").distinct().collect()]
+        wanted, occurrences = wanted.drop("bucket"), occurrences.where(F.col("bucket").isin(buckets))
+    # the terms of a stem may be as many as its inflections; only those of few phrases are sent
+    found = occurrences.join(send(wanted), "term").withColumn("start", F.col("pos") - F.col("offset"))
+    if index.dead is not None:
+        found = found.alias("o").join(index.dead.alias("d"), (F.col("o.id") == F.col("d.id")) & (F.col("o.seg") < F.col("d.until")), "left_anti")
+    return found.where("size = 1").select("phrase", "id", "field", "dl").union(
+        found.where("size > 1").groupBy("phrase", "id", "field", "start", "size", "dl").count().where("`count` = size").select("phrase", "id", "field", "dl")
+    )
+
+
+def _is_small(phrases: DataFrame) -> bool:
+    return phrases.limit(MOST_SENT + 1).count() <= MOST_SENT
+
+
 def holders(index: Index, phrases: DataFrame) -> DataFrame:
     """(query_id, id) of the rows that have every phrase of a query, as ``match`` finds them, for phrases from a table.
     The rows with a query's rarest phrase are its candidates, and only they are looked up for the others."""
-    wanted = phrases.select("phrase", "offset", "term", "size").distinct()
-    found = index.occurrences.join(wanted, "term").withColumn("start", F.col("pos") - F.col("offset"))
-    whole = found.where("size = 1").select("phrase", "id").union(
-        found.where("size > 1").groupBy("phrase", "id", "field", "start", "size").count().where("`count` = size").select("phrase", "id")
-    ).distinct()
+    whole = _places(index, phrases, _is_small(phrases)).select("phrase", "id").distinct()
     df = whole.groupBy("phrase").agg(F.count("*").alias("df"))
     owners = phrases.select("query_id", "phrase", "phrases").distinct()
     rare = owners.join(df, "phrase").groupBy("query_id", "phrases").agg(F.min(F.struct("df", "phrase"))["phrase"].alias("phrase"), F.count("*").alias("have"))
@@ -94,30 +160,27 @@ def holders(index: Index, phrases: DataFrame) -> DataFrame:
 def match(index: Index, phrases: DataFrame, weights: dict[str, float]) -> DataFrame:
     """(query_id, id, score) of the rows that have every phrase of a query; higher is better.
 
-    A phrase is its terms next to each other in one field. Its weighted count sums ``weights`` of the fields.
+    A phrase is its terms next to each other in one field. Its weighted count sums ``weights`` of the fields. What is
+    sent to every task has at most a row for each phrase, and only if these are counted and few.
     """
-    wanted = phrases.select("phrase", "offset", "term", "size").distinct()
-    occurrences = index.occurrences
-    if "bucket" in occurrences.columns:
-        # the terms of queries come from the driver, so their buckets are few and known
-        buckets = [r[0] for r in wanted.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
-        occurrences = occurrences.where(F.col("bucket").isin(buckets))
-    found = occurrences.join(F.broadcast(wanted), "term").withColumn("start", F.col("pos") - F.col("offset"))
-    whole = found.where("size = 1").select("phrase", "id", "field", "dl").union(
-        found.where("size > 1").groupBy("phrase", "id", "field", "start", "size", "dl").count().where("`count` = size").select("phrase", "id", "field", "dl")
-    )
+    small = _is_small(phrases)
+    send = F.broadcast if small else lambda df: df
     weight = F.lit(0.0)
     for field, w in weights.items():
         weight = F.when(F.col("field") == field, float(w)).otherwise(weight)
-    tf = whole.groupBy("phrase", "id").agg(F.sum(weight).alias("tf"), F.max("dl").alias("dl"))
+    tf = _places(index, phrases, small).groupBy("phrase", "id").agg(F.sum(weight).alias("tf"), F.max("dl").alias("dl"))
     df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
-    stats = index.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    if index.stats is not None:
+        n, total = index.stats
+        df = df.withColumns({"n": F.lit(n), "avgdl": F.lit(total / n if n else None).cast("double")})
+    else:
+        df = df.crossJoin(F.broadcast(index.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))))  # one row
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    df = df.crossJoin(F.broadcast(stats)).select("phrase", "avgdl", F.when(raw <= 0, 1e-6).otherwise(raw).alias("idf"))
+    df = df.select("phrase", "avgdl", F.when(raw <= 0, 1e-6).otherwise(raw).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(F.broadcast(df), "phrase").select("phrase", "id", part.alias("part"))
+    scored = tf.join(send(df), "phrase").select("phrase", "id", part.alias("part"))
     owners = phrases.select("query_id", "phrase", "phrases").distinct()
-    every = scored.join(F.broadcast(owners), "phrase").groupBy("query_id", "id", "phrases").agg(F.sum("part").alias("score"), F.count("*").alias("have"))
+    every = scored.join(send(owners), "phrase").groupBy("query_id", "id", "phrases").agg(F.sum("part").alias("score"), F.count("*").alias("have"))
     return every.where("have = phrases").select("query_id", "id", "score")
 
 
@@ -140,30 +203,11 @@ def identifier_index(messages: DataFrame, id_col: str, text_cols: list[str]) ->
     return build_index(rows, ["identifiers"])
 
 
-def identifier_match(spark: SparkSession, index: Index, identifiers: dict[object, list[str]], key_type: str = "long") -> DataFrame:
-    """(query_id, id, score) of rows that have any identifier of a query."""
-    alternatives = {(q, i): [fold_tokens(x)] for q, xs in identifiers.items() for i, x in enumerate(xs)}
-    rows = [(q, i, " ".join(p[0])) for (q, i), p in alternatives.items() if p[0]]
-    names = spark.createDataFrame([(q, p) for q, _, p in rows], f"owner {key_type}, phrase string").distinct()
-    phrases = phrase_table(spark, {p: [p.split()] for _, _, p in rows}, "string")
-    one = match(index, phrases, {"identifiers": 1.0, "message_id": 1.0})
-    return one.join(F.broadcast(names), F.col("query_id") == F.col("phrase")).groupBy(F.col("owner").alias("query_id"), "id").agg(F.sum("score").alias("score"))
-
-
-def stemmed(index: Index) -> Index:
-    """The index with every term replaced by its Porter stem; stemming costs the vocabulary of a batch, not its rows."""
-    from ..functions.porter import stem
-
-    def run(batches):
-        known: dict[str, str] = {}
-        for batch in batches:
-            at = batch.schema.get_field_index("term")
-            coded = pc.dictionary_encode(batch.column(at))
-            words = coded.dictionary.to_pylist()
-            if len(known) > 1 << 20:
-                known.clear()
-            stems = pa.array([known.get(w) or known.setdefault(w, stem(w)) for w in words], pa.string())
-            yield batch.set_column(at, "term", stems.take(coded.indices))
-
-    rows = index.occurrences.select("term", "id", "field", "pos", "dl")
-    return Index(rows.mapInArrow(run, rows.schema), index.lengths, True)
+def identifier_match(index: Index, identifiers: DataFrame) -> DataFrame:
+    """(query_id, id, score) of rows that have any identifier of a query. ``identifiers``: query_id and identifiers, an array."""
+    named = identifiers.select("query_id", F.explode("identifiers").alias("one")).select("query_id", tokens("one").alias("p")).where(F.size("p") > 0)
+    named = named.select("query_id", F.array_join("p", " ").alias("phrase"), "p").distinct()
+    phrases = named.select(F.col("phrase").alias("query_id"), "phrase", F.size("p").alias("size"), F.lit(1).alias("phrases"), F.posexplode("p").alias("offset", "term")).distinct()
+    one = match(index, phrases, {"identifiers": 1.0, "message_id": 1.0}).withColumnRenamed("query_id", "phrase")
+    send = F.broadcast if _is_small(named) else lambda df: df
+    return one.join(send(named.select("query_id", "phrase")), "phrase").groupBy("query_id", "id").agg(F.sum("score").alias("score"))

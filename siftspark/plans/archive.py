@@ -7,12 +7,16 @@ their id. Documents that are labelled toxic play the sign-in mail.
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet
-from ..operators.lexical import Index, build_index, identifier_index, stemmed
-from .retrieve import Query, Store
+from ..operators.lexical import Index, build_index, identifier_index, read_index, write_index, write_vocabulary
+from ..sources.tables import exists, shared_folder
+from .retrieve import Store
 
 NOW = "2026-01-01T00:00:00Z"
 
@@ -40,14 +44,38 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("message_id"), "embedding")
 
 
-def index(spark: SparkSession, sf_dir: str) -> Index:
-    return build_index(messages(spark, sf_dir).select("id", "subject", "body", "from_addr"), ["subject", "body", "from_addr"])
+def _written(spark: SparkSession, sf_dir: str) -> str:
+    """Where this session has written the index of the tables in a folder: once, for as long as the documents' files stay as they are."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(where)))
+    key = spark.sparkContext.applicationId, sf_dir, files
+    if key not in _indexes:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        m = messages(spark, sf_dir)
+        write_index(build_index(m.select("id", "subject", "body", "from_addr"), ["subject", "body", "from_addr"]), f"{path}/text")
+        write_index(identifier_index(m, "id", ["body"]), f"{path}/identifiers")
+        _indexes[key] = path
+    return _indexes[key]
+
+
+_indexes: dict[tuple, str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str, *, porter: bool = False) -> Index:
+    """The index of the documents; with ``porter`` for queries whose words are stemmed."""
+    path = f"{_written(spark, sf_dir)}/text"
+    found = read_index(spark, path)
+    if not porter:
+        return found
+    if not exists(spark, f"{path}/vocabulary"):
+        write_vocabulary(spark, path)
+    return replace(found, porter=True, vocabulary=spark.read.parquet(f"{path}/vocabulary"))
 
 
 def store(spark: SparkSession, sf_dir: str, *, porter: bool = True) -> Store:
-    """The archive; queries with a SQL twin take the index unstemmed, as SQL has no stemmer."""
-    m, found = messages(spark, sf_dir), index(spark, sf_dir)
-    return Store(m.drop("body"), stemmed(found) if porter else found, vectors(spark, sf_dir), identifier_index(m, "id", ["body"]))
+    """The archive; most queries with a SQL twin take the index unstemmed."""
+    return Store(messages(spark, sf_dir).drop("body"), index(spark, sf_dir, porter=porter), vectors(spark, sf_dir), read_index(spark, f"{_written(spark, sf_dir)}/identifiers"))
 
 
 def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,13 +97,17 @@ def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def queries_of(ids: list[int]) -> list[Query]:
-    """A query for each id, in turn with words of several lanes, inferred and given lanes, dates, and lanes that match nothing."""
-    kinds = [
-        ("that the and", {}),
-        ("der die und", {"lane": "de"}),
-        ("que de la", {"after": "2024-06-01", "before": "2025-03-31"}),
-        ("the invoice", {}),
-        ("with are", {"lane": "en", "after": "2024-03-01"}),
-    ]
-    return [Query(i, kinds[n % 5][0], **kinds[n % 5][1]) for n, i in enumerate(ids)]
+#: Texts, lanes and date windows: words of several lanes, inferred and given lanes, dates, and lanes that match nothing.
+KINDS = [
+    ("that the and", None, None, None),
+    ("der die und", "de", None, None),
+    ("que de la", None, "2024-06-01", "2025-03-31"),
+    ("the invoice", None, None, None),
+    ("with are", "en", "2024-03-01", None),
+]
+
+
+def queries_of(ids: DataFrame) -> DataFrame:
+    """A query for each ``query_id``: its multiple of 50 tells which of ``KINDS``."""
+    kinds = F.array(*(F.struct(*(F.lit(x).cast("string").alias(c) for c, x in zip(("text", "lane", "after", "before"), kind))) for kind in KINDS))
+    return ids.select("query_id", F.get(kinds, F.pmod(F.floor(F.col("query_id") / 50), F.lit(len(KINDS))).cast("int")).alias("q")).select("query_id", "q.*")

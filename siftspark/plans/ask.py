@@ -13,6 +13,7 @@ from ..operators.answers import Answer, answer, audit_rows, best_body, draft_row
 from ..operators.thread_pack import citations, get_thread
 from ..operators.vector import cosine_search
 from ..sources.services import Embedder, Scorer, ServiceError
+from ..sources.tables import local_table, settled
 from .retrieve import Query, Store, retrieve
 
 ASK_K = 8
@@ -64,16 +65,18 @@ def ask(
     """An answer whose citations are ids of its hits, and the audit row to append. Sign-in mail stays in the
     citations and out of the prompt."""
     k = k or ASK_K
-    hits = hybrid_search(spark, store, query, now=now, embed=embed, k=k, **options).persist()
-    cited = citations(hits.withColumnRenamed("message_id", "id")).persist()
+    # both are settled: nothing is computed again or stays behind
+    hits = hybrid_search(spark, store, query, now=now, embed=embed, k=k, **options)
+    cited = settled(citations(hits.withColumnRenamed("message_id", "id")))
+    ids = [r["id"] for r in cited.orderBy("citation").collect()]  # a pack and its spines
     block = ""
     if generate is not None:
-        found = prompt_block(cited, with_prompt_body(store.messages, text)).first()
+        messages = store.messages.where(F.col("id").isin(ids)) if store.lookup is None else store.lookup(ids)
+        found = prompt_block(cited, with_prompt_body(messages, text.where(F.col("id").isin(ids)))).first()
         block = found["block"] if found else ""
-    ids = [r["id"] for r in cited.orderBy("citation").collect()]  # a pack and its spines
     rows = [r.asDict() for r in hits.orderBy("out_pos").collect()]
     got = answer(query, rows, ids, block, generate, "live" if any(r["rerank"] is not None for r in rows) else "none")
-    asked = spark.createDataFrame([(0, query)], "query_id long, query string")
+    asked = local_table(spark, [(0, query)], "query_id long, query string")
     return got, audit_rows(cited, asked, now, actor, k)
 
 
@@ -107,11 +110,34 @@ def tools(spark: SparkSession, store: Store, text: DataFrame, *, clock: Callable
     }
 
 
+#: What the arguments of tools must be; those that are not named are ignored.
+KINDS = {"query": str, "message_id": (str, int), "thread_id": (str, int), "lane": str, "after": str, "before": str, "text": str, "k": int, "hits_only": bool, "fts_only": bool, "send": bool}
+
+
+def wrong_arguments(arguments: dict) -> str | None:
+    """What is wrong with the types of a tool's arguments."""
+    for name, value in arguments.items():
+        kind = KINDS.get(name)
+        if kind is None or value is None:
+            continue
+        if name == "k" and isinstance(value, str) and value.strip().isdigit():
+            continue
+        if not isinstance(value, kind) or isinstance(value, bool) and kind is not bool:
+            return f"{name} has the wrong type"
+    return None
+
+
 def call(found: dict[str, Callable[[dict], dict]], name: str, arguments: dict) -> dict:
-    """A tool's result, or ``{"error": ...}`` for a wrong name or wrong arguments."""
+    """A tool's result, or ``{"error": ...}`` for a wrong name or wrong arguments, with ``"failed": True`` where the tool itself
+    failed: no exception of a tool leaves a server without an answer."""
     if name not in found:
         return {"error": f"no tool {name}"}
+    wrong = wrong_arguments(arguments)
+    if wrong:
+        return {"error": wrong}
     try:
         return found[name](arguments)
     except (KeyError, ValueError) as e:
         return {"error": " ".join(str(e).split())[:160]}
+    except Exception as e:
+        return {"error": f"{type(e).__name__}: {' '.join(str(e).split())}"[:160], "failed": True}

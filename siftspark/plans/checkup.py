@@ -21,7 +21,7 @@ TEXT_QUERIES, HYBRID_QUERIES, SHOWN = ("bill", "invoice"), ("utility bill", "inv
 
 def text_sample(spark: SparkSession, store: Store, queries: Sequence[str] = TEXT_QUERIES, shown: int = SHOWN) -> list[dict]:
     """Hits of each query in the text index, and the subjects of the first."""
-    found = match(store.index, phrase_table(spark, {i: phrases(q) for i, q in enumerate(queries)}, porter=store.index.porter), WEIGHTS).persist()
+    found = match(store.index, phrase_table(spark, {i: phrases(q) for i, q in enumerate(queries)}), WEIGHTS).persist()
     counts = {r["query_id"]: r["hits"] for r in found.groupBy("query_id").agg(F.count("*").alias("hits")).collect()}
     out = []
     for i, q in enumerate(queries):

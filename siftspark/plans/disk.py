@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from ..functions.identifiers import extract_identifiers
 from ..operators.answers import best_snippet
-from ..operators.lexical import Index, build_index, read_index, stemmed, write_index
+from ..operators.lexical import Index, build_index, read_index, stemmed
+from ..operators.segments import SegmentedIndex
 from ..sources import schemas
 from ..sources.tables import exists, read, writable
 from .retrieve import Store
@@ -41,12 +42,14 @@ def upsert_identifiers(spark: SparkSession, root: str, changed: DataFrame | None
     return found
 
 
-def refresh_indexes(spark: SparkSession, root: str) -> None:
-    """Builds both indexes from the messages and text of the archive: that of the text stemmed, that of identifiers not."""
+def refresh_indexes(spark: SparkSession, root: str) -> dict[str, int]:
+    """Brings both indexes up to date with the messages and text of the archive: that of the text stemmed, that of identifiers not. Only
+    what is new or has changed is indexed; the counts of it, by index."""
     text = read(spark, f"{root}/text", schemas.MESSAGE_TEXT)
-    write_index(stemmed(build_index(text, FIELDS)), f"{root}/index")
+    found = SegmentedIndex(spark, f"{root}/index", FIELDS, porter=True).refresh(text)
     upsert_identifiers(spark, root)
-    write_index(build_index(read(spark, f"{root}/messages_ids", schemas.MESSAGE_IDS), ["identifiers"]), f"{root}/identifiers")
+    ids = SegmentedIndex(spark, f"{root}/identifiers", ["identifiers"]).refresh(read(spark, f"{root}/messages_ids", schemas.MESSAGE_IDS))
+    return found | {f"identifiers_{name}": n for name, n in ids.items()}
 
 
 def migrate_table(spark: SparkSession, path: str, schema: T.StructType) -> list[str]:
@@ -76,13 +79,21 @@ def open_store(spark: SparkSession, root: str) -> Store:
         path = f"{root}/{name}"
         return read(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
 
-    def index(name: str) -> Index | None:
-        return read_index(spark, f"{root}/{name}") if exists(spark, f"{root}/{name}/lengths") else None
+    def index(name: str, fields: list[str], porter: bool) -> Index | None:
+        path = f"{root}/{name}"
+        if exists(spark, f"{path}/versions"):
+            return SegmentedIndex(spark, path, fields, porter).read()
+        return read_index(spark, path) if exists(spark, f"{path}/lengths") else None
 
-    text = table("text", schemas.MESSAGE_TEXT)
-    found = index("index") or stemmed(build_index(text, FIELDS))
-    identifiers = index("identifiers")
+    messages, text = table("messages", schemas.MESSAGES), table("text", schemas.MESSAGE_TEXT)
+    found = index("index", FIELDS, True) or stemmed(build_index(text, FIELDS))
+    identifiers = index("identifiers", ["identifiers"], False)
     if identifiers is None and exists(spark, f"{root}/messages_ids"):
         identifiers = build_index(table("messages_ids", schemas.MESSAGE_IDS), ["identifiers"])
     chunks = table("chunk_map", schemas.CHUNK_MAP) if exists(spark, f"{root}/chunk_map") else None
-    return Store(messages_for_search(table("messages", schemas.MESSAGES), text), found, table("vectors", schemas.VECTORS), identifiers, chunks)
+
+    def lookup(ids: list) -> DataFrame:
+        """The few messages and texts of these ids: the scan skips what cannot have them."""
+        return messages_for_search(messages.where(F.col("id").isin(ids)), text.where(F.col("id").isin(ids)))
+
+    return Store(messages_for_search(messages, text), found, table("vectors", schemas.VECTORS), identifiers, chunks, lookup)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.porter import _STEP2, _STEP3, _STEP4
 from ..functions.query_terms import MONEY_WORDS, NOT_NAMES
 from ..functions.text import QUERY_INSTRUCTION, RERANK_INSTRUCTION
 from ..operators.answers import DATA_BEGIN, DATA_END
@@ -60,6 +61,65 @@ def _bm25(boost: float, terms: dict[int, str] = TERMS) -> str:
               GROUP BY w.query_id, tf.id HAVING count(*) = (SELECT count(*) FROM w x WHERE x.query_id = w.query_id))"""
 
 
+def _shape(w: str) -> str:
+    """Consonants and vowels of a word; y is the other of what stands before it."""
+    x = f"regexp_replace(regexp_replace({w}, '[^aeiouy]', 'c', 'g'), '[aeiou]', 'v', 'g')"
+    for _ in range(4):
+        x = f"replace(replace(regexp_replace({x}, '^y', 'c'), 'cy', 'cv'), 'vy', 'vc')"
+    return x
+
+
+def _porter(words: str) -> str:
+    """CTE stems(term, stem) of ``words`` (term): Porter's steps on one table each. A letter outside ASCII counts as two."""
+    cut = lambda x, n: f"left({x}, length({x}) - {n})"
+    ends = lambda x: f"suffix(w, '{x}')"
+    over = lambda s, n: f"regexp_matches({s}, 'vc{'.*vc' * n}')"
+    short_end = lambda w, s: f"(suffix({s}, 'cvc') AND right({w}, 1) NOT IN ('w', 'x', 'y'))"
+    out = [f"p0 AS (SELECT term, w, {_shape('w')} AS s FROM (SELECT DISTINCT term, regexp_replace(term, '([^\\x00-\\x7F])', '\\1' || chr(1), 'g') AS w FROM {words}))"]
+
+    def step(value: str) -> None:
+        n = len(out)
+        out.append(f"p{n} AS (SELECT term, w, {_shape('w')} AS s FROM (SELECT term, CASE WHEN length(w) BETWEEN 3 AND 64 OR {n} > 1 AND length(term) > 2 THEN {value} ELSE w END AS w FROM p{n - 1}))")
+
+    def swapped(table: dict[str, str]) -> str:
+        return "CASE " + " ".join(f"WHEN {ends(e)} THEN CASE WHEN {over(cut('s', len(e)), 0)} THEN {cut('w', len(e))} || '{new}' ELSE w END" for e, new in sorted(table.items(), key=lambda x: -len(x[0]))) + " ELSE w END"
+
+    step(f"CASE WHEN {ends('sses')} OR {ends('ies')} AND length(w) > 3 THEN {cut('w', 2)} WHEN {ends('s')} AND NOT {ends('ss')} THEN {cut('w', 1)} ELSE w END")
+
+    def mended(n: int) -> str:
+        b, s = cut("w", n), cut("s", n)
+        return f"""CASE WHEN regexp_matches({b}, '(at|bl|iz)$') THEN {b} || 'e' WHEN right({b}, 1) = right({cut(f'({b})', 1)}, 1) AND suffix({s}, 'c') AND right({b}, 1) NOT IN ('l', 's', 'z') THEN {cut(f'({b})', 1)}
+            WHEN {over(s, 0)} AND NOT {over(s, 1)} AND {short_end(b, s)} THEN {b} || 'e' ELSE {b} END"""
+
+    step(f"""CASE WHEN {ends('eed')} THEN CASE WHEN {over(cut('s', 3), 0)} THEN {cut('w', 1)} ELSE w END
+        WHEN {ends('ed')} AND contains({cut('s', 2)}, 'v') THEN {mended(2)} WHEN {ends('ing')} AND contains({cut('s', 3)}, 'v') THEN {mended(3)} ELSE w END""")
+    step(f"CASE WHEN {ends('y')} AND contains({cut('s', 1)}, 'v') THEN {cut('w', 1)} || 'i' ELSE w END")
+    step(swapped(_STEP2))
+    step(swapped(_STEP3))
+    fourth = lambda e: f"{over(cut('s', len(e)), 1)}" + (" AND regexp_matches(w, '[st]ion$')" if e == "ion" else "")
+    step("CASE " + " ".join(f"WHEN {ends(e)} THEN CASE WHEN {fourth(e)} THEN {cut('w', len(e))} ELSE w END" for e in sorted(_STEP4, key=len, reverse=True)) + " ELSE w END")
+    h = cut("s", 1)
+    step(f"CASE WHEN {ends('e')} AND ({over(h, 1)} OR {over(h, 0)} AND NOT {short_end(cut('w', 1), h)}) THEN {cut('w', 1)} ELSE w END")
+    step(f"CASE WHEN {ends('ll')} AND {over('s', 1)} THEN {cut('w', 1)} ELSE w END")
+    return ", ".join(out) + f", stems AS (SELECT term, replace(w, chr(1), '') AS stem FROM p{len(out) - 1})"
+
+
+def _bm25_phrases(boost: float) -> str:
+    """CTE s(query_id, id, score) for one-word phrases ``q(query_id, phrase)``, by the stems of all words."""
+    fields = " UNION ALL ".join(f"SELECT id, {w} AS w, unnest({_tokens(f)}) AS term FROM m" for f, w in (("subject", boost), ("body", 1.0), ("from_addr", 1.0)))
+    return f"""occ AS ({fields}), {_porter("(SELECT term FROM occ UNION SELECT phrase FROM q)")},
+        dl AS (SELECT m.id, coalesce(n, 0) AS dl FROM m LEFT JOIN (SELECT id, count(*) AS n FROM occ GROUP BY id) USING (id)),
+        st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM dl),
+        ph AS (SELECT DISTINCT phrase, stem FROM q JOIN stems ON term = phrase),
+        tf AS (SELECT phrase, id, sum(w)::DOUBLE AS tf FROM ph JOIN stems USING (stem) JOIN occ ON occ.term = stems.term GROUP BY phrase, id),
+        idf AS (SELECT phrase, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf
+                FROM (SELECT phrase, count(*)::DOUBLE AS df FROM tf GROUP BY phrase), st),
+        qs AS (SELECT query_id, count(*) AS n_phrases FROM q GROUP BY query_id),
+        s AS (SELECT q.query_id, tf.id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
+              FROM q JOIN tf USING (phrase) JOIN idf USING (phrase) JOIN dl ON dl.id = tf.id JOIN qs ON qs.query_id = q.query_id, st
+              GROUP BY q.query_id, tf.id, n_phrases HAVING count(*) = n_phrases)"""
+
+
 def _knn(k: int) -> str:
     return f"""q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % {EVERY} = 0),
         d AS (SELECT query_id, vec_id AS id, 1 - list_dot_product(qv, embedding::DOUBLE[]) /
@@ -203,6 +263,14 @@ ORACLES = {
     "bm25_subject_boost": f"WITH {_M}, {_bm25(5.0)}, {_FTS} SELECT query_id::BIGINT AS query_id, id, score, fts_rank FROM f",
     "bm25_lane_filter": f"""WITH {_M}, {_bm25(5.0)} SELECT s.query_id::BIGINT AS query_id, s.id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s.id) AS fts_rank
         FROM s JOIN m ON m.id = s.id WHERE lane = CASE WHEN query_id = 2 THEN 'de' ELSE 'en' END QUALIFY fts_rank <= 50""",
+    "index_upkeep": f"""WITH {_M.replace('m AS (', 'm0 AS (', 1)}, m AS (SELECT id, CASE WHEN contains(lower(subject), 'with') THEN 'with the' WHEN contains(lower(subject), 'that') THEN 'that the' ELSE subject END AS subject,
+            CASE WHEN NOT contains(lower(subject), 'with') AND NOT contains(lower(subject), 'that') AND id IN (SELECT doc_id FROM labels) THEN 'that the and with ' ELSE '' END || coalesce(body, '') AS body, from_addr
+            FROM m0 WHERE contains(lower(subject), 'with') OR contains(lower(subject), 'that') OR id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), {_bm25(5.0)}
+        SELECT query_id::BIGINT AS query_id, id, score, fts_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS fts_rank FROM s) WHERE fts_rank <= 50""",
+    "bm25_stemmed": f"""WITH {_M}, b AS (SELECT item_id AS query_id, array_to_string(list_transform({_tokens('text')}[1:2], lambda x: x || CASE WHEN length(x) % 2 = 0 THEN 's' ELSE 'ing' END), ' ') || ' thes' AS text FROM benchmark),
+        q AS (SELECT DISTINCT query_id, unnest({_tokens('text')}) AS phrase FROM b WHERE len(regexp_extract_all(text, '[A-Za-z0-9_]+')) = len({_tokens('text')})
+              UNION SELECT query_id, unnest(flatten(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: {_tokens('x')}))) FROM b), {_bm25_phrases(5.0)}
+        SELECT query_id, id, score, fts_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS fts_rank FROM s) WHERE fts_rank <= 50""",
     "benchmark_batch": f"""WITH {_M}, p AS (SELECT DISTINCT item_id, phrase FROM (SELECT item_id, array_to_string(regexp_extract_all(strip_accents(lower(unnest(
             CASE WHEN regexp_matches(text, '[A-Za-z0-9_]') THEN regexp_extract_all(text, '[A-Za-z0-9_]+(?:[-.][A-Za-z0-9_]+)*') ELSE [coalesce(text, '')] END))), '[\\p{{L}}\\p{{N}}]+'), ' ') AS phrase FROM benchmark) WHERE phrase <> ''),
         f AS (SELECT id, ' ' || unnest([{', '.join(f"array_to_string({_tokens(c)}, ' ')" for c in ('subject', 'body', 'from_addr'))}]) || ' ' AS line FROM m),
@@ -222,8 +290,8 @@ ORACLES = {
         FROM m WHERE trim(coalesce(body, '')) <> ''""",
     "subject_like": f"WITH {_M} SELECT id FROM m WHERE lower(subject) LIKE '%the%' AND lower(subject) LIKE '%re%'",
     "identifier_hits": """WITH i AS (SELECT doc_id AS id, doc_id % 7 = 3 AS a, doc_id = 17 OR doc_id % 7 = 1 AS b FROM documents)
-        SELECT 1::BIGINT AS query_id, count(*) AS hits, min(id) AS low, max(id) AS high FROM i WHERE a
-        UNION ALL SELECT 2, count(*), min(id), max(id) FROM i WHERE b""",
+        , r AS (SELECT 1::BIGINT AS query_id, id, row_number() OVER (ORDER BY id) AS ids_rank, count(*) OVER () AS hits, min(id) OVER () AS low, max(id) OVER () AS high FROM i WHERE a
+        UNION ALL SELECT 2, id, row_number() OVER (ORDER BY id <> 17, id), count(*) OVER (), min(id) OVER (), max(id) OVER () FROM i WHERE b) SELECT * FROM r WHERE ids_rank <= 50""",
     "knn_top50": f"WITH {_knn(50)} SELECT query_id, id, round(distance, 9) + 0.0::DOUBLE AS distance, vec_rank FROM v",
     "cosine_search": f"""WITH {_M}, {_knn(10)} SELECT query_id, v.id, subject, from_addr, round(1 - distance, 9) AS score, round(distance, 9) + 0.0::DOUBLE AS distance, snippet FROM v LEFT JOIN m ON m.id = v.id""",
     "knn_post_filter": f"""WITH {_M}, {_knn(50)} SELECT query_id, v.id, row_number() OVER (PARTITION BY query_id ORDER BY vec_rank) AS vec_rank

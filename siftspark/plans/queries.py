@@ -12,10 +12,12 @@ from ..functions import candidates as C
 from ..functions import identifiers, query_terms, scores, text, threads
 from ..functions import vectors as V
 from ..operators import answers, fusion, health, ingest, lexical, thread_pack, vector
+from ..operators.segments import SegmentedIndex
 from ..sources import schemas, scorers, services, tables
-from ..sources.tables import VersionedTable, shared_folder, vector_dims
+from ..sources.tables import VersionedTable, local_table, shared_folder, vector_dims
 from . import archive, disk
-from .retrieve import filters, first_chunks, lexical_list, retrieve, subject_then_body, vector_list
+from .retrieve import Query as Asked
+from .retrieve import filters, first_chunks, lexical_list, query_table, read_queries, retrieve, subject_then_body, vector_list
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -312,9 +314,35 @@ def bm25_subject_boost(spark, sf_dir):
 
 @query
 def bm25_lane_filter(spark, sf_dir):
-    asked = [archive.Query(q, t) for q, t in TERMS.items()]
-    limits = filters(spark, asked, {q: "de" if q == 2 else "en" for q in TERMS})
-    return lexical_list(spark, archive.store(spark, sf_dir, porter=False), asked, limits).drop("variant")
+    asked = query_table(spark, [Asked(q, t, lane="de" if q == 2 else "en") for q, t in TERMS.items()])
+    return lexical_list(archive.store(spark, sf_dir, porter=False), asked, filters(read_queries(asked))).drop("variant")
+
+
+@query
+def bm25_stemmed(spark, sf_dir):
+    """Every benchmark passage's first words, in other forms, over the stemmed index."""
+    words = F.slice(text.tokens("text"), 1, 2)
+    said = F.array_join(F.transform(words, lambda w: F.concat(w, F.when(F.length(w) % 2 == 0, "s").otherwise("ing"))), " ")
+    asked = archive.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(said, F.lit(" thes")).alias("text"))
+    found = lexical.match(archive.index(spark, sf_dir, porter=True), lexical.phrases_of(asked, "query_id", "text"), {"subject": 5, "body": 1, "from_addr": 1})
+    return _round(fusion.ranked(found.withColumn("score", F.round("score", 9)), 50, "fts_rank"), "score")
+
+
+@query
+def index_upkeep(spark, sf_dir):
+    """The first hits in an index that was kept up to date: of all documents, then with the labelled ones changed, the toxic ones deleted and
+    two more changes of the first lines, each as a segment of its own; four of them are merged on the way."""
+    m = _docs(spark, sf_dir).select("id", "subject", "body", "from_addr")
+    labels = archive.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "toxic")
+    index = SegmentedIndex(spark, f"{shared_folder(spark)}/upkeep-{uuid.uuid4().hex}", ["subject", "body", "from_addr"], id_type="long")
+    index.upsert(m)
+    marked = m.join(labels.select("id").distinct(), "id", "left_semi")
+    index.upsert(marked.withColumn("body", F.concat(F.lit("that the and with "), F.coalesce("body", F.lit("")))))
+    index.delete(labels.where("toxic = 1"))
+    for word in ("that", "with"):
+        index.upsert(m.where(F.lower("subject").contains(word)).withColumn("subject", F.lit(f"{word} the")))
+    found = lexical.match(index.read(), lexical.phrase_table(spark, {q: query_terms.phrases(t) for q, t in TERMS.items()}), {"subject": 5, "body": 1, "from_addr": 1})
+    return _round(fusion.ranked(found.withColumn("score", F.round("score", 9)), 50, "fts_rank"), "score")
 
 
 @query
@@ -339,8 +367,11 @@ def identifier_hits(spark, sf_dir):
     i = F.col("id").cast("string")
     rows = _docs(spark, sf_dir).select("id", F.concat(F.lit("INV-A"), i, F.lit(" and 123-456-"), F.lpad(F.col("id") % 7, 2, "0")).alias("body"))
     index = lexical.identifier_index(rows, "id", ["body"])
-    found = lexical.identifier_match(spark, index, {1: identifiers.query_identifiers("parcel 123-456-03?"), 2: identifiers.query_identifiers("INV-A17 123-456-01")})
-    return found.groupBy("query_id").agg(F.count("*").alias("hits"), F.min("id").alias("low"), F.max("id").alias("high"))
+    asked = local_table(spark, [(1, "parcel 123-456-03?"), (2, "INV-A17 123-456-01")], "query_id long, text string")
+    found = lexical.identifier_match(index, asked.select("query_id", identifiers.identifiers_asked(F.col("text")).alias("identifiers")))
+    ranks = fusion.ranked(found, 50, "ids_rank")
+    counts = found.groupBy("query_id").agg(F.count("*").alias("hits"), F.min("id").alias("low"), F.max("id").alias("high"))
+    return ranks.select("query_id", "id", "ids_rank").join(counts, "query_id")
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,7 +398,7 @@ def cosine_search(spark, sf_dir):
 def knn_post_filter(spark, sf_dir):
     lo, hi = query_terms.date_bounds("2024-02-01", None)
     limits = _asked(spark, sf_dir).select("query_id", F.lit(0).alias("variant"), F.lit("en").alias("want"), F.lit(lo).alias("lo"), F.lit(hi).cast("string").alias("hi"))
-    return vector_list(_near(spark, sf_dir, 50), archive.store(spark, sf_dir), limits).drop("variant")
+    return vector_list(_near(spark, sf_dir, 50), _docs(spark, sf_dir), limits).drop("variant")
 
 
 def _fused(spark: SparkSession, sf_dir: str, with_ids: bool = False) -> DataFrame:
@@ -483,9 +514,9 @@ def query_reading(spark, sf_dir):
     rows = archive.table(spark, sf_dir, "benchmark").select("item_id", said.alias("q"))
     return rows.select(
         "item_id",
-        _each(query_terms.infer_lane, "string")("q").alias("lane"),
-        _each(identifiers.is_identifier_query, "boolean")("q").alias("is_identifier"),
-        _each(lambda q: "|".join(" ".join(p) for p in query_terms.phrases(q)), "string")("q").alias("phrases"),
+        query_terms.lane_of(F.col("q")).alias("lane"),
+        identifiers.asks_identifier(F.col("q")).alias("is_identifier"),
+        F.array_join(F.transform(lexical.phrases_in(F.col("q")), lambda p: F.array_join(p, " ")), "|").alias("phrases"),
     )
 
 
@@ -613,12 +644,10 @@ def hits_prompt(spark, sf_dir):
 
 @query
 def hybrid_retrieve(spark, sf_dir):
-    """The whole plan: inferred and given lanes, dates, fallback, packs and spines. The ids of the queries come to the driver,
-    where queries are; their vectors do not."""
+    """The whole plan over a table of queries: inferred and given lanes, dates, fallback, packs and spines."""
     asked = _asked(spark, sf_dir)
-    ids = sorted(r["query_id"] for r in asked.select("query_id").collect())
     near = lambda queries, k: vector.knn_table(archive.vectors(spark, sf_dir), asked, k)
-    return _round(retrieve(spark, archive.store(spark, sf_dir), archive.queries_of(ids), now=archive.NOW, vec_hits=near), "rrf")
+    return _round(retrieve(spark, archive.store(spark, sf_dir), archive.queries_of(asked), now=archive.NOW, vec_hits=near), "rrf")
 
 
 def _embedded(spark: SparkSession, sf_dir: str) -> tuple[VersionedTable, DataFrame]:

@@ -1,7 +1,8 @@
 """Hybrid retrieval as one plan: lexical, vector and identifier lists, fused, decayed, packed and expanded.
 
-Batch first: every step takes all queries at once, keyed by ``query_id``. Queries come from the driver, so their
-phrases, lanes and dates are read there; their filters are a small table that the lists are joined with.
+Batch first: every step takes all queries at once, keyed by ``query_id``. Queries are a table; what is read from their
+texts (phrases, lanes, identifiers, dates) is read by column expressions. A few queries of the driver, as a served search
+has, take the same steps, but each ranked list, which is short, is settled before the next step plans over it.
 """
 
 from __future__ import annotations
@@ -12,32 +13,34 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-from ..functions.identifiers import is_identifier_query, query_identifiers
-from ..functions.query_terms import date_bounds, infer_lane, phrases
+from ..functions.identifiers import asks_identifier, identifiers_asked
+from ..functions.query_terms import date_bounds_of, lane_of
 from ..operators.fusion import decayed, fuse, positioned, ranked, rerank
-from ..operators.lexical import SUBJECT_BOOST, Index, identifier_match, match, phrase_table
+from ..operators.lexical import SUBJECT_BOOST, Index, identifier_match, match, phrases_of
 from ..operators.thread_pack import expand_spine, pack
 from ..operators.vector import knn
+from ..sources.tables import local_table, settled
 
 # Lengths of the three lists, and of the result.
 FTS_K = VEC_K = IDS_K = 50
 DEFAULT_K = 20
-#: Queries of which what they find is sent to every task.
-MOST_BROADCAST = 500
+#: Queries of the driver whose lists are settled: at most 150 hits each come to the driver.
+MOST_SETTLED = 100
 WEIGHTS = {"subject": SUBJECT_BOOST, "body": 1.0, "from_addr": 1.0}
 
 
 @dataclass
 class Store:
     """Messages (id, thread_id, date_utc, from_addr, subject, snippet, lane), their index, vectors (message_id,
-    embedding) and, optionally, identifiers and chunks (message_id, chunk_id)."""
+    embedding) and, optionally, identifiers and chunks (message_id, chunk_id). ``lookup`` gives the messages of a list of ids
+    without reading all."""
 
     messages: DataFrame
     index: Index
     vectors: DataFrame
     identifiers: Index | None = None
     chunks: DataFrame | None = None
+    lookup: Callable[[list], DataFrame] | None = None
 
 
 @dataclass
@@ -50,74 +53,114 @@ class Query:
     before: str | None = None
 
 
-def filters(spark: SparkSession, queries: Sequence[Query], lanes: dict[int, str | None], free: dict[int, str | None] | None = None) -> DataFrame:
-    """(query_id, variant, want, lo, hi): the filters of each query; variant 1 has the lanes of ``free``."""
-    rows = [(q.query_id, v, chosen[q.query_id], *date_bounds(q.after, q.before)) for v, chosen in enumerate((lanes, free or {})) for q in queries if q.query_id in chosen]
-    return spark.createDataFrame(rows, "query_id long, variant int, want string, lo string, hi string")
+def query_table(spark: SparkSession, queries: Sequence[Query]) -> DataFrame:
+    """(query_id, text, lane, after, before)"""
+    if any(not (q.text or "").strip() for q in queries):
+        raise ValueError("an empty query")
+    return local_table(spark, [(q.query_id, q.text, q.lane, q.after, q.before) for q in queries], "query_id long, text string, lane string, after string, before string")
+
+
+def read_queries(queries: DataFrame) -> DataFrame:
+    """(query_id, text, want, inferred, lo, hi, dated, asks) of a table of queries: the lane that is wanted and whether it was
+    inferred, date bounds and whether there are any, whether it asks for an identifier."""
+    lo, hi = date_bounds_of(F.col("after"), F.col("before"))
+    given = F.col("lane").isNotNull()
+    want = lane_of(F.col("text"), F.col("lane"))
+    rows = queries.select("query_id", "text", want.alias("want"), given.alias("given"), lo.alias("lo"), hi.alias("hi"), asks_identifier(F.col("text")).alias("asks"))
+    return rows.select("query_id", "text", "want", (~F.col("given") & F.col("want").isNotNull()).alias("inferred"), "lo", "hi", F.coalesce("lo", "hi").isNotNull().alias("dated"), "asks")
 
 
-def _filtered(found: DataFrame, store: Store, limits: DataFrame) -> DataFrame:
+def filters(read: DataFrame) -> DataFrame:
+    """(query_id, variant, want, lo, hi): the filters of each query; variant 1 is without an inferred lane."""
+    own = read.select("query_id", F.lit(0).alias("variant"), "want", "lo", "hi")
+    return own.unionByName(read.where("inferred").select("query_id", F.lit(1).alias("variant"), F.lit(None).cast("string").alias("want"), "lo", "hi"))
+
+
+def _filtered(found: DataFrame, messages: DataFrame, limits: DataFrame) -> DataFrame:
     """``found`` (query_id, id, ...) once for each variant whose filters the message passes."""
-    facts = store.messages.select("id", "lane", "date_utc")
+    facts = messages.select("id", "lane", "date_utc")
     date = F.coalesce("date_utc", F.lit(""))
     lane = F.col("want").isNull() | (F.lower(F.coalesce("lane", F.lit(""))) == F.lower("want"))
     inside = lane & (F.col("lo").isNull() | (date >= F.col("lo"))) & (F.col("hi").isNull() | (date <= F.col("hi")))
     return found.join(facts, "id", "left").join(limits, "query_id").where(inside).select(*found.columns, "variant")
 
 
-def lexical_list(spark: SparkSession, store: Store, queries: Sequence[Query], limits: DataFrame, k: int = FTS_K) -> DataFrame:
-    """(query_id, variant, id, fts_rank): filters come before the top k and leave the statistics alone."""
-    found = match(store.index, phrase_table(spark, {q.query_id: phrases(q.text) for q in queries}, porter=store.index.porter), WEIGHTS)
+def lexical_list(store: Store, queries: DataFrame, limits: DataFrame, k: int = FTS_K) -> DataFrame:
+    """(query_id, variant, id, fts_rank) for queries (query_id, text): filters come before the top k and leave the statistics alone."""
+    found = match(store.index, phrases_of(queries, "query_id", "text"), WEIGHTS)
     order = Window.partitionBy("query_id", "variant").orderBy(F.round("score", 9).desc(), "id")
-    return _filtered(found, store, limits).withColumn("fts_rank", F.row_number().over(order).cast("long")).where(F.col("fts_rank") <= k).drop("score")
+    return _filtered(found, store.messages, limits).withColumn("fts_rank", F.row_number().over(order).cast("long")).where(F.col("fts_rank") <= k).drop("score")
 
 
-def vector_list(near: DataFrame, store: Store, limits: DataFrame) -> DataFrame:
+def vector_list(near: DataFrame, messages: DataFrame, limits: DataFrame) -> DataFrame:
     """(query_id, variant, id, vec_rank): neighbours that pass the filters, renumbered. The filter stays after the
     top k, which defines results."""
     order = Window.partitionBy("query_id", "variant").orderBy("vec_rank")
-    kept = _filtered(near.select("query_id", "id", "vec_rank"), store, limits)
+    kept = _filtered(near.select("query_id", "id", "vec_rank"), messages, limits)
     return kept.withColumn("vec_rank", F.row_number().over(order).cast("long"))
 
 
 def retrieve(
     spark: SparkSession,
     store: Store,
-    queries: Sequence[Query],
+    queries: Sequence[Query] | DataFrame,
     *,
     k: int = DEFAULT_K,
     now: str,
     scorer: Callable[[str, Sequence[str]], Sequence[float]] | None = None,
     top: int = 20,
     expand: bool = True,
-    vec_hits: Callable[[Sequence[Query], int], DataFrame] | None = None,
+    vec_hits: Callable[[Sequence[Query] | DataFrame, int], DataFrame] | None = None,
+    held: list[DataFrame] | None = None,
 ) -> DataFrame:
     """Hits in order of ``out_pos``: the pack of at most ``k`` threads, then (if ``expand``) its threads' spines.
 
-    A lane that was inferred and leaves all three lists of a query empty is dropped for that query; where it only
-    leaves the vector list empty, that list alone is taken without the lane. Both variants are ranked in one pass.
-    The ranked lists hold at most 100 rows of each query and are read several times, so they are persisted; they
-    go with the session's cache. ``vec_hits`` gives the neighbours (query_id, id, vec_rank) in place of the store's vectors.
+    ``queries``: a list, or a table (query_id, text, lane, after, before) of any number, whose neighbours ``vec_hits`` gives
+    as (query_id, id, vec_rank); a scorer takes a list only. A lane that was inferred and leaves all three lists of a query empty
+    is dropped for that query; where it only leaves the vector list empty, that list alone is taken without the lane. Both
+    variants are ranked in one pass. For up to ``MOST_SETTLED`` queries nothing stays behind; otherwise the ranked lists are persisted
+    and appended to ``held``, for the caller to unpersist.
     """
-    if any(not (q.text or "").strip() for q in queries):
-        raise ValueError("an empty query")
+    listed = None if isinstance(queries, DataFrame) else list(queries)
+    if listed is None and scorer is not None:
+        raise ValueError("a scorer takes a list of queries")
     k = max(1, k)
-    lanes = {q.query_id: infer_lane(q.text, q.lane) for q in queries}
-    inferred = {q.query_id: None for q in queries if q.lane is None and lanes[q.query_id]}
-    # what follows from few queries is small: two filters, 50 neighbours, 150 hits of each at most
-    small = F.broadcast if len(queries) <= MOST_BROADCAST else lambda df: df
-    limits = small(filters(spark, queries, lanes, inferred))
+    few = listed is not None and len(listed) <= MOST_SETTLED
     kind = store.messages.schema["id"].dataType.simpleString()
 
-    near = vec_hits(queries, VEC_K) if vec_hits else knn(store.vectors, [(q.query_id, q.vector) for q in queries if q.vector is not None], VEC_K)
-    fts = lexical_list(spark, store, queries, limits).persist()
-    vec = vector_list(small(near.withColumn("id", F.col("id").cast(kind))), store, limits).persist()
-    asked = [q for q in queries if is_identifier_query(q.text)]
-    if asked and store.identifiers is not None:
-        found = identifier_match(spark, store.identifiers, {q.query_id: query_identifiers(q.text) for q in asked})
-        ids = ranked(found, IDS_K, "ids_rank").select("query_id", F.col("id").cast(kind).alias("id"), "ids_rank").persist()
+    def kept(df: DataFrame) -> DataFrame:
+        if few:
+            return settled(df)
+        df = df.persist()
+        if held is not None:
+            held.append(df)
+        return df
+
+    def of_ids(*lists: DataFrame) -> DataFrame:
+        """The messages of the ids in the lists, or all."""
+        if not few or store.lookup is None:
+            return store.messages
+        ids = sorted({r[0] for df in lists for r in df.select("id").collect()})
+        return settled(store.lookup(ids))
+
+    table = queries if listed is None else query_table(spark, listed)
+    read = kept(read_queries(table))
+    limits = kept(filters(read))
+
+    if vec_hits:
+        near = vec_hits(queries, VEC_K)
+    else:
+        near = knn(store.vectors, [(q.query_id, q.vector) for q in listed or [] if q.vector is not None], VEC_K)
+    near = near.select("query_id", F.col("id").cast(kind).alias("id"), "vec_rank")
+    if few:
+        near = settled(near)
+    fts = kept(lexical_list(store, read, limits))
+    vec = kept(vector_list(near, of_ids(near), limits))
+    if store.identifiers is not None and not (few and not read.where("asks").count()):
+        found = identifier_match(store.identifiers, read.where("asks").select("query_id", identifiers_asked(F.col("text")).alias("identifiers")))
+        ids = kept(ranked(found, IDS_K, "ids_rank").select("query_id", F.col("id").cast(kind).alias("id"), "ids_rank"))
     else:
-        ids = spark.createDataFrame([], f"query_id long, id {kind}, ids_rank long")
+        ids = local_table(spark, [], f"query_id long, id {kind}, ids_rank long")
 
     # which variant each list of a query takes: one row for each query, with marks of what the lane left
     have = lambda df, name: df.select("query_id", F.lit(True).alias(name)).distinct()
@@ -126,27 +169,34 @@ def retrieve(
     turn = left.select("query_id", F.col("v").isNull().alias("free_vec"), (F.col("v").isNull() & F.col("f").isNull() & F.col("i").isNull()).alias("free_fts"))
 
     def chosen(rows: DataFrame, flag: str) -> DataFrame:
-        with_turn = rows.join(small(turn), "query_id", "left")
-        return with_turn.where(F.col("variant") == F.coalesce(F.col(flag), F.lit(False)).cast("int"))
-
-    fused = fuse(chosen(fts, "free_fts"), chosen(vec, "free_vec"), ids, with_ids=[q.query_id for q in asked])
-    fused = decayed(small(fused), store.messages, now, except_for=[q.query_id for q in queries if q.after or q.before])
-    facts = store.messages.select("id", "thread_id", F.col("date_utc").alias("date"), F.col("from_addr").alias("from"), "subject", "snippet", "lane")
-    hits = small(positioned(fused)).join(facts, "id", "left").persist()
-    hits, _ = rerank(hits, {q.query_id: q.text for q in queries}, scorer, top)
+        return rows.join(turn, "query_id", "left").where(F.col("variant") == F.coalesce(F.col(flag), F.lit(False)).cast("int"))
+
+    fused = fuse(chosen(fts, "free_fts"), chosen(vec, "free_vec"), ids, with_ids=read.where("asks"))
+    known = store.messages
+    if few:
+        fused = settled(fused)
+        known = of_ids(fused)
+    fused = decayed(fused, known, now, except_for=read.where("dated"))
+    columns = ["id", "thread_id", F.col("date_utc").alias("date"), F.col("from_addr").alias("from"), "subject", "snippet", "lane"]
+    hits = kept(positioned(fused).join(known.select(*columns), "id", "left"))
+    hits, _ = rerank(hits, {q.query_id: q.text for q in listed or []}, scorer, top)
     packed = pack(hits, k)
     if expand:
         out = expand_spine(packed, hits, store.messages)
     else:
         out = packed.select("query_id", "id", F.col("pack_pos").alias("out_pos"), F.lit(True).alias("in_pack"), "fts_rank", "vec_rank", "rrf", "rerank")
-    out = small(out).join(facts, "id", "left")
+    if few:
+        out = settled(out)
+        known = of_ids(out)
+    out = out.join(known.select(*columns), "id", "left")
     if store.chunks is not None:
         out = out.join(first_chunks(store.chunks).withColumn("id", F.col("id").cast(kind)), "id", "left")
     else:
         out = out.withColumn("chunk_id", F.lit(None).cast("string"))
     # fixed names
     fields = ["chunk_id", "thread_id", "date", "from", "subject", "snippet", "fts_rank", "vec_rank", "rrf", "rerank", "lane"]
-    return out.select("query_id", "out_pos", F.col("id").alias("message_id"), *fields)
+    out = out.select("query_id", "out_pos", F.col("id").alias("message_id"), *fields)
+    return settled(out) if few else out
 
 
 def first_chunks(chunks: DataFrame) -> DataFrame:
@@ -160,8 +210,8 @@ def subject_then_body(spark: SparkSession, store: Store, query: str, k: int) ->
 
     # the first k of each list are enough, and all that ever meets in one task
     subject = subject_scan(store.messages, query).orderBy("id").limit(k).select("id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("nth"))
-    asked = [Query(0, query)]
-    body = lexical_list(spark, store, asked, filters(spark, asked, {0: None}), k).select("id", F.lit(1).alias("part"), F.col("fts_rank").alias("nth"))
+    asked = query_table(spark, [Query(0, query, lane="none")])
+    body = lexical_list(store, asked, filters(read_queries(asked)), k).select("id", F.lit(1).alias("part"), F.col("fts_rank").alias("nth"))
     once = subject.unionByName(body).groupBy("id").agg(F.min(F.struct("part", "nth")).alias("at")).orderBy("at", "id").limit(k)
     return once.withColumn("pos", F.row_number().over(Window.orderBy("at", "id")).cast("long")).select("id", "pos")
 

@@ -55,10 +55,12 @@ def dispatch(found: Tools, name: str, arguments: object) -> dict:
 
 
 def respond(found: Tools, method: str, target: str, body: bytes = b"") -> tuple[int, dict]:
-    """Status and answer: GET ``/health``, ``/ask?q=``, ``/message?id=``; POST of a tool's arguments to ``/<tool>``."""
+    """Status and answer: GET ``/health``, ``/ask?q=``, ``/message?id=``, and ``/ui`` for a page; POST of a tool's arguments to ``/<tool>``."""
     parts = urlsplit(target)
     if method == "GET":
         first = {k: v[0] for k, v in parse_qs(parts.query).items()}
+        if parts.path == "/ui":
+            return 200, {"page": PAGE}
         if parts.path in ("/", "/health"):
             return 200, {"ok": True, "tools": [s["name"] for s in schemas(found)]}
         gets = {"/ask": ("ask", {"query": first.get("q") or first.get("query")}), "/message": ("get_message", {"message_id": first.get("id") or first.get("message_id")})}
@@ -76,7 +78,22 @@ def respond(found: Tools, method: str, target: str, body: bytes = b"") -> tuple[
     if name not in found:
         return 404, {"error": "not found"}
     answer = dispatch(found, name, arguments)
-    return (400 if "error" in answer else 200), answer
+    failed = answer.pop("failed", False)
+    return (500 if failed else 400 if "error" in answer else 200), answer
+
+
+#: A page that asks and shows the citations; it loads nothing from elsewhere.
+PAGE = """<!doctype html><meta charset="utf-8"><title>siftspark</title>
+<form id="f"><input id="q" size="60" placeholder="Ask the archive" autofocus><button>Ask</button></form><pre id="a"></pre>
+<script>
+document.getElementById("f").onsubmit = async (e) => {
+  e.preventDefault();
+  const out = document.getElementById("a");
+  out.textContent = "...";
+  const said = await (await fetch("/ask?q=" + encodeURIComponent(document.getElementById("q").value))).json();
+  out.textContent = said.error || [said.answer, ...(said.citations || []).map((c) => "- " + c)].filter(Boolean).join("\\n");
+};
+</script>"""
 
 
 def http_server(found: Tools, host: str = "127.0.0.1", port: int = 8765) -> ThreadingHTTPServer:
@@ -89,9 +106,10 @@ def http_server(found: Tools, host: str = "127.0.0.1", port: int = 8765) -> Thre
                 status, said = 413, {"error": "the body is too large"}
             else:
                 status, said = respond(found, self.command, self.path, self.rfile.read(size))
-            raw = json.dumps(said, default=str, ensure_ascii=False).encode()
+            page = said.get("page") if self.path.split("?")[0] == "/ui" else None
+            raw = page.encode() if page else json.dumps(said, default=str, ensure_ascii=False).encode()
             self.send_response(status)
-            self.send_header("Content-Type", "application/json; charset=utf-8")
+            self.send_header("Content-Type", f"{'text/html' if page else 'application/json'}; charset=utf-8")
             self.send_header("Content-Length", str(len(raw)))
             self.end_headers()
             self.wfile.write(raw)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import json
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from .commits import CommitLog
 from .schemas import conform
 
 
@@ -47,6 +49,18 @@ def shared_folder(spark: SparkSession) -> str:
 _own_folders: dict[str, str] = {}
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows that the driver has, as a relation that Spark plans with their true size."""
+    fields = T.StructType.fromDDL(schema)
+    columns = [pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=fields.names), fields)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, which are known to be few, computed once: what is built on them plans as over a literal table."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small text file at any path that Spark can write."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -79,49 +93,22 @@ def vector_dims(vectors: DataFrame, column: str = "embedding") -> DataFrame:
 class VersionedTable:
     """A table of segments: one written whole, and after it one for each upsert, holding the new rows only.
 
-    Every version is a numbered pointer file that lists its segments; a new one is written beside the others and renamed into
-    place, and nothing is removed for it. So a reader always finds a whole version, and a write that fails or
-    crashes leaves the version before. ``MOST`` segments are merged into one."""
+    Every version is a pointer file that lists its segments (``CommitLog``), so a reader always finds a whole version, and a
+    write that fails leaves the version before. Of two upserts at once the one that commits later is the later segment; a
+    whole overwrite replaces what is there when it commits. Where ``MERGE`` segments of a size follow each other they are merged into one,
+    so a row is rewritten as often as the logarithm of the table's size."""
 
-    #: Segments that a reader merges at most.
-    MOST = 16
+    #: Segments of like size that are merged, and how sizes are told apart.
+    MERGE = 4
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-
-    def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-
-    def _fs(self):
-        return self._path("x").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _versions(self) -> list[int]:
-        fs, root = self._fs(), self._path("versions")
-        names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
-        return sorted(int(x) for x in names if x.isdigit())
+        self.log = CommitLog(spark, root)
 
     def current(self) -> tuple[list[str], list[str]]:
         """The segments of the newest version, oldest first, and the key columns by which they are merged."""
-        versions = self._versions()
-        if not versions:
-            return [], []
-        stream = self._fs().open(self._path(f"versions/{versions[-1]:012d}"))
-        try:
-            found = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-        return found["segments"], found["keys"]
-
-    def _point(self, segments: list[str], keys: list[str]) -> None:
-        name = f"{(self._versions() or [0])[-1] + 1:012d}"
-        fs, draft = self._fs(), self._path(f"versions/.{name}-{uuid.uuid4().hex}")
-        out = fs.create(draft, True)
-        out.write(bytearray(json.dumps({"segments": segments, "keys": keys}).encode()))
-        out.close()
-        target = self._path(f"versions/{name}")
-        if fs.exists(target) or not fs.rename(draft, target):
-            fs.delete(draft, False)
-            raise RuntimeError(f"another writer has written version {name} of {self.root}")
+        state = self.log.newest()[1] or {"segments": [], "keys": []}
+        return state["segments"], state["keys"]
 
     def _written(self, df: DataFrame) -> str:
         name = f"s-{uuid.uuid4().hex}"
@@ -131,46 +118,66 @@ class VersionedTable:
     def _segment(self, name: str) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/{name}")
 
-    def read(self) -> DataFrame:
-        segments, keys = self.current()
-        if not segments:
-            return self.spark.createDataFrame([], self.schema)
+    def _bytes(self, name: str) -> int:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+    def _merged(self, segments: list[str], keys: list[str]) -> DataFrame:
         if len(segments) == 1:
             return self._segment(segments[0])
         for i, name in enumerate(segments[1:], 1):
             more = self._segment(name).withColumn("_nth", F.lit(i))
             late = more if i == 1 else late.unionByName(more)
-        # of each key the row of the newest segment; the first segment has one for each key
+        # of each key the row of the newest segment; all but one written whole have one for each key
         others = F.struct("_nth", *(c for c in self.schema.names if c not in keys))
         newest = late.groupBy(*keys).agg(F.max(others).alias("_row")).select(*keys, "_row.*").select(*self.schema.names)
         return upsert(self._segment(segments[0]), newest, keys, distinct=True)
 
+    def read(self) -> DataFrame:
+        segments, keys = self.current()
+        return self._merged(segments, keys) if segments else self.spark.createDataFrame([], self.schema)
+
     def overwrite(self, df: DataFrame, keys: list[str] | None = None) -> None:
-        self._point([self._written(df)], keys or [])
+        name = self._written(df)
+        self.log.commit(lambda _: {"segments": [name], "keys": keys or []})
 
     def upsert(self, new: DataFrame, keys: list[str]) -> None:
         """Rows of ``new``, one for each key (see ``one_row``), replace those of equal keys."""
-        segments, had = self.current()
         new = one_row(conform(new, self.schema), keys)
-        if not segments or len(segments) > 1 and had != keys:
-            return self.overwrite(upsert(self.read(), new, keys, distinct=True), keys)
-        self._point([*segments, self._written(new)], keys)
-        if len(segments) + 1 >= self.MOST:
-            self.overwrite(self.read(), keys)
-
-    def vacuum(self, keep: int = 2) -> None:
-        """Removes all but the newest ``keep`` versions, and the segments that none of these has."""
-        fs, wanted = self._fs(), set()
-        for version in self._versions()[-keep:]:
-            stream = fs.open(self._path(f"versions/{version:012d}"))
-            wanted |= set(json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["segments"])
-            stream.close()
-        for version in self._versions()[:-keep]:
-            fs.delete(self._path(f"versions/{version:012d}"), False)
-        for f in fs.listStatus(self._path("")):
-            name = f.getPath().getName()
-            if name.startswith("s-") and name not in wanted:
-                fs.delete(f.getPath(), True)
+        had = self.current()[1]
+        if had and had != keys:
+            raise ValueError(f"{self.root} is kept by {had}, not by {keys}")
+        name = self._written(new)
+        self.log.commit(lambda state: {"segments": [*(state or {"segments": []})["segments"], name], "keys": keys})
+        self.compact()
+
+    def compact(self) -> None:
+        """Merges the newest segments while ``MERGE`` of them, or more, are of like size."""
+        while True:
+            segments, keys = self.current()
+            size = [self._bytes(x) for x in segments]
+            run = 1
+            while run < len(segments) and size[-run - 1] < self.MERGE * max(sum(size[-run:]), 1):
+                run += 1
+            if run < self.MERGE:
+                return
+            old = segments[-run:]
+            merged = self._written(self._merged(old, keys))
+            if not self.log.commit(lambda state: replaced(state, old, merged)):
+                return
+
+    def vacuum(self, keep: int = 2, grace: float = 3600.0) -> None:
+        """Removes all but the newest ``keep`` versions, and older segments that none of these has."""
+        self.log.vacuum(lambda state: set(state["segments"]), keep, grace)
+
+
+def replaced(state: dict | None, old: list, new: object) -> dict | None:
+    """The state with the run ``old`` of its segments replaced by ``new``; None if they are not there any more."""
+    segments = (state or {"segments": []})["segments"]
+    for i in range(len(segments) - len(old) + 1):
+        if segments[i : i + len(old)] == old:
+            return state | {"segments": [*segments[:i], new, *segments[i + len(old) :]]}
+    return None
 
 
 def one_row(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -21,6 +21,7 @@ from siftspark.plans.ask import tools
 from siftspark.plans.disk import migrate_table, open_store, upsert_identifiers
 from siftspark.plans.retrieve import Query, retrieve
 from siftspark.sources import schemas, scorers, services, tables
+from siftspark.sources.commits import CommitLog
 from siftspark.streaming import increment
 
 from .test_ask import NOW, archive
@@ -153,20 +154,55 @@ def test_segments_and_crashes(spark, tmp_path, monkeypatch):
     assert held() == {"a": 1.0, "b": 0.5, "c": 4.0} and t.read().count() == 3 and len(t.current()[0]) == 3
 
     before = t.read()
-    point = tables.VersionedTable._point
-    monkeypatch.setattr(tables.VersionedTable, "_point", lambda *_: (_ for _ in ()).throw(RuntimeError("crash")))
+    put = CommitLog.put
+    monkeypatch.setattr(CommitLog, "put", lambda *_: (_ for _ in ()).throw(RuntimeError("crash")))
     with pytest.raises(RuntimeError):
         t.upsert(rows(("d", 9.0)), ["message_id"])
     with pytest.raises(RuntimeError):
         t.overwrite(rows(("d", 9.0)))
-    monkeypatch.setattr(tables.VersionedTable, "_point", point)
+    monkeypatch.setattr(CommitLog, "put", put)
     assert held() == {"a": 1.0, "b": 0.5, "c": 4.0}  # a crash between writing and pointing leaves the table whole
-    monkeypatch.setattr(tables.VersionedTable, "MOST", 4)
     t.upsert(rows(("d", 9.0)), ["message_id"])
-    assert len(t.current()[0]) == 1 and held() == {"a": 1.0, "b": 0.5, "c": 4.0, "d": 9.0}
+    assert len(t.current()[0]) == 1 and held() == {"a": 1.0, "b": 0.5, "c": 4.0, "d": 9.0}  # four of like size were merged
     assert before.count() == 3  # a reader of the version before keeps its files
-    t.vacuum(1)
+    t.vacuum(1, grace=0)
     assert held() == {"a": 1.0, "b": 0.5, "c": 4.0, "d": 9.0} and len(list((tmp_path / "t").glob("s-*"))) == 1
+    with pytest.raises(ValueError):
+        t.upsert(rows(("d", 1.0)), ["message_id", "embedding"])
+
+
+def test_writers_that_meet(spark, tmp_path):
+    """Writers at once, each in a thread, lose no row; a number is taken once."""
+    log = CommitLog(spark, f"file://{tmp_path}/l")
+    assert log.put(1, {"x": 1}) and not log.put(1, {"x": 2}) and log.newest() == (1, {"x": 1})
+    assert log.commit(lambda state: None) is None and log.newest()[0] == 1
+    t = tables.VersionedTable(spark, f"file://{tmp_path}/t", schemas.VECTORS)
+    failed = []
+
+    def write(i):
+        try:
+            t.upsert(spark.createDataFrame([(f"m{i}", [float(i)]), ("all", [float(i)])], schemas.VECTORS), ["message_id"])
+        except Exception as e:
+            failed.append(e)
+
+    threads = [threading.Thread(target=write, args=(i,)) for i in range(4)]
+    for x in threads:
+        x.start()
+    for x in threads:
+        x.join()
+    assert not failed and {r[0] for r in t.read().collect()} == {"m0", "m1", "m2", "m3", "all"} and t.read().count() == 5
+
+
+def test_a_change_between_reading_and_committing(spark, tmp_path):
+    log, seen = CommitLog(spark, f"file://{tmp_path}/l"), []
+
+    def change(state):
+        if not seen:
+            CommitLog(spark, log.root).commit(lambda s: {"n": ["other"]})  # another writer is faster
+        seen.append(state)
+        return {"n": [*(state or {"n": []})["n"], "own"]}
+
+    assert log.commit(change) == {"n": ["other", "own"]} and seen == [None, {"n": ["other"]}]
 
 
 def test_one_id_in_two_files(spark, tmp_path):
@@ -214,6 +250,14 @@ def test_http_and_tools(spark, tmp_path):
     threading.Thread(target=http.serve_forever, daemon=True).start()
     with urllib.request.urlopen(f"http://127.0.0.1:{http.server_port}/ask?q=boat") as got:
         assert set(json.load(got)["citations"]) == {"m1", "m2", "m3"}
+    served["ask"] = lambda a: (_ for _ in ()).throw(RuntimeError("no\nengine"))
+    with pytest.raises(urllib.error.HTTPError) as failed:  # a tool that fails is answered
+        urllib.request.urlopen(f"http://127.0.0.1:{http.server_port}/ask?q=boat")
+    assert failed.value.code == 500 and json.load(failed.value)["error"] == "RuntimeError: no engine"
+    for wrong in (b'{"query": "x", "k": []}', b'{"query": 5}', b'{"query": "x", "lane": {}}'):
+        assert server.respond(served, "POST", "/ask", wrong)[0] == 400
+    with urllib.request.urlopen(f"http://127.0.0.1:{http.server_port}/ui") as page:
+        assert page.headers["Content-Type"].startswith("text/html") and b"<form" in page.read()
     http.shutdown()
 
     line = lambda x: json.dumps(x).encode() + b"\n"
