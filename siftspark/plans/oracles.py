@@ -6,6 +6,7 @@ from ..functions.porter import _STEP2, _STEP3, _STEP4
 from ..functions.query_terms import MONEY_WORDS, NOT_NAMES
 from ..functions.text import QUERY_INSTRUCTION, RERANK_INSTRUCTION
 from ..operators.answers import DATA_BEGIN, DATA_END
+from .archive import KINDS
 from .queries import EVERY, TERMS
 
 # white space as Unicode and Python see it, for RE2
@@ -120,6 +121,11 @@ def _bm25_phrases(boost: float) -> str:
               GROUP BY q.query_id, tf.id, n_phrases HAVING count(*) = n_phrases)"""
 
 
+def _kinds() -> str:
+    said = lambda x: "NULL" if x is None else f"'{x}'"
+    return ", ".join(f"({k}, {', '.join(map(said, kind))})" for k, kind in enumerate(KINDS))
+
+
 def _knn(k: int) -> str:
     return f"""q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % {EVERY} = 0),
         d AS (SELECT query_id, vec_id AS id, 1 - list_dot_product(qv, embedding::DOUBLE[]) /
@@ -148,6 +154,13 @@ _SPINE = """k0 AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY
     k AS (SELECT thread_id, id, 0 AS part, 0::BIGINT AS nth FROM k0 WHERE r = 1 UNION ALL SELECT thread_id, id, 1, 3 - l FROM k0 WHERE l <= 3)"""
 _PACK = """p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pack_pos FROM (SELECT * FROM h
         QUALIFY row_number() OVER (PARTITION BY query_id, coalesce(thread_id::VARCHAR, 'msg:' || id) ORDER BY pos) = 1) QUALIFY pack_pos <= {k})"""
+#: CTE x: the pack p, then the spines k of its threads and their other hits.
+_EXPANDED = """e AS (SELECT p.query_id, k.id, p.pack_pos, k.part, k.nth FROM p JOIN k ON k.thread_id = p.thread_id
+              UNION ALL SELECT h.query_id, h.id, p.pack_pos, 2, h.pos FROM h JOIN p ON p.query_id = h.query_id AND p.thread_id = h.thread_id),
+        o AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.query_id = e.query_id AND p.id = e.id)
+              QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY pack_pos, part, nth) = 1),
+        x AS (SELECT query_id, id, 0 AS pack_pos, 0 AS part, pack_pos AS nth, true AS in_pack FROM p UNION ALL SELECT query_id, id, pack_pos, part, nth, false FROM o)"""
+_INSIDE = "(want IS NULL OR lower(coalesce(m.lane, '')) = want) AND (lo IS NULL OR coalesce(date_utc, '') >= lo) AND (hi IS NULL OR coalesce(date_utc, '') <= hi)"
 _REPLY = r"""'> before' || chr(13) || chr(10) || body || replace(chr(10) || '-- ' || chr(10) || 'Ada' || chr(10) ||
     'On Tue, 1 Apr 2025, Ada <ada@example.com> wrote:' || chr(10) || '> earlier' || chr(10), chr(10), chr(13) || chr(10))"""
 
@@ -310,14 +323,31 @@ ORACLES = {
     "conversation_spine": f"""WITH g AS (SELECT conv_id AS thread_id, conv_id * 1000 + turn AS id, CASE WHEN turn <> 1 THEN lpad(turn::VARCHAR, 6, '0') END AS date_utc FROM conversations),
         {_SPINE.format(members='g')} SELECT thread_id, id, part, nth FROM k""",
     "thread_spine": f"""WITH {_HITS}, {_PACK.format(k=5)}, g AS (SELECT thread_id, id, date_utc FROM m WHERE thread_id IS NOT NULL), {_SPINE.format(members='g')},
-        e AS (SELECT p.query_id, k.id, p.pack_pos, k.part, k.nth FROM p JOIN k ON k.thread_id = p.thread_id
-              UNION ALL SELECT h.query_id, h.id, p.pack_pos, 2, h.pos FROM h JOIN p ON p.query_id = h.query_id AND p.thread_id = h.thread_id),
-        o AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.query_id = e.query_id AND p.id = e.id)
-              QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY pack_pos, part, nth) = 1),
-        x AS (SELECT query_id, id, 0 AS pack_pos, 0 AS part, pack_pos AS nth, true AS in_pack FROM p UNION ALL SELECT query_id, id, pack_pos, part, nth, false FROM o)
+        {_EXPANDED}
         SELECT x.query_id::BIGINT AS query_id, x.id, row_number() OVER (PARTITION BY x.query_id ORDER BY x.pack_pos, x.part, x.nth) AS out_pos, in_pack,
                coalesce(h.fts_rank, 1000) AS fts_rank, coalesce(h.vec_rank, 1000) AS vec_rank, round(coalesce(h.rrf, 0), 9) AS rrf, h.rerank::DOUBLE AS rerank
         FROM x LEFT JOIN h ON h.query_id = x.query_id AND h.id = x.id""",
+    "hybrid_retrieve": f"""WITH {_M}, kinds(k, text, lane, after, before) AS (VALUES {_kinds()}),
+        asked AS (SELECT vec_id AS query_id, kinds.* FROM embeddings JOIN kinds ON k = vec_id // {EVERY} % {len(KINDS)} WHERE vec_id % {EVERY} = 0),
+        q AS (SELECT DISTINCT query_id, unnest(string_split(text, ' ')) AS phrase FROM asked), {_bm25_phrases(5.0)}, {_knn(50).replace("q AS (", "qv AS (", 1).replace("FROM q,", "FROM qv,", 1)},
+        lim AS (SELECT query_id, 0 AS variant, coalesce(lane, CASE WHEN contains(text, 'invoice') THEN 'money' END) AS want, after AS lo, before || 'T23:59:59.999999Z' AS hi FROM asked
+                UNION ALL SELECT query_id, 1, NULL, after, before || 'T23:59:59.999999Z' FROM asked WHERE lane IS NULL AND contains(text, 'invoice')),
+        f0 AS (SELECT s.query_id, variant, s.id, row_number() OVER (PARTITION BY s.query_id, variant ORDER BY score DESC, s.id) AS fts_rank
+               FROM s JOIN lim USING (query_id) LEFT JOIN m ON m.id = s.id WHERE {_INSIDE} QUALIFY fts_rank <= 50),
+        v0 AS (SELECT v.query_id, variant, v.id, row_number() OVER (PARTITION BY v.query_id, variant ORDER BY vec_rank) AS vec_rank
+               FROM v JOIN lim USING (query_id) LEFT JOIN m ON m.id = v.id WHERE {_INSIDE}),
+        turn AS (SELECT query_id, NOT EXISTS (SELECT 1 FROM v0 WHERE v0.query_id = lim.query_id AND variant = 0) AS free_vec,
+                        NOT EXISTS (SELECT 1 FROM f0 WHERE f0.query_id = lim.query_id AND variant = 0) AS no_fts FROM lim WHERE variant = 1),
+        fc AS (SELECT f0.* FROM f0 LEFT JOIN turn USING (query_id) WHERE variant = coalesce((free_vec AND no_fts)::INT, 0)),
+        vc AS (SELECT v0.* FROM v0 LEFT JOIN turn USING (query_id) WHERE variant = coalesce(free_vec::INT, 0)),
+        u AS (SELECT query_id, id, coalesce(fts_rank, 1000) AS fts_rank, coalesce(vec_rank, 1000) AS vec_rank, {_RRF} AS rrf FROM fc FULL JOIN vc USING (query_id, id)),
+        h0 AS (SELECT u.query_id, u.id, fts_rank, vec_rank, thread_id, date_utc, rrf * CASE WHEN after IS NOT NULL OR before IS NOT NULL OR date_utc IS NULL THEN 1 ELSE {_AGE.format(now='2026-01-01 00:00:00')} END AS rrf
+               FROM u JOIN asked ON asked.query_id = u.query_id LEFT JOIN m ON m.id = u.id),
+        h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS pos FROM h0),
+        {_PACK.format(k=20)}, g AS (SELECT thread_id, id, date_utc FROM m WHERE thread_id IS NOT NULL), {_SPINE.format(members='g')}, {_EXPANDED},
+        z AS (SELECT x.query_id, x.id, row_number() OVER (PARTITION BY x.query_id ORDER BY x.pack_pos, x.part, x.nth) AS out_pos, h.fts_rank, h.vec_rank, h.rrf FROM x LEFT JOIN h ON h.query_id = x.query_id AND h.id = x.id)
+        SELECT z.query_id::BIGINT AS query_id, out_pos, z.id AS message_id, NULL::VARCHAR AS chunk_id, thread_id, date_utc AS date, from_addr AS "from", subject, snippet, coalesce(fts_rank, 1000) AS fts_rank,
+               coalesce(vec_rank, 1000) AS vec_rank, round(coalesce(rrf, 0), 9) AS rrf, NULL::DOUBLE AS rerank, lane FROM z LEFT JOIN m ON m.id = z.id""",
     "get_thread": f"WITH {_M} SELECT id, thread_id, date_utc FROM m WHERE thread_id = 40 OR id = 40",
     "citation_order": f"WITH {_HITS}, {_CITED.format(where='WHERE pos <= 30')} SELECT query_id::BIGINT AS query_id, id, citation FROM c",
     "allowed_citations": "SELECT doc_id * 3 AS id, doc_id AS pos FROM documents WHERE doc_id * 3 IN (SELECT doc_id FROM documents)",
