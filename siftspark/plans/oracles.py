@@ -306,6 +306,7 @@ ORACLES = {
         , r AS (SELECT 1::BIGINT AS query_id, id, row_number() OVER (ORDER BY id) AS ids_rank, count(*) OVER () AS hits, min(id) OVER () AS low, max(id) OVER () AS high FROM i WHERE a
         UNION ALL SELECT 2, id, row_number() OVER (ORDER BY id <> 17, id), count(*) OVER (), min(id) OVER (), max(id) OVER () FROM i WHERE b) SELECT * FROM r WHERE ids_rank <= 50""",
     "knn_top50": f"WITH {_knn(50)} SELECT query_id, id, round(distance, 9) + 0.0::DOUBLE AS distance, vec_rank FROM v",
+    "knn_by_cells": f"WITH {_knn(50)} SELECT query_id, id, round(distance, 9) + 0.0::DOUBLE AS distance, vec_rank FROM v",
     "cosine_search": f"""WITH {_M}, {_knn(10)} SELECT query_id, v.id, subject, from_addr, round(1 - distance, 9) AS score, round(distance, 9) + 0.0::DOUBLE AS distance, snippet FROM v LEFT JOIN m ON m.id = v.id""",
     "knn_post_filter": f"""WITH {_M}, {_knn(50)} SELECT query_id, v.id, row_number() OVER (PARTITION BY query_id ORDER BY vec_rank) AS vec_rank
         FROM v LEFT JOIN m ON m.id = v.id WHERE coalesce(lane, '') = 'en' AND coalesce(date_utc, '') >= '2024-02-01'""",

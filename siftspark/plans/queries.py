@@ -389,6 +389,15 @@ def knn_top50(spark, sf_dir):
     return _round(_near(spark, sf_dir, 50), "distance")
 
 
+@query
+def knn_by_cells(spark, sf_dir):
+    """As ``knn_top50``, over cells of which a query opens only those that can hold one of its nearest."""
+    root = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    cells = vector.make_cells(archive.vectors(spark, sf_dir), f"{root}/rows")
+    near, _ = vector.knn_cells(cells, _asked(spark, sf_dir), 50, root)
+    return _round(near, "distance")
+
+
 @query
 def cosine_search(spark, sf_dir):
     return _round(vector.with_text(_near(spark, sf_dir, 10), _docs(spark, sf_dir)), "score", "distance")
