@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -101,18 +103,26 @@ class VersionedTable:
     #: Segments of like size that are merged, and how sizes are told apart.
     MERGE = 4
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, guard: Callable[[], None] | None = None):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-        self.log = CommitLog(spark, root)
+        self.log = CommitLog(spark, root, guard)
 
     def current(self) -> tuple[list[str], list[str]]:
         """The segments of the newest version, oldest first, and the key columns by which they are merged."""
         state = self.log.newest()[1] or {"segments": [], "keys": []}
         return state["segments"], state["keys"]
 
-    def _written(self, df: DataFrame) -> str:
+    def _written(self, df: DataFrame, keys: list[str] | None = None) -> str:
+        """Writes a segment; by ``keys``, if given, in ranges of the first key and with a bloom filter of it, so that a lookup of a
+        key skips the files and row groups that cannot have it."""
         name = f"s-{uuid.uuid4().hex}"
-        df.select(*self.schema.names).write.parquet(f"{self.root}/{name}")
+        out = df.select(*self.schema.names)
+        if keys:
+            out = out.repartitionByRange(keys[0]).sortWithinPartitions(*keys)
+            writer = out.write.option(f"parquet.bloom.filter.enabled#{keys[0]}", "true")
+        else:
+            writer = out.write
+        writer.parquet(f"{self.root}/{name}")
         return name
 
     def _segment(self, name: str) -> DataFrame:
@@ -138,7 +148,7 @@ class VersionedTable:
         return self._merged(segments, keys) if segments else self.spark.createDataFrame([], self.schema)
 
     def overwrite(self, df: DataFrame, keys: list[str] | None = None) -> None:
-        name = self._written(df)
+        name = self._written(df, keys)
         self.log.commit(lambda _: {"segments": [name], "keys": keys or []})
 
     def upsert(self, new: DataFrame, keys: list[str]) -> None:
@@ -147,7 +157,7 @@ class VersionedTable:
         had = self.current()[1]
         if had and had != keys:
             raise ValueError(f"{self.root} is kept by {had}, not by {keys}")
-        name = self._written(new)
+        name = self._written(new, keys)
         self.log.commit(lambda state: {"segments": [*(state or {"segments": []})["segments"], name], "keys": keys})
         self.compact()
 
@@ -162,10 +172,23 @@ class VersionedTable:
             if run < self.MERGE:
                 return
             old = segments[-run:]
-            merged = self._written(self._merged(old, keys))
+            merged = self._written(self._merged(old, keys), keys)
             if not self.log.commit(lambda state: replaced(state, old, merged)):
                 return
 
+    def lookup(self, key: str, values: list) -> DataFrame:
+        """The rows of a few values of the first key column: the filter reaches the scan of every segment, which skips what
+        cannot have them."""
+        segments, keys = self.current()
+        if not segments or keys[:1] != [key]:
+            return self.read().where(F.col(key).isin(values))
+        parts = [self._segment(x).where(F.col(key).isin(values)).withColumn("_nth", F.lit(i)) for i, x in enumerate(segments)]
+        rows = functools.reduce(DataFrame.unionByName, parts)
+        if len(segments) == 1:
+            return rows.drop("_nth")
+        others = F.struct("_nth", *(c for c in self.schema.names if c not in keys))
+        return rows.groupBy(*keys).agg(F.max(others).alias("_row")).select(*keys, "_row.*").select(*self.schema.names)
+
     def vacuum(self, keep: int = 2, grace: float = 3600.0) -> None:
         """Removes all but the newest ``keep`` versions, and older segments that none of these has."""
         self.log.vacuum(lambda state: set(state["segments"]), keep, grace)
