@@ -113,9 +113,13 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "label", "x"])
 
 
-def train(docs: DataFrame, *, per_language: int = 600, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Centroids:
+def train(docs: DataFrame, *, per_language: int = 600, most_languages: int = 256, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Centroids:
+    """Centroids from at most ``per_language`` rows of each language, and ``most_rows`` in all, which is what comes to the driver; of more than
+    ``most_languages`` values of lang those with the most rows are languages."""
     known = docs.where(~held_out(F.col(id_col))).where(F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("label"))
-    sample = sample_ids(known, per_language)
+    labels = known.where("label is not null").groupBy("label").count().orderBy(F.col("count").desc(), "label").limit(most_languages)
+    labels = [r["label"] for r in labels.collect()]
+    sample = sample_ids(known.where(F.col("label").isin(labels)), min(per_language, max(1, most_rows // len(labels)))) if labels else []
     if not sample:
         return Centroids([], np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(0))
     got = sample_texts(docs, sample, "string", id_col, text_col).mapInArrow(lean(_sampled), "doc_id long, label string, x binary").collect()
