@@ -148,3 +148,23 @@ def test_languages_by_hand(spark):
         assert got[doc_id]["score"] == pytest.approx(best, abs=1e-4)
         assert got[doc_id]["lang_pred"] in {model.languages[i] for i, s in enumerate(near) if s > best - 1e-5}
         assert got[doc_id]["rejected"] == (best < model.radius[near.index(best)]) or abs(best - model.radius[near.index(best)]) < 1e-4
+
+
+def test_a_vocabulary_of_weights(spark):
+    """Thousands of terms from a table: weights of distinct terms add up, repeats and parts of words do not count."""
+    terms = [(f"w{i}", 0.4) for i in range(5000)] + [("Bad", 1.0), ("bad", 0.2), ("", 9.0), (None, 9.0), ("null", None), ("w1x", 0.7)]
+    vocabulary = spark.createDataFrame(terms, "term string, weight double")
+    urls = ["http://x.net/bad", "http://x.net/w1/w1/w1", "http://x.net/w1-w2", "http://x.net/w1/w2/w4999", "http://x.net/w1x.w7", "http://x.net/badly", None, "http://x.org/bad", "http://x.net/w1/w2/w4999"]
+    pages = spark.createDataFrame([(i if i else None, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = Counter((r["page_id"], r["verdict"], r["rule"]) for r in url_filter.url_filter(pages, vocabulary=vocabulary, limit=1.0).collect())
+    assert got == Counter([(None, "block", None), (1, "allow", None), (2, "allow", None), (3, "block", None), (4, "block", None), (5, "allow", None), (6, "allow", None), (7, "allow", "org/"), (8, "block", None)])
+    assert {r["verdict"] for r in url_filter.url_filter(pages.where("page_id <> 7"), vocabulary=vocabulary.where("false")).collect()} == {"allow"}
+    with pytest.raises(ValueError):
+        url_filter.weights_of(spark.range(url_filter.MOST_TERMS + 1).selectExpr("string(id) AS term", "1.0 AS weight"))
+
+
+def test_more_languages_than_are_learned(spark):
+    rows = [(i, f"der die das und {i} nicht ist " * 3, "de") for i in range(40)] + [(100 + i, f"the and of is {i} not with " * 3, "en") for i in range(30)]
+    rows += [(1000 + i, f"junk {i} words", f"x{i}") for i in range(50)]
+    got = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=2, most_rows=30)
+    assert set(got.languages) == {"de", "en"}
