@@ -67,15 +67,17 @@ def hits_messages(query: str, hits: Sequence[dict], cap: int = HITS_CAP) -> list
     return [{"role": "system", "content": system}, {"role": "user", "content": f"Question:\n{query}\n\nHits:\n{packed}"}]
 
 
-def audit_rows(cited: DataFrame, queries: DataFrame, now: str, actor: str, k: int) -> DataFrame:
-    """(ts, actor, query, k, hit_count, hit_ids, detail) of queries (query_id, query): ids and labels, never bodies."""
+def audit_rows(cited: DataFrame, queries: DataFrame, now: str, actor: str, k: int, labels: dict[str, str | None] | None = None) -> DataFrame:
+    """(ts, actor, query, k, hit_count, hit_ids, detail) of queries (query_id, query): ids and labels, never bodies. ``labels``: what
+    ``detail`` tells of the answer, such as its model, host and modes."""
+    told = json.dumps({"generate_mode": "hits_only"} if labels is None else labels, ensure_ascii=False, separators=(",", ":"))
     ids = cited.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("citation", "id"))).alias("c"))
     rows = queries.join(ids, "query_id", "left").withColumn("ids", F.transform("c", lambda x: x["id"].cast("string")))
     count = F.coalesce(F.size("ids"), F.lit(0))
     return rows.select(
         F.lit(now).alias("ts"), F.lit(actor).alias("actor"), "query", F.lit(k).cast("long").alias("k"),
         F.greatest(count, F.lit(0)).cast("long").alias("hit_count"), F.coalesce(F.array_join("ids", ","), F.lit("")).alias("hit_ids"),
-        F.to_json(F.struct(F.lit("hits_only").alias("generate_mode"))).alias("detail"),
+        F.lit(told).alias("detail"),
     )
 
 

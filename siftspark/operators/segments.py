@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.commits import CommitConflict, CommitLog
+from ..sources.commits import CommitConflict, CommitLog, refuse_if_read_only
 from ..sources.tables import replaced
 from .lexical import Index, build_index, read_index, write_index
 
@@ -78,6 +78,7 @@ class SegmentedIndex:
     # --- writing ------------------------------------------------------------------------------------
 
     def _write(self, index: Index, hashes: DataFrame, dead: DataFrame | None) -> dict:
+        refuse_if_read_only(self.spark)
         name = f"s-{uuid.uuid4().hex}"
         path = f"{self.root}/{name}"
         write_index(replace(index, porter=self.porter), path)

@@ -60,6 +60,8 @@ def ask(
     generate: Callable[[Sequence[dict]], str] | None = None,
     actor: str = "user",
     k: int = ASK_K,
+    model: str | None = None,
+    host: str | None = None,
     **options,
 ) -> tuple[Answer, DataFrame]:
     """An answer whose citations are ids of its hits, and the audit row to append. Sign-in mail stays in the
@@ -77,7 +79,8 @@ def ask(
     rows = [r.asDict() for r in hits.orderBy("out_pos").collect()]
     got = answer(query, rows, ids, block, generate, "live" if any(r["rerank"] is not None for r in rows) else "none")
     asked = local_table(spark, [(0, query)], "query_id long, query string")
-    return got, audit_rows(cited, asked, now, actor, k)
+    labels = {"model": model, "host": host, "generate_mode": got.generate_mode, "rerank_mode": got.rerank_mode}
+    return got, audit_rows(cited, asked, now, actor, k, labels)
 
 
 def get_message(messages: DataFrame, text: DataFrame, message_id: object) -> dict | None:

@@ -96,4 +96,4 @@ def open_store(spark: SparkSession, root: str) -> Store:
         """The few messages and texts of these ids: the scan skips what cannot have them."""
         return messages_for_search(messages.where(F.col("id").isin(ids)), text.where(F.col("id").isin(ids)))
 
-    return Store(messages_for_search(messages, text), found, table("vectors", schemas.VECTORS), identifiers, chunks, lookup)
+    return Store(messages_for_search(messages, text), found, table("vectors", schemas.VECTORS), identifiers, chunks, lookup=lookup)

@@ -32,7 +32,8 @@ WEIGHTS = {"subject": SUBJECT_BOOST, "body": 1.0, "from_addr": 1.0}
 @dataclass
 class Store:
     """Messages (id, thread_id, date_utc, from_addr, subject, snippet, lane), their index, vectors (message_id,
-    embedding) and, optionally, identifiers and chunks (message_id, chunk_id). ``lookup`` gives the messages of a list of ids
+    embedding) and, optionally, identifiers, chunks (message_id, chunk_id, vec_rowid) and the
+    vectors' rows (id, vec_rowid). ``lookup`` gives the messages of a list of ids
     without reading all."""
 
     messages: DataFrame
@@ -40,6 +41,7 @@ class Store:
     vectors: DataFrame
     identifiers: Index | None = None
     chunks: DataFrame | None = None
+    rowids: DataFrame | None = None
     lookup: Callable[[list], DataFrame] | None = None
 
 
@@ -190,7 +192,7 @@ def retrieve(
         known = of_ids(out)
     out = out.join(known.select(*columns), "id", "left")
     if store.chunks is not None:
-        out = out.join(first_chunks(store.chunks).withColumn("id", F.col("id").cast(kind)), "id", "left")
+        out = out.join(first_chunks(store.chunks, store.rowids).withColumn("id", F.col("id").cast(kind)), "id", "left")
     else:
         out = out.withColumn("chunk_id", F.lit(None).cast("string"))
     # fixed names
@@ -199,9 +201,16 @@ def retrieve(
     return settled(out) if few else out
 
 
-def first_chunks(chunks: DataFrame) -> DataFrame:
-    """(id, chunk_id): the smallest chunk id of each message."""
-    return chunks.groupBy(F.col("message_id").alias("id")).agg(F.min("chunk_id").alias("chunk_id"))
+def first_chunks(chunks: DataFrame, rowids: DataFrame | None = None) -> DataFrame:
+    """(id, chunk_id): the smallest chunk id of each message. Messages that no chunk names get that of their vector's row, where
+    ``rowids`` (id, vec_rowid) tells it."""
+    some = chunks.where(F.coalesce("chunk_id", F.lit("")) != "")
+    named = some.where("message_id is not null").groupBy(F.col("message_id").alias("id")).agg(F.min("chunk_id").alias("chunk_id"))
+    if rowids is None or "vec_rowid" not in chunks.columns:
+        return named
+    by_row = some.where("vec_rowid is not null").groupBy("vec_rowid").agg(F.min("chunk_id").alias("chunk_id"))
+    other = rowids.select("id", "vec_rowid").join(by_row, "vec_rowid").groupBy("id").agg(F.min("chunk_id").alias("chunk_id"))
+    return named.unionByName(other.join(named, "id", "left_anti"))
 
 
 def subject_then_body(spark: SparkSession, store: Store, query: str, k: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .commits import CommitLog
+from .commits import CommitLog, refuse_if_read_only
 from .schemas import conform
 
 
@@ -28,6 +28,7 @@ def read(spark: SparkSession, path: str, schema: T.StructType | None = None) ->
 
 def writable(spark: SparkSession, path: str, schema: T.StructType) -> VersionedTable:
     """The versioned table at ``path``; a plain Parquet table that is there becomes its first version."""
+    refuse_if_read_only(spark)
     table = VersionedTable(spark, path, schema)
     if not exists(spark, f"{path}/versions") and exists(spark, path):
         table.overwrite(read(spark, path, schema))
@@ -65,6 +66,7 @@ def settled(df: DataFrame) -> DataFrame:
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small text file at any path that Spark can write."""
+    refuse_if_read_only(spark)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
     out.write(bytearray(text.encode()))
@@ -115,6 +117,7 @@ class VersionedTable:
     def _written(self, df: DataFrame, keys: list[str] | None = None) -> str:
         """Writes a segment; by ``keys``, if given, in ranges of the first key and with a bloom filter of it, so that a lookup of a
         key skips the files and row groups that cannot have it."""
+        refuse_if_read_only(self.spark)
         name = f"s-{uuid.uuid4().hex}"
         out = df.select(*self.schema.names)
         if keys:

@@ -106,3 +106,31 @@ def test_a_lookup_reads_as_much_of_a_large_table_as_of_a_small_one(spark, tmp_pa
         read.append(_scanned(t.lookup("message_id", ["m0000005"])))
         assert read[-1] < n / 3
     assert read[1] <= 1.5 * read[0]
+
+
+def test_a_read_only_session_writes_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([("m", [1.0])], schemas.VECTORS)
+    t = tables.VersionedTable(spark, f"file://{tmp_path}/t", schemas.VECTORS)
+    t.upsert(rows, ["message_id"])
+    before = sorted(p.name for p in (tmp_path / "t").rglob("*"))
+    spark.conf.set("siftspark.readOnly", "true")
+    try:
+        assert t.read().count() == 1 and tables.read(spark, f"file://{tmp_path}/t", schemas.VECTORS).count() == 1
+        for write in (lambda: t.upsert(rows, ["message_id"]), lambda: t.overwrite(rows), lambda: tables.writable(spark, f"file://{tmp_path}/t", schemas.VECTORS), lambda: tables.write_text(spark, f"file://{tmp_path}/x", "x")):
+            with pytest.raises(PermissionError):
+                write()
+        with pytest.raises(PermissionError):
+            with lease(spark, f"file://{tmp_path}/l", "x"):
+                pass
+    finally:
+        spark.conf.unset("siftspark.readOnly")
+    assert sorted(p.name for p in (tmp_path / "t").rglob("*")) == before
+
+
+def test_chunks_by_the_row_of_a_vector(spark):
+    from siftspark.plans.retrieve import first_chunks
+
+    chunks = spark.createDataFrame([("c2", None, "m1"), ("c1", None, "m1"), ("c5", 7, None), ("c4", 7, None), ("", 8, None), ("c9", 1, "m1")], "chunk_id string, vec_rowid long, message_id string")
+    rowids = spark.createDataFrame([("m1", 7), ("m2", 7), ("m3", 8), ("m4", None)], "id string, vec_rowid long")
+    assert {r["id"]: r["chunk_id"] for r in first_chunks(chunks, rowids).collect()} == {"m1": "c1", "m2": "c4"}
+    assert {r["id"]: r["chunk_id"] for r in first_chunks(chunks).collect()} == {"m1": "c1"}
