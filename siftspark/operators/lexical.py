@@ -63,11 +63,19 @@ def write_index(index: Index, path: str) -> None:
     placed.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/occurrences")
     if index.porter:
         write_vocabulary(spark, path)
+    lengths = written_lengths(index.lengths.select("id"), path)
     # a column of the lengths tells a stemmed index, so that both come from one write
-    lengths = index.lengths.withColumn("porter", F.lit(True)) if index.porter else index.lengths
+    lengths = lengths.withColumn("porter", F.lit(True)) if index.porter else lengths
     lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
 
+def written_lengths(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` (id and more) with ``dl`` as the written occurrences tell it: texts are split once only."""
+    kind = rows.schema["id"].dataType.simpleString()
+    held = rows.sparkSession.read.schema(f"id {kind}, dl long").parquet(f"{path}/occurrences").groupBy("id").agg(F.max("dl").alias("dl"))
+    return rows.join(held, "id", "left").withColumn("dl", F.coalesce("dl", F.lit(0).cast("long")))
+
+
 def write_vocabulary(spark: SparkSession, path: str) -> None:
     """The stem of each distinct term of the occurrences at ``path``."""
     terms = spark.read.schema("term string").parquet(f"{path}/occurrences").distinct()

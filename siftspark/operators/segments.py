@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..sources.commits import CommitConflict, CommitLog, refuse_if_read_only
 from ..sources.tables import replaced
-from .lexical import Index, build_index, read_index, write_index
+from .lexical import Index, build_index, read_index, write_index, written_lengths
 
 
 class SegmentedIndex:
@@ -82,18 +82,18 @@ class SegmentedIndex:
         name = f"s-{uuid.uuid4().hex}"
         path = f"{self.root}/{name}"
         write_index(replace(index, porter=self.porter), path)
-        hashes.write.mode("overwrite").parquet(f"{path}/lengths")
+        written_lengths(hashes.select("id", "hash"), path).select("id", "dl", "hash").write.mode("overwrite").parquet(f"{path}/lengths")
         if dead is not None:
             dead.write.parquet(f"{path}/dead")
         held = self.spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
         return {"name": name, "rows": held["n"], "tokens": held["tokens"], "held": held["n"], "dead": dead is not None}
 
     def _rows(self, text: DataFrame) -> tuple[Index, DataFrame]:
-        """The index of ``text``, one row for each id, and (id, dl, hash)."""
+        """The index of ``text``, one row for each id, and (id, hash)."""
         told = F.xxhash64(*(F.coalesce(F.col(f).cast("string"), F.lit("\x00")) for f in self.fields))
         rows = text.select(F.col("id").cast(self.id_type).alias("id"), *self.fields)
         index = build_index(rows, self.fields)
-        return index, index.lengths.join(rows.select("id", told.alias("hash")), "id").select("id", "dl", "hash")
+        return index, rows.select("id", told.alias("hash"))
 
     def _change(self, text: DataFrame | None, gone: DataFrame) -> None:
         """Commits a segment with ``text``, which makes the living among the ids ``gone`` dead."""

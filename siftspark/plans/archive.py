@@ -8,6 +8,7 @@ their id. Documents that are labelled toxic play the sign-in mail.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import snippet
 from ..operators.lexical import Index, build_index, identifier_index, read_index, write_index, write_vocabulary
-from ..sources.tables import exists, shared_folder
+from ..sources.tables import exists, shared_folder, spread
 from .retrieve import Store
 
 NOW = "2026-01-01T00:00:00Z"
@@ -44,17 +45,15 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("message_id"), "embedding")
 
 
-def _written(spark: SparkSession, sf_dir: str) -> str:
-    """Where this session has written the index of the tables in a folder: once, for as long as the documents' files stay as they are."""
+def _written(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], Index]) -> str:
+    """Where this session has written an index of the tables in a folder: once, for as long as the documents' files stay as they are."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(where)))
-    key = spark.sparkContext.applicationId, sf_dir, files
+    key = spark.sparkContext.applicationId, sf_dir, name, files
     if key not in _indexes:
         path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        m = messages(spark, sf_dir)
-        write_index(build_index(m.select("id", "subject", "body", "from_addr"), ["subject", "body", "from_addr"]), f"{path}/text")
-        write_index(identifier_index(m, "id", ["body"]), f"{path}/identifiers")
+        write_index(make(), path)
         _indexes[key] = path
     return _indexes[key]
 
@@ -64,7 +63,8 @@ _indexes: dict[tuple, str] = {}
 
 def index(spark: SparkSession, sf_dir: str, *, porter: bool = False) -> Index:
     """The index of the documents; with ``porter`` for queries whose words are stemmed."""
-    path = f"{_written(spark, sf_dir)}/text"
+    fields = ["subject", "body", "from_addr"]
+    path = _written(spark, sf_dir, "text", lambda: build_index(spread(messages(spark, sf_dir).select("id", *fields)), fields))
     found = read_index(spark, path)
     if not porter:
         return found
@@ -73,9 +73,12 @@ def index(spark: SparkSession, sf_dir: str, *, porter: bool = False) -> Index:
     return replace(found, porter=True, vocabulary=spark.read.parquet(f"{path}/vocabulary"))
 
 
-def store(spark: SparkSession, sf_dir: str, *, porter: bool = True) -> Store:
+def store(spark: SparkSession, sf_dir: str, *, porter: bool = True, identifiers: bool = True) -> Store:
     """The archive; most queries with a SQL twin take the index unstemmed."""
-    return Store(messages(spark, sf_dir).drop("body"), index(spark, sf_dir, porter=porter), vectors(spark, sf_dir), read_index(spark, f"{_written(spark, sf_dir)}/identifiers"))
+    m, ids = messages(spark, sf_dir), None
+    if identifiers:
+        ids = read_index(spark, _written(spark, sf_dir, "identifiers", lambda: identifier_index(spread(m.select("id", "body")), "id", ["body"])))
+    return Store(m.drop("body"), index(spark, sf_dir, porter=porter), vectors(spark, sf_dir), ids)
 
 
 def meta(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -315,7 +315,7 @@ def bm25_subject_boost(spark, sf_dir):
 @query
 def bm25_lane_filter(spark, sf_dir):
     asked = query_table(spark, [Asked(q, t, lane="de" if q == 2 else "en") for q, t in TERMS.items()])
-    return lexical_list(archive.store(spark, sf_dir, porter=False), asked, filters(read_queries(asked))).drop("variant")
+    return lexical_list(archive.store(spark, sf_dir, porter=False, identifiers=False), asked, filters(read_queries(asked))).drop("variant")
 
 
 @query
@@ -335,7 +335,7 @@ def index_upkeep(spark, sf_dir):
     m = _docs(spark, sf_dir).select("id", "subject", "body", "from_addr")
     labels = archive.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "toxic")
     index = SegmentedIndex(spark, f"{shared_folder(spark)}/upkeep-{uuid.uuid4().hex}", ["subject", "body", "from_addr"], id_type="long")
-    index.upsert(m)
+    index.upsert(tables.spread(m))
     marked = m.join(labels.select("id").distinct(), "id", "left_semi")
     index.upsert(marked.withColumn("body", F.concat(F.lit("that the and with "), F.coalesce("body", F.lit("")))))
     index.delete(labels.where("toxic = 1"))
@@ -359,7 +359,7 @@ def subject_like(spark, sf_dir):
 
 @query
 def subject_then_body_hits(spark, sf_dir):
-    return subject_then_body(spark, archive.store(spark, sf_dir, porter=False), "that the", 20)
+    return subject_then_body(spark, archive.store(spark, sf_dir, porter=False, identifiers=False), "that the", 20)
 
 
 @query

@@ -59,6 +59,12 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.Table.from_arrays(columns, names=fields.names), fields)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many parts as there are cores, if its scan has fewer: for work that costs more than moving the rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows of ``df``, which are known to be few, computed once: what is built on them plans as over a literal table."""
     return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
