@@ -19,7 +19,7 @@ def tables(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("tables")
     words = ["that the and boat", "der die und Haus", "que de la mer", "with nothing", "the sea"]
     docs = [(i, f"{words[i % 5]} {i}\n{words[i % 3]} again", "en de fr".split()[i % 3], f"src{i % 4}", 20) for i in range(60)]
-    vectors = [(i, [math.cos(i), math.sin(i), math.cos(3 * i), *(0.01 * math.sin(i * j) for j in range(4, 17))], 0) for i in range(120)]
+    vectors = [(i, [math.cos(i), math.sin(i), math.cos(3 * i), *(0.01 * math.sin(i * j) for j in range(4, 18))], 0) for i in range(120)]
     frames = {
         "documents": (docs, "doc_id long, text string, lang string, source string, n_chars long"),
         "embeddings": (vectors, "vec_id long, embedding array<float>, label int"),
