@@ -1,15 +1,21 @@
 """Full-text search: an index of token occurrences, and BM25 over it.
 
-The index is ``occurrences(term, id, field, pos, dl)``, stored by bucket of the term so that a query reads the buckets of its
-terms only, and ``lengths(id, dl)``. Every occurrence has its document's length, so that scoring joins nothing with the lengths.
+The index is ``postings(term, field, ids, dls, poss)`` and ``lengths(id, dl)``. A task splits its texts in blocks, and a row lists
+where a term stands in a field of a block's documents: three arrays of one length. Tasks write what they have listed in order of
+the term, without a shuffle, so that a query reads those pages only that can have its terms. Every occurrence has its document's
+length, so that scoring joins nothing with the lengths; a row without a term lists the documents of a block.
 Terms are kept as they are; a stemmed search has the table ``vocabulary(term, stem)`` beside them, and reads the terms of a
 query's stems. Statistics are of the whole index whatever a query filters. ``operators.segments`` keeps an index up to date.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +25,13 @@ from ..functions.text import tokens
 from ..sources.tables import local_table, settled
 
 K1, B = 1.2, 0.75
-BUCKETS = 64
 SUBJECT_BOOST = 5.0
+#: Occurrences of a block; a longer document is a block of its own.
+BLOCK = 1 << 20
 #: Phrases of all queries together that are sent to every task; beyond it they are joined by shuffles.
 MOST_SENT = 20_000
+#: Terms that are named to the scan, for it to skip the pages that cannot have them.
+MOST_NAMED = 1_000
 
 
 @dataclass
@@ -30,7 +39,7 @@ class Index:
     """``seg`` numbers the segments of an index that has several; an id of ``dead`` (id, until) is dead in those below ``until``.
     ``stats``: number of rows and of tokens, where they are known without reading ``lengths``."""
 
-    occurrences: DataFrame  # term, id, field, pos, dl[, bucket][, seg]
+    postings: DataFrame  # term, field, ids, dls, poss[, seg]
     lengths: DataFrame  # id, dl
     porter: bool = False  # whether queries are stemmed
     vocabulary: DataFrame | None = None  # term, stem
@@ -40,11 +49,86 @@ class Index:
 
 def build_index(text: DataFrame, fields: list[str], id_col: str = "id") -> Index:
     """Of the token occurrences of ``fields``."""
-    parts = F.array(*(F.struct(F.lit(f).alias("field"), tokens(f).alias("terms")) for f in fields))
-    rows = text.select(F.col(id_col).alias("id"), parts.alias("parts"))
-    length = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.size(p["terms"])).alias("dl")
-    flat = rows.select("id", length, F.explode("parts").alias("p")).select("id", "dl", F.col("p.field").alias("field"), F.posexplode("p.terms").alias("pos", "term"))
-    return Index(flat.select("term", "id", "field", "pos", "dl"), rows.select("id", length))
+    rows = text.select(F.col(id_col).alias("id"), *(tokens(f).alias(f"_{n}") for n, f in enumerate(fields)))
+    length = sum((F.size(f"_{n}").cast("long") for n in range(len(fields))), F.lit(0).cast("long"))
+    return Index(_split_lists(rows, fields), rows.select("id", length.alias("dl")))
+
+
+def postings_schema(id_type: str) -> str:
+    return f"term string, field string, ids array<{id_type}>, dls array<int>, poss array<int>"
+
+
+def _split_lists(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """The postings of ``rows``: id, and for each field an array of terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = sum(pc.list_value_length(c).to_numpy() for c in batch.columns[1:])
+            ends = np.cumsum(n)
+            # a block ends before the row that would pass the next multiple of its size
+            cuts = np.flatnonzero(np.diff(ends // BLOCK)) + 1 if len(ends) else []
+            for a, b in zip([0, *cuts], [*cuts, len(ends)]):
+                part = batch.slice(a, b - a)
+                ids, dl = part.column(0), n[a:b].astype(np.int32)
+                terms, doc, pos, field = [], [], [], []
+                for f, column in enumerate(part.columns[1:]):
+                    size = pc.list_value_length(column).to_numpy()
+                    terms.append(column.flatten())
+                    doc.append(np.repeat(np.arange(len(size)), size))
+                    pos.append(np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+                    field.append(np.full(size.sum(), f))
+                doc = np.concatenate(doc)
+                yield _lists(pa.concat_arrays(terms), np.concatenate(field), pa.array(fields), ids.take(pa.array(doc)), dl[doc], np.concatenate(pos))
+                yield _batch(pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), [0, len(ids)], ids, dl, None)
+
+    return rows.mapInArrow(run, postings_schema(rows.schema["id"].dataType.simpleString()))
+
+
+def listed(occurrences: DataFrame) -> DataFrame:
+    """The postings of rows (term, field, id, dl, pos), without those that list documents."""
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        term, field, ids, dl, pos = (c.combine_chunks() for c in pa.Table.from_batches(held).columns)
+        named = (field.chunk(0) if isinstance(field, pa.ChunkedArray) else field).dictionary_encode()
+        return _lists(term, named.indices.to_numpy(), named.dictionary, ids, dl.to_numpy(), pos.to_numpy())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= BLOCK:
+                yield block(held)
+                held, n = [], 0
+        if n:
+            yield block(held)
+
+    rows = occurrences.select("term", "field", "id", F.col("dl").cast("int").alias("dl"), "pos")
+    return rows.mapInArrow(run, postings_schema(rows.schema["id"].dataType.simpleString()))
+
+
+def _lists(terms: pa.Array, field: np.ndarray, names: pa.Array, ids: pa.Array, dl: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    """One row for each term and field, of as many arrays as there are occurrences."""
+    coded = terms.dictionary_encode()
+    code = coded.indices.to_numpy().astype(np.int64) * len(names) + field
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    term, name = coded.dictionary.take(pa.array(code[first] // max(1, len(names)))), names.take(pa.array(code[first] % max(1, len(names))))
+    return _batch(term, name, [*first, len(code)], ids.take(pa.array(order)), dl[order], pos[order])
+
+
+def _batch(term: pa.Array, field: pa.Array, offsets: list[int], ids: pa.Array, dl: np.ndarray, pos: np.ndarray | None) -> pa.RecordBatch:
+    at = pa.array(offsets, pa.int32())
+    lists = [pa.ListArray.from_arrays(at, ids), pa.ListArray.from_arrays(at, pa.array(dl, pa.int32()))]
+    lists.append(pa.nulls(len(term), pa.list_(pa.int32())) if pos is None else pa.ListArray.from_arrays(at, pa.array(pos, pa.int32())))
+    return pa.RecordBatch.from_arrays([term, field, *lists], names=["term", "field", "ids", "dls", "poss"])
+
+
+def opened(postings: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, id, dl and pos of every occurrence of the postings."""
+    rows = postings.select(*columns, F.inline(F.arrays_zip("ids", "dls", "poss")).alias("id", "dl", "pos"))
+    return rows.withColumn("dl", F.col("dl").cast("long"))
 
 
 def stemmed(index: Index) -> Index:
@@ -52,42 +136,45 @@ def stemmed(index: Index) -> Index:
     return replace(index, porter=True)
 
 
-def bucket_of(term: Column | str) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
 def write_index(index: Index, path: str) -> None:
-    """Occurrences by bucket, lengths, and of a stemmed index the vocabulary: each distinct term is stemmed once."""
-    spark = index.occurrences.sparkSession
-    placed = index.occurrences.select("term", "id", "field", "pos", "dl").withColumn("bucket", bucket_of("term")).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16)))
-    placed.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/occurrences")
+    """Postings, lengths, and of a stemmed index the vocabulary: each distinct term is stemmed once."""
+    spark = index.postings.sparkSession
+    write_postings(index.postings, path)
     if index.porter:
         write_vocabulary(spark, path)
-    lengths = written_lengths(index.lengths.select("id"), path)
+    lengths = _documents(spark, path, index.lengths.schema["id"].dataType.simpleString())
     # a column of the lengths tells a stemmed index, so that both come from one write
     lengths = lengths.withColumn("porter", F.lit(True)) if index.porter else lengths
     lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
 
+def write_postings(postings: DataFrame, path: str) -> None:
+    postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+
+
+def _documents(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(id, dl) as the written postings tell it: texts are split once only."""
+    rows = spark.read.schema(postings_schema(kind)).parquet(f"{path}/postings").where("term is null")
+    return rows.select(F.inline(F.arrays_zip("ids", "dls")).alias("id", "dl")).withColumn("dl", F.col("dl").cast("long"))
+
+
 def written_lengths(rows: DataFrame, path: str) -> DataFrame:
-    """``rows`` (id and more) with ``dl`` as the written occurrences tell it: texts are split once only."""
-    kind = rows.schema["id"].dataType.simpleString()
-    held = rows.sparkSession.read.schema(f"id {kind}, dl long").parquet(f"{path}/occurrences").groupBy("id").agg(F.max("dl").alias("dl"))
+    """``rows`` (id and more) with ``dl`` as the postings at ``path`` tell it."""
+    held = _documents(rows.sparkSession, path, rows.schema["id"].dataType.simpleString()).groupBy("id").agg(F.max("dl").alias("dl"))
     return rows.join(held, "id", "left").withColumn("dl", F.coalesce("dl", F.lit(0).cast("long")))
 
 
 def write_vocabulary(spark: SparkSession, path: str) -> None:
-    """The stem of each distinct term of the occurrences at ``path``."""
-    terms = spark.read.schema("term string").parquet(f"{path}/occurrences").distinct()
+    """The stem of each distinct term of the postings at ``path``."""
+    terms = spark.read.schema("term string").parquet(f"{path}/postings").where("term is not null").distinct()
     terms.withColumn("stem", stem_of("term")).repartition("stem").sortWithinPartitions("stem").write.mode("overwrite").parquet(f"{path}/vocabulary")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
     lengths = spark.read.parquet(f"{path}/lengths")
     porter = "porter" in lengths.columns
-    kind = lengths.schema["id"].dataType.simpleString()
-    occurrences = spark.read.schema(f"term string, id {kind}, field string, pos int, dl long, bucket int").parquet(f"{path}/occurrences")
-    return Index(occurrences, lengths.drop("porter"), porter, spark.read.parquet(f"{path}/vocabulary") if porter else None)
+    postings = spark.read.schema(postings_schema(lengths.schema["id"].dataType.simpleString())).parquet(f"{path}/postings")
+    return Index(postings, lengths.drop("porter"), porter, spark.read.parquet(f"{path}/vocabulary") if porter else None)
 
 
 def phrase_table(spark: SparkSession, queries: dict[object, list[list[str]]], key_type: str = "long") -> DataFrame:
@@ -119,7 +206,7 @@ def _places(index: Index, phrases: DataFrame, small: bool) -> DataFrame:
     """(phrase, id, field, dl): where the phrases stand, once for each field of a row."""
     wanted = phrases.select("phrase", "offset", "term", "size").distinct()
     send = F.broadcast if small else lambda df: df
-    occurrences = index.occurrences
+    postings = index.postings
     if index.porter:
         if small:
             # few words, which the driver stems
@@ -132,16 +219,16 @@ def _places(index: Index, phrases: DataFrame, small: bool) -> DataFrame:
         else:
             # a stem begins as its word does
             first = wanted.select(F.left("stem", F.lit(1)).alias("first")).distinct()
-            near = occurrences.join(send(first), F.left("term", F.lit(1)) == F.col("first"), "left_semi")
-            occurrences = near.withColumn("term", stem_of("term"))
+            near = postings.join(send(first), F.left("term", F.lit(1)) == F.col("first"), "left_semi")
+            postings = near.withColumn("term", stem_of("term"))
             wanted = wanted.withColumnRenamed("stem", "term")
-    if "bucket" in occurrences.columns:
-        # at most as many numbers as there are buckets
-        wanted = settled(wanted.withColumn("bucket", bucket_of("term"))) if small else wanted.withColumn("bucket", bucket_of("term"))
-        buckets = [r[0] for r in wanted.select("bucket").distinct().collect()]
-        wanted, occurrences = wanted.drop("bucket"), occurrences.where(F.col("bucket").isin(buckets))
+    if small:
+        wanted = settled(wanted)
+        terms = [r[0] for r in wanted.select("term").distinct().limit(MOST_NAMED + 1).collect()]
+        postings = postings.where(F.col("term").isin(terms)) if len(terms) <= MOST_NAMED else postings
     # the terms of a stem may be as many as its inflections; only those of few phrases are sent
-    found = occurrences.join(send(wanted), "term").withColumn("start", F.col("pos") - F.col("offset"))
+    seg = ["seg"] if "seg" in postings.columns else []
+    found = opened(postings.join(send(wanted), "term"), "phrase", "offset", "size", "field", *seg).withColumn("start", F.col("pos") - F.col("offset"))
     if index.dead is not None:
         found = found.alias("o").join(index.dead.alias("d"), (F.col("o.id") == F.col("d.id")) & (F.col("o.seg") < F.col("d.until")), "left_anti")
     return found.where("size = 1").select("phrase", "id", "field", "dl").union(

@@ -1,6 +1,6 @@
 """Upkeep of a text index: segments with tombstones, merged by level, as in a log-structured merge tree.
 
-An upsert or deletion writes one segment: the occurrences, lengths and vocabulary of the new rows only, and the ids that it makes
+An upsert or deletion writes one segment: the postings, lengths and vocabulary of the new rows only, and the ids that it makes
 dead in older segments. Counts of rows and tokens are kept in the commits, so that BM25's ``N`` and average length cost
 nothing; document frequencies come from the living occurrences of a query's terms. Readers join the few occurrences that
 they found with the tombstones. Segments of like size are merged when there are ``MERGE`` of them, so each row is
@@ -11,8 +11,7 @@ from __future__ import annotations
 
 import functools
 import uuid
-
-from dataclasses import replace
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +19,14 @@ from pyspark.sql import types as T
 
 from ..sources.commits import CommitConflict, CommitLog, refuse_if_read_only
 from ..sources.tables import replaced
-from .lexical import Index, build_index, read_index, write_index, written_lengths
+from .lexical import Index, build_index, listed, opened, postings_schema, read_index, write_postings, write_vocabulary, written_lengths
 
 
 class SegmentedIndex:
     #: Segments of like size that are merged.
     MERGE = 4
+    #: Tombstones that are sent to every task; more are joined by a shuffle.
+    MOST_SENT = 1_000_000
     #: Commits that find another writer's before they give up; each does its work again.
     TRIES = 5
 
@@ -54,7 +55,8 @@ class SegmentedIndex:
         """(id, until): dead in the segments below ``until``."""
         schema = f"id {self.id_type}"
         parts = [self.spark.read.schema(schema).parquet(f"{self.root}/{s['name']}/dead").withColumn("until", F.lit(n)) for n, s in enumerate(found) if s["dead"]]
-        return self._union(parts, f"{schema}, until int").groupBy("id").agg(F.max("until").alias("until"))
+        dead = self._union(parts, f"{schema}, until int").groupBy("id").agg(F.max("until").alias("until"))
+        return F.broadcast(dead) if sum(s["held"] - s["rows"] for s in found) <= self.MOST_SENT else dead
 
     def _live(self, rows: DataFrame, found: list[dict]) -> DataFrame:
         if not any(s["dead"] for s in found):
@@ -69,31 +71,33 @@ class SegmentedIndex:
     def read(self) -> Index:
         """The index as it stands."""
         found = self.segments()
-        occurrences = self._part(found, "occurrences", f"term string, id {self.id_type}, field string, pos int, dl long, bucket int")
+        postings = self._part(found, "postings", postings_schema(self.id_type))
         vocabulary = self._part(found, "vocabulary", "term string, stem string").select("term", "stem").distinct() if self.porter else None
         dead = self._dead(found) if any(s["dead"] for s in found) else None
         stats = sum(s["rows"] for s in found), sum(s["tokens"] for s in found)
-        return Index(occurrences, self.lengths(found).select("id", "dl"), self.porter, vocabulary, dead, stats)
+        return Index(postings, self.lengths(found).select("id", "dl"), self.porter, vocabulary, dead, stats)
 
     # --- writing ------------------------------------------------------------------------------------
 
-    def _write(self, index: Index, hashes: DataFrame, dead: DataFrame | None) -> dict:
+    def _write(self, postings: DataFrame, lengths: Callable[[str], DataFrame], dead: DataFrame | None) -> dict:
+        """``lengths`` gives (id, dl, hash), for the path where the postings are."""
         refuse_if_read_only(self.spark)
         name = f"s-{uuid.uuid4().hex}"
         path = f"{self.root}/{name}"
-        write_index(replace(index, porter=self.porter), path)
-        written_lengths(hashes.select("id", "hash"), path).select("id", "dl", "hash").write.mode("overwrite").parquet(f"{path}/lengths")
+        write_postings(postings, path)
+        if self.porter:
+            write_vocabulary(self.spark, path)
+        lengths(path).select("id", "dl", "hash").write.mode("overwrite").parquet(f"{path}/lengths")
         if dead is not None:
             dead.write.parquet(f"{path}/dead")
         held = self.spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
         return {"name": name, "rows": held["n"], "tokens": held["tokens"], "held": held["n"], "dead": dead is not None}
 
-    def _rows(self, text: DataFrame) -> tuple[Index, DataFrame]:
-        """The index of ``text``, one row for each id, and (id, hash)."""
+    def _rows(self, text: DataFrame) -> tuple[DataFrame, Callable[[str], DataFrame]]:
+        """The postings of ``text``, one row for each id, and its lengths, as ``_write`` takes them."""
         told = F.xxhash64(*(F.coalesce(F.col(f).cast("string"), F.lit("\x00")) for f in self.fields))
         rows = text.select(F.col("id").cast(self.id_type).alias("id"), *self.fields)
-        index = build_index(rows, self.fields)
-        return index, rows.select("id", told.alias("hash"))
+        return build_index(rows, self.fields).postings, lambda path: written_lengths(rows.select("id", told.alias("hash")), path)
 
     def _change(self, text: DataFrame | None, gone: DataFrame) -> None:
         """Commits a segment with ``text``, which makes the living among the ids ``gone`` dead."""
@@ -154,12 +158,13 @@ class SegmentedIndex:
                 return
             old = found[-run:]
             whole = run == len(found)
-            kept = lambda name, schema: self._live(self._part(old, name, schema), old)
-            lengths = kept("lengths", f"id {self.id_type}, dl long, hash long").select("id", "dl", "hash")
-            occurrences = kept("occurrences", f"term string, id {self.id_type}, field string, pos int, dl long").select("term", "id", "field", "pos", "dl")
+            lengths = self.lengths(old)
+            postings = self._part(old, "postings", postings_schema(self.id_type)).where("term is not null")
+            if any(s["dead"] for s in old):
+                postings = listed(self._live(opened(postings, "term", "field", "seg"), old))
             # what they made dead in older segments stays dead there
             dead = None if whole or not any(s["dead"] for s in old) else self._dead(old).select("id")
-            merged = self._write(Index(occurrences, lengths.select("id", "dl")), lengths, dead)
+            merged = self._write(postings.drop("seg"), lambda _: lengths, dead)
             merged |= {"rows": sum(s["rows"] for s in old), "tokens": sum(s["tokens"] for s in old)}
             if not self.log.commit(lambda state: replaced(state, old, merged)):
                 return
