@@ -88,10 +88,18 @@ def _filtered(found: DataFrame, messages: DataFrame, limits: DataFrame) -> DataF
 
 
 def lexical_list(store: Store, queries: DataFrame, limits: DataFrame, k: int = FTS_K) -> DataFrame:
-    """(query_id, variant, id, fts_rank) for queries (query_id, text): filters come before the top k and leave the statistics alone."""
-    found = match(store.index, phrases_of(queries, "query_id", "text"), WEIGHTS)
-    order = Window.partitionBy("query_id", "variant").orderBy(F.round("score", 9).desc(), "id")
-    return _filtered(found, store.messages, limits).withColumn("fts_rank", F.row_number().over(order).cast("long")).where(F.col("fts_rank") <= k).drop("score")
+    """(query_id, variant, id, fts_rank) for queries (query_id, text): filters come before the top k and leave the statistics alone.
+    Queries of one text are matched once, and those of one text and one filter ranked once, however many they are."""
+    texts = queries.groupBy("text").agg(F.min("query_id").alias("first"))
+    found = match(store.index, phrases_of(texts, "first", "text"), WEIGHTS)
+    asked = limits.join(queries.select("query_id", "text").join(texts, "text").select("query_id", "first"), "query_id")
+    kinds = asked.groupBy("first", "want", "lo", "hi").agg(F.min(F.struct("query_id", "variant")).alias("one"))
+    own = kinds.select(F.col("first").alias("query_id"), F.col("one").alias("variant"), "want", "lo", "hi")
+    order = Window.partitionBy("variant").orderBy(F.round("score", 9).desc(), "id")
+    best = _filtered(found, store.messages, own).withColumn("fts_rank", F.row_number().over(order).cast("long")).where(F.col("fts_rank") <= k)
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("first", "want", "lo", "hi")]
+    of = asked.alias("a").join(kinds.alias("k"), same).select("a.query_id", "a.variant", "k.one")
+    return of.join(best.select(F.col("variant").alias("one"), "id", "fts_rank"), "one").select("query_id", "id", "variant", "fts_rank")
 
 
 def vector_list(near: DataFrame, messages: DataFrame, limits: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from siftspark.operators import lexical
 from siftspark.operators.segments import SegmentedIndex
+from siftspark.plans import retrieve as plan
+from siftspark.plans.retrieve import Query, Store, filters, lexical_list, query_table, read_queries
 
 FIELDS = ["subject", "body"]
 
@@ -47,3 +49,22 @@ def test_a_merge_shuffles_no_occurrences(spark, tmp_path):
     merged = lexical.listed(living)
     assert "SortMergeJoin" not in planned(merged)
     assert lexical.opened(merged, "term").count() == 40 * 152
+
+
+def test_equal_queries_are_matched_once(spark, monkeypatch):
+    rows = docs(spark)
+    messages = rows.selectExpr("id", "subject", "IF(id % 2 = 0, 'en', 'de') AS lane", "'2026-01-01' AS date_utc")
+    asked = [Query(i, ("the boat", "and", "SEA")[i % 3], lane=(None, "en")[i % 2], after="2025-01-01" if i % 5 else None) for i in range(60)]
+    asked.append(Query(60, "invoice sea"))
+    seen = []
+    real = plan.match
+    monkeypatch.setattr(plan, "match", lambda index, phrases, weights: seen.append(phrases.select("query_id").distinct().count()) or real(index, phrases, weights))
+
+    def ranks(queries):
+        table = query_table(spark, queries)
+        return sorted(map(tuple, lexical_list(Store(messages, lexical.build_index(rows, FIELDS), None), table, filters(read_queries(table)), 5).select("query_id", "variant", "id", "fts_rank").collect()))
+
+    together = ranks(asked)
+    assert seen == [4]
+    alone = sorted(sum((ranks([asked[i]]) for i in (0, 1, 2, 7, 10, 60)), []))
+    assert alone == [r for r in together if r[0] in (0, 1, 2, 7, 10, 60)] and len(together) == 300
