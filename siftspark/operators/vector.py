@@ -76,7 +76,8 @@ def knn_table(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "
     every query; queries pass a block's vectors in batches. Nothing goes through the driver.
     """
     spark = vectors.sparkSession
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-vectors.count() // BLOCK))
+    # a block for each core: more of them would each give ``k`` rows of every query
+    blocks = max(spark.sparkContext.defaultParallelism, -(-vectors.count() // BLOCK))
     rows = vectors.where(F.col(vector_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     asked = queries.where("v is not null").select(block.alias("block"), F.col("query_id").cast("long").alias("query_id"), F.col("v").cast("array<double>").alias("v"))

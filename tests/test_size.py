@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftspark.operators import lexical
+from siftspark.operators import lexical, vector
 from siftspark.operators.segments import SegmentedIndex
 from siftspark.plans import retrieve as plan
 from siftspark.plans.retrieve import Query, Store, filters, lexical_list, query_table, read_queries
@@ -68,3 +68,20 @@ def test_equal_queries_are_matched_once(spark, monkeypatch):
     assert seen == [4]
     alone = sorted(sum((ranks([asked[i]]) for i in (0, 1, 2, 7, 10, 60)), []))
     assert alone == [r for r in together if r[0] in (0, 1, 2, 7, 10, 60)] and len(together) == 300
+
+
+def test_blocks_of_vectors_do_not_grow_with_partitions(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(400)], "message_id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "query_id long, v array<double>")
+    given = []
+    real = vector._best
+    monkeypatch.setattr(vector, "_best", lambda near, k: given.append(near.count()) or real(near, k))
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    try:
+        for parts in ("4", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got.append(sorted((r["query_id"], r["vec_rank"], r["id"]) for r in vector.knn_table(vectors, asked, 3).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+    assert got[0] == got[1] and given[0] == given[1] <= 5 * 3 * spark.sparkContext.defaultParallelism
