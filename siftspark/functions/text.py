@@ -26,6 +26,8 @@ SIGNATURES = (
     r"(?imdU)^Get Outlook for [^\n]*$",
     r"(?imdU)^Sent from Mail for Windows[^\n]*$",
 )
+#: What a text has, in lower case, if a pattern matches: letters that no other character folds to.
+_NEEDED = dict(zip(REPLY_SPLITS + SIGNATURES, ("wrote:", "--", "_____", "forwarded", "from:", "-- ", "phone", "pad", "outloo", "ndow")))
 QUERY_INSTRUCTION = "Instruct: Given a mail search query, retrieve the most relevant email.\nQuery: "
 #: Other names of the standard embedding model.
 MODEL_ALIASES = ("qwen3-embedding:8b", "qwen3-embedding", "qwen3-embedding:latest", "qwen3-embedding-8b")
@@ -42,27 +44,38 @@ def let(c: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Without Unicode white space at both ends."""
-    return F.regexp_replace(_text(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    """Without Unicode white space at both ends. A text without any there is not searched."""
+    space = r"(?U)[\s\x1c-\x1f]"
+    ends = lambda t: F.left(t, F.lit(1)).rlike(space) | F.right(t, F.lit(1)).rlike(space)
+    return let(_text(c), lambda t: F.when(ends(t), F.regexp_replace(t, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")).otherwise(t))
+
+
+def _replaced(c: Column, pattern: str, new: str, needed: str) -> Column:
+    """Texts without ``needed``, which every match has, are not searched."""
+    return let(c, lambda t: F.when(F.contains(t, F.lit(needed)), F.regexp_replace(t, pattern, new)).otherwise(t))
 
 
 def normalize_newlines(c: Column | str) -> Column:
-    return F.regexp_replace(_text(c), "\r\n?", "\n")
+    return _replaced(_text(c), "\r\n?", "\n", "\r")
 
 
 def _cut(c: Column, patterns: tuple[str, ...]) -> Column:
-    """Up to the earliest match of any pattern."""
+    """Up to the earliest match of any pattern. Most texts lack what the patterns need, and are not searched."""
 
-    def cut(text: Column) -> Column:
-        first = F.least(*(F.nullif(F.regexp_instr(text, F.lit(p)), F.lit(0)) for p in patterns))
+    def cut(both: Column) -> Column:
+        text = both["text"]
+        first = F.least(*(F.when(F.contains(both["low"], F.lit(_NEEDED[p])), F.nullif(F.regexp_instr(text, F.lit(p)), F.lit(0))) for p in patterns))
         return F.left(text, F.coalesce(first - 1, F.length(text)))
 
-    return let(c, cut)
+    return let(c, lambda text: let(F.struct(text.alias("text"), F.lower(text).alias("low")), cut))
 
 
 def strip_quotes(c: Column | str) -> Column:
-    lines = F.split(_cut(normalize_newlines(c), REPLY_SPLITS), "\n", -1)
-    return F.array_join(F.filter(lines, lambda line: ~F.ltrim(F.translate(line, "\t", " ")).startswith(">")), "\n")
+    def unquoted(text: Column) -> Column:
+        lines = F.filter(F.split(text, "\n", -1), lambda line: ~F.ltrim(F.translate(line, "\t", " ")).startswith(">"))
+        return F.when(F.contains(text, F.lit(">")), F.array_join(lines, "\n")).otherwise(text)
+
+    return let(_cut(normalize_newlines(c), REPLY_SPLITS), unquoted)
 
 
 def strip_signature(c: Column | str) -> Column:
@@ -70,7 +83,7 @@ def strip_signature(c: Column | str) -> Column:
 
 
 def clean_body(c: Column | str) -> Column:
-    return F.regexp_replace(strip(strip_signature(strip_quotes(c))), "\n{3,}", "\n\n")
+    return _replaced(strip(strip_signature(strip_quotes(c))), "\n{3,}", "\n\n", "\n\n\n")
 
 
 def sha256(c: Column | str) -> Column:
@@ -160,7 +173,7 @@ def document_text(subject, from_addr, from_name, to_addrs, date, lane, body, cap
         F.lit("Subject: "), part(subject), F.lit("\nFrom: "), format_from(from_addr, from_name), F.lit("\nTo: "), part(to_addrs),
         F.lit("\nDate: "), format_date(normalize_newlines(date)), F.lit("\nLane: "), part(lane),
     )
-    whole = F.when(part(body) != "", F.concat(header, F.lit("\n\n"), part(body))).otherwise(header)
+    whole = let(part(body), lambda b: F.when(b != "", F.concat(header, F.lit("\n\n"), b)).otherwise(header))
     return whole if cap is None else F.left(whole, F.lit(cap))
 
 

@@ -28,7 +28,8 @@ def embed_changed(rows: DataFrame, meta: VersionedTable, vectors: VersionedTable
     Of several rows of one id, as when a batch has two files with it, the last by ``ingested_at``, then by hash, is taken.
     Only the new rows are written; running it again on the same rows does nothing."""
     last = [F.col(c).desc_nulls_last() for c in ("ingested_at", "text_hash") if c in rows.columns or c == "text_hash"]
-    one = prepared(eligible(rows)).withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(*last))).where("_n = 1").drop("_n")
+    # dealt by id before cleaned bodies and documents are made: only the texts are moved
+    one = prepared(eligible(rows).repartition("id")).withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(*last))).where("_n = 1").drop("_n")
     todo = incremental_actions(one, meta.read(), model=MODEL, version=VERSION).where("action <> 'skip'")
     # the changed rows only: each is embedded once and read twice
     done = embed_column(todo.select("id", "thread_id", "in_reply_to", "references_header", "cleaned_body", "cleaned_chars", "content_hash", "text_hash", "document", F.col("document").alias("text")), make).drop("text").persist()

@@ -85,3 +85,46 @@ def test_blocks_of_vectors_do_not_grow_with_partitions(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", had)
     assert got[0] == got[1] and given[0] == given[1] <= 5 * 3 * spark.sparkContext.defaultParallelism
+
+
+def test_only_texts_are_dealt_before_they_are_embedded(spark, monkeypatch, tmp_path):
+    from siftspark.sources import schemas
+    from siftspark.sources.tables import VersionedTable
+    from siftspark.streaming import increment
+
+    class Seen(Exception):
+        pass
+
+    def seen(todo, make):
+        raise Seen(planned(todo))
+
+    monkeypatch.setattr(increment, "embed_column", seen)
+    rows = schemas.conform(docs(spark).selectExpr("CAST(id AS string) AS id", "subject"), schemas.MESSAGES).selectExpr("*", "concat(subject, ' and more') AS body")
+    meta, vec = VersionedTable(spark, f"file://{tmp_path}/meta", schemas.META), VersionedTable(spark, f"file://{tmp_path}/vec", schemas.VECTORS)
+    try:
+        increment.embed_changed(rows, meta, vec, None, "2026-01-01T00:00:00Z", 2)
+    except Seen as e:
+        plan = str(e)
+    assert plan.rindex("sha2(") < plan.index("Exchange hashpartitioning(id")
+
+
+def test_texts_that_lack_what_a_pattern_needs_are_cut_as_before(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from siftspark.functions import text as T
+
+    ends = ["On Tue Ada WROTE:", "on x wrote: ", "-- Original Message --", "_____", "Begin forwarded message:", "FROM: a\nSent: b\nSubject: c", "-- ", "ſent from my iPhone", "sent FROM my IPAD", "get outſide", "Get OutlooK for x", "ſent from Mail for Wİndows", "nothing", "> quoted", "a\r\n\r\n\r\nb", "\x1c end 　"]
+    rows = spark.createDataFrame([(i, f"kept line\n{e}\nlast\x1f ") for i, e in enumerate(ends)] + [(97, ""), (98, None), (99, "　")], "id long, t string")
+    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "\r\n?", "\n")
+
+    def cut(c, patterns):
+        return F.left(c, F.coalesce(F.least(*(F.nullif(F.regexp_instr(c, F.lit(p)), F.lit(0)) for p in patterns)) - 1, F.length(c)))
+
+    lines = F.filter(F.split(cut(plain(F.col("t")), T.REPLY_SPLITS), "\n", -1), lambda x: ~F.ltrim(F.translate(x, "\t", " ")).startswith(">"))
+    signed = cut(F.array_join(lines, "\n"), T.SIGNATURES)
+    want = F.regexp_replace(F.regexp_replace(signed, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", ""), "\n{3,}", "\n\n")
+    got = rows.select("id", T.clean_body("t").alias("got"), want.alias("want")).collect()
+    assert all(r["got"] == r["want"] for r in got) and sum(r["got"] == "kept line" for r in got) >= 9
+    assert set(T._NEEDED) == set(T.REPLY_SPLITS + T.SIGNATURES) and not any(re.search("[ski]", x) for x in T._NEEDED.values())
