@@ -10,11 +10,13 @@ must share. With m growing with the set (``common_needed``), texts that share a
 cell. The order puts frequent tokens last, by a sketch of fixed width that counts the tokens of all documents; it
 decides speed, never results.
 
+Most texts share some tokens with others, each with another one. So only classes that share ``m`` tokens with one other
+class take part: where a token has few classes, the pairs among them that may link are counted, else the token counts for all.
+
 The result needs components, not all pairs. So the first round opens each chunk for its own members, and for
-one anchor of every group at the largest group of each of its tokens. The second round opens the cells of groups that share
-tokens and do not all belong to one component yet, for the classes of another component than the chunk's. Near copies
-are joined by the first round, and no list of all their pairs, or of the pairs of their groups, is made. A chunk that many
-classes ask is copied. No token, group or candidate is capped.
+one anchor of every group at the largest group of each of its tokens. The second round opens chunks for the classes of another
+component that share ``m`` tokens with some of its members. Near copies are joined by the first round, and no list of all
+their pairs, or of the pairs of their groups, is made. A chunk that many classes ask is copied. No token, group or candidate is capped.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and link with nothing (each is
 its own component); rows with a null id keep a null component; rows of the same id count as one document, with
@@ -90,9 +92,12 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(level, pa.binary())], names=["part", "counts"])
 
 
-#: Columns of the rows of prefixes; least rows of a token that are dealt to several parts, and classes that a task remembers.
-_TOKENS = ["token", "g", "n", "at", "salt", "c"]
+#: Columns of the rows of prefixes, ``place`` being n and at; least rows of a token that are dealt to several parts, and classes that
+#: a task remembers.
+_TOKENS = ["salt", "token", "place", "c"]
 HOT, KNOWN = 4096, 100_000
+#: Classes of a token up to which its pairs are looked at, and pairs of a class there up to which they are listed.
+RUN, MET = 128, 8
 
 
 def common_needed(n: int) -> int:
@@ -102,15 +107,15 @@ def common_needed(n: int) -> int:
 
 
 def _prefixes(k: int, num: int, den: int, shared):
-    """Of (text): (token, g, n, at, salt, c) of the first tokens of each class, once for most classes of a task; ``salt`` deals
-    the rows of a token that very many texts have, and is 0 for all others."""
+    """Of (text): (salt, token, place, c) of the first tokens of each class, once for most classes of a task; ``salt`` deals
+    the rows of a token that very many texts have, and is 0 for all others. Rows are narrow, as this is the largest shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, hot = shared.value
         done: set[tuple[int, int]] = set()
         for batch in batches:
             for _, data, offsets in blocks(batch.column(0)):
-                tokens, groups, sizes, places, salts, names = [], [], [], [], [], []
+                salts, tokens, places, names = [], [], [], []
                 for t in shingle_rows(data, offsets, k):
                     if not len(t) or (key := _class(t)) in done:
                         continue
@@ -122,49 +127,87 @@ def _prefixes(k: int, num: int, den: int, shared):
                     seen = level[(t & np.uint64(WIDTH - 1)).astype(np.int64)]
                     order = np.argsort(seen, kind="stable")[:take]
                     tokens.append(t[order])
-                    groups.append(np.full(take, _group(t)))
-                    sizes.append(np.full(take, n))
-                    places.append(np.arange(take))
+                    places.append((n << 31) + np.arange(take))
                     deal = (2 ** (seen[order] / 8) / hot).astype(np.int64)
                     salts.append(np.where(deal > 0, 1 + key[0] % np.maximum(deal, 1), 0))
                     names.append(np.full(take, key[0]))
                 if tokens:
-                    cols = [signed(np.concatenate(tokens)), *(np.concatenate(x) for x in (groups, sizes, places, salts, names))]
+                    cols = [np.concatenate(salts), signed(np.concatenate(tokens)), np.concatenate(places), np.concatenate(names)]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=_TOKENS)
 
     return run
 
 
-def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (token, salt, g, n, at): the first of each (token, salt, g, n) whose token has a salt or more than
-    one class."""
-    carry = np.zeros((0, 6), np.int64)  # the first rows of a token that so far has one class
-    wide = None  # the token of the last row, if it is kept whole
-    last = None
-    for batch in batches:
-        rows = np.stack([c.to_numpy() for c in batch.columns], 1)
-        if not len(rows):
-            continue
-        before = np.concatenate((rows[:1] if last is None else last[None], rows[:-1]))
-        new = (rows[:, [0, 1, 2, 4]] != before[:, [0, 1, 2, 4]]).any(1)
-        new[0] |= last is None
-        last = rows[-1].copy()
-        # rows of a token whose class is not the one before it, and those with a salt, make it one that is kept
-        marked = (rows[:, 0] == before[:, 0]) & (rows[:, 5] != before[:, 5]) | (rows[:, 4] > 0)
-        kept = np.unique(rows[marked, 0])
-        rows = np.concatenate((carry, rows[new]))
-        if not len(rows):
-            if len(kept) and kept[-1] == last[0]:
-                wide = int(last[0])
-            continue
-        keep = np.isin(rows[:, 0], kept)
-        if wide is not None:
-            keep |= rows[:, 0] == wide
-        wide = int(last[0]) if last[0] == wide or (len(kept) and np.isin(last[0], kept)) else None
-        tail = rows[:, 0] == last[0]
-        carry = rows[tail] if wide is None else rows[:0]
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in rows[keep].T], names=_TOKENS)
+def early_needed(a, b, num: int, den: int):
+    """What linked sets of ``a`` and ``b`` tokens share in all, and how many of these, in the order of all tokens the first,
+    are within both prefixes."""
+    needed = -(-(a + b) * num // (num + den))
+    return needed, np.minimum(common_needed(np.minimum(a, b)), needed)
+
+
+#: Columns of a token that a class may share with one it links with, and of two classes that meet at a token.
+_SHARED = "token long, c long, n long, at long, wide boolean, other long, early long"
+
+
+def _met(rows: np.ndarray, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Of whole tokens' rows (salt, token, place, c) in order: the rows whose class may link with another one of the token, and
+    the pairs of such classes with what they need. Where a class has more than ``MET`` of them, its pairs are not listed, and
+    its row and those of its partners are ``wide``; so are those of tokens of more than ``RUN`` classes, and of dealt ones."""
+    if not len(rows):
+        return
+    rows = rows[np.concatenate(([True], (rows[1:] != rows[:-1]).any(1)))]  # tasks may repeat a class
+    salt, token, c = rows[:, 0], rows[:, 1], rows[:, 3]
+    n, at = rows[:, 2] >> 31, rows[:, 2] & ((1 << 31) - 1)
+    starts = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(1))))
+    size = np.diff(np.concatenate((starts, [len(rows)])))
+    left = np.repeat(starts + size, size) - np.arange(len(rows))  # rows of the token from here on
+    size = np.repeat(size, size)
+    wide = salt > 0
+    i = np.flatnonzero((size > RUN) & ~wide & (left > 1))
+    i = i[n[i] * den >= n[i + 1] * num]  # sizes are in order, so one next to it is the nearest
+    wide[i] = wide[i + 1] = True
+    short, found = np.flatnonzero((size <= RUN) & (salt == 0) & (left > 1)), []
+    for far in range(1, RUN):
+        short = short[left[short] > far]
+        if not len(short):
+            break
+        short = short[n[short] * den >= n[short + far] * num]
+        a, b = short, short + far
+        needed, early = early_needed(n[a], n[b], num, den)
+        fits = np.minimum(n[a] - at[a], n[b] - at[b]) + early - 1 >= needed
+        found.append((a[fits], b[fits], early[fits]))
+    a, b, early = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    crowded = np.bincount(np.concatenate((a, b)), minlength=len(rows)) > MET
+    unlisted = crowded[a] | crowded[b]
+    keep = wide.copy()
+    keep[a] = keep[b] = True
+    wide[a[unlisted]] = wide[b[unlisted]] = True
+    a, b, early = a[~unlisted], b[~unlisted], early[~unlisted]
+    schema = pa.schema([(x, pa.bool_() if x == "wide" else pa.int64()) for x in _SHARED.replace(",", "").split()[::2]])
+    no = lambda m, kind=pa.int64(): pa.nulls(m, kind)
+    if m := int(keep.sum()):
+        cols = [pa.array(np.ascontiguousarray(x[keep])) for x in (token, c, n, at, wide)]
+        yield pa.RecordBatch.from_arrays([*cols, no(m), no(m)], schema=schema)
+    if m := len(a):  # of one size, the class that comes first differs from token to token
+        low, high = np.minimum(c[a], c[b]), np.maximum(c[a], c[b])
+        yield pa.RecordBatch.from_arrays([no(m), pa.array(low), no(m), no(m), no(m, pa.bool_()), pa.array(high), pa.array(early)], schema=schema)
+
+
+def _shared_tokens(num: int, den: int):
+    """``_met`` of rows (salt, token, place, c) in order; a token's rows, which are bounded as those of frequent tokens are dealt,
+    wait for its last one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = np.zeros((0, 4), np.int64)
+        for batch in batches:
+            rows = np.concatenate((rows, np.stack([c.to_numpy() for c in batch.columns], 1)))
+            ended = np.flatnonzero((rows[:, :2] != rows[-1:, :2]).any(1))
+            if len(ended):
+                yield from _met(rows[: ended[-1] + 1], num, den)
+                rows = rows[ended[-1] + 1 :]
+        yield from _met(rows, num, den)
+
+    return run
 
 
 def _sets(k: int):
@@ -312,24 +355,30 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     classes = scratch.table(classes, "classes")
     fields = ", ".join(f"{name} long" for name in _TOKENS)
     tokens = texts.where("doc_id is not null").select("text").mapInArrow(lean(_prefixes(k, num, den, shared)), fields)
-    tokens = tokens.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "g", "n", "at").mapInArrow(lean(_shared_tokens), fields)
+    tokens = tokens.repartition(parts, "token", "salt").sortWithinPartitions(*_TOKENS).mapInArrow(lean(_shared_tokens(num, den)), _SHARED)
     tokens = scratch.table(tokens, "tokens")
     scratch.free()
-    pooled = tokens.where("salt > 0").groupBy("token", "g", "n").agg(F.min("at").alias("at"))
-    tokens = tokens.where("salt = 0").select("token", "g", "n", "at").union(pooled)
 
-    # what a class of size n shares in the prefixes with any that it links with, at least; others take no further part
+    # Which classes can link at all: one that shares enough with some other class, of the tokens whose pairs are listed
+    # and of its wide ones; what a class of size n shares in the prefixes with any that it links with is ``fewest``, at least.
+    # Others take no further part. So texts that share a few tokens by chance, each with another text, are not opened.
     fewest = F.least(F.floor(F.col("n") * num / den / 100) + common_needed(0), F.ceil(F.col("n") * num / den))
-    busy = scratch.table(tokens.groupBy("g", "n").count().where(F.col("count") >= fewest).select("g", "n"), "busy")
-    some = classes.join(busy, ["g", "n"], "left_semi")
+    lack = tokens.where("other is not null").groupBy("c", "other").agg((F.min("early") - F.count("*")).alias("lack"))
+    lack = lack.select("c", "lack").union(lack.select("other", "lack")).groupBy("c").agg(F.min("lack").alias("lack"))
+    tokens = tokens.where("other is null").select("token", "c", "n", "at", "wide")
+    most = tokens.where("wide").groupBy("c", "n").agg(F.count("*").alias("wide"))
+    able = most.join(lack, "c", "full").where(F.coalesce("wide", F.lit(0)) >= F.least("lack", fewest)).select("c")
+    some = scratch.table(classes.join(able, "c", "left_semi"), "some")
+    scratch.free()
+    tokens = scratch.table(_likely(tokens, some, "c").join(some.select("c", "n", "g"), ["c", "n"]).select("token", "g", "n", "at", "c"), "kept")
+    scratch.drop("tokens")
     groups = some.groupBy("g").agg(F.count("*").alias("classes"), F.min(F.struct("rep", "c", "h")).alias("anchor"))
     groups = scratch.table(groups.withColumn("chunks", F.ceil(F.col("classes") / members).cast("int")), "groups")
 
     # the first cells: each group with the largest one of every token, so that near copies meet in few places
-    tokens = scratch.table(tokens.join(busy.join(groups.select("g", "classes"), "g"), ["g", "n"]), "kept")
-    scratch.drop("tokens")
-    hubs = tokens.groupBy("token").agg(F.max(F.struct("classes", "g")).alias("hub")).select("token", F.col("hub.g").alias("hub"))
-    cells = tokens.join(hubs, "token").where("g <> hub").groupBy("g", "hub").agg(F.count("*").alias("common"), F.min("n").alias("n")).where(F.col("common") >= fewest)
+    of = scratch.table(tokens.groupBy("token", "g").agg(F.min("n").alias("n")).join(groups.select("g", "classes"), "g"), "of-groups")
+    hubs = of.groupBy("token").agg(F.max(F.struct("classes", "g")).alias("hub")).select("token", F.col("hub.g").alias("hub"))
+    cells = of.join(hubs, "token").where("g <> hub").groupBy("g", "hub").agg(F.count("*").alias("common"), F.min("n").alias("n")).where(F.col("common") >= fewest)
     cells = scratch.table(cells.select(F.col("g").alias("qg"), F.col("hub").alias("g")), "cells")
 
     # in the first round the hubs and the groups of several classes are opened, and the anchors of some ask
@@ -341,7 +390,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     # written, so that the join with the classes of a very large group is one that can be split
     placed = some.join(scratch.table(facts, "facts"), "g").withColumn("chunk", F.pmod("h", "chunks").cast("int"))
     is_anchor = (F.col("rep") == F.col("anchor.rep")) & (F.col("c") == F.col("anchor.c")) & (F.col("h") == F.col("anchor.h"))
-    wanted = scratch.table(placed.select("rep", "c", "h", "g", "chunk", "opens", (is_anchor & F.col("asks")).alias("asks")), "wanted")
+    wanted = scratch.table(placed.select("rep", "c", "h", "n", "g", "chunk", "opens", (is_anchor & F.col("asks")).alias("asks")), "wanted")
     named = wanted.withColumnRenamed("rep", "doc_id")
     sets = _likely(texts, named, "doc_id").join(named.hint("merge"), "doc_id").select("doc_id", "text", "c", "h", "g", "chunk", "opens", "asks")
     sets = sets.mapInArrow(lean(_sets(k)), "rep long, c long, h long, g long, chunk int, opens boolean, asks boolean, tokens binary")
@@ -374,7 +423,8 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
 
     anchor = ["anchor.rep", "anchor.c", "anchor.h", F.col("anchor.rep").alias("component")]
     across = groups.where("chunks > 1").select("g", each.alias("chunk"), *anchor)
-    reach = cells.join(groups.select("g", "chunks"), "g").select("qg", "g", each.alias("chunk"))
+    # one chunk of the hub, as this round need not find all
+    reach = cells.join(groups.select("g", "chunks"), "g").select("qg", "g", F.pmod(F.xxhash64("qg"), "chunks").cast("int").alias("chunk"))
     far = reach.join(groups.select(F.col("g").alias("qg"), "anchor"), "qg").select("g", "chunk", *anchor)
     links = opened(across.union(far), sets.where("asks"), sets.where("opens"), True, "links-1")
     # one document with several texts pools their links
@@ -383,59 +433,54 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     found = connected_components(links, scratch, "cc-1")
     scratch.free()
 
-    # what that has not settled: other chunks of a query's group, and groups that share tokens while their classes are not
-    # all of one component. A token's largest component is never paired with itself, so near copies make no pairs here.
+    # What that has not settled: classes of different components that share enough in the prefixes. The classes of one group,
+    # size and component are a unit; units that share enough are a cell. A token's largest component is never paired with
+    # itself, so near copies make no pairs here.
     known = scratch.table(wanted.join(found, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")), "known")
-    most = F.max(F.struct("count", "component"))
-    span = known.groupBy("g", "component").count().groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"), most.alias("top"))
-    span = scratch.table(span, "span")
-    inner = groups.where("chunks > 1").join(span.where("low <> high"), "g").select(F.col("g").alias("qg"), "g")
-    of = tokens.join(span.select("g", F.when(F.col("low") == F.col("high"), F.col("low")).alias("of")), "g")
-    major = of.where("of is not null").groupBy("token", "of").count().groupBy("token").agg(F.max(F.struct("count", "of")).alias("m")).select("token", F.col("m.of").alias("major"))
-    of = of.join(major, "token", "left").withColumn("is_major", F.coalesce(F.col("of") == F.col("major"), F.lit(False)))
-    of = scratch.table(of.select("token", "g", "n", "at", "of", "is_major"), "of")
+    unit = F.struct("g", "n", "component").alias("unit")
+    of = tokens.join(known.select("c", "n", "component").distinct(), ["c", "n"]).groupBy("token", unit).agg(F.min("at").alias("at"))
+    of = scratch.table(of, "of")
+    scratch.free()
+    major = of.groupBy("token", F.col("unit.component").alias("of")).count().groupBy("token").agg(F.max(F.struct("count", "of")).alias("m"), F.count("*").alias("several"))
+    major = major.where("several > 1").select("token", F.col("m.of").alias("major"))
+    of = of.join(major, "token").withColumn("is_major", F.col("unit.component") == F.col("major"))
+    of = scratch.table(of.select("token", "unit", "at", "is_major"), "apart")
     a, b = of.where("not is_major").alias("a"), of.alias("b")
-    apart = (F.col("a.g") != F.col("b.g")) & F.coalesce(F.col("a.of") != F.col("b.of"), F.lit(True)) & (F.col("b.is_major") | (F.col("a.g") < F.col("b.g")))
+    apart = (F.col("a.unit.component") != F.col("b.unit.component")) & (F.col("b.is_major") | (F.col("a.unit") < F.col("b.unit")))
     # by size, and by how many tokens come after the common one: what two sets of these sizes share if they link, and how
     # much of it within the prefixes
-    fits = (F.col("a.n") * den >= F.col("b.n") * num) & (F.col("b.n") * den >= F.col("a.n") * num)
-    needed = F.ceil((F.col("a.n") + F.col("b.n")) * num / (num + den))
-    early = F.least(F.floor(F.least("a.n", "b.n") / 100) + common_needed(0), needed)
-    fits &= F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) + early - 1 >= needed
+    n, m = F.col("a.unit.n"), F.col("b.unit.n")
+    fits = (n * den >= m * num) & (m * den >= n * num)
+    needed = F.ceil((n + m) * num / (num + den))
+    early = F.least(F.floor(F.least(n, m) / 100) + common_needed(0), needed)
+    fits &= F.least(n - F.col("a.at"), m - F.col("b.at")) + early - 1 >= needed
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & apart & fits)
-    pairs = pairs.select(F.least("a.g", "b.g").alias("qg"), F.greatest("a.g", "b.g").alias("g"), early.alias("early"))
-    pairs = pairs.groupBy("qg", "g").agg(F.count("*").alias("common"), F.min("early").alias("early")).where("common >= early")
-    pairs = scratch.table(inner.union(pairs.select("qg", "g")), "pairs")
+    pairs = pairs.select(F.least("a.unit", "b.unit").alias("low"), F.greatest("a.unit", "b.unit").alias("high"), early.alias("early"))
+    pairs = pairs.groupBy("low", "high").agg(F.count("*").alias("common"), F.min("early").alias("early")).where("common >= early")
+    pairs = scratch.table(pairs.select("low", "high"), "pairs")
     if not pairs.isEmpty():
-        # Of a cell's two groups one, the host, has its largest component. The other's classes that are not of it ask all of
-        # the host's chunks; where the other has some that are, the host's strays ask the chunks of those.
-        top, chunked = span.select("g", "top"), groups.select("g", "chunks")
-        sides = pairs.join(top.select(F.col("g").alias("qg"), F.col("top").alias("qtop")), "qg").join(top, "g")
-        hosts = F.col("qtop") >= F.col("top")
-        either = lambda a, b: F.when(hosts, a).otherwise(b)
-        sides = sides.select(either(F.col("qg"), F.col("g")).alias("host"), either(F.col("g"), F.col("qg")).alias("guest"), F.greatest("qtop", "top")["component"].alias("main"), F.least("qtop", "top")["component"].alias("usual"))
-        sides = scratch.table(sides, "sides")
-        class_ = known.select(F.col("g").alias("asking"), F.col("chunk").alias("from"), "rep", "c", "h", "component")
-        strays = class_.join(top.select(F.col("g").alias("asking"), F.col("top.component").alias("own")), "asking").where("component <> own").drop("own")
-        guests = sides.select(F.col("guest").alias("asking"), F.col("host").alias("g"), "main", "usual")
-        asks = guests.where("main = usual").join(strays, "asking").unionByName(guests.where("main <> usual").join(class_, "asking").where("component <> main"))
-        asks = asks.join(chunked, "g").withColumn("chunk", each).where("asking <> g or `from` <> chunk").select("g", "chunk", "rep", "c", "h", "component")
-        held = known.select("g", "chunk", F.col("component").alias("main")).distinct()
-        back = sides.where("host <> guest").select(F.col("host").alias("asking"), F.col("guest").alias("g"), "main").join(held, ["g", "main"]).join(strays, "asking")
-        asks = asks.union(back.select("g", "chunk", "rep", "c", "h", "component"))
-        span = known.groupBy("g", "chunk").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        asks = asks.join(span, ["g", "chunk"]).where("low <> component or high <> component").select("g", "chunk", "rep", "c", "h", "component")
-        asks = scratch.table(asks, "asks")
+        # of a cell's two units the smaller one's classes ask the other's chunks, but their own, which is settled
+        units = scratch.table(known.groupBy(unit).agg(F.count("*").alias("classes")), "units")
+        sides = pairs.join(units.select(F.col("unit").alias("low"), F.col("classes").alias("few")), "low").join(units.select(F.col("unit").alias("high"), F.col("classes").alias("many")), "high")
+        swap = F.col("few") > F.col("many")
+        sides = scratch.table(sides.select(F.when(swap, F.col("high")).otherwise(F.col("low")).alias("guest"), F.when(swap, F.col("low")).otherwise(F.col("high")).alias("host")), "sides")
+        class_ = known.select(unit, "g", "chunk", "rep", "c", "h", "component")
+        guests = class_.select(F.col("unit").alias("guest"), F.col("chunk").alias("from"), "rep", "c", "h", "component")
+        hosts = class_.select(F.col("unit").alias("host"), "g", "chunk").distinct()
+        cells = sides.join(hosts, "host").join(guests, "guest").where("guest.g <> g or `from` <> chunk")
+        cells = scratch.table(cells.select("host", "g", "chunk", "rep", "c", "h", "component"), "cells-2")
+        asks = scratch.table(cells.drop("host").distinct(), "asks")
         if not asks.isEmpty():
-            chunks = asks.select("g", "chunk").distinct()
-            targets = _likely(sets, asks, "g", "chunk").join(chunks, ["g", "chunk"], "left_semi")
-            names = known.where("component <> rep").join(chunks, ["g", "chunk"], "left_semi")
+            asked = cells.select(F.col("host").alias("unit"), "chunk").distinct()
+            held = scratch.table(class_.join(asked, ["unit", "chunk"], "left_semi").select("g", "chunk", "rep", "c", "h", "component"), "held")
+            targets = _likely(sets, held, "rep", "c", "h").join(held, ["rep", "c", "h"], "left_semi")
+            names = held.where("component <> rep")
             more = opened(asks, _likely(sets, asks, "rep", "c", "h"), targets, False, "links-2", names)
             links = more.union(found.select(F.col("node").alias("src"), F.col("component").alias("dst")))
             found = connected_components(links, scratch, "cc-2")
     # the result reads the documents' classes and the components alone
     loads = [f"links-{i}{x}" for i in (1, 2) for x in ("", "-load")]
-    scratch.drop("busy", "groups", "kept", "cells", "facts", "wanted", "sets", "known", "span", "of", "pairs", "sides", "asks", *loads)
+    scratch.drop("some", "groups", "kept", "of-groups", "cells", "facts", "wanted", "sets", "known", "of", "apart", "pairs", "units", "sides", "cells-2", "asks", "held", *loads)
 
     whole = classes.join(found, F.col("rep") == F.col("node"), "left").select("c", "h", F.col("n"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(whole, ["c", "h", "n"], "left")

@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,70 @@ def test_jaccard_large_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def counted(monkeypatch):
+    """Rows of each table that the join writes."""
+    rows = {}
+
+    class Counting(Scratch):
+        def table(self, df, name):
+            out = super().table(df, name)
+            rows[name] = out.count()
+            return out
+
+    monkeypatch.setattr(jaccard_join, "Scratch", Counting)
+    return rows
+
+
+def test_jaccard_chance_opens_nothing(spark, monkeypatch):
+    """Each word of a text is in one other text, and any two texts share one: only the two near copies' sets are made."""
+    words = {i: [f"p{min(i, j)}q{max(i, j)}" for j in range(61) if j != i] for i in range(61)}
+    rows = [(i, " ".join(w)) for i, w in words.items()] + [(99, " ".join([*words[7][:-1], "other"]))]
+    written = counted(monkeypatch)
+    got = jaccard_join.jaccard_components(table(spark, rows), k=1, num=90).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: 7 if i == 99 else i for i, _ in rows}
+    assert written["sets"] == 2
+
+
+def test_jaccard_chunks_are_asked_by_what_they_share(spark, monkeypatch):
+    """Pairs of texts that share a half and do not link, all in one group of many chunks: a text asks its partner's chunk only."""
+    monkeypatch.setattr(jaccard_join, "_group", lambda tokens: 7)
+    rows = [(2 * i + j, " ".join([*(f"s{i}x{w}" for w in range(30)), *(f"o{j}x{w}" for w in range(30 + 2 * i + j))])) for i in range(20) for j in (0, 1)]
+    rows.append((99, rows[5][1] + " more"))
+    written = counted(monkeypatch)
+    got = jaccard_join.jaccard_components(table(spark, rows), k=1, num=90, members=2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: 5 if i == 99 else i for i, _ in rows}
+    assert written["asks"] <= 22 and written["held"] <= 22
+
+
+@pytest.mark.parametrize(("run", "met"), [(128, 8), (3, 8), (128, 1)])
+def test_jaccard_listed_pairs(monkeypatch, run, met):
+    """No two rows of a token that may link are lost, whether their pair is listed or both are wide, in batches of any size."""
+    monkeypatch.setattr(jaccard_join, "RUN", run)
+    monkeypatch.setattr(jaccard_join, "MET", met)
+    rng = random.Random(3)
+    rows = []
+    for token in range(40):
+        for c in rng.sample(range(50), rng.choice([1, 2, 3, 9])):
+            n = 20 + c // 3
+            rows += [(0, token, (n << 31) + rng.randrange(5), c)] * rng.choice([1, 1, 2])
+    rows.sort()
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[i : i + 7])], names=jaccard_join._TOKENS) for i in range(0, len(rows), 7)]
+    got = [r for b in jaccard_join._shared_tokens(90, 100)(iter(batches)) for r in b.to_pylist()]
+    wide = {(r["token"], r["c"]) for r in got if r["wide"]}
+    kept = {(r["token"], r["c"]) for r in got if r["other"] is None}
+    listed, want = [(r["c"], r["other"]) for r in got if r["other"] is not None], []
+    for _, ta, pa_, a in sorted(set(rows)):
+        for _, tb, pb, b in sorted(set(rows)):
+            (na, at_a), (nb, at_b) = divmod(pa_, 1 << 31), divmod(pb, 1 << 31)
+            needed, early = jaccard_join.early_needed(na, nb, 90, 100)
+            if ta == tb and a < b and 100 * na >= 90 * nb and min(na - at_a, nb - at_b) + early - 1 >= needed:
+                assert {(ta, a), (ta, b)} <= kept
+                if not {(ta, a), (ta, b)} <= wide:
+                    want.append((a, b))
+    assert want and all(a < b for a, b in listed) and not set(want) - set(listed)
+    assert all(listed.count(x) >= want.count(x) for x in set(want)) and bool(wide) == ((run, met) != (128, 8))
+
+
 def test_jaccard_odd_tables(spark):
     rows = [(None, "a b c d"), (5, "a b c d"), (3, "a b c d"), (5, "e f g h"), (9, "e f g h"), (5, "a b c d")]
     got = jaccard_join.jaccard_components(table(spark, rows), k=3, num=90)
